@@ -26,28 +26,6 @@ from .running import HOUR, asof_join
 NEVER = -(1 << 62)
 
 
-def _runs(batches: Iterator[pd.DataFrame], width: int):
-    """Group consecutive rows of a sorted partition by their first columns."""
-    key, parts = None, []
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        ids = pdf.iloc[:, :width]
-        change = (ids != ids.shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(change)
-        if not len(starts) or starts[0] != 0:
-            starts = np.concatenate([[0], starts])
-        for a, b in zip(starts, np.append(starts[1:], len(pdf))):
-            here = tuple(ids.iloc[a])
-            if key is not None and here != key:
-                yield key, pd.concat(parts) if len(parts) > 1 else parts[0]
-                parts = []
-            key = here
-            parts.append(pdf.iloc[a:b])
-    if key is not None:
-        yield key, pd.concat(parts) if len(parts) > 1 else parts[0]
-
-
 def _next_kept(t: np.ndarray, forced: np.ndarray, gap: int) -> np.ndarray:
     """Index of the row kept after each row, ``len(t)`` when none is."""
     n = len(t)
@@ -63,6 +41,8 @@ def _next_kept(t: np.ndarray, forced: np.ndarray, gap: int) -> np.ndarray:
 def _step_function(t: np.ndarray, forced: np.ndarray, gap: int) -> tuple[list[int], list[int]]:
     """Times up to which an entry threshold leads to the same last-kept time."""
     n = len(t)
+    if n == 1:
+        return [(1 << 62) if forced[0] else int(t[0])], [int(t[0])]
     nxt = _next_kept(t, forced, gap)
     end = np.where(nxt < n, nxt, np.arange(n))
     while True:  # path doubling to the last kept row of each chain
@@ -93,7 +73,7 @@ def keep_spaced(
     ms = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("bigint")
     force = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
     cols = df.columns
-    tagged = df.select(*[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)],
+    tagged = df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"_k{i}") for i, k in enumerate(keys)],
                        ms.alias("_ms"), force.alias("_force"), F.struct(*cols).alias("_row"))
     names = [f"_k{i}" for i in range(len(keys))]
     one = tagged.groupBy(*names, "_ms").agg(
@@ -102,12 +82,28 @@ def keep_spaced(
     ).withColumn("_chunk", F.floor(F.col("_ms") / chunk_ms).cast("bigint"))
     placed = one.repartition(*names, "_chunk").sortWithinPartitions(*names, "_chunk", "_ms")
     key_fields = [T.StructField(n, T.StringType()) for n in names]
-    width = len(names) + 1
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, rows in _runs(batches, width):
-            until, left = _step_function(rows["_ms"].to_numpy(), rows["_force"].to_numpy(), gap_ms)
-            yield pd.DataFrame([[*key, until, left]], columns=[*names, "_chunk", "_until", "_left"])
+        key, times, musts = None, [], []  # rows of the chunk being read; bounded by its length
+
+        def closed():
+            until, left = _step_function(np.asarray(times, dtype="int64"), np.asarray(musts, dtype=bool), gap_ms)
+            return [*key, until, left]
+
+        for pdf in batches:
+            out = []
+            heads = pdf[[*names, "_chunk"]].itertuples(index=False, name=None)
+            for head, t, must in zip(heads, pdf["_ms"], pdf["_force"]):
+                if head != key:
+                    if key is not None:
+                        out.append(closed())
+                    key, times, musts = head, [], []
+                times.append(t)
+                musts.append(must)
+            if out:
+                yield pd.DataFrame(out, columns=[*names, "_chunk", "_until", "_left"])
+        if key is not None:
+            yield pd.DataFrame([closed()], columns=[*names, "_chunk", "_until", "_left"])
 
     steps = placed.select(*names, "_chunk", "_ms", "_force").mapInPandas(
         summarize,
