@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["fleet", "series"]
+AREAS = ["fleet", "series", "measures"]
 
 
 def load():
