@@ -178,7 +178,7 @@ NEEDS = {
 }
 
 
-def with_(tables: str, *own: tuple[str, str], select: str, recursive: bool = False) -> str:
+def with_(tables: str = "", *own: tuple[str, str], select: str, recursive: bool = False) -> str:
     """A query with the named domain tables and its own steps in front."""
     order: list[str] = []
     for name in tables.split():

@@ -140,11 +140,15 @@ def drivers(lang, source) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
+def _contains_any(words: list[str]):
+    return lambda d: any_of([d.contains(w) for w in words])
+
+
 def _category_of(found: Column):
     low = F.transform(found, lambda d: F.lower(d))
     out = None
     for category, words in CATEGORY_WORDS:
-        hit = F.exists(low, lambda d, words=words: any_of([d.contains(w) for w in words]))
+        hit = F.exists(low, _contains_any(words))
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -76,11 +76,17 @@ def call_edges(symbols: DataFrame) -> DataFrame:
 
     ``symbols`` has repo_id, file_path, symbol_id, name, start_line, calls.
     """
-    target = symbols.groupBy("repo_id", "file_path", "name").agg(
-        F.max_by("symbol_id", F.struct("start_line", "symbol_id")).alias("target_id"))
-    named = symbols.select("repo_id", "file_path", F.col("symbol_id").alias("source_id"), F.explode("calls").alias("name"))
-    return named.join(target, ["repo_id", "file_path", "name"]).filter(
-        F.col("source_id") != F.col("target_id")).select("repo_id", "file_path", "source_id", "target_id").distinct()
+    definition = F.struct(F.col("name").alias("name"), F.lit(None).cast("string").alias("source_id"),
+                          F.struct("start_line", "symbol_id").alias("target"))
+    none = F.lit(None).cast("struct<start_line:int,symbol_id:string>")
+    uses = F.transform(F.array_distinct("calls"), lambda c: F.struct(
+        c.alias("name"), F.col("symbol_id").alias("source_id"), none.alias("target")))
+    # definitions and uses of a name meet in one group of one file: one pass, one shuffle
+    rows = symbols.select("repo_id", "file_path", F.inline(F.concat(F.array(definition), uses)))
+    same_name = Window.partitionBy("repo_id", "file_path", "name")
+    met = rows.withColumn("_t", F.max("target").over(same_name)["symbol_id"])
+    return met.filter(F.col("source_id").isNotNull() & (F.col("_t") != F.col("source_id"))).select(
+        "repo_id", "file_path", "source_id", F.col("_t").alias("target_id")).distinct()
 
 
 def graph_nodes(imports: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -97,19 +103,18 @@ def graph_nodes(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def graph_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """IMPORTS, CONTAINS, DEFINES, BELONGS_TO and CALLS edges."""
+    """IMPORTS, CONTAINS, DEFINES, BELONGS_TO and CALLS edges.
+
+    ``symbols`` is read for two branches; pass a stored table when it comes
+    from parsing.
+    """
     module = paths.module_name("file_path")
-    parts = [
-        imports.select("repo_id", F.lit("IMPORTS").alias("rel"), F.col("file_path").alias("src"), F.col("target").alias("dst")),
-        imports.select("repo_id", F.lit("CONTAINS").alias("rel"), module.alias("src"), F.col("file_path").alias("dst")),
-        symbols.select("repo_id", F.lit("DEFINES").alias("rel"), F.col("file_path").alias("src"), F.col("symbol_id").alias("dst")),
-        symbols.select("repo_id", F.lit("BELONGS_TO").alias("rel"), F.col("symbol_id").alias("src"), module.alias("dst")),
-        call_edges(symbols).select("repo_id", F.lit("CALLS").alias("rel"), F.col("source_id").alias("src"), F.col("target_id").alias("dst")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    edge = lambda rel, src, dst: F.struct(F.lit(rel).alias("rel"), src.alias("src"), dst.alias("dst"))
+    path, target, symbol = F.col("file_path"), F.col("target"), F.col("symbol_id")
+    files = imports.select("repo_id", F.inline(F.array(edge("IMPORTS", path, target), edge("CONTAINS", module, path))))
+    defined = symbols.select("repo_id", F.inline(F.array(edge("DEFINES", path, symbol), edge("BELONGS_TO", symbol, module))))
+    called = call_edges(symbols).select("repo_id", F.lit("CALLS").alias("rel"), F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    return files.unionByName(defined).unionByName(called).distinct()
 
 
 def replace_files(stored: DataFrame, fresh: DataFrame) -> DataFrame:
