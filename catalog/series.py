@@ -111,7 +111,7 @@ def open_incident_count(w):
   FROM alerts a ASOF LEFT JOIN (SELECT repo_id, at, entropy FROM snapshots WHERE scope = 'repo') s
     ON s.repo_id = a.repo_id AND s.at <= a.at"""))
 def snapshot_at_alert(w):
-    snaps = w.snapshots.filter(F.col("scope") == "repo").select("repo_id", "at", F.col("signature.health.entropyIndex").alias("entropy"))
-    out = asof_join(w.alerts.select("repo_id", "sha", "at", "type"), snaps, ["repo_id"], "at", "at", ["entropy"], name="snap")
+    snaps = w.snapshots.filter(F.col("scope") == "repo").select("repo_id", "at", "sha", F.col("signature.health.entropyIndex").alias("entropy"))
+    out = asof_join(w.alerts.select("repo_id", "sha", "at", "type"), snaps, ["repo_id"], "at", "at", ["entropy"], name="snap", tie="sha")
     return out.select("repo_id", "sha", micros("at").alias("at_us"), "type", F.col("snap.entropy").alias("snapshot_entropy"),
                       micros(F.col("snap.at")).alias("snapshot_us"))

@@ -55,23 +55,23 @@ def _angles(vec: Column, refs: list[list[float]]) -> Column:
 
 def knn_join(
     queries: DataFrame, corpus: DataFrame, k: int, *, id: str, vec: str, group: list[str],
-    min_score: float | None = None, include_self: bool = False, different: str | None = None,
+    min_score: float | None = None, include_self: bool = False, mark: str | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Top ``k`` candidates of the same group for every query.
 
     Returns the group columns, ``query_id``, ``neighbour_id``, ``score`` and
-    ``rank`` (ties by id).  ``different`` names a column whose value must
-    differ between the two, checked before ranking.
+    ``rank`` (ties by id).  ``mark`` names a column to carry along; both its
+    values are returned as ``query_mark`` and ``neighbour_mark``.
     """
     g = [f"_g{i}" for i in range(len(group))]
-    mark = F.col(different).cast("string") if different else F.lit(None).cast("string")
+    carried = F.col(mark).cast("string") if mark else F.lit(None).cast("string")
 
     def side(df: DataFrame) -> DataFrame:
         return df.select(
             *[F.col(c).alias(n) for c, n in zip(group, g)],
             F.col(id).cast("string").alias("_id"), F.col(vec).cast("array<double>").alias("_v"),
-            mark.alias("_m"),
+            carried.alias("_m"),
         )
 
     q, c = side(queries), side(corpus)
@@ -81,11 +81,12 @@ def knn_join(
         reach = math.acos(max(-1.0, min(1.0, min_score))) + SLACK
         c = c.withColumn("_a", _angles(F.col("_v"), refs)).withColumn("_near", F.array_min("_a")).withColumn(
             "_cell", F.array_position("_a", F.col("_near")).cast("int")).drop("_a")
-        spread = c.groupBy(*g, "_cell").agg(F.max("_near").alias("_radius"))
+        spread = c.groupBy(*g, "_cell").agg(F.max("_near").alias("_radius")).select(
+            *[F.col(n).alias(n) for n in g], F.col("_cell").alias("_split"), "_radius")
         # at most REFERENCES rows per group, so each query gets at most that many copies
         q = q.withColumn("_a", _angles(F.col("_v"), refs)).join(spread, g).filter(
-            F.element_at("_a", F.col("_cell")) <= F.col("_radius") + reach
-        ).drop("_a", "_radius")
+            F.element_at("_a", F.col("_split")) <= F.col("_radius") + reach
+        ).withColumnRenamed("_split", "_cell").drop("_a", "_radius")
         c = c.drop("_near")
         cell = [*g, "_cell"]
 
@@ -101,9 +102,10 @@ def knn_join(
         "_qb", F.explode(F.sequence(F.lit(0), F.col("_qn") - 1))).drop("_qn", "_cn")
 
     floor = -2.0 if min_score is None else min_score
-    out_cols = [*g, "query_id", "neighbour_id", "score"]
+    out_cols = [*g, "query_id", "neighbour_id", "score", "query_mark", "neighbour_mark"]
     types = dict(q.dtypes)
-    schema = ", ".join([*[f"{n} {types[n]}" for n in g], "query_id string, neighbour_id string, score double"])
+    schema = ", ".join([*[f"{n} {types[n]}" for n in g], "query_id string, neighbour_id string, score double",
+                        "query_mark string, neighbour_mark string"])
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -121,13 +123,12 @@ def knn_join(
             mine = part["_id"].to_numpy()
             if not include_self:
                 score[mine[:, None] == ids[None, :]] = -3.0
-            if different:
-                score[part["_m"].to_numpy()[:, None] == marks[None, :]] = -3.0
             order = np.argsort(-score, axis=1, kind="stable")[:, :k]
             top = np.take_along_axis(score, order, axis=1)
             row, place = np.nonzero(top >= floor)
             found.append(pd.DataFrame({
-                "query_id": mine[row], "neighbour_id": ids[order[row, place]], "score": top[row, place]}))
+                "query_id": mine[row], "neighbour_id": ids[order[row, place]], "score": top[row, place],
+                "query_mark": part["_m"].to_numpy()[row], "neighbour_mark": marks[order[row, place]]}))
         out = pd.concat(found)
         for n in g:
             out[n] = left[n].iloc[0]
@@ -137,7 +138,8 @@ def knn_join(
     best = q.groupBy(*pair).cogroup(c.groupBy(*pair)).applyInPandas(compare, schema)
     w = Window.partitionBy(*g, "query_id").orderBy(F.col("score").desc(), F.col("neighbour_id"))
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(*[F.col(n).alias(o) for n, o in zip(g, group)], "query_id", "neighbour_id", "score", "rank")
+    extra = ["query_mark", "neighbour_mark"] if mark else []
+    return ranked.select(*[F.col(n).alias(o) for n, o in zip(g, group)], "query_id", "neighbour_id", "score", "rank", *extra)
 
 
 def nearest(corpus: DataFrame, query: DataFrame, vec: str, k: int, *ties: str, exclude: Column | None = None) -> DataFrame:

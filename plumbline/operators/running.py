@@ -5,6 +5,11 @@ work inside a bucket runs per (key, bucket), one summary row per (key, bucket)
 carries the state across buckets, and the two are joined back on the bucket.
 A series that holds a third of all rows is therefore spread over as many
 tasks as it has buckets, and nothing is dropped.
+
+Everything is placed on a time line as *marks*: a mark may ask (it carries the
+row to answer in ``_row``), add to sums, or set a value others look back for.
+One pass answers any mix of them, so a plan that needs several lookbacks reads
+its input once.
 """
 
 from __future__ import annotations
@@ -17,129 +22,94 @@ HOUR = 3_600_000_000
 MINUTE = 60_000_000
 
 
-def _bucketed(df: DataFrame, bucket_us: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint"))
+def micros(at) -> Column:
+    return F.unix_micros((F.col(at) if isinstance(at, str) else at).cast("timestamp"))
 
 
-def running_sums(
-    probes: DataFrame, changes: DataFrame, keys: list[str], at: str,
-    measures: list[str], bucket_us: int = DAY,
+def answer(
+    marks: DataFrame, keys: list[str], sums: list[str], lasts: list[str], bucket_us: int = DAY,
 ) -> DataFrame:
-    """Every probe with the sums of all changes placed before it.
+    """The asking marks with all sums and the last set values placed before them.
 
-    ``changes`` has the keys, ``_t`` (microseconds), ``_after`` (True when a
-    change at exactly the probe's time must not count) and the measures.
-    Decimal or integer measures make the sums exact in any order.
+    ``marks`` has the keys, ``_t`` (microseconds), ``_side`` (order at equal
+    times), ``_tie`` (order at equal sides), ``_row`` (null for marks that do
+    not ask), and the named columns: numbers or null for ``sums``, values or
+    null for ``lasts``.
     """
-    types = dict(changes.dtypes)
-    left = probes.select(
-        *keys, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.lit(1).alias("_side"),
-        F.struct(*probes.columns).alias("_row"),
-        *[F.lit(0).cast(types[m]).alias(m) for m in measures],
-    )
-    row_type = left.schema["_row"].dataType
-    right = changes.select(
-        *keys, "_t", F.when(F.col("_after"), 2).otherwise(0).alias("_side"),
-        F.lit(None).cast(row_type).alias("_row"), *measures,
-    )
-    both = _bucketed(left.unionByName(right), bucket_us)
-
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(
+    placed = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = both.select(
-        *keys, "_bucket", "_row", *[F.sum(m).over(inside).alias(f"_in_{m}") for m in measures]
+    local = placed.select(
+        *keys, "_bucket", "_t", "_row", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums],
+        *[F.last(v, ignorenulls=True).over(inside).alias(f"_in_{v}") for v in lasts],
     ).filter(F.col("_row").isNotNull())
 
+    order = F.struct("_t", "_side", "_tie")
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        both.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-        .select(*keys, "_bucket", *[F.sum(m).over(across).alias(f"_pre_{m}") for m in measures])
-    )
-    joined = local.join(carried, [*keys, "_bucket"], "left")
-    return joined.select(
-        "_row.*",
-        *[(F.coalesce(F.col(f"_in_{m}"), F.lit(0)) + F.coalesce(F.col(f"_pre_{m}"), F.lit(0))).alias(m)
-          for m in measures],
+        placed.groupBy(*keys, "_bucket").agg(
+            *[F.sum(s).alias(s) for s in sums],
+            *[F.max_by(v, F.when(F.col(v).isNotNull(), order)).alias(v) for v in lasts])
+        .select(*keys, "_bucket", *[F.sum(s).over(across).alias(f"_pre_{s}") for s in sums],
+                *[F.last(v, ignorenulls=True).over(across).alias(f"_pre_{v}") for v in lasts])
     )
+    both = local.join(carried, [*keys, "_bucket"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return both.select(
+        "_row", "_t", *[(zero(f"_in_{s}") + zero(f"_pre_{s}")).alias(s) for s in sums],
+        *[F.coalesce(f"_in_{v}", f"_pre_{v}").alias(v) for v in lasts])
 
 
 def asof_join(
     left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
-    payload: list[str], *, name: str = "asof", strict: bool = False, tie: list[str] | None = None,
+    payload: list[str], *, name: str = "asof", strict: bool = False, tie: str | None = None,
     forward: bool = False, within_us: int | None = None, bucket_us: int = DAY,
 ) -> DataFrame:
     """Each left row with the nearest right row at or before it (survey J7, W2, W4).
 
     ``strict`` excludes equal times, ``forward`` looks for the first right row
-    at or after instead, ``within_us`` blanks matches further away.  The match
-    is a struct column holding ``right_at`` and the payload.
+    at or after instead, ``within_us`` blanks matches further away, ``tie``
+    decides between right rows of the same time (the greatest wins).  The
+    match is a struct column holding ``right_at`` and the payload.
     """
     if forward and tie:
         raise ValueError("a forward lookup takes no tie-break")
     sign = -1 if forward else 1
-    tie = tie or []
-
-    def micros(c):
-        return F.unix_micros(F.col(c).cast("timestamp")) * sign
-
     match = F.struct(F.col(right_at), *[F.col(p) for p in payload if p != right_at])
-    order = F.struct(micros(right_at).alias("t"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(tie)])
-    r = right.select(*keys, micros(right_at).alias("_t"), F.lit(2 if strict else 0).alias("_side"),
-                     match.alias("_match"), order.alias("_order"))
-    l = left.select(*keys, micros(left_at).alias("_t"), F.lit(1).alias("_side"),
+    r = right.select(*keys, (micros(right_at) * sign).alias("_t"), F.lit(2 if strict else 0).alias("_side"),
+                     (F.col(tie).cast("string") if tie else F.lit("")).alias("_tie"), match.alias("_match"))
+    l = left.select(*keys, (micros(left_at) * sign).alias("_t"), F.lit(1).alias("_side"), F.lit("").alias("_tie"),
                     F.struct(*left.columns).alias("_row"))
-    both = _bucketed(l.unionByName(r, allowMissingColumns=True), bucket_us)
-
-    sort = [F.col("_t"), F.col("_side"), *[F.col("_order")[f"tie{i}"] for i in range(len(tie))]]
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*sort).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = both.select(
-        *keys, "_bucket", "_t", "_row", F.last("_match", ignorenulls=True).over(inside).alias("_near")
-    ).filter(F.col("_row").isNotNull())
-
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        both.groupBy(*keys, "_bucket").agg(F.max_by("_match", "_order").alias("_last"))
-        .select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(across).alias("_far"))
-    )
-    joined = local.join(carried, [*keys, "_bucket"], "left")
-    found = F.coalesce("_near", "_far")
+    found = answer(l.unionByName(r, allowMissingColumns=True), keys, [], ["_match"], bucket_us)
+    m = F.col("_match")
     if within_us is not None:
-        distance = F.abs(F.col("_t") - F.unix_micros(found[right_at].cast("timestamp")) * sign)
-        found = F.when(distance <= within_us, found)
-    return joined.select("_row.*", found.alias(name))
+        m = F.when(F.abs(F.col("_t") - micros(m[right_at]) * sign) <= within_us, m)
+    return found.select("_row.*", m.alias(name))
 
 
-def rolling_stats(
-    df: DataFrame, keys: list[str], at: str, value: str, window_us: int, bucket_us: int = DAY,
-    prefix: str = "baseline",
-) -> DataFrame:
-    """Mean, population deviation and count over ``[t - window, t)`` (survey W3).
+def value_parts(value: Column, sign: int = 1) -> list[Column]:
+    """Count, sum and sum of squares of a value as exact decimals.
 
-    Each value enters the running sums at its own time and leaves them one
-    window later, so the frame is a difference of sums and costs two changes
-    per row whatever the window holds.  Sums are exact decimals: six places
-    for the value, twelve for its square.
+    Six places for the value and twelve for its square: the sums come out the
+    same in any order and leave no residue when a value is taken out again.
     """
-    v = F.col(value).cast("decimal(18,6)")
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    enter = df.select(*keys, t.alias("_t"), F.lit(1).alias("_sign"), v.alias("_v"))
-    leave = df.select(*keys, (t + window_us).alias("_t"), F.lit(-1).alias("_sign"), v.alias("_v"))
-    changes = enter.unionByName(leave).select(
-        *keys, "_t", F.lit(True).alias("_after"),
-        F.col("_sign").cast("bigint").alias("_n"),
-        (F.col("_v") * F.col("_sign")).cast("decimal(28,6)").alias("_s"),
-        (F.col("_v") * F.col("_v") * F.col("_sign")).cast("decimal(38,12)").alias("_q"),
-    )
-    summed = running_sums(df, changes, keys, at, ["_n", "_s", "_q"], bucket_us)
-    n = F.col("_n").cast("double")
-    mean = F.coalesce(F.try_divide(F.col("_s").cast("double"), n), F.lit(0.0))
-    spread = F.coalesce(F.try_divide(F.col("_q").cast("double"), n), F.lit(0.0)) - mean * mean
-    return summed.select(
-        *df.columns, mean.alias(f"{prefix}_mean"),
-        F.sqrt(F.greatest(spread, F.lit(0.0))).alias(f"{prefix}_stddev"),
-        F.col("_n").alias(f"{prefix}_samples"),
-    )
+    v = value.cast("decimal(18,6)")
+    return [F.lit(sign).cast("bigint").alias("_n"), (v * sign).cast("decimal(28,6)").alias("_s"),
+            (v * v * sign).cast("decimal(38,12)").alias("_q")]
+
+
+def moments(n="_n", s="_s", q="_q") -> tuple[Column, Column]:
+    """Mean and population deviation from the three sums, 0 for no rows."""
+    count = F.col(n).cast("double")
+    mean = F.coalesce(F.try_divide(F.col(s).cast("double"), count), F.lit(0.0))
+    spread = F.coalesce(F.try_divide(F.col(q).cast("double"), count), F.lit(0.0)) - mean * mean
+    return mean, F.sqrt(F.greatest(spread, F.lit(0.0)))
+
+
+def mark(t: Column, side: int, tie: Column | None = None, **values: Column) -> Column:
+    """One mark as a struct; absent values must be given as typed nulls."""
+    return F.struct(t.alias("_t"), F.lit(side).alias("_side"), (F.lit("") if tie is None else tie).alias("_tie"),
+                    *[v.alias(k) for k, v in values.items()])
 
 
 def open_intervals(
@@ -151,10 +121,11 @@ def open_intervals(
     Starts at or before the probe minus ends before it: a stabbing count
     without forming one probe-interval pair.
     """
-    opened = intervals.select(
-        *keys, F.unix_micros(F.col(start).cast("timestamp")).alias("_t"),
-        F.lit(False).alias("_after"), F.lit(1).cast("bigint").alias(name))
-    closed = intervals.filter(F.col(end).isNotNull()).select(
-        *keys, F.unix_micros(F.col(end).cast("timestamp")).alias("_t"),
-        F.lit(True).alias("_after"), F.lit(-1).cast("bigint").alias(name))
-    return running_sums(probes, opened.unionByName(closed), keys, at, [name], bucket_us)
+    one = F.lit(1).cast("bigint")
+    ends = F.filter(
+        F.array(mark(micros(start), 0, _open=one), mark(micros(end), 2, _open=-one)), lambda m: m["_t"].isNotNull())
+    changes = intervals.select(*keys, F.inline(ends))
+    asks = probes.select(*keys, micros(at).alias("_t"), F.lit(1).alias("_side"), F.lit("").alias("_tie"),
+                         F.struct(*probes.columns).alias("_row"))
+    counted = answer(asks.unionByName(changes, allowMissingColumns=True), keys, ["_open"], [], bucket_us)
+    return counted.select("_row.*", F.col("_open").alias(name))

@@ -152,7 +152,7 @@ def keep_spaced(
     return one.join(kept, [*names, "_ms"], "left_semi").select("_row.*")
 
 
-def quiet_before(df: DataFrame, keys: list[str], at: str, gap_us: int, tie: list[str] | None = None) -> DataFrame:
+def quiet_before(df: DataFrame, keys: list[str], at: str, gap_us: int) -> DataFrame:
     """Rows with no earlier row of their key within the gap (sliding throttle, X2)."""
     looked = asof_join(df, df.select(*keys, at), keys, at, at, [], name="_prev", strict=True)
     t = F.unix_micros(F.col(at).cast("timestamp"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, fixed
 from ..functions.scores import z_score
-from ..operators.running import DAY, asof_join, rolling_stats
+from ..operators.running import DAY, answer, asof_join, mark, micros, moments, value_parts
 
 SERIES = ["repo_id", "scope", "subject_id", "key"]
 BASELINE_WINDOW = 7 * DAY
@@ -48,27 +48,46 @@ PRESSURE = Profile(75, 85, 45, 60, 7, 12, 7, 10, 30, 4, 2.1, 3.1, 6, 12, False)
 def with_previous(df: DataFrame) -> DataFrame:
     """Add the last value strictly before each row (0 when there is none)."""
     looked = asof_join(df, df.select(*SERIES, "at", "sha", "value"), SERIES, "at", "at", ["value"],
-                       name="_prev", strict=True, tie=["sha"])
+                       name="_prev", strict=True, tie="sha")
     return looked.select(*df.columns, finite(F.col("_prev.value")).alias("previous_value"))
 
 
-def with_day_before(df: DataFrame, hours: int = 24) -> DataFrame:
-    """Add the last value at or before 24 hours ago (0 when there is none)."""
-    shifted = df.withColumn("_then", F.col("at") - F.expr(f"INTERVAL {hours} HOURS"))
-    looked = asof_join(shifted, df.select(*SERIES, "at", "sha", "value"), SERIES, "_then", "at", ["value"],
-                       name="_day", tie=["sha"])
-    return looked.select(*df.columns, finite(F.col("_day.value")).alias("day_before"))
+def lookbacks(df: DataFrame) -> DataFrame:
+    """Every reading with its previous value, the value a day before and the
+    sums of the seven days before it, all from one pass.
+
+    A reading asks at its own time; it counts as the previous value and enters
+    the sums right after that, leaves them seven days later, and becomes the
+    day-before value 24 hours later.
+    """
+    t, v, tie = micros("at"), F.col("value"), F.col("sha")
+    none, row = F.lit(None).cast("double"), F.struct(*df.columns)
+    no_row = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
+
+    def parts(sign: int):
+        n, s, q = value_parts(v, sign)
+        return {"_n": n, "_s": s, "_q": q}
+
+    idle = {k: F.lit(0).cast(d) for k, d in (("_n", "bigint"), ("_s", "decimal(28,6)"), ("_q", "decimal(38,12)"))}
+    marks = F.array(
+        mark(t + DAY, 0, tie, _row=no_row, **idle, _prev=none, _day=v),
+        mark(t, 1, None, _row=row, **idle, _prev=none, _day=none),
+        mark(t + BASELINE_WINDOW, 2, tie, _row=no_row, **parts(-1), _prev=none, _day=none),
+        mark(t, 3, tie, _row=no_row, **parts(1), _prev=v, _day=none),
+    )
+    found = answer(df.select(*SERIES, F.inline(marks)), SERIES, ["_n", "_s", "_q"], ["_prev", "_day"])
+    mean, dev = moments()
+    return found.select("_row.*", finite("_prev").alias("previous_value"), finite("_day").alias("day_before"),
+                        mean.alias("baseline_mean"), dev.alias("baseline_stddev"), F.col("_n").alias("baseline_samples"))
 
 
 def assess(df: DataFrame, profile: Profile) -> DataFrame:
     """Add thresholds, z-score and severity to every row of the series.
 
-    Needs the series columns, ``at``, ``sha``, ``value`` and, for the pressure
-    profile, module series.
+    Needs the series columns, ``at``, ``sha`` and ``value``.
     """
-    rolled = rolling_stats(with_previous(df), SERIES, "at", "value", BASELINE_WINDOW)
+    rolled = lookbacks(df)
     if not profile.step_by_stddev:
-        rolled = with_day_before(rolled)
         earlier = F.when(F.col("day_before") != 0, F.col("day_before")).otherwise(F.col("previous_value"))
         rolled = rolled.withColumn("baseline_24h", earlier)
         step = F.col("value") - F.col("baseline_24h")

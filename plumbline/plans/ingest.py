@@ -18,17 +18,18 @@ def attribute_changes(changes: DataFrame, telemetry: DataFrame, within_us: int =
     """File changes with the newest telemetry of the same file in the last 45 minutes.
 
     The telemetry may name the file by relative or by absolute path.  Each is
-    an equality lookup on its own; the later of the two matches wins.
+    an equality lookup; the later of the two matches wins.
     """
     payload = ["id", "provenance", "source", "editor", "session_id", "observed_at"]
-    out = changes
-    for path, name in (("file_path", "_rel"), ("absolute_path", "_abs")):
-        seen = telemetry.filter(F.col(path).isNotNull()).select("repo_id", path, *payload)
-        out = asof_join(out, seen, ["repo_id", path], "at", "observed_at", payload, name=name, tie=["id"],
-                        within_us=within_us, bucket_us=24 * 60 * MINUTE)
-    order = lambda m: F.struct(F.col(m)["observed_at"], F.col(m)["id"])
-    newer = F.col("_rel").isNull() | (F.col("_abs").isNotNull() & (order("_abs") > order("_rel")))
-    best = F.when(newer, F.col("_abs")).otherwise(F.col("_rel"))
+    # both paths of a change ask in one lookup, both paths of a report answer
+    asks = changes.select(*changes.columns, F.posexplode(F.array(
+        F.concat(F.lit("r:"), "file_path"), F.concat(F.lit("a:"), "absolute_path"))).alias("_pos", "_path"))
+    said = telemetry.select("repo_id", *payload, F.explode(F.filter(F.array(
+        F.concat(F.lit("r:"), "file_path"), F.concat(F.lit("a:"), "absolute_path")), lambda p: p.isNotNull())).alias("_path"))
+    looked = asof_join(asks, said, ["repo_id", "_path"], "at", "observed_at", payload, name="_hit", tie="id", within_us=within_us)
+    hit = F.col("_hit")
+    out = looked.groupBy(*changes.columns).agg(F.max_by("_hit", F.struct(hit["observed_at"], hit["id"])).alias("_best"))
+    best = F.col("_best")
     known = F.when(best["provenance"].isin(S.PROVENANCES), best["provenance"])
     return out.select(
         *changes.columns, known.alias("provenance"), best["source"].alias("telemetry_source"),
