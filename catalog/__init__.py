@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["fleet", "series", "measures", "texts", "rules"]
+AREAS = ["fleet", "series", "measures", "texts", "rules", "reports", "alerts", "memory"]
 
 
 def load():

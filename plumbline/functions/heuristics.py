@@ -127,17 +127,19 @@ def _style_drivers(source) -> Column:
         F.when(high, F.lit("z-index >= 1000")),
         F.when(s.rlike(STYLE_PLACEHOLDER), F.lit("placeholder styling")),
     )
-    return F.concat(F.filter(found, lambda label: label.isNotNull()), residue_drivers(s))
+    return F.filter(found, lambda label: label.isNotNull())
 
 
 def drivers(lang, source) -> Column:
     """Rule hits of the file's language, cut to four before they are classified."""
-    l = col(lang)
-    out = F.when(l.isin(STYLE_LANGUAGES), F.slice(_style_drivers(source), 1, MAX_DRIVERS))
+    l, none = col(lang), F.array().cast("array<string>")
+    # style hits go before the residue tokens, the hits of every other language after them
+    first = F.when(l.isin(STYLE_LANGUAGES), _style_drivers(source)).otherwise(none)
+    last = F.when(l.isin(STYLE_LANGUAGES), none)
     for name, rules in LANGUAGE_RULES.items():
-        both = F.concat(residue_drivers(source), _hits(source, rules))
-        out = out.when(l == name, F.slice(both, 1, MAX_DRIVERS))
-    return out.otherwise(F.array().cast("array<string>"))
+        last = last.when(l == name, _hits(source, rules))
+    found = F.slice(F.concat(first, residue_drivers(source), last.otherwise(none)), 1, MAX_DRIVERS)
+    return F.when(l.isin([*STYLE_LANGUAGES, *LANGUAGE_RULES]), found).otherwise(none)
 
 
 def _contains_any(words: list[str]):

@@ -142,15 +142,14 @@ def knn_join(
     return ranked.select(*[F.col(n).alias(o) for n, o in zip(g, group)], "query_id", "neighbour_id", "score", "rank", *extra)
 
 
-def nearest(corpus: DataFrame, query: DataFrame, vec: str, k: int, *ties: str, exclude: Column | None = None) -> DataFrame:
-    """Top ``k`` rows of a collection for one stored vector (survey V3-V6).
+def nearest(corpus: DataFrame, query: Column, vec: str, k: int, *ties: str) -> DataFrame:
+    """Top ``k`` rows of a collection for one vector (survey V3-V6).
 
-    The query is read as a scalar subquery, so the collection is scanned once
-    and only ``k`` rows per task are kept.
+    ``query`` is usually a scalar subquery for a stored vector: it is read
+    once, the collection is scanned once, and only ``k`` rows per task are kept.
     """
     from ..functions.vectors import cosine
 
-    rows = corpus if exclude is None else corpus.filter(~exclude)
-    scored = rows.withColumn("_query", query.select(vec).scalar()).filter(F.col("_query").isNotNull())
+    scored = corpus.withColumn("_query", query).filter(F.col("_query").isNotNull())
     scored = scored.withColumn("score", cosine(vec, "_query")).drop("_query")
     return scored.filter(F.col("score").isNotNull()).orderBy(F.col("score").desc(), *ties).limit(k)

@@ -58,3 +58,11 @@ def fold_filters(pairs) -> Column:
         if value is not None:
             out = out & condition(value)
     return out
+
+
+def patch(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the given, non-null fields of a change written over the stored ones."""
+    fields = [c for c in changes.columns if c not in keys]
+    new = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fields])
+    joined = base.join(new, keys, "left")
+    return joined.select(*[F.coalesce(f"_n_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
