@@ -40,21 +40,24 @@ def fold(alerts: DataFrame, recovered: DataFrame) -> DataFrame:
     An alert opens an incident, later ones update it, the first recovery
     after it closes it; so all alerts of one incident see the same next
     recovery, and the state machine becomes a lookup and one aggregation.
+    An optional ``weight`` says how many alerts a row stands for.
     """
     payload = ["sha", "value", "clear_threshold", "baseline_mean", "baseline_stddev"]
+    if "weight" not in alerts.columns:
+        alerts = alerts.withColumn("weight", F.lit(1).cast("bigint"))
     looked = asof_join(alerts, recovered.select(*KEY, "at", *payload), KEY, "at", "at", payload,
                        name="_end", strict=True, forward=True)
     order = F.struct("at", "sha")
     grouped = looked.groupBy(*KEY, F.col("_end.at").alias("closed_at")).agg(
         F.min("at").alias("opened_at"), F.max("at").alias("last_alert_at"),
-        F.min_by(F.struct("sha", "title"), order).alias("_first"), F.max_by(F.struct("severity", "title"), order).alias("_last"),
-        F.count(F.lit(1)).alias("alert_count"), F.any_value("_end").alias("_end"))
+        F.min_by(F.struct("sha", "title", "severity"), order).alias("_first"), F.max_by(F.struct("severity", "title", "sha"), order).alias("_last"),
+        F.sum("weight").alias("alert_count"), F.any_value("_end").alias("_end"))
     end = F.col("_end")
     return grouped.select(
         F.concat(F.lit("incident_"), F.md5(F.concat_ws("|", *KEY, F.unix_micros("opened_at").cast("string")))).alias("incident_id"),
         *KEY, F.when(end.isNull(), "open").otherwise("closed").alias("status"), F.col("_last.severity").alias("severity"),
         "opened_at", "last_alert_at", "closed_at", F.coalesce("closed_at", "last_alert_at").alias("updated_at"),
-        F.col("_first.sha").alias("opened_sha"), end["sha"].alias("closed_sha"),
+        F.col("_first.sha").alias("opened_sha"), F.col("_last.sha").alias("latest_sha"), end["sha"].alias("closed_sha"),
         F.col("_first.title").alias("opened_alert_title"), F.col("_last.title").alias("latest_alert_title"), "alert_count",
         F.when(end.isNotNull(), F.struct(
             F.lit("returned_to_baseline").alias("reason"), fixed(end["clear_threshold"], 2).alias("clearThreshold"),
@@ -62,6 +65,19 @@ def fold(alerts: DataFrame, recovered: DataFrame) -> DataFrame:
             fixed(end["baseline_stddev"], 2).alias("baselineStddev"))).alias("resolution"))
 
 
+def open_alerts(incidents: DataFrame) -> DataFrame:
+    """Open incidents as alerts to fold on with: the first and the last of each,
+    weighted so that the counts continue."""
+    single = F.col("opened_at") == F.col("last_alert_at")
+    first = F.struct(F.col("opened_at").alias("at"), F.col("opened_sha").alias("sha"), F.col("severity").alias("severity"),
+                     F.col("opened_alert_title").alias("title"),
+                     F.when(single, F.col("alert_count")).otherwise(F.col("alert_count") - 1).alias("weight"))
+    last = F.when(~single, F.struct(F.col("last_alert_at").alias("at"), F.col("latest_sha").alias("sha"), F.col("severity").alias("severity"),
+                                    F.col("latest_alert_title").alias("title"), F.lit(1).cast("bigint").alias("weight")))
+    rows = F.filter(F.array(first, last), lambda r: r.isNotNull())
+    return incidents.filter(F.col("status") == "open").select(*KEY, F.inline(rows))
+
+
 def with_signatures(incidents: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Attach the snapshots in force at open, last update and close.
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import digests, heuristics, paths
+from ..functions import bands, digests, heuristics, paths
 from ..operators.merge import insert_absent
 from ..operators.running import MINUTE, asof_join
+from ..operators.spacing import quiet_before
 
 LOOKBACK = 45 * MINUTE
 SNAPSHOT_LIMIT = 200_000
@@ -128,3 +129,12 @@ def watch_states(events: DataFrame) -> DataFrame:
 def watchable(repos: DataFrame) -> DataFrame:
     """Repositories the watcher starts with."""
     return repos.filter((F.col("kind") == "local") & F.col("root_path").isNotNull() & F.col("archived_at").isNull())
+
+
+def modules_to_refresh(alerts: DataFrame, gap_us: int = 2_000_000) -> DataFrame:
+    """Modules whose readings an alert makes stale, two seconds apart at least."""
+    ev = F.col("evidence")
+    stale = alerts.filter(F.col("type").isin("SEMANTIC_DUPLICATION", "ARCH_VIOLATION", "ARCH_EMBED_DRIFT", "VOLATILITY_ZONE"))
+    owned = stale.withColumn("module", bands.alert_module(ev["module"], ev["filePath"], ev["symbolId"], None)).filter(
+        F.col("module").isNotNull())
+    return quiet_before(owned.select("repo_id", "module", "sha", "at"), ["repo_id", "module", "sha"], "at", gap_us)
