@@ -62,8 +62,15 @@ def python_spans(source: str) -> list[tuple]:
 
 
 def _blanked(source: str) -> str:
-    """The text with comments and strings replaced by spaces of equal length."""
-    return QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+    """The text with comments as spaces and string contents as underscores."""
+
+    def quiet(m):
+        found = m.group()
+        if found[0] == "/":
+            return re.sub(r"[^\n]", " ", found)
+        return found[0] + re.sub(r"[^\n]", "_", found[1:-1]) + found[-1]
+
+    return QUIET.sub(quiet, source)
 
 
 def _closing(text: str, at: int) -> int:
@@ -102,7 +109,7 @@ def _value_end(text: str, start: int, end: int) -> int:
             elif ch in ")]}":
                 depth -= 1
                 if depth < 0:
-                    return here
+                    return len(text[:here].rstrip())
             elif depth == 0 and (ch in ",;" or (ch == "\n" and text[end:here].strip())):
                 return len(text[:here].rstrip())
         return len(text.rstrip())

@@ -43,8 +43,8 @@ def changes_between(previous: DataFrame, current: DataFrame) -> DataFrame:
     Listings have repo_id, file_path and a content hash; one full outer join
     on the path, ignored paths dropped first.
     """
-    before = previous.filter(~paths.is_ignored("file_path")).select("repo_id", "file_path", F.col("hash").alias("_old"))
-    after = current.filter(~paths.is_ignored("file_path")).select("repo_id", "file_path", F.col("hash").alias("_new"))
+    before = previous.filter(~paths.is_ignored(F.concat(F.lit("/"), "file_path"))).select("repo_id", "file_path", F.col("hash").alias("_old"))
+    after = current.filter(~paths.is_ignored(F.concat(F.lit("/"), "file_path"))).select("repo_id", "file_path", F.col("hash").alias("_new"))
     kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("modified")
     return before.join(after, ["repo_id", "file_path"], "full").filter(
         ~F.col("_old").eqNullSafe(F.col("_new"))

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Building a plan needs no stack trace per column expression.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app: str = "plumbline", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans are written for.
 
@@ -24,6 +28,7 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        **BUILD_SETTINGS,
     }
     defaults.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in defaults.items():
