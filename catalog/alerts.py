@@ -194,3 +194,45 @@ def alert_categories(w):
 @register("alert_status_tally", with_("alerts", select="SELECT coalesce(status, 'open') AS status, count(*) AS total FROM alerts GROUP BY 1"))
 def alert_status_tally(w):
     return rankings.status_tally(w.alerts)
+
+
+@register("alert_activity_history", with_("alerts activity", ("f", "SELECT DISTINCT repo_id, ev_path AS file_path FROM alerts WHERE ev_path IS NOT NULL"), select="""
+  SELECT repo_id, file_path, event_id, parser_status, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY at DESC, event_id DESC) AS rank
+  FROM activity WHERE (repo_id, file_path) IN (SELECT (repo_id, file_path) FROM f) QUALIFY rank <= 12"""))
+def alert_activity_history(w):
+    out = alerts.activity_history(w.alerts, w.activity)
+    return out.select("repo_id", "file_path", "event_id", "parser_status", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("linked_alert_resolution", with_("alerts refactors", ("a", f"SELECT *, {ID} AS alert_id FROM alerts"), ("l", """
+  SELECT repo_id, module, bool_or(status = 'applied') AS applied FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, module ORDER BY id) AS n FROM refactors) WHERE n = 1 GROUP BY ALL"""), select=f"""
+  SELECT a.alert_id, CASE WHEN l.applied THEN 'resolved' ELSE a.status END AS status,
+    CASE WHEN l.applied AND a.status <> 'resolved' THEN 'engine' ELSE a.resolved_by END AS resolved_by
+  FROM a LEFT JOIN l ON l.repo_id = a.repo_id AND l.module = a.ev_module"""))
+def linked_alert_resolution(w):
+    """Every alert linked to the first suggestion of its module; applied ones resolve it."""
+    from plumbline.plans import refactors
+    rows = alerts.with_ids(w.alerts)
+    first = w.refactors.groupBy("repo_id", F.col("entities.modules").alias("modules")).agg(F.min("id").alias("refactor_id"))
+    links = rows.select("repo_id", "alert_id", F.array("evidence.module").alias("modules")).join(first, ["repo_id", "modules"])
+    out = refactors.resolve_linked(rows, links, w.refactors, w.as_of, "engine")
+    return out.select("alert_id", "status", "resolved_by")
+
+
+@register("alert_notifications", with_("alerts", select="""
+  SELECT channel, count(*) AS notices FROM (SELECT 'repo:' || repo_id AS channel FROM alerts UNION ALL SELECT 'fleet' FROM alerts) GROUP BY 1"""))
+def alert_notifications(w):
+    from plumbline.streaming.sources import notifications
+    return notifications(w.alerts, "alert").groupBy("channel").agg(F.count(F.lit(1)).alias("notices"))
+
+
+@register("stale_modules", with_("alerts", ("o", """
+  SELECT repo_id, sha, at, coalesce(ev_module, split_part(ev_path, '/', 2), split_part(ev_symbol, '/', 2)) AS module FROM alerts
+  WHERE type IN ('SEMANTIC_DUPLICATION', 'ARCH_VIOLATION', 'ARCH_EMBED_DRIFT', 'VOLATILITY_ZONE')"""), select="""
+  SELECT repo_id, module, sha, epoch_us(at) AS at_us FROM o WHERE module IS NOT NULL
+  QUALIFY lag(at) OVER (PARTITION BY repo_id, module, sha ORDER BY at) IS NULL
+    OR epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY repo_id, module, sha ORDER BY at)) >= 2000000"""))
+def stale_modules(w):
+    from plumbline.plans import ingest
+    return ingest.modules_to_refresh(w.alerts).select("repo_id", "module", "sha", micros("at").alias("at_us"))

@@ -221,3 +221,17 @@ def language_trend_totals(w):
     point = lambda p: F.concat_ws("/", *[p[c].cast("string") for c in (
         "watched_only_events", "total_events", "full_events", "watched_only_percent")])
     return out.withColumn("points", F.array_join(F.transform("points", point), ","))
+
+
+@register("recent_commits", with_("commits", select="""
+  SELECT sha, author, message, epoch_us(ts) AS ts_us FROM commits WHERE repo_id = 'repo-4' ORDER BY ts DESC, sha DESC LIMIT 50"""))
+def recent_commits(w):
+    return fleet.recent_commits(w.commits, "repo-4").select("sha", "author", "message", micros("ts").alias("ts_us"))
+
+
+@register("commit_alerts", with_("commits alerts", ("c", "SELECT * REPLACE ('c' || substr(sha, 2) AS sha) FROM commits"), select="""
+  SELECT c.repo_id, c.sha, c.author, count(*) AS alert_count, count(*) FILTER (a.severity = 'error') AS error_count
+  FROM c JOIN alerts a ON a.repo_id = c.repo_id AND a.sha = c.sha GROUP BY ALL"""))
+def commit_alerts(w):
+    commits = w.commits.withColumn("sha", F.concat(F.lit("c"), F.substring("sha", 2, 100)))
+    return fleet.commit_alerts(commits, w.alerts).select("repo_id", "sha", "author", "alert_count", "error_count")

@@ -222,3 +222,29 @@ def refresh_throttle(w):
 def refresh_debounce(w):
     out = quiet_after(w.events.select("repo_id", "event_id", "at"), ["repo_id"], "at", "30 minutes", "event_id")
     return out.select("repo_id", "event_id", "burst_size", micros("fires_at").alias("fires_us"))
+
+
+@register("storable_files", """
+  SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND length(repeat(text, 20)) <= 200000""")
+def storable_files(w):
+    """File versions worth storing: deletions and very long contents are left out."""
+    d = F.col("doc_id")
+    files = w.documents.select("doc_id", F.when(d % 5 == 0, "deleted").otherwise("modified").alias("change_type"), F.repeat("text", 20).alias("content"))
+    return ingest.storable_snapshots(files).select("doc_id")
+
+
+@register("fallback_languages", with_("activity", select="""
+  SELECT file_path, max(CASE WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.js' THEN 'javascript' WHEN file_path LIKE '%.py' THEN 'python' END)
+    AS language, max(CASE WHEN language IN ('typescript', 'javascript', 'python') THEN 'none' WHEN language IS NULL THEN 'unknown'
+      WHEN language = 'go' THEN 'watch_only' ELSE 'light' END) AS lane FROM (SELECT DISTINCT file_path,
+      (['typescript','python','css','json','markdown','javascript','go'])[list_position(['.ts','.py','.css','.json','.md','.js','.go'], '.' || split_part(file_path, '.', -1))] AS language
+    FROM activity) GROUP BY file_path"""))
+def fallback_languages(w):
+    files = w.activity.select("file_path").distinct()
+    return files.select("file_path", paths.fallback_language("file_path").alias("language"), paths.parser_lane(paths.language("file_path")).alias("lane"))
+
+
+@register("watched_roots", with_("repos", select="""
+  SELECT repo_id, lower(regexp_replace(string_split(root_path, '/')[-1], '[^a-zA-Z0-9_-]', '-', 'g')) AS derived_id FROM repos WHERE root_path IS NOT NULL"""))
+def watched_roots(w):
+    return w.repos.filter(F.col("root_path").isNotNull()).select("repo_id", paths.repo_id_from_path("root_path").alias("derived_id"))

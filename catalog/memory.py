@@ -8,7 +8,7 @@ from plumbline.functions.numeric import fixed, micros
 from plumbline.plans import fleet, memory, rankings, similarity
 
 from .base import register
-from .ctes import ASOF, fx, with_
+from .ctes import ASOF, fx, fxt, with_
 from .fleet import OVERVIEW, repo_list_sql
 from .reports import COMPONENTS
 
@@ -153,6 +153,17 @@ def similar_repos(w):
     return out.select("repo_id", "name", "score", F.col("pattern.label").alias("pattern"), "feature_score")
 
 
+@register("repo_feature_drivers", with_("repos metrics alerts incidents", *REPO_ROWS, ("q", "SELECT * FROM rvec WHERE repo_id = 'repo-3'"), ("p", " UNION ALL ".join(
+    f"""SELECT v.repo_id, {i} AS place, {fx(f'-(1 - least(abs(v.{n} - q.{n}) / {s}, 1.0))', 9)} AS o,
+      '{label} ' || {fxt(f'q.{n}', 2)} || ' vs ' || {fxt(f'v.{n}', 2)} AS t FROM rvec v, q WHERE v.repo_id <> 'repo-3' AND list_sum(v.vector) > 0"""
+    for i, (n, label, s) in enumerate(vectors.REPO_FEATURES))), select="""
+  SELECT repo_id, array_to_string(list(t ORDER BY o, place)[1:3], '|') AS drivers FROM p GROUP BY repo_id"""))
+def repo_feature_drivers(w):
+    rows = similarity.repo_rows(w.repos, w.metrics, w.alerts, w.incidents, w.as_of)
+    out = similarity.similar_repos(rows, "repo-3", limit=1_000_000)
+    return out.select("repo_id", F.array_join("drivers", "|").alias("drivers"))
+
+
 @register("similar_repos_fallback", with_("repos metrics alerts incidents", *REPO_ROWS, ("q", "SELECT * FROM rvec WHERE repo_id = 'repo-15'"), select=f"""
   SELECT repo_id, score FROM (SELECT v.repo_id,
     {fx(' + '.join(f"(1 - least(abs(v.{n} - q.{n}) / {s}, 1.0))" for n, _, s in vectors.REPO_FEATURES).join(('(', ') / 8')), 3)} AS score

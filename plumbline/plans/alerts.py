@@ -119,6 +119,13 @@ def related_alerts(alerts: DataFrame, n: int = 6) -> DataFrame:
     return top_per_key(paired, ["alert_id"], [F.col("_rank")], n).select("repo_id", "alert_id", "related_id", "related_at", "rank")
 
 
+def activity_history(alerts: DataFrame, activity: DataFrame, n: int = 12) -> DataFrame:
+    """The newest activity of every alert's file, found once per file."""
+    files = alerts.select("repo_id", F.col("evidence.filePath").alias("file_path")).filter(F.col("file_path").isNotNull()).distinct()
+    newest = top_per_key(activity, ["repo_id", "file_path"], [F.desc("at"), F.desc("event_id")], n)
+    return newest.join(files, ["repo_id", "file_path"], "left_semi")
+
+
 def related_refactors(alert: DataFrame, refactors: DataFrame, links: DataFrame, n: int = 6) -> DataFrame:
     """Suggestions for the file or module of each given alert, with a link flag.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import bands
 from ..functions.numeric import fixed
-from ..operators.latest import latest_per_key
 from ..operators.timegrid import hour_grid
 
 
@@ -156,11 +155,23 @@ def overview_stats(repos: DataFrame, metrics: DataFrame, alerts: DataFrame, acti
     raised = of_ours(alerts).filter(day).agg(
         F.count(F.lit(1)).alias("alerts_24h"), count_where(F.col("severity") == "error").alias("critical_24h"))
     signals = of_ours(metrics).filter(day).agg(F.count(F.lit(1)).alias("signals_24h"))
-    # every input is a single row, so they join on a constant key
-    out = ours.agg(F.count(F.lit(1)).alias("repo_count")).withColumn("_one", F.lit(1))
+    # every part is a single row; stacked, one aggregation lines their figures up
+    out = ours.agg(F.count(F.lit(1)).alias("repo_count"))
     for part in (values, covered, raised, signals):
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
+def recent_commits(commits: DataFrame, repo_id: str, n: int = 50) -> DataFrame:
+    """The newest commits of one repository."""
+    return commits.filter(F.col("repo_id") == repo_id).orderBy(F.desc("ts"), F.desc("sha")).limit(n)
+
+
+def commit_alerts(commits: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Commits that raised alerts, with counts by severity."""
+    counts = alerts.groupBy("repo_id", "sha").agg(
+        F.count(F.lit(1)).alias("alert_count"), count_where(F.col("severity") == "error").alias("error_count"))
+    return commits.join(counts, ["repo_id", "sha"])
 
 
 def recent_alerts(alerts: DataFrame, repos: DataFrame, n: int = 16) -> DataFrame:

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import vectors
 from ..operators.edges import edge_diff
 from ..operators.merge import upsert
 from ..operators.spacing import keep_spaced
-from ..plans import incidents
+from ..plans import incidents, rules
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -109,6 +110,17 @@ def incident_fold(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFra
     return folded, incidents.open_alerts(folded)
 
 
+def module_drift(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drift of module feature vectors across batches; state is the last snapshot of each module."""
+    cols = ["repo_id", "module", "at", "features"]
+    both = state.select(*cols).unionByName(rows.select(*cols))
+    found = rules.embedding_drift(both).join(rows.select("repo_id", "module", "at").distinct(), ["repo_id", "module", "at"], "left_semi")
+    last = both.groupBy("repo_id", "module").agg(F.max_by(F.struct("at", "features"), "at").alias("r")).select("repo_id", "module", "r.*")
+    return found, last
+
+
 INCIDENT_STATE = ("repo_id string, type string, scope string, subject_id string, at timestamp, sha string, severity string, "
                   "title string, weight bigint")
 EDGE_STATE = "repo_id string, module string, file_path string, edge string"
+FEATURES = [name for name, _ in vectors.DRIFT_FEATURES] + ["code_entropy_index", "pressure_index"]
+DRIFT_STATE = "repo_id string, module string, at timestamp, features struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"
