@@ -38,7 +38,7 @@ def document_readings(w):
     low AS (SELECT *, least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS m FROM run)
   SELECT p.page_id, CAST(coalesce(max(s - m), 0) AS BIGINT) AS nesting FROM pages p LEFT JOIN low USING (page_id) GROUP BY p.page_id""")
 def page_nesting(w):
-    return w.table("pages").select("page_id", text.nesting("html").alias("nesting"))
+    return w.pages.select("page_id", text.nesting("html").alias("nesting"))
 
 
 @register("name_words", r"""
@@ -200,7 +200,7 @@ def _html_sql() -> str:
 
 @register("page_content_alerts", _html_sql())
 def page_content_alerts(w):
-    files = w.table("pages").select("page_id", F.col("url").alias("file_path"), F.col("html").alias("source"), F.lit("html").alias("language"))
+    files = w.pages.select("page_id", F.col("url").alias("file_path"), F.col("html").alias("source"), F.lit("html").alias("language"))
     return symbols.content_alerts(files).select("page_id", F.array_join("drivers", "|").alias("drivers"), "severity", "category")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import col, once
 from .paths import any_of
 from .text import SPACE, WORD
 
@@ -17,15 +17,8 @@ _HOST = r"https?://(localhost|127\.0\.0\.1|example\.com)"
 _FAKE = "(changeme|example|test|placeholder|123456)"
 
 # --- fixed values: residue tokens, per-language patterns, categories --------
-RESIDUE_TOKENS = [
-    ("placeholder", rf"(?i){_B}placeholder{_E}"),
-    ("todo", rf"{_B}TODO{_E}"),
-    ("tbd", rf"(?i){_B}TBD{_E}"),
-    ("example", rf"(?i){_B}example{_E}"),
-    ("mock", rf"(?i){_B}mock{_E}"),
-    ("lorem ipsum", rf"(?i){_B}lorem ipsum{_E}"),
-    ("coming soon", rf"(?i){_B}coming soon{_E}"),
-]
+RESIDUE_TOKENS = ["placeholder", "todo", "tbd", "example", "mock", "lorem ipsum", "coming soon"]
+UPPER_ONLY = ["todo"]  # counted only when written in capitals
 LANGUAGE_RULES = {
     "json": [
         ("local/example endpoint", [rf"(?i){_HOST}"]),
@@ -93,21 +86,29 @@ DEFAULT_CATEGORY = "CONTENT_DRIFT"
 # ---------------------------------------------------------------------------
 
 
+def _written_as(token: str):
+    if token in UPPER_ONLY:
+        return lambda hit: hit == token.upper()
+    return lambda hit: F.lower(hit) == token
+
+
 def residue_drivers(source) -> Column:
     """Up to three ``token xN`` entries, most frequent first, list order on ties."""
-    counted = F.array(*[
-        F.struct(
-            (-F.regexp_count(col(source), F.lit(pattern))).alias("order"),
-            F.lit(i).alias("place"),
-            F.lit(token).alias("token"),
+    # no token can overlap another, so one scan finds the hits of all of them
+    pattern = rf"(?i){_B}(?:{'|'.join(RESIDUE_TOKENS)}){_E}"
+    found = F.regexp_extract_all(col(source), F.lit(pattern), F.lit(0))
+
+    def ranked(hits):
+        counted = F.array(*[
+            F.struct((-F.size(F.filter(hits, _written_as(token)))).alias("order"), F.lit(i).alias("place"), F.lit(token).alias("token"))
+            for i, token in enumerate(RESIDUE_TOKENS)
+        ])
+        return F.transform(
+            F.slice(F.array_sort(F.filter(counted, lambda e: e["order"] < 0)), 1, MAX_TOKENS),
+            lambda e: F.concat(e["token"], F.lit(" x"), (-e["order"]).cast("string")),
         )
-        for i, (token, pattern) in enumerate(RESIDUE_TOKENS)
-    ])
-    present = F.array_sort(F.filter(counted, lambda e: e["order"] < 0))
-    return F.transform(
-        F.slice(present, 1, MAX_TOKENS),
-        lambda e: F.concat(e["token"], F.lit(" x"), (-e["order"]).cast("string")),
-    )
+
+    return once(found, ranked)
 
 
 def _hits(source, rules) -> Column:

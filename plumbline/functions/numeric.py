@@ -17,6 +17,11 @@ def col(x) -> Column:
     return F.lit(x)
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a costly value that must be computed once, not per mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(x) -> Column:
     """The value as a double, 0 when it is missing, NaN or infinite."""
     v = col(x).cast("double")

@@ -54,7 +54,7 @@ def cyclomatic(source) -> Column:
 
 def nesting(source) -> Column:
     """Deepest brace level; a stray closing brace never goes below zero."""
-    braces = F.regexp_replace(col(source), "[^{}]", "")
+    braces = F.regexp_replace(col(source), "[^{}]+", "")
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
 
     def step(acc, ch):

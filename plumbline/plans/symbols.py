@@ -56,7 +56,8 @@ def content_alerts(files: DataFrame) -> DataFrame:
     lang = F.col("language") if "language" in files.columns else paths.language("file_path")
     checked = files.withColumn("language", F.coalesce(lang, F.lit("unknown"))).filter(
         ~F.col("language").isin(paths.PARSED_LANGUAGES))
-    found = checked.withColumn("drivers", heuristics.drivers("language", "source")).filter(F.size("drivers") > 0)
+    # generated, not projected: the filter below must not compute the rules a second time
+    found = checked.select("*", F.explode(F.array(heuristics.drivers("language", "source"))).alias("drivers")).filter(F.size("drivers") > 0)
     listed = F.array_join("drivers", ", ")
     return found.drop("source").select(
         "*", heuristics.severity("drivers").alias("severity"), F.lit("CONTENT_HEURISTIC").alias("type"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths
+from .spread import spread
 
 AS_OF = "2024-01-31 00:00:00"
 MODULES = ["domain", "web", "infra", "shared", "core", "jobs"]
@@ -48,7 +49,7 @@ class Workspace:
     @cached_property
     def events(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
-        e = self.table("events").select(
+        e = spread(self.table("events")).select(
             "event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type", "value", k.alias("k"),
             F.concat(F.lit("repo-"), text(F.col("user_id") % 10)).alias("repo_id"),
             pick(MODULES, F.floor(F.col("user_id") / 10) % 6).alias("module"),
@@ -306,17 +307,21 @@ class Workspace:
         target = F.when(k % 4 == 0, F.concat(F.lit("pkg:lib"), text(k % 3))).otherwise(pick(MODULES, k % 6))
         return e.select("repo_id", "module", "file_path", "at", F.concat("module", F.lit("->"), target).alias("edge"))
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        return spread(self.table("pages"))
+
     @cached_property
     def page_files(self) -> DataFrame:
         """Pages as files: path below the host, html as text."""
         host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
         path = F.regexp_extract("url", "^https?://[^/?#]+/([^?#]*)", 1)
-        return self.table("pages").select(
+        return self.pages.select(
             "page_id", host.alias("repo_id"), F.concat(F.lit("src/"), path).alias("file_path"), F.col("html").alias("source"))
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @cached_property
     def vectors(self) -> DataFrame:
