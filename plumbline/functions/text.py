@@ -112,4 +112,4 @@ def normalized_code(source) -> Column:
 
 def tokens(source) -> Column:
     """Lower-case word tokens in order."""
-    return F.filter(F.split(F.lower(col(source)), "[^a-z0-9_]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(col(source)), F.lit("[a-z0-9_]+"), F.lit(0))
