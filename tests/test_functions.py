@@ -1,7 +1,6 @@
 """Hand-worked values of the scalar functions."""
 
 import hashlib
-import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,10 +58,10 @@ def test_text_readings(one):
 
 def test_smells_and_risk(one):
     body = 'const password = "demo"; // TODO mock'
-    flags = one(text.smells("s", "n"), s=body, n="calculateOutstandingBalanceWithFallback")
+    flags = one(text.smells("s", "n"), s=body, n="loadEveryOpenOrderAgain")
     assert flags == {"dummy_data": 1, "hardcoded_secrets": 1, "over_abstracted_name": 1, "todo_markers": 1}
     assert one(text.smells("s", "n"), s="attest todos", n="aB_cD")["dummy_data"] == 0
-    assert one(text.smells("s", "n"), s="", n="StripeAdapter")["over_abstracted_name"] == 0
+    assert one(text.smells("s", "n"), s="", n="PayClient")["over_abstracted_name"] == 0
     risk = scores.ai_risk({k: F.lit(v) for k, v in dict(
         cyclomatic=2, nesting=1, dummy_data=1, hardcoded_secrets=1, over_abstracted_name=0, todo_markers=0).items()})
     assert one(risk) == 53
@@ -72,8 +71,10 @@ def test_digests(one):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert one(digests.tokens_hash("s"), s="Foo-bar  BAZ foo") == sha("bar|baz|foo|foo")
     assert one(text.normalized_code("s"), s='let a = 12; // x\nconst u = "http://h/1";') == 'let a = 0; const u = "http:'
-    assert one(digests.stable_id("s"), s="src/infra/stripe_adapter.py:StripeAdapter:1") == "33642439-a219-4afe-6a9e-67478ed15085"
-    assert one(digests.refactor_id("r", "t", "g"), r="demo-repo", t="EXTRACT_MODULE", g="domain") == "rfx_07de64fb8f4c52"
+    h = sha("src/pay/client.py:Client:1")
+    assert one(digests.stable_id("s"), s="src/pay/client.py:Client:1") == f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
+    made = hashlib.sha1(b"shop:EXTRACT_MODULE:core").hexdigest()[:14]
+    assert one(digests.refactor_id("r", "t", "g"), r="shop", t="EXTRACT_MODULE", g="core") == "rfx_" + made
     assert one(digests.timestamp_text(F.lit("2024-01-01 00:00:07.500").cast("timestamp"))) == "2024-01-01 00:00:07.5+00"
     assert one(digests.timestamp_text(F.lit("2024-01-01 10:00:00").cast("timestamp"))) == "2024-01-01 10:00:00+00"
 
@@ -123,7 +124,7 @@ def test_bands(one):
      ["placeholder x1", "example x1", "mutable image tag latest", "local/example endpoint"], "LOCAL_ENDPOINT"),
     ("dockerfile", "FROM node:latest\n\nUSER root\nRUN curl -fsSL https://x/example | sh\n",
      ["example x1", "base image latest", "container runs as root", "pipe-to-shell install"], "CONTAINER_RISK"),
-    ("xml", "<layout><!-- TODO placeholder -->\n<mock-panel name=\"demo-placeholder\"/></layout>",
+    ("xml", "<page><!-- TODO placeholder -->\n<mock-box id=\"test-placeholder\"/></page>",
      ["placeholder x2", "todo x1", "mock x1", "placeholder xml nodes"], "PLACEHOLDER_CONTENT"),
     ("markdown", "# Notes\nnothing here", [], None),
     ("go", "TODO example", [], None),
