@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, language, shards
+from . import bitslice, bpe, chat, language, shards
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_bit_sliced_topk(spark, folder):
+    return bitslice.neighbours(table(spark, folder, "embeddings"))
+
+
 def op2_language_id(spark, folder):
     return language.identify(table(spark, folder, "documents"))
 
@@ -26,5 +30,5 @@ def op7_stratified_shards(spark, folder):
     return shards.sharding(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_chat_format, op5_byte_bpe, op7_stratified_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bit_sliced_topk, op2_language_id, op3_chat_format, op5_byte_bpe, op7_stratified_shards)}
+ORACLES = {"op1_bit_sliced_topk": bitslice.ORACLE}
