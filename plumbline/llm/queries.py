@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitslice, bpe, chat, language, shards
+from . import bitslice, bpe, chat, decontaminate, language, licenses, quality, shards
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,13 +22,26 @@ def op3_chat_format(spark, folder):
     return chat.digests(table(spark, folder, "conversations"))
 
 
+def op4_license_scan(spark, folder):
+    return licenses.matches(table(spark, folder, "documents"))
+
+
 def op5_byte_bpe(spark, folder):
     return bpe.digests(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_site_quality(spark, folder):
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_stratified_shards(spark, folder):
     return shards.sharding(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_sliced_topk, op2_language_id, op3_chat_format, op5_byte_bpe, op7_stratified_shards)}
+def op9_decontamination(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bit_sliced_topk, op2_language_id, op3_chat_format, op4_license_scan, op5_byte_bpe, op6_site_quality, op7_stratified_shards,
+                                 op9_decontamination)}
 ORACLES = {"op1_bit_sliced_topk": bitslice.ORACLE}
