@@ -4,14 +4,15 @@ The index holds, for every word, the items that have it and what the word adds
 to the item's BM25 score, as a share of the item's score against itself; so a
 passage's score for an item is the share of the item's weight it covers (words
 counted once).  Postings are in blocks of items, and every word keeps its
-largest share in each block.
+largest share in each block, and in each of at most 64 runs of blocks.
 
-Every passage of every text is a query: windows of ``width`` words that start
-every ``width / 2`` words, with ``width`` twice the longest item of the index,
-so that any run as long as an item lies whole in a window.  All items above the
-threshold are found: a passage whose words' largest shares add up to less
-cannot reach it (the bound that WAND places its pivot by), nor can a block
-whose block maxima do; only the remaining blocks are scored.
+Every passage of every text is a query: windows of two stretches, a stretch
+having as many words as the longest item, so that any run as long as an item
+lies whole in a window.  All items above the threshold are found: a window
+whose words' largest shares within a run of blocks add up to less cannot reach
+it there (the bound that WAND skips by), nor can a block whose block maxima do;
+only the remaining blocks are scored.  The bounds of the runs are added up for
+all windows of many texts at once.
 
 What is found is verified on the words themselves: the question's word
 trigrams, and the words of the answer in order, must be in the passage.  The
@@ -40,10 +41,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, steps
 
 WORD = re.compile(r"\w+")
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 QUESTION_OVERLAP = 0.6
 ANSWER_OVERLAP = 0.6
-BLOCK = 16
+BLOCK = 4
+RUNS = 64
 SHARD_ITEMS, SHARD_CHARS = 50_000, 32 << 20
 K1, B = 1.2, 0.75
 
@@ -90,7 +92,7 @@ class Index:
                 self.texts.append((found, *parts(text)))
                 bags.append(Counter(found))
         self.term = {w: i for i, w in enumerate(sorted(set().union(*bags)))} if bags else {}
-        self.width = 2 * max((len(t[0]) for t in self.texts), default=1)
+        self.stretch = max((len(t[0]) for t in self.texts), default=1)
         postings: list[list] = [[] for _ in self.term]
         for number, bag in enumerate(bags):
             length = sum(bag.values())
@@ -104,17 +106,22 @@ class Index:
                 postings[self.term[word]].append((number, weight / total))
         self.items = [np.array([p[0] for p in post], np.int64) for post in postings]
         self.shares = [np.array([p[1] for p in post]) for post in postings]
-        self.largest = np.array([s.max() for s in self.shares] + [0.0])  # the last is of words in no item
         self.blocks = -(-len(bags) // BLOCK)
         self.block_largest = np.zeros((len(self.term), max(self.blocks, 1)))
         for term, (numbers, shares) in enumerate(zip(self.items, self.shares)):
             np.maximum.at(self.block_largest[term], numbers // BLOCK, shares)
 
-    def found(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Items whose share covered by these distinct terms reaches the threshold."""
-        if self.largest[terms].sum() < threshold:
-            return []
-        alive = self.block_largest[terms].sum(axis=0) >= threshold
+        per_run = -(-max(self.blocks, 1) // RUNS)
+        starts = np.arange(0, max(self.blocks, 1), per_run)
+        self.run_largest = np.maximum.reduceat(self.block_largest, starts, axis=1).T.copy() if self.term else np.zeros((1, 0))
+        self.run_blocks = [slice(x, x + per_run) for x in starts.tolist()]
+
+    def found(self, terms: np.ndarray, runs: list[int], threshold: float) -> list[tuple[int, float]]:
+        """Items in some runs of blocks whose share covered by these distinct terms reaches the threshold."""
+        alive = np.zeros(self.blocks, bool)
+        for run in runs:
+            here = self.run_blocks[run]
+            alive[here] = self.block_largest[terms, here].sum(axis=0) >= threshold
         if not alive.any():
             return []
         scores = np.zeros(self.blocks * BLOCK)
@@ -125,26 +132,47 @@ class Index:
         best = np.flatnonzero(scores >= threshold)
         return list(zip(best.tolist(), scores[best].tolist()))
 
-    def scan(self, text: str, threshold: float, question: float, answer: float) -> dict[int, tuple]:
-        """item number -> (score, question overlap, answer overlap, first word) of the best verified passage."""
-        passage = words(text)
-        terms = np.fromiter((self.term.get(w, -1) for w in passage), np.int64, len(passage))
-        stride = max(1, self.width // 2)
-        out: dict[int, tuple] = {}
-        starts = np.arange(0, max(1, len(passage) - stride), stride)
-        sums = np.concatenate([[0.0], np.cumsum(self.largest[terms])])
-        ends = np.minimum(starts + self.width, len(passage))
-        # repeated words count more than once here, so this bound is never too small
-        for start, end in zip(*(x[sums[ends] - sums[starts] >= threshold - 1e-9].tolist() for x in (starts, ends))):
-            here = np.unique(terms[start:end])
-            for number, score in self.found(here[here >= 0], threshold):
-                part = passage[start:end]
+    def candidates(self, texts: list[list[str]], threshold: float):
+        """(text number, first word, runs of blocks, distinct terms) of the windows that may reach the threshold."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        stretches = -(-lengths // self.stretch)
+        first = np.concatenate([[0], np.cumsum(stretches)])
+        get = self.term.get
+        terms = np.array([get(w, -1) for t in texts for w in t], np.int64)
+        of = np.repeat(np.arange(len(texts)), lengths)
+        at = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        known = terms >= 0
+        pairs = np.unique((first[of[known]] + at[known] // self.stretch) * max(len(self.term), 1) + terms[known])
+        where, terms = pairs // max(len(self.term), 1), pairs % max(len(self.term), 1)
+        bounds = np.stack([np.bincount(where, largest[terms], first[-1]) for largest in self.run_largest], axis=1)
+        # a window is a stretch and the next; a word in both counts once
+        both = pairs[np.isin(pairs + max(len(self.term), 1), pairs, assume_unique=True)]
+        shared, again = both // max(len(self.term), 1), both % max(len(self.term), 1)
+        twice = np.stack([np.bincount(shared, largest[again], first[-1]) for largest in self.run_largest], axis=1)
+        text_of = np.repeat(np.arange(len(texts)), stretches)
+        next_ = np.zeros_like(bounds)
+        next_[:-1] = np.where((text_of[1:] == text_of[:-1])[:, None], bounds[1:] - twice[:-1], 0)
+        windows, runs = np.nonzero(bounds + next_ >= threshold - 1e-9)
+        for window in np.unique(windows).tolist():
+            text = int(text_of[window])
+            end = window + 2 if window + 1 < first[text + 1] else window + 1
+            here = np.unique(terms[np.searchsorted(where, window):np.searchsorted(where, end)])
+            yield text, (window - int(first[text])) * self.stretch, runs[windows == window].tolist(), here
+
+    def scan(self, texts: list[list[str]], threshold: float, question: float, answer: float) -> dict[tuple, tuple]:
+        """(text number, item number) -> (score, question overlap, answer overlap, first word) of the best verified window."""
+        out: dict[tuple, tuple] = {}
+        if not self.term or not any(texts):
+            return out
+        for text, start, runs, terms in self.candidates(texts, threshold):
+            for number, score in self.found(terms, runs, threshold):
+                part = texts[text][start:start + 2 * self.stretch]
                 _, asked, answered = self.texts[number]
                 wanted = trigrams(asked)
                 has = trigrams(part) if len(asked) > 2 else {tuple(part[i:i + len(asked)]) for i in range(len(part))}
                 overlap, rest = len(wanted & has) / len(wanted), in_order(answered, part)
-                if overlap >= question and rest >= answer and (number not in out or (overlap, rest) > out[number][1:3]):
-                    out[number] = (score, overlap, rest, start)
+                if overlap >= question and rest >= answer and ((text, number) not in out or (overlap, rest) > out[text, number][1:3]):
+                    out[text, number] = (score, overlap, rest, start)
         return out
 
 
@@ -177,11 +205,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, quest
 
         def run(batches):
             index = Index(*shared.value)
-            for batch in steps(batches):
-                rows = []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for number, row in index.scan(text.as_py() or "", threshold, question, answer).items():
-                        rows.append((key, index.ids[number], *row))
+            for batch in steps(batches, 1 << 20):
+                keys, texts = batch.column(0), [words(text) for text in batch.column(1).to_pylist()]
+                found = index.scan(texts, threshold, question, answer)
+                rows = [(keys[text].as_py(), index.ids[number], *row) for (text, number), row in found.items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
