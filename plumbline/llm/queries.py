@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitslice, bpe, chat, decontaminate, language, licenses, quality, shards
+from . import bagminhash, bitslice, bpe, chat, decontaminate, language, licenses, quality, shards
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,10 +38,14 @@ def op7_stratified_shards(spark, folder):
     return shards.sharding(table(spark, folder, "documents"))
 
 
+def op8_bagminhash_near_dedup(spark, folder):
+    return bagminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_decontamination(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bit_sliced_topk, op2_language_id, op3_chat_format, op4_license_scan, op5_byte_bpe, op6_site_quality, op7_stratified_shards,
-                                 op9_decontamination)}
+                                 op8_bagminhash_near_dedup, op9_decontamination)}
 ORACLES = {"op1_bit_sliced_topk": bitslice.ORACLE}
