@@ -32,13 +32,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, steps
+from .common import add_columns, free_name, small_batches, steps
 
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.6
@@ -176,33 +178,40 @@ class Index:
         return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP,
-          answer: float = ANSWER_OVERLAP, shard_items: int = SHARD_ITEMS, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap and first_word of every leaked item."""
-    spark = docs.sparkSession
-    small_batches(spark)
+@lru_cache(maxsize=1)
+def built(shared) -> Index:
+    """The index of a broadcast shard, built once per worker."""
+    return Index(*shared.value)
+
+
+def _shards(items: DataFrame, shard_items: int, shard_chars: int):
+    """Broadcast index shards of bounded size, with statistics over all items."""
+    spark = items.sparkSession
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     found = F.array_remove(F.split(F.lower("text"), r"(?U)[^\w]+"), "")
     tokens = items.select("item_id", found.alias("w"))
     facts = tokens.where(F.size("w") > 0).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
     frequency = tokens.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
-                        ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
-    kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
-    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest")).first()
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     shards = max(1, -(-size["n"] // shard_items), -(-(size["chars"] or 0) // max(1, shard_chars // 2)))
-
-    def one(shard: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item_id", F.lit(9)), F.lit(shards)) == shard).collect()
+    for shard in range(shards):
+        own = items.where(F.pmod(F.xxhash64("item_id", F.lit(9)), F.lit(shards)) == shard).collect()  # bounded by the two limits
         used = sorted({w for r in own for w in words(r["text"])})
-        if shards == 1:
-            counts = {r["w"]: r["df"] for r in frequency.collect()}
-        else:
-            wanted = spark.createDataFrame([(w,) for w in used] or [("",)], "w string")
-            counts = {r["w"]: r["df"] for r in frequency.join(wanted, "w").collect()}
+        wanted = spark.createDataFrame([(w,) for w in used] or [("",)], "w string")
+        counts = {r["w"]: r["df"] for r in frequency.join(wanted, "w").collect()}
         counts = {w: counts.get(w, 1) for w in used}
-        shared = spark.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in own], counts, facts["n"] or 1, facts["mean"] or 1.0))
+        yield spark.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in own], counts, facts["n"] or 1, facts["mean"] or 1.0))
+
 
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP,
+          answer: float = ANSWER_OVERLAP, shard_items: int = SHARD_ITEMS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap and first_word of every leaked item."""
+    small_batches(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
+                        ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
+    kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+
+    def one(shared) -> DataFrame:
         def run(batches):
             index = Index(*shared.value)
             for batch in steps(batches, 1 << 20):
@@ -214,13 +223,20 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, quest
 
         return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
-    out = one(0)
-    for shard in range(1, shards):
-        out = out.unionByName(one(shard))
-    return out
+    return reduce(DataFrame.unionByName, [one(shared) for shared in _shards(items, shard_items, shard_chars)])
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP,
+          answer: float = ANSWER_OVERLAP) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    bad = leaks(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    out, flag = docs, free_name(docs, "leaked")
+    for shared in _shards(items, SHARD_ITEMS, SHARD_CHARS):
+        at = docs.columns.index("text")
+
+        def fill(part, shared=shared):
+            found = built(shared).scan([words(t) for t in part.column(at).to_pylist()], threshold, question, answer)
+            leaked = {text for text, _ in found}
+            return [pa.array([i in leaked for i in range(part.num_rows)], pa.bool_())]
+
+        out = add_columns(out, [T.StructField(flag, T.BooleanType(), False)], fill).where(~F.col(flag)).drop(flag)
+    return out.select(*docs.columns)

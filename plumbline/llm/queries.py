@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bagminhash, bitslice, bpe, chat, decontaminate, language, licenses, quality, shards
+import corpus_pipeline
+
+from . import bagminhash, bitslice, bpe, chat, decontaminate, language, licenses, quality, shards, suffix
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +48,11 @@ def op9_decontamination(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_suffix_dedup(spark, folder):
+    return suffix.removal(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bit_sliced_topk, op2_language_id, op3_chat_format, op4_license_scan, op5_byte_bpe, op6_site_quality, op7_stratified_shards,
-                                 op8_bagminhash_near_dedup, op9_decontamination)}
+                                 op8_bagminhash_near_dedup, op9_decontamination, op10_suffix_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op1_bit_sliced_topk": bitslice.ORACLE}
