@@ -196,16 +196,17 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def compared(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components that agree in enough registers; members are (bucket, i, j, side, node, comp, sig).
+    """Pairs of different components that agree in enough registers; members are (bucket, i, j, side, node, comp, sig, band).
 
     A group (bucket, i, j) holds the chunks i and j of a bucket; pairs within
     a chunk are its own group's.  The nodes that are not in the group's
-    largest component are compared with all.
+    largest component are compared with all.  A pair that shares several
+    buckets is given in that of its first common band only.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(rows):
-        node, comp, side, sig = (np.concatenate(x) for x in zip(*rows))
+        node, comp, side, band, sig = (np.concatenate(x) for x in zip(*rows))
         names, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
@@ -215,7 +216,10 @@ def compared(members: DataFrame, least: float) -> DataFrame:
             other = (comp != comp[x]) & ((which == sizes.argmax()) | (np.arange(len(node)) > x)) & (same >= least * REGISTERS)
             if len(np.unique(side)) > 1:
                 other &= side != side[x]
-            yield from ((min(node[x], node[y]), max(node[x], node[y])) for y in np.flatnonzero(other).tolist())
+            found = np.flatnonzero(other)
+            common = (sig[found] == sig[x]).reshape(len(found), BANDS, ROWS).all(axis=2)
+            for y in found[common.argmax(axis=1) == band[x]].tolist():
+                yield min(node[x], node[y]), max(node[x], node[y])
 
     def run(batches):
         held, here = [], None
@@ -227,7 +231,7 @@ def compared(members: DataFrame, least: float) -> DataFrame:
 
         for part in steps(batches):
             group = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)], axis=1)
-            rows = [part.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 3)]
+            rows = [part.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 3, 7)]
             sig = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint16).reshape(part.num_rows, -1)
             cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(group)]]).tolist()
             for start, end in zip(cuts, cuts[1:]):
@@ -250,7 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                                 F.coalesce("r.t", "t").alias("t"), "sig"), "nodes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    buckets = nodes.where(F.col("sig").isNotNull()).select("node", F.explode(bands).alias("bucket"))
+    buckets = nodes.where(F.col("sig").isNotNull()).select("node", F.posexplode(bands).alias("band", "bucket"))
     buckets = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")
     buckets = stored(buckets, "buckets")
     order = F.struct(F.xxhash64("bucket", "node").alias("h"), "node")
@@ -267,12 +271,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     edges = stored(verified(star, texts, least), "links")
     roots = components(edges)
-    known = stored(buckets.join(roots, "node", "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("comp")), "known")
+    known = stored(buckets.join(roots, "node", "left").select("bucket", "band", "size", "node", F.coalesce("root", "node").alias("comp")), "known")
     open_ = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     rest = known.join(open_, "bucket").join(nodes.select("node", "sig"), "node")
     chunks = F.ceil(F.col("size") / CHUNK)
     rest = rest.withColumn("side", F.pmod(F.xxhash64("node"), chunks)).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1).cast("array<bigint>")))
-    rest = rest.select("bucket", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "comp", "sig")
+    rest = rest.select("bucket", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "comp", "sig", "band")
     margin = least - 3 * math.sqrt(least * (1 - least) / REGISTERS)
     more = compared(rest, margin).distinct().join(star, ["a", "b"], "left_anti")
     edges = edges.unionByName(stored(verified(stored(more, "more"), texts, least), "links"))

@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from .common import add_columns, small_batches, steps
 
 UNKNOWN = "und"
+#: Stands for a blank in a packed n-gram; no letter, and not 0, so that packed n-grams of different lengths differ.
+BLANK = 1
 LENGTH = 400
 #: Characters counted at once; counts of the chunks are added.
 CHUNK = 1 << 20
@@ -45,19 +47,19 @@ def letters() -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, every run of other characters one 0, a 0 at both ends."""
+    """Code points of the lower-cased text, every run of other characters one BLANK, and one at both ends."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    codes[~letters()[codes]] = 0
-    codes = np.concatenate([[0], codes, [0]])
-    return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+    codes[~letters()[codes]] = BLANK
+    codes = np.concatenate([[BLANK], codes, [BLANK]])
+    return codes[np.concatenate([[True], (codes[1:] != BLANK) | (codes[:-1] != BLANK)])]
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
     """Packed n-grams that start at any position: 21 bits a character; words are not crossed."""
-    one = codes[codes != 0]
+    one = codes[codes != BLANK]
     two = (codes[:-1] << 21) | codes[1:]
     three = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-    return np.concatenate([one, two, three[codes[1:-1] != 0]])
+    return np.concatenate([one, two, three[codes[1:-1] != BLANK]])
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +72,8 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
         grams = _grams(part)
         if not last:  # n-grams that start in the shared characters belong to the next chunk
             shared = part[-2:]
-            extra = np.concatenate([shared[shared != 0], [(shared[0] << 21) | shared[1]]])
+            extra = np.concatenate([shared[shared != BLANK], [(shared[0] << 21) | shared[1]]])
             values, counts = np.unique(grams, return_counts=True)
-            counts[np.searchsorted(values, extra[: len(extra)])] -= 0
             np.subtract.at(counts, np.searchsorted(values, extra), 1)
             found.append((values, counts))
         else:
