@@ -5,10 +5,10 @@ has the fractional rank (r - 1/2) / n.  Sorted by fractional rank, any run of
 consecutive rows has every source in proportion, so cutting the order into
 equal runs gives shards that match the mixture, to within one row per source.
 
-Neither rank is taken in one task: the hash space of a source, and then the
-fractional ranks, are cut into buckets of about ``bucket_rows`` rows, rows are
-numbered within a bucket, and the counts of the buckets before it are added.
-A source with a third of all rows is as many buckets as it needs.
+Neither rank is taken in one task: the hash space of every source, and then the
+fractional ranks, are cut into so many buckets that one of all rows would hold
+``bucket_rows``; rows are numbered within a bucket, and the counts of the
+buckets before it are added.  No shuffle is by source alone.
 
 Defined cases: a null source is a source; a null text counts no bytes and has
 the checksum 0; equal rows share the hash and take neighbouring ranks in any
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 
 def _numbered(df: DataFrame, keys: list[str], bucket: str, order: list, out: str) -> DataFrame:
-    """Rows numbered from 1 by ``order`` within ``keys``; buckets follow that order and are sorted one by one."""
+    """Rows numbered from 1 by ``order`` within ``keys``, and how many ``keys`` has; buckets follow that order and are sorted one by one."""
     counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    sums = counts.select(*keys, bucket, F.coalesce(before, F.lit(0)).alias("_before"))
+    sums = counts.select(*keys, bucket, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_rows"))
     own = df.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
     joined = own.join(sums, [*keys, bucket])
-    return joined.withColumn(out, F.col("_own") + F.col("_before")).select(*df.columns, out)
+    return joined.withColumn(out, F.col("_own") + F.col("_before")).select(*df.columns, out, "_rows")
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_rows: int = 50_000,
@@ -42,15 +42,13 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_rows: in
     mixed = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
     rows = rows.withColumn("_u", F.shiftrightunsigned(mixed, 11) / F.lit(float(1 << 53)))
 
-    sizes = rows.groupBy("_source").agg(F.count("*").alias("_rows"))
-    rows = rows.join(sizes, "_source")
-    rows = rows.withColumn("_bucket", F.floor(F.col("_u") * F.ceil(F.col("_rows") / F.lit(bucket_rows))))
-    rows = _numbered(rows, ["_source"], "_bucket", ["_u", "doc_id", "text_crc32", "size"], "_rank")
-
     total = docs.count()
     buckets = max(1, -(-total // bucket_rows))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_u") * buckets))
+    rows = _numbered(rows, ["_source"], "_bucket", ["_u", "doc_id", "text_crc32", "size"], "_rank")
+
     place = (2 * F.col("_rank") - 1) / (2 * F.col("_rows"))
-    rows = rows.withColumn("_place", place).withColumn("_slice", F.floor(F.col("_place") * buckets)).withColumn("_all", F.lit(0))
+    rows = rows.withColumn("_place", place).withColumn("_slice", F.floor(F.col("_place") * buckets)).drop("_rows").withColumn("_all", F.lit(0))
     rows = _numbered(rows, ["_all"], "_slice", ["_place", F.xxhash64(F.lit(seed), "_source"), "_source"], "_position")
 
     rows = rows.withColumn("_at", F.col("_position") - 1)  # shard k holds the positions from ceil(k n / shards)

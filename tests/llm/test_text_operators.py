@@ -126,6 +126,7 @@ def test_license_passages(spark, none, odd):
     for _ in range(30):  # against all passages
         text = [rng.choice(vocabulary) for _ in range(20)]
         text[5:11] = rng.choice([t for _, t in licenses.TEMPLATES if len(t) < 50]).lower().replace(".", " ").replace(",", "").split()[:6]
+        text = licenses.words(" ".join(text))
         pairs = list(zip(text, text[1:]))
         for number, (name, grams, size, *_) in enumerate(scanner.templates):
             best = max((2 * sum((Counter(pairs[i:j]) & grams).values()) / (j - i + size) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1)), default=0)
