@@ -103,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
             continue
         yes, no = (F.col(kind) + 0.5) / (k + 1), (F.col("n") - F.col(kind) + 0.5) / (n - k + 1)
         ratio = F.log(yes / no)
-        strength = F.abs(ratio) / F.sqrt(1 / (F.col(kind) + 0.5) + 1 / (F.col("n") - F.col(kind) + 0.5))
+        share = F.col("n") / n  # how far the two classes' shares are apart, in standard errors
+        apart = F.abs(F.col(kind) / k - (F.col("n") - F.col(kind)) / (n - k))
+        strength = F.when(share >= 1, 0.0).otherwise(apart / F.sqrt(share * (1 - share) * (1 / k + 1 / (n - k))))
         best = counts.where(F.col("feature") != "").select("feature", ratio.alias("ratio"), strength.alias("strength"))
         best = best.where((F.col("strength") >= 5) & ((F.col("ratio") > 0) | F.lit(kind == "good")))  # nothing speaks against toxicity
         best = best.orderBy(F.desc("strength"), "feature").limit(most)
