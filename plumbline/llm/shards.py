@@ -3,7 +3,8 @@
 Within each source, rows are shuffled by a seeded hash and ranked; row r of n
 has the fractional rank (r - 1/2) / n.  Sorted by fractional rank, any run of
 consecutive rows has every source in proportion, so cutting the order into
-equal runs gives shards that match the mixture, to within one row per source.
+equal runs gives shards that match the mixture, to within one row per source of
+what the run's range of fractional ranks holds.
 
 Neither rank is taken in one task: the hash space of every source, and then the
 fractional ranks, are cut into so many buckets that one of all rows would hold
