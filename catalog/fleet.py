@@ -233,5 +233,5 @@ def recent_commits(w):
   SELECT c.repo_id, c.sha, c.author, count(*) AS alert_count, count(*) FILTER (a.severity = 'error') AS error_count
   FROM c JOIN alerts a ON a.repo_id = c.repo_id AND a.sha = c.sha GROUP BY ALL"""))
 def commit_alerts(w):
-    commits = w.commits.withColumn("sha", F.concat(F.lit("c"), F.substring("sha", 2, 100)))
+    commits = w.commits.withColumn("sha", F.concat(F.lit("c"), F.substring("sha", F.lit(2), F.length("sha"))))
     return fleet.commit_alerts(commits, w.alerts).select("repo_id", "sha", "author", "alert_count", "error_count")

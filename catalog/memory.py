@@ -160,7 +160,7 @@ def similar_repos(w):
   SELECT repo_id, array_to_string(list(t ORDER BY o, place)[1:3], '|') AS drivers FROM p GROUP BY repo_id"""))
 def repo_feature_drivers(w):
     rows = similarity.repo_rows(w.repos, w.metrics, w.alerts, w.incidents, w.as_of)
-    out = similarity.similar_repos(rows, "repo-3", limit=1_000_000)
+    out = similarity.similar_repos(rows, "repo-3", limit=None)
     return out.select("repo_id", F.array_join("drivers", "|").alias("drivers"))
 
 

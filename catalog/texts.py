@@ -156,7 +156,7 @@ def graph_edge_counts(w):
   WHERE href NOT LIKE '.%'"""))
 def page_imports(w):
     """Links of every page as import targets; relative ones are checked by the layer query."""
-    links = F.transform(F.regexp_extract_all("source", F.lit('href="([^"]+)"'), F.lit(1)), lambda h: F.substring(h, 2, 1 << 20))
+    links = F.transform(F.regexp_extract_all("source", F.lit('href="([^"]+)"'), F.lit(1)), lambda h: F.substring(h, F.lit(2), F.length(h)))
     files = w.page_files.select("repo_id", "file_path", F.filter(links, lambda h: ~h.startswith(".")).alias("imports"))
     return graph.import_edges(files)
 

@@ -196,7 +196,7 @@ def container_path(host_path, host_prefix: str | None, container_prefix: str | N
         return F.lit(None).cast("string")
     host, cont = host_prefix.replace("\\", "/").rstrip("/"), container_prefix.replace("\\", "/").rstrip("/")
     p = trimmed_path(host_path)
-    suffix = F.regexp_replace(F.substring(p, len(host) + 1, 1 << 30), "^/+", "")
+    suffix = F.regexp_replace(F.substring(p, F.lit(len(host) + 1), F.length(p)), "^/+", "")
     inside = (p == host) | p.startswith(host + "/")
     return F.when(inside, F.when(suffix == "", F.lit(cont)).otherwise(F.concat(F.lit(cont + "/"), suffix)))
 

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """Latest row per key; a change beats the stored row, later changes beat earlier ones."""
+    """The table with its changed rows replaced; later changes beat earlier ones.
+
+    The table holds one row per key.  Only the changes are reduced; where they
+    are small, Spark sends their keys to the table, which is then not shuffled.
+    """
     cols = base.columns
-    stacked = base.select(*cols, F.lit(0).alias("_src")).unionByName(changes.select(*cols, F.lit(1).alias("_src")))
     rest = [c for c in cols if c not in keys]
-    order = F.struct(F.col("_src"), *[F.col(v).alias(f"_v{i}") for i, v in enumerate(version)])
-    merged = stacked.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return merged.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in cols])
+    order = F.struct(*[F.col(v).alias(f"_v{i}") for i, v in enumerate(version)])
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    last = last.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in cols])
+    changed = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return base.join(changed, same, "left_anti").unionByName(last)
 
 
 def insert_absent(base: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

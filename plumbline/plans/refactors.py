@@ -76,6 +76,12 @@ def _few(values: Column, n: int) -> Column:
     return F.slice(F.array_distinct(ordered), 1, n)
 
 
+def _few_of_lists(lists: Column, n: int) -> Column:
+    """The first distinct values of all lists, the lists by age; ranked rows arrive as (age, list)."""
+    ordered = F.flatten(F.transform(F.array_sort(F.filter(lists, lambda v: v["v"].isNotNull())), lambda v: v["v"]))
+    return F.slice(F.array_distinct(F.filter(ordered, lambda v: v.isNotNull())), 1, n)
+
+
 def _listed(value: Column) -> Column:
     # at most the 200 newest alerts of a repository reach any of these lists
     return F.collect_list(F.struct(F.col("age").alias("a"), value.alias("v")))
@@ -144,7 +150,7 @@ def module_extractions(alerts: DataFrame, metrics: DataFrame, state: DataFrame)
         F.count_if(kind == "SEMANTIC_DUPLICATION").alias("d"), F.count_if(kind == "ARCH_VIOLATION").alias("b"),
         F.count_if(kind.isin("ARCH_EMBED_DRIFT", "ARCH_PRESSURE")).alias("r"),
         _few(_listed(F.when(kind == "SEMANTIC_DUPLICATION", F.col("evidence.symbolId"))), 6).alias("symbols"),
-        _few(_listed(F.when(kind == "ARCH_VIOLATION", F.get(F.col("evidence.graphEdgesAdded"), F.lit(0)))), 4).alias("edges"),
+        _few_of_lists(_listed(F.when(kind == "ARCH_VIOLATION", F.col("evidence.graphEdgesAdded"))), 4).alias("edges"),
         F.slice(F.transform(F.array_sort(_listed(F.col("sha"))), lambda v: v["v"]), 1, 5).alias("alert_shas"))
     p, e = F.coalesce("pressure_index", F.lit(0.0)), F.coalesce("entropy_index", F.lit(0.0))
     heavy = component_list(metrics).select("repo_id", F.col("component").alias("module"), p.alias("_p"), e.alias("_e")).filter(

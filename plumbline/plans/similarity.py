@@ -57,8 +57,8 @@ def repo_rows(repos: DataFrame, metrics: DataFrame, alerts: DataFrame, incidents
     return rows.withColumn("pattern", found).withColumn("vector", vectors.feature_vector(vectors.REPO_FEATURES))
 
 
-def similar_repos(rows: DataFrame, repo_id: str, limit: int = 5) -> DataFrame:
-    """Nearest repositories by signature (V5).
+def similar_repos(rows: DataFrame, repo_id: str, limit: int | None = 5) -> DataFrame:
+    """Nearest repositories by signature (V5); all of them if ``limit`` is None.
 
     A repository with a signature finds at least itself, so feature closeness
     decides only when its signature has no direction.  Both scores come from
@@ -74,8 +74,10 @@ def similar_repos(rows: DataFrame, repo_id: str, limit: int = 5) -> DataFrame:
         "drivers", vectors.feature_drivers(features, F.col("_me.f"), own))
     directed = vectors.norm("_me.vector") > 0
     score = F.when(directed, F.col("_cos")).otherwise(F.col("feature_score"))
-    return out.withColumn("score", score).filter(F.col("score").isNotNull()).orderBy(
-        F.desc("score"), "repo_id").limit(limit).withColumn("score", fixed("score", 3)).drop("_me", "_cos")
+    out = out.withColumn("score", score).filter(F.col("score").isNotNull())
+    if limit is not None:
+        out = out.orderBy(F.desc("score"), "repo_id").limit(limit)
+    return out.withColumn("score", fixed("score", 3)).drop("_me", "_cos")
 
 
 def boundary_rows(metrics: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:

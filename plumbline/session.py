@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,9 +17,10 @@ BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 def build_session(app: str = "plumbline", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans are written for.
 
-    Nothing here is specific to a cluster size: shuffle partitions start
-    high and adaptive execution coalesces them, skewed join partitions are
-    split at run time, and broadcasts stay under Spark's own size check.
+    Nothing here is specific to a cluster size: shuffles start with many
+    partitions and adaptive execution coalesces them, skewed join partitions
+    are split at run time, and broadcasts stay under Spark's own size check.
+    The package is sent to the workers.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,7 +37,29 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf) ->
     defaults.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in defaults.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it on their path.
+
+    Spark distributes the archive; nothing reads it from the driver's folder later.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, str(path.relative_to(package.parent)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

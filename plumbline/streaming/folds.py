@@ -29,8 +29,9 @@ Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 class Fold:
     """Runs one fold over a stream inside a shared folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, step: Step, state_ddl: str):
-        self.spark, self.folder, self.step, self.state_ddl = spark, folder.rstrip("/"), step, state_ddl
+    def __init__(self, spark: SparkSession, folder: str, step: Step, state_ddl: str, settled: str = "true"):
+        """``settled`` is a condition on output rows that no later batch repeats."""
+        self.spark, self.folder, self.step, self.state_ddl, self.settled = spark, folder.rstrip("/"), step, state_ddl, settled
 
     def state(self, batch: int) -> DataFrame:
         if batch < 0:
@@ -47,9 +48,14 @@ class Fold:
                 .trigger(**(trigger or {"availableNow": True})).start())
 
     def output(self, ddl: str | None = None) -> DataFrame:
+        """Every row once: those of the last batch, and the settled ones of the batches before."""
         reader = self.spark.read if ddl is None else self.spark.read.schema(ddl)
         try:
-            return reader.parquet(f"{self.folder}/out").drop("batch")
+            rows = reader.parquet(f"{self.folder}/out")
+            if "batch" not in rows.columns or self.settled == "true":
+                return rows.drop("batch")
+            last = rows.agg(F.max("batch")).scalar()
+            return rows.filter((F.col("batch") == last) | F.expr(self.settled)).drop("batch")
         except AnalysisException:  # no batch has run yet
             return self.spark.createDataFrame([], ddl or "none string")
 
@@ -73,7 +79,7 @@ def spaced(keys: list[str], at: str, gap_ms: int, tie: str, forced: str | None =
 
 
 def merged(keys: list[str], version: list[str]) -> Step:
-    """Latest row per key; the output is the merged state itself."""
+    """Latest row per key; the output is the merged state itself, so a fold of it settles no row (``MERGED_SETTLED``)."""
 
     def step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         table = upsert(state, rows, keys, version)
@@ -119,6 +125,7 @@ def module_drift(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFram
     return found, last
 
 
+MERGED_SETTLED, INCIDENT_SETTLED = "false", "closed_at IS NOT NULL"
 INCIDENT_STATE = ("repo_id string, type string, scope string, subject_id string, at timestamp, sha string, severity string, "
                   "title string, weight bigint")
 EDGE_STATE = "repo_id string, module string, file_path string, edge string"

@@ -34,12 +34,24 @@ def test_spaced_stream_equals_batch(spark, tmp_path):
 
 
 def test_fold_replays_a_batch(spark, tmp_path):
-    fold = folds.Fold(spark, str(tmp_path / "fold"), folds.merged(["k"], ["id"]), EVENTS)
+    fold = folds.Fold(spark, str(tmp_path / "fold"), folds.merged(["k"], ["id"]), EVENTS, folds.MERGED_SETTLED)
     first, second = (spark.createDataFrame(part, EVENTS) for part in (rows(4, 1), rows(8, 1)[4:]))
     fold.advance(first, 0)
     fold.advance(second, 1)
     fold.advance(second, 1)
     assert {x["k"]: x["id"] for x in fold.state(1).collect()} == {"k0": 6, "k1": 7}
+    assert sorted((x["k"], x["id"]) for x in fold.output().collect()) == [("k0", 6), ("k1", 7)]
+
+
+def test_incident_output_has_each_incident_once(spark, tmp_path):
+    ddl = ("kind string, repo_id string, type string, scope string, subject_id string, at timestamp, sha string, severity string, title string, "
+           "value double, clear_threshold double, baseline_mean double, baseline_stddev double")
+    data = [("alert" if c == "A" else "recovery", "r", "ENTROPY_DRIFT", "module", "m", T0 + dt.timedelta(hours=i), f"s{i:02d}", "warn", f"t{i}", 1.0, 2.0, 1.0, 0.0)
+            for i, c in enumerate("AARAAARAA")]
+    fold = folds.Fold(spark, str(tmp_path / "fold"), folds.incident_fold, folds.INCIDENT_STATE, folds.INCIDENT_SETTLED)
+    for batch in range(3):
+        fold.advance(spark.createDataFrame(data[batch * 3:batch * 3 + 3], ddl), batch)
+    assert sorted(x["alert_count"] for x in fold.output().collect()) == [2, 2, 3]
 
 
 def test_file_edges_stream(spark):
