@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import small_batches, steps, stored
+from .common import discard, small_batches, steps, stored
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -279,7 +279,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rest = rest.select("bucket", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "comp", "sig", "band")
     margin = least - 3 * math.sqrt(least * (1 - least) / REGISTERS)
     more = compared(rest, margin).distinct().join(star, ["a", "b"], "left_anti")
-    edges = edges.unionByName(stored(verified(stored(more, "more"), texts, least), "links"))
+    more = stored(more, "more")
+    edges = edges.unionByName(stored(verified(more, texts, least), "links"))
+    discard(buckets, star, texts, known, more)  # what follows reads the links only
 
     named = nodes.select("node", "fa", "fb", "n", "rep").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))

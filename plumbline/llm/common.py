@@ -79,4 +79,20 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.partitionBy(*partitions).parquet(path)
     schema = T.StructType([f for f in df.schema if f.name not in partitions] + [f for f in df.schema if f.name in partitions])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+#: Where stored frames lie, until they are discarded.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that no plan reads any more."""
+    for frame in frames:
+        held, path = _PATHS.pop(id(frame), (None, None))
+        if held is frame:
+            jvm = frame.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, steps, stored
+from .common import discard, small_batches, steps, stored
 
 LENGTH, GRAM = 200, 32
 BATCHES = 4
@@ -144,10 +144,11 @@ class Family:
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
+        self.written: list[DataFrame] = []
 
-    @staticmethod
-    def _written(counts: DataFrame) -> DataFrame:
-        return stored(counts.sortWithinPartitions("gram"), "level")
+    def _written(self, counts: DataFrame) -> DataFrame:
+        self.written.append(stored(counts.sortWithinPartitions("gram"), "level"))
+        return self.written[-1]
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
         """Take in a batch of suffixes; (gram) frames of prefixes that it repeats, in itself or in a level."""
@@ -162,9 +163,9 @@ class Family:
         return found
 
 
-def repeated_prefixes(entries: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_prefixes(entries: DataFrame, family: Family, batches: int = BATCHES) -> DataFrame:
     """(gram) of all prefixes that occur more than once; ``entries`` are split into batches by a column ``batch``."""
-    family, found = Family(), []
+    found = []
     for batch in range(batches):
         found += family.add(entries.where(F.col("batch") == batch))
     out = found[0]
@@ -292,7 +293,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     rows = keyed(docs, key, text)
     batch = F.pmod(F.col("t"), F.lit(batches)).cast("int").alias("batch")
     entries = stored(suffixes(rows, length).select("gram", "rid", "t", "loc", batch), "suffixes", "batch")
-    grams_ = repeated_prefixes(entries, batches)
+    family = Family()
+    grams_ = repeated_prefixes(entries, family, batches)
 
     names = rows.select("rid", "t", F.xxhash64(F.lit(1), "body").alias("t2"), F.octet_length("body").alias("size"))
     names = stored(names, "names")
@@ -302,6 +304,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     suspects = entries.join(grams_, "gram", "left_semi").join(others, ["rid", "t"], "left_anti").select("gram", "rid", "t", "loc")
     suspects = stored(suspects, "suspects")
+    discard(entries, names, *family.written)  # what follows reads the suspects and copies only
     frequent = stored(suspects.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("gram"), "frequent")
     around = contexts(suspects, rows, length)
     if frequent.limit(1).count():
