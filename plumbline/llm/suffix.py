@@ -146,25 +146,31 @@ class Family:
         self.levels: dict[int, DataFrame] = {}
         self.written: list[DataFrame] = []
 
-    def _written(self, counts: DataFrame) -> DataFrame:
-        self.written.append(stored(counts.sortWithinPartitions("gram"), "level"))
+    def _written(self, run: DataFrame) -> DataFrame:
+        self.written.append(stored(run.sortWithinPartitions("gram"), "level"))
         return self.written[-1]
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
-        """Take in a batch of suffixes; (gram) frames of prefixes that it repeats, in itself or in a level."""
-        run = self._written(batch.groupBy("gram").agg(F.count("*").alias("n")))
-        found = [run.where("n > 1").select("gram")]
-        found += [run.join(level, "gram", "left_semi").select("gram") for level in self.levels.values()]
+        """Take in a batch of suffixes; (gram) frames of prefixes that it repeats, in itself or in a level.
+
+        The same place of equal texts is one place, so that copies alone make
+        no prefix repeated; equal texts must be in one batch.
+        """
+        place = F.xxhash64("t", "loc")
+        own = batch.groupBy("gram").agg((F.min(place) != F.max(place)).alias("again"))
+        run = self._written(own)
+        found = [run.where("again").select("gram")]
+        run = run.select("gram")
+        found += [run.join(level, "gram", "left_semi") for level in self.levels.values()]
         rank = 0
         while rank in self.levels:
-            both = run.unionByName(self.levels.pop(rank))
-            run, rank = self._written(both.groupBy("gram").agg(F.sum("n").alias("n"))), rank + 1
+            run, rank = self._written(run.unionByName(self.levels.pop(rank)).distinct()), rank + 1
         self.levels[rank] = run
         return found
 
 
 def repeated_prefixes(entries: DataFrame, family: Family, batches: int = BATCHES) -> DataFrame:
-    """(gram) of all prefixes that occur more than once; ``entries`` are split into batches by a column ``batch``."""
+    """(gram) of all prefixes at several places; ``entries`` are split into batches by a column ``batch``, equal texts together."""
     found = []
     for batch in range(batches):
         found += family.add(entries.where(F.col("batch") == batch))
@@ -294,7 +300,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     batch = F.pmod(F.col("t"), F.lit(batches)).cast("int").alias("batch")
     entries = stored(suffixes(rows, length).select("gram", "rid", "t", "loc", batch), "suffixes", "batch")
     family = Family()
-    grams_ = repeated_prefixes(entries, family, batches)
+    grams_ = stored(repeated_prefixes(entries, family, batches), "repeated")  # a table of its own, so that a frequent prefix is split in the join
 
     names = rows.select("rid", "t", F.xxhash64(F.lit(1), "body").alias("t2"), F.octet_length("body").alias("size"))
     names = stored(names, "names")
@@ -304,7 +310,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     suspects = entries.join(grams_, "gram", "left_semi").join(others, ["rid", "t"], "left_anti").select("gram", "rid", "t", "loc")
     suspects = stored(suspects, "suspects")
-    discard(entries, names, *family.written)  # what follows reads the suspects and copies only
+    discard(entries, names, grams_, *family.written)  # what follows reads the suspects and copies only
     frequent = stored(suspects.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("gram"), "frequent")
     around = contexts(suspects, rows, length)
     if frequent.limit(1).count():
