@@ -27,7 +27,8 @@ not gathered: its windows are counted by a 128-bit fingerprint instead, in
 grouped aggregation.  Both ways give the same rows.
 
 Documents of equal text are known by their fingerprint; one of them goes
-through the index, and all are repeated whole if they are long enough.
+through the index, and all are repeated whole if they are long enough.  Their common
+places count once when prefixes are counted.
 
 Defined cases: null counts as empty; texts under ``length`` bytes stay whole
 (they have no such string); repeated rows are copies; null ids are documents of
@@ -312,13 +313,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     suspects = stored(suspects, "suspects")
     discard(entries, names, grams_, *family.written)  # what follows reads the suspects and copies only
     frequent = stored(suspects.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("gram"), "frequent")
-    around = contexts(suspects, rows, length)
+    # both parts read one exchange of the texts, as does the caller's join with the marks
+    found = matched(contexts(suspects.join(frequent, "gram", "left_anti"), rows, length), length)
     if frequent.limit(1).count():
-        around = stored(around, "contexts")
-        found = matched(around.join(frequent, "gram", "left_anti"), length)
-        found = found.unionByName(counted(around.join(frequent, "gram"), length))
-    else:
-        found = matched(around, length)
+        found = found.unionByName(counted(contexts(suspects.join(frequent, "gram", "left_semi"), rows, length), length))
     whole = copied.where(F.col("size") >= length).select("rid", "t", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
     marks = found.unionByName(whole).groupBy("rid", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # bounded by the text
     return rows, marks
