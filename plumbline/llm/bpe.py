@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Pieces and pairs that a worker remembers at most; then it starts anew.
-REMEMBERED = 300_000
+#: Pieces and pairs that a worker remembers at most in one generation; what is forgotten is computed again.
+REMEMBERED = 50_000
 #: Longer pieces are not remembered.
 REMEMBERED_LENGTH = 64
 #: A blank beside other white space.
@@ -184,24 +184,29 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def token_bytes(rank_file: bytes) -> dict[int, bytes]:
+    """The bytes of every token, which is all that decoding needs; once per worker process."""
+    return {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
+
+
 @lru_cache(maxsize=2)
 def codec(rank_file: bytes, pattern: str) -> Codec:
     """One codec per worker process."""
     return Codec(rank_file, pattern)
 
 
-def _shared(df: DataFrame, rank_path: str, pattern: str):
-    """The codec as seen by tasks; the file (under 2 MB) is read on the driver only."""
-    raw = df.sparkSession.sparkContext.broadcast((Path(rank_path).read_bytes(), pattern))
-    return lambda: codec(*raw.value)
+def _shared(df: DataFrame, rank_path: str):
+    """The rank file as seen by tasks; it (under 2 MB) is read on the driver only."""
+    return df.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, column: str = "text", out: str = "token_ids") -> DataFrame:
     """The frame with the token ids of whole texts as ``array<int>``."""
-    shared, at = _shared(df, rank_path, pattern), df.columns.index(column)
+    shared, at = _shared(df, rank_path), df.columns.index(column)
 
     def fill(part):
-        own = shared()
+        own = codec(shared.value, pattern)
         ids = [own.encode(text.as_py() or "") for text in part.column(at)]
         ends = np.cumsum([0, *map(len, ids)])
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
@@ -211,12 +216,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, column: str = "text", ou
 
 def decode(df: DataFrame, rank_path: str, pattern: str, column: str = "token_ids", out: str = "decoded") -> DataFrame:
     """The frame with the bytes that the ids stand for."""
-    shared, at = _shared(df, rank_path, pattern), df.columns.index(column)
+    shared, at = _shared(df, rank_path), df.columns.index(column)
 
     def fill(part):
-        own, ids = shared(), part.column(at)
+        of, ids = token_bytes(shared.value).__getitem__, part.column(at)
         values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        return [pa.array([own.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())]
+        return [pa.array([b"".join(map(of, values[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())]
 
     return add_columns(df, [T.StructField(out, T.BinaryType(), False)], fill)
 

@@ -59,6 +59,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fill: Callable[[pa.R
             new = fill(part)
             arrays = [part.column(i) for i in positions] + new
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
+        pa.default_memory_pool().release_unused()  # the worker process stays for later tasks
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 
