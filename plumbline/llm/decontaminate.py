@@ -15,8 +15,12 @@ only the remaining blocks are scored.  The bounds of the runs are added up for
 all windows of many texts at once.
 
 What is found is verified on the words themselves: the question's word
-trigrams, and the words of the answer in order, must be in the passage.  The
-answer is what follows the last question mark, else the item's last sentence.
+trigrams must be in the passage, and the words of the answer in order, in a run
+little longer or shorter than the answer, so that words may be put in, left out
+or changed.  The answer is what follows the last question mark; an item without
+one, or with an answer of under ``SHORT_ANSWER`` words, is verified as a whole,
+like a question.  Questions of under ``SHORT_QUESTION`` words, of whose trigrams
+one changed word may spoil too many, are verified in order like answers.
 
 The index is sent to the tasks in shards of at most ``shard_items`` items and
 ``shard_chars`` characters, so its size is bounded whatever the benchmark's.
@@ -46,6 +50,7 @@ WORD = re.compile(r"\w+")
 THRESHOLD = 0.6
 QUESTION_OVERLAP = 0.6
 ANSWER_OVERLAP = 0.6
+SHORT_QUESTION, SHORT_ANSWER = 10, 4
 BLOCK = 4
 RUNS = 64
 SHARD_ITEMS, SHARD_CHARS = 50_000, 32 << 20
@@ -57,28 +62,48 @@ def words(text: str | None) -> list[str]:
 
 
 def parts(text: str) -> tuple[list[str], list[str]]:
-    """Words of the question and of the answer of an item."""
-    body = text.rstrip()
-    cut = body.rfind("?") + 1
-    if not cut or not words(body[cut:]):
-        cut = max((m.end() for m in re.finditer(r"[.!?]\s+", body)), default=0)
-    question, answer = words(body[:cut]), words(body[cut:])
-    return (question, answer) if question else (answer, [])
+    """Words of the question and of the answer of an item; without an answer to tell by, all words are the question."""
+    cut = text.rfind("?") + 1
+    question, answer = words(text[:cut]), words(text[cut:])
+    return (question, answer) if question and len(answer) >= SHORT_ANSWER else (question + answer, [])
 
 
 def trigrams(found: list[str]) -> set:
     return set(zip(found, found[1:], found[2:])) or {tuple(found)}
 
 
+def common_length(one: list[str], two: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for every word of ``one``."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(one):
+        places[word] = places.get(word, 0) | 1 << i
+    whole = (1 << len(one)) - 1
+    left = whole
+    for word in two:
+        here = left & places.get(word, 0)
+        left = (left + here | left - here) & whole
+    return len(one) - left.bit_count()
+
+
 def in_order(answer: list[str], passage: list[str]) -> float:
-    """Share of the answer's words that the best run of the passage has, at one shift between the two."""
+    """Share of the answer's words that a run of the passage has in their order; the run starts and ends at most
+    a quarter of the answer's length beside where the answer would."""
     if not answer:
         return 1.0
     at: dict[str, list] = {}
     for i, word in enumerate(passage):
         at.setdefault(word, []).append(i)
     shifts = Counter(i - j for j, word in enumerate(answer) for i in at.get(word, ()))
-    return max(shifts.values(), default=0) / len(answer)
+    slack, best = max(1, len(answer) // 4), 0
+    near = Counter()  # matches within the slack of a shift; no run there has more words in order
+    for shift, n in shifts.items():
+        for by in range(-slack, slack + 1):
+            near[shift + by] += n
+    for shift, n in near.most_common():
+        if n <= best:
+            break
+        best = max(best, common_length(answer, passage[max(0, shift - slack):max(0, shift + len(answer) + slack)]))
+    return best / len(answer)
 
 
 class Index:
@@ -170,9 +195,12 @@ class Index:
             for number, score in self.found(terms, runs, threshold):
                 part = texts[text][start:start + 2 * self.stretch]
                 _, asked, answered = self.texts[number]
-                wanted = trigrams(asked)
-                has = trigrams(part) if len(asked) > 2 else {tuple(part[i:i + len(asked)]) for i in range(len(part))}
-                overlap, rest = len(wanted & has) / len(wanted), in_order(answered, part)
+                if len(asked) < SHORT_QUESTION:
+                    overlap = in_order(asked, part)
+                else:
+                    wanted = trigrams(asked)
+                    overlap = len(wanted & trigrams(part)) / len(wanted)
+                rest = in_order(answered, part)
                 if overlap >= question and rest >= answer and ((text, number) not in out or (overlap, rest) > out[text, number][1:3]):
                     out[text, number] = (score, overlap, rest, start)
         return out

@@ -208,3 +208,31 @@ def test_leaks_are_found_and_nothing_else(spark, odd, none, monkeypatch):
             part = set(text[start:start + 2 * index.stretch])
             if max(sum(share.get((n, w), 0) for w in part) for n in range(60)) >= 0.3:
                 assert (t, start) in found
+
+
+def test_leaks_with_changed_words_are_found():
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    pick = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [f"{pick(20)}. {pick(5)}.", f"{pick(25)}. {pick(1)}.", f"{pick(12)}? {pick(7)}. {pick(2)}.", f"{pick(14)}? {pick(1)}", f"{pick(4)}. {pick(2)}.", f"{pick(9)}? {pick(4)}"]
+    bags = [decontaminate.words(t) for t in items]
+    index = decontaminate.Index(list(enumerate(items)), Counter(w for b in bags for w in set(b)), len(items), sum(map(len, bags)) / len(bags))
+    leaks = lambda text: {n for _, n in index.scan([decontaminate.words(text)], decontaminate.THRESHOLD, decontaminate.QUESTION_OVERLAP, decontaminate.ANSWER_OVERLAP)}
+    for number, item in enumerate(items):
+        own = item.split()
+        edits = [own[:i] + ["put in"] + own[i:] for i in range(len(own) + 1)] + [own[:i] + own[i + 1:] for i in range(len(own))]
+        edits += [own[:i] + ["changed"] + own[i + 1:] for i in range(len(own))]
+        for words in edits:
+            assert number in leaks(f"{pick(50)} {' '.join(words)} {pick(30)}"), (item, words)
+    for number in (0, 1):
+        assert leaks(f"{pick(9)} {items[number].rsplit('. ', 1)[0]} {pick(40)}") == {number}  # without its last sentence
+    assert leaks(items[2].split("?")[0] + "? " + pick(40)) == set()  # a question without its answer is none
+    for _ in range(50):
+        assert leaks(pick(100)) == set()
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, n))] for n in (9, 12))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert decontaminate.common_length(a, b) == table[-1][-1]
