@@ -26,9 +26,9 @@ is capped, and no link between different texts is left untested.
 
 Defined cases: a text of one to four words is a single shingle; texts without
 words are copies of equal texts only; null counts as empty; repeated rows are
-copies; a class is named by its least id; null ids are in classes, and name one
-only if there is no other; texts of any length count whole; other columns are
-ignored.
+copies; a class is named by its least id, and texts of one id may be in several
+classes; null ids are in classes, and name one only if there is no other; texts
+of any length count whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import discard, small_batches, steps, stored
+from .common import discard, free_name, small_batches, steps, stored
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -245,8 +245,11 @@ def compared(members: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id and class_size of every row; a class is a component of near copies."""
+def classes_of(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and for every bag (fa, fb) its class_id, class_t and class_size.
+
+    A class is represented by its least (doc_id, t), for one id may have texts in several classes.
+    """
     rows = stored(sketched(docs, key, text), "sketched")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
     nodes = rows.groupBy("fa", "fb").agg(first.alias("r"), F.min("t").alias("t"), F.min("sig").alias("sig"), F.count("*").alias("n"))
@@ -283,16 +286,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     edges = edges.unionByName(stored(verified(more, texts, least), "links"))
     discard(buckets, star, texts, known, more)  # what follows reads the links only
 
-    named = nodes.select("node", "fa", "fb", "n", "rep").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    named = named.join(classes, "root").select("fa", "fb", "class_id", "class_size")
+    named = nodes.select("node", "fa", "fb", "n", "rep", "t").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "t")))
+    classes = named.groupBy("root").agg(first.alias("r"), F.sum("n").alias("class_size"))
+    classes = classes.select("root", F.col("r.rep").alias("class_id"), F.col("r.t").alias("class_t"), "class_size")
+    return rows, named.join(classes, "root").select("fa", "fb", "class_id", "class_t", "class_size")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id and class_size of every row; a class is a component of near copies."""
+    rows, named = classes_of(docs, key, text, least)
     return rows.select("doc_id", "fa", "fb").join(named, ["fa", "fb"]).select("doc_id", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their class, one row each, with their own columns; rows with a null id stay."""
-    classes = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias("_kept")).distinct()
-    kept = docs.join(classes, docs["doc_id"] == classes["_kept"], "left_semi")
-    alone = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    kept = kept.withColumn("_nth", F.row_number().over(alone)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of every class, that of its least id and text, with its own columns; rows with a null id stay."""
+    named = classes_of(docs, "doc_id", "text", SIMILARITY)[1]
+    own, nth = free_name(docs, "_t"), free_name(docs, "_nth")
+    kept = named.where(F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"), F.col("class_t").alias(own)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", own], "left_semi")
+    alone = Window.partitionBy("doc_id", own).orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    rows = rows.withColumn(nth, F.row_number().over(alone)).where(F.col(nth) == 1).select(*docs.columns)
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))

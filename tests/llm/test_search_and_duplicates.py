@@ -96,6 +96,16 @@ def test_near_duplicate_classes_equal_brute_force(spark, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({c for _, c, _ in got})
 
 
+def test_texts_of_one_id_are_kept_apart(spark):
+    rng = random.Random(13)
+    one, two, three = copies(rng, 80, [0, 1]), copies(rng, 80, [0, 1]), copies(rng, 80, [0])
+    hot = [copies(rng, 40, [0])[0] for _ in range(30)]
+    rows = [(1, one[0]), (1, two[0]), (1, two[0]), (2, one[1]), (3, two[1]), (1, three[0]), (4, three[0]), (5, None), (5, ""), *[(7, t) for t in hot], (7, one[0])]
+    kept = bagminhash.one_of_each(spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], DOCS)).collect()
+    want = [(1, one[0]), (1, two[0]), (1, three[0]), (5, None), *[(7, t) for t in hot]]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = random.Random(9)
     memo, off = bagminhash.word_hashes(), []
