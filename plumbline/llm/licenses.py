@@ -4,7 +4,9 @@ Text is normalised to its lower-case words.  A passage of a text runs from one
 bigram that a template has to another; its Dice coefficient with the template
 is 2 * common / (bigrams of the passage + bigrams of the template), bigrams
 counted with multiplicity.  The best passage of every licence is reported if
-it reaches the threshold t.
+it reaches the threshold t.  Licences quote each other, so a passage most of
+whose words lie in a better one of another licence gives way to it; its template
+is then sought in the rest of the text.
 
 Sizes prune: a passage of m bigrams can reach t with a template of n only if
 n t / (2 - t) <= m <= n (2 - t) / t, and at least n t / (2 - t) of the text's
@@ -20,9 +22,11 @@ fewer than two words never match; other columns are ignored.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,6 +35,34 @@ from .common import small_batches, steps
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.8
 
+ISC_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+    "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+    "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject "
+    "to the following conditions:")
+MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. ")
+BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+#: Licences whose full texts are in ``license_texts``.
+BODIES = ["Apache-2.0", "MPL-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
 #: Notices and licence texts as their authors publish them.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -66,6 +98,54 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *[(name, f"This work is licensed under the GNU {kind} General Public License, version {version}.")
+      for name, kind, version in (("GPL-2.0", "", "2"), ("AGPL-3.0", "Affero", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"))],
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+                 "any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+                 "any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+                 "any later version."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to "
+                "this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+                "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse "
+                "Public License v1.0 which accompanies this distribution, and is available at "
+                "http://www.eclipse.org/legal/epl-v10.html"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+             "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+             "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+             "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+             "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated "
+             "but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being "
+             "the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+             + ISC_WARRANTY),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies. " + ISC_WARRANTY),
+    ("MIT", MIT_GRANT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+            "of the Software. " + MIT_WARRANTY),
+    ("MIT-0", MIT_GRANT.rsplit(",", 1)[0] + ". " + MIT_WARRANTY),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+            "conditions are met: 1. " + BSD_CLAUSES + BSD_WARRANTY),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+            "conditions are met: 1. " + BSD_CLAUSES + "3. Neither the name of the copyright holder nor the names of its contributors may "
+            "be used to endorse or promote products derived from this software without specific prior written permission. " + BSD_WARRANTY),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+                  "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+                  "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors "
+                  "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication "
+                  "for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to "
+                  "be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+                  + MIT_WARRANTY.split(" SHALL THE AUTHORS")[0] + " SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+                  "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+                  "OR OTHER DEALINGS IN THE SOFTWARE."),
+    *[(name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in BODIES],
 ]
 
 
@@ -87,8 +167,8 @@ class Scanner:
             low, high = size * threshold / (2 - threshold), size * (2 - threshold) / threshold
             self.templates.append((name, bigrams, size, low, high))
 
-    def scan(self, text: str):
-        """(template number, score, first bigram, last bigram) of every template that the text holds."""
+    def hits(self, text: str) -> dict[int, list]:
+        """For every template the places of the text's bigrams that it has."""
         found = words(text)
         hits: dict[int, list] = {}
         owners = self.owners
@@ -96,27 +176,63 @@ class Scanner:
             if bigram in owners:
                 for number in owners[bigram]:
                     hits.setdefault(number, []).append((at, bigram))
+        return hits
+
+    def scan(self, text: str):
+        """(template number, score, first bigram, last bigram) of every template that the text holds."""
+        hits = self.hits(text)
+        for number in sorted(hits):
+            best = self.best(number, hits[number])
+            if best:
+                yield number, *best
+
+    def licenses(self, text: str) -> list[tuple]:
+        """(template number, score, first bigram, last bigram) of every licence, of its templates the one that fits best."""
+        hits, best = self.hits(text), {}
         for number in sorted(hits):
-            if len(hits[number]) >= self.templates[number][3] > 0:
-                best = self.best(number, hits[number])
-                if best:
-                    yield number, *best
+            if found := self.best(number, hits[number]):
+                best[number] = found
+        standing: list[tuple] = []
+        while best:
+            number = max(best, key=lambda k: (best[k][0], best[k][2] - best[k][1], -k))
+            score, first, last = best.pop(number)
+            name = self.templates[number][0]
+            inside = [(x, y) for other, _, x, y in standing if self.templates[other][0] != name
+                      and 2 * (min(y, last) - max(x, first) + 1) > last - first + 1]
+            if not inside:
+                standing.append((number, score, first, last))
+                continue
+            rest = [h for h in hits[number] if not any(x <= h[0] <= y for x, y in inside)]
+            if len(rest) < len(hits[number]) and (again := self.best(number, rest)):
+                best[number] = again
+            hits[number] = rest
+        named: dict[str, tuple] = {}
+        for passage in standing:
+            named.setdefault(self.templates[passage[0]][0], passage)
+        return sorted(named.values())
 
     def best(self, number: int, hits: list):
         _, bigrams, size, low, high = self.templates[number]
+        if not len(hits) >= low > 0:
+            return None
+        places = np.array([at for at, _ in hits])
+        ends = np.searchsorted(places, places + high, "left")  # a passage of at most ``high`` bigrams
+        # a hit counts in a passage unless as many like it as the template has stand before it there
+        seen: dict[tuple, list] = {}
+        before = np.full(len(hits), -1)
+        for i, (_, bigram) in enumerate(hits):
+            like = seen.setdefault(bigram, [])
+            like.append(i)
+            if len(like) > bigrams[bigram]:
+                before[i] = like[-1 - bigrams[bigram]]
         top = None
-        for i, (start, _) in enumerate(hits):
-            left, common = dict(bigrams), 0
-            for at, bigram in hits[i:]:
-                length = at - start + 1
-                if length > high:
-                    break
-                if left[bigram]:
-                    left[bigram] -= 1
-                    common += 1
-                score = 2 * common / (length + size)
-                if length >= low and score >= self.threshold and (top is None or score > top[0]):
-                    top = (score, start, at)
+        for i in np.flatnonzero(ends - np.arange(len(hits)) >= low - 1e-9).tolist():
+            lengths = places[i:ends[i]] - places[i] + 1
+            scores = 2 * np.cumsum(before[i:ends[i]] < i) / (lengths + size)
+            scores[(lengths < low) | (lengths > high)] = 0
+            j = int(scores.argmax())
+            if scores[j] >= self.threshold and (top is None or scores[j] > top[0]):
+                top = (float(scores[j]), int(places[i]), int(places[i + j]))
         return top
 
 
@@ -132,12 +248,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = text.as_py() or ""
-                best = {}
-                for number, *passage in scanner.scan(body):  # of a licence's templates the one that fits best
-                    name = scanner.templates[number][0]
-                    if name not in best or passage[0] > best[name][1]:
-                        best[name] = (number, *passage)
-                found = list(best.values())
+                found = scanner.licenses(body)
                 places = [m.span() for m in WORD.finditer(body)] if found else []
                 exact = len(places) == len(words(body)) if found else True  # lower-casing may add characters that split words
                 for number, score, first, last in found:

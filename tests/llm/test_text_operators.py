@@ -134,6 +134,25 @@ def test_license_passages(spark, none, odd):
             assert found.get(number, 0) == pytest.approx(best if best >= 0.7 else 0)
 
 
+def test_licenses_are_told_apart(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice(["of", "the", "software", "license", "xyz", "any"]) for _ in range(n))
+    rows, want = [], []
+    for number, (name, text) in enumerate(licenses.TEMPLATES):
+        found = text.split()
+        for at in rng.sample(range(len(found)), len(found) // 60):
+            found[at] = "changed"
+        rows.append((number, f"{filler(40)}\n{' '.join(found)}\n{filler(40)}"))
+        want.append((number, name))
+    gnu = {n: t for n, t in licenses.TEMPLATES if t.startswith("This program is free software")}
+    edited = gnu["GPL-3.0"].replace("published", "printed")
+    rows += [(1000, f"{gnu['AGPL-3.0']}\n{filler(9)}\n{edited}")]  # each has a notice of its own
+    want += [(1000, "AGPL-3.0"), (1000, "GPL-3.0")]
+    got = licenses.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == sorted(want)
+    assert all(r["score"] > 0.9 for r in got)
+
+
 def test_quality_separates_and_shrinks(spark, odd, none):
     rng = random.Random(4)
     rows, labels = [], []
