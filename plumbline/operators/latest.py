@@ -17,14 +17,15 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list, keep: list[str])
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in keep])
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every key, with their rank.
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every key, with their rank; all rows if ``k`` is None.
 
     The rank filter lets Spark limit each group within its input partition
-    before the shuffle.
+    before the shuffle; without one a key's rows are sorted in one task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def pivot_values(df: DataFrame, keys: list[str], name: str, value: str, wanted: list[str]) -> DataFrame:

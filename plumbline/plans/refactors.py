@@ -28,8 +28,8 @@ KEPT_STATUSES = ["accepted", "applied", "dismissed"]
 # ---------------------------------------------------------------------------
 
 
-def recent(alerts: DataFrame, n: int = RECENT_ALERTS) -> DataFrame:
-    """The newest alerts of every repository with the module they belong to."""
+def recent(alerts: DataFrame, n: int | None = RECENT_ALERTS) -> DataFrame:
+    """The newest alerts of every repository, or all, with the module they belong to."""
     ev = F.col("evidence")
     kept = top_per_key(alerts, ["repo_id"], [F.desc("at"), F.desc("sha")], n, rank="age")
     return kept.withColumn("module", bands.alert_module(ev["module"], ev["filePath"], ev["symbolId"], F.lit("root")))
@@ -83,7 +83,7 @@ def _few_of_lists(lists: Column, n: int) -> Column:
 
 
 def _listed(value: Column) -> Column:
-    # at most the 200 newest alerts of a repository reach any of these lists
+    # at most the 200 newest alerts of a repository reach any of these lists, unless the caller asked for more
     return F.collect_list(F.struct(F.col("age").alias("a"), value.alias("v")))
 
 
@@ -118,8 +118,8 @@ def dedupe_clusters(alerts: DataFrame, state: DataFrame) -> DataFrame:
     return _suggestion(out.withColumn("drivers", drivers).withColumn("files", F.array("target")), "file", "DEDUPE_CLUSTER")
 
 
-def boundary_inversions(alerts: DataFrame, state: DataFrame) -> DataFrame:
-    """Forbidden edges seen in the recent alerts, the six surest per repository."""
+def boundary_inversions(alerts: DataFrame, state: DataFrame, limit: int | None = BOUNDARY_LIMIT) -> DataFrame:
+    """Forbidden edges seen in the recent alerts, the surest per repository."""
     rows = alerts.filter(F.col("type") == "ARCH_VIOLATION").withColumn("target", F.explode("evidence.graphEdgesAdded"))
     groups = rows.groupBy("repo_id", "target").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("module", "age").alias("module"), F.min("age").alias("_first"),
@@ -127,7 +127,7 @@ def boundary_inversions(alerts: DataFrame, state: DataFrame) -> DataFrame:
         F.slice(F.transform(F.array_sort(_listed(F.col("sha"))), lambda v: v["v"]), 1, 4).alias("alert_shas"))
     confidence = F.least(F.lit(0.96), F.col("n") * 0.07 + 0.72)
     out = _project(groups, state, BOUNDARY_CUTS, {"n": F.col("n")}, confidence)
-    best = top_per_key(out, ["repo_id"], [F.desc("confidence"), F.col("_first"), F.col("target")], BOUNDARY_LIMIT)
+    best = top_per_key(out, ["repo_id"], [F.desc("confidence"), F.col("_first"), F.col("target")], limit)
     drivers = F.array(F.concat(F.lit("forbidden edge seen "), F.col("n").cast("string"), F.lit(" time(s)")), F.col("target"))
     return _suggestion(best.withColumn("drivers", drivers).withColumn("edges", F.array("target")), "boundary", "INVERT_BOUNDARY")
 
@@ -167,13 +167,14 @@ def module_extractions(alerts: DataFrame, metrics: DataFrame, state: DataFrame)
                        "module", "EXTRACT_MODULE")
 
 
-def generate(alerts: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The twelve best suggestions of every repository."""
-    newest, state = recent(alerts), simulation_state(metrics)
-    every = dedupe_clusters(newest, state).unionByName(boundary_inversions(newest, state)).unionByName(
+def generate(alerts: DataFrame, metrics: DataFrame, recent_alerts: int | None = RECENT_ALERTS,
+             boundary_limit: int | None = BOUNDARY_LIMIT, total_limit: int | None = TOTAL_LIMIT) -> DataFrame:
+    """The best suggestions of every repository (R13, T4); a limit of None is everything."""
+    newest, state = recent(alerts, recent_alerts), simulation_state(metrics)
+    every = dedupe_clusters(newest, state).unionByName(boundary_inversions(newest, state, boundary_limit)).unionByName(
         module_extractions(newest, metrics, state))
     weight = fixed(F.col("confidence") + F.abs("impact.pressure") + F.abs("impact.entropy"), 6)
-    return top_per_key(every, ["repo_id"], [weight.desc(), F.col("id")], TOTAL_LIMIT).withColumn("status", F.lit("proposed"))
+    return top_per_key(every, ["repo_id"], [weight.desc(), F.col("id")], total_limit).withColumn("status", F.lit("proposed"))
 
 
 def plan_steps(kind: str) -> list[str]:

@@ -347,9 +347,9 @@ class Workspace:
 
     @cached_property
     def script_sources(self) -> DataFrame:
-        """Every document as comment text inside a small TypeScript class and function."""
+        """Every document, whole, as comment lines inside a small TypeScript class and function."""
         d = F.col("doc_id")
-        note = F.regexp_replace("text", "[`\"'/\\\\{}()\r\n]", " ")
+        note = F.regexp_replace("text", "\r\n|\r|\n", "\n    // ")
         source = F.concat(
             F.lit("import { base } from \"../base\";\n\nexport class Doc"), text(d), F.lit(" {\n  run(x: number) {\n    // "),
             note, F.lit("\n    if (x > 0) { return base(x); }\n    return 0;\n  }\n}\n\nexport const tail"), text(d),

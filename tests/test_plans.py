@@ -1,11 +1,12 @@
 """Incidents, memory and refresh on small tables; registry sanity."""
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plumbline.plans import incidents, refresh, rules
+from plumbline.plans import incidents, refactors, refresh, rules
 from plumbline.sources.workspace import Workspace
 
 T0 = dt.datetime(2024, 1, 1)
@@ -55,3 +56,19 @@ def test_registry():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_refactor_limits_of_none_are_everything(spark):
+    w = Workspace(spark, SMALL)
+    edges = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("a"), i.cast("string"), F.lit("->b")))
+    alerts = w.alerts.withColumn("type", F.lit("ARCH_VIOLATION")).withColumn("evidence", F.col("evidence").withField("graphEdgesAdded", edges))
+    rows = lambda *limits: Counter(r["repo_id"] for r in refactors.generate(alerts, w.metrics, *limits).filter("type = 'INVERT_BOUNDARY'").collect())
+    assert set(rows(None, None, None).values()) == {20} and max(rows().values()) <= 6
+
+
+def test_script_sources_hold_the_whole_text(spark):
+    w = Workspace(spark, SMALL)
+    texts = {r["doc_id"]: r["text"] for r in w.documents.select("doc_id", "text").collect()}
+    for row in w.script_sources.select("doc_id", "source").collect():
+        note = "\n    // ".join(texts[row["doc_id"]].replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+        assert note in row["source"]
