@@ -1,6 +1,7 @@
 """Bit-sliced search, BagMinHash, components, suffix index and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -106,6 +107,13 @@ def test_texts_of_one_id_are_kept_apart(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
 
 
+def test_the_margin_misses_less_than_the_bands():
+    n, p = bagminhash.REGISTERS, bagminhash.SIMILARITY
+    least = p - bagminhash.MARGIN * math.sqrt(p * (1 - p) / n)
+    missed = sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(math.ceil(least * n)))
+    assert missed < (1 - p ** bagminhash.ROWS) ** bagminhash.BANDS
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = random.Random(9)
     memo, off = bagminhash.word_hashes(), []
