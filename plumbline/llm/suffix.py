@@ -231,14 +231,18 @@ CONTEXTS = "gram long, rid long, t long, loc long, context binary"
 
 
 def contexts(suspects: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The suspects with the bytes that their windows cover."""
-    per_text = suspects.groupBy("rid", "t").agg(F.collect_list(F.struct("gram", "loc")).alias("anchors"))  # bounded by the text
+    """The suspects with the bytes that their windows cover; of repeated rows a task takes the first."""
+    per_text = suspects.groupBy("rid", "t").agg(F.collect_set(F.struct("gram", "loc")).alias("anchors"))  # bounded by the text
     found = rows.join(per_text, ["rid", "t"]).select("doc_id", "rid", "t", "body", "anchors")
     schema = pa.schema([("gram", pa.int64()), ("rid", pa.int64()), ("t", pa.int64()), ("loc", pa.int64()), ("context", pa.binary())])
 
     def run(batches):
+        seen = set()  # a rid is a hash of id and text
         for part in steps(batches):
-            for i in range(part.num_rows):
+            for i, rid in enumerate(part.column(1).to_pylist()):
+                if rid in seen:
+                    continue
+                seen.add(rid)
                 data = part.column(3)[i].as_py().encode()
                 values = part.column(4)[i].values
                 gram, loc = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))

@@ -172,6 +172,19 @@ def test_long_texts_are_cut_in_overlapping_chunks(spark, monkeypatch):
     assert parts == whole
 
 
+def test_repeated_rows_give_their_contexts_once(spark):
+    rng = random.Random(15)
+    hot, other = ("".join(rng.choice("abcdefgh ") for _ in range(1500)) for _ in range(2))
+    texts = [hot] * 60 + [other + hot[300:900], other]
+    docs = spark.createDataFrame([(7 if t == hot else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = suffix.keyed(docs, "doc_id", "text")
+    found = suffix.suffixes(rows, 200).select("gram", "rid", "t", "loc")
+    around = suffix.contexts(found, rows)
+    assert around.count() <= 8 * around.distinct().count()  # once in each task at most
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.removal(docs).collect())
+    assert got == sorted(brute_repeats(texts, 200))
+
+
 def test_pipeline_on_the_smallest_table(spark):
     final = corpus_pipeline.run(spark, SMALL).collect()
     docs = duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall()
