@@ -1,7 +1,8 @@
 """Proportional stratified interleaving of documents into shards.
 
 Within each source, rows are shuffled by a seeded hash and ranked; row r of n
-has the fractional rank (r - 1/2) / n.  Sorted by fractional rank, any run of
+has the fractional rank (r - u) / n, where u is a seeded hash of the source
+between 0 and 1, so that sources of few rows spread over all ranks.  Sorted by fractional rank, any run of
 consecutive rows has every source in proportion, so cutting the order into
 equal runs gives shards that match the mixture, to within one row per source of
 what the run's range of fractional ranks holds.
@@ -48,7 +49,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_rows: in
     rows = rows.withColumn("_bucket", F.floor(F.col("_u") * buckets))
     rows = _numbered(rows, ["_source"], "_bucket", ["_u", "doc_id", "text_crc32", "size"], "_rank")
 
-    place = (2 * F.col("_rank") - 1) / (2 * F.col("_rows"))
+    offset = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("offset"), "_source"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    place = (F.col("_rank") - offset) / F.col("_rows")
     rows = rows.withColumn("_place", place).withColumn("_slice", F.floor(F.col("_place") * buckets)).drop("_rows").withColumn("_all", F.lit(0))
     rows = _numbered(rows, ["_all"], "_slice", ["_place", F.xxhash64(F.lit(seed), "_source"), "_source"], "_position")
 

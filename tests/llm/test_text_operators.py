@@ -194,6 +194,13 @@ def test_shards_match_the_mixture(spark, odd, none):
     assert shards.sharding(none).count() == 0
 
 
+def test_small_sources_spread_over_the_shards(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", f"s{i}" if i < 600 else "large", 1, None) for i in range(1000)], DOCS)
+    got = shards.interleave(docs, 16).collect()
+    tail = Counter(r["shard"] for r in got if r["doc_id"] < 600)
+    assert len(got) == 1000 and all(15 <= tail[k] <= 60 for k in range(16))
+
+
 def test_leaks_are_found_and_nothing_else(spark, odd, none, monkeypatch):
     rng = random.Random(8)
     words = [a + b for a in ("an", "er", "th", "on", "ti") for b in ("ea", "sh", "ou", "re", "ing", "ly")] + [f"w{i}" for i in range(400)]
