@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with a logarithmic family of sparse suffix indexes.
+"""Removal of repeated byte strings: sparse suffixes, a prefilter of their prefixes in levels, suffix arrays per prefix.
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere
 else in the corpus goes.
@@ -9,12 +9,12 @@ equals).  The choice depends on the window's content alone, so equal windows
 have their anchors at equal offsets, and each window belongs to one anchor;
 there is about one anchor in ``length / 2.4`` bytes.
 
-Index family.  Documents come in batches.  A batch's suffixes are sorted by the
-fingerprint of their first ``GRAM`` bytes and become a level of rank 0.  Before
-that the batch is merge-scanned against itself and every existing level for
-prefixes that both have.  Two levels of one rank are merged to one of the next
-rank, so there are about log2(batches) levels and a suffix is rewritten as
-often.
+Prefilter.  Documents come in batches, hash slices of the table.  A batch's
+distinct fingerprints of the first ``GRAM`` bytes of suffixes become a level of
+rank 0, after they were joined with every existing level for prefixes that both
+have.  Two levels of one rank are merged to one of the next rank, so there are
+about log2(batches) levels and a fingerprint is rewritten as often.  Levels hold
+no places and are deleted at the end; later batches cannot be added.
 
 Long matches.  Suffixes whose prefix occurs again fetch the bytes around them.
 Those of one prefix are sorted twice, by what follows and by what precedes
@@ -141,7 +141,7 @@ def suffixes(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 class Family:
-    """Levels of sorted suffix prefixes; rank r holds about 2**r batches."""
+    """Levels of distinct fingerprints of suffix prefixes; rank r holds about 2**r batches."""
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
