@@ -322,14 +322,14 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, key: s
             done = writer.close()
             yield pa.RecordBatch.from_pylist([{"place": place, **done}])
 
-    saved = stored(ranged.sortWithinPartitions(*order).mapInArrow(save, "place int, file string, docs long, tokens long"), "saved")
+    saved = stored(ranged.sortWithinPartitions(*order).mapInArrow(save, "place long, file string, docs long, tokens long"), "saved")
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     saved.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{folder}/manifest")
     discard(coded, saved)
     return folder
 
 
-MANIFEST = "place int, file string, docs long, tokens long, start long"
+MANIFEST = "place long, file string, docs long, tokens long, start long"
 DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 #: Bytes of ids that a task hands over at once.
 OUT_BYTES = 4 << 20
