@@ -213,9 +213,12 @@ def codecs(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdD
 
 
 def sample(docs: DataFrame, text: str) -> list[str]:
-    """At most SAMPLE_DOCS short texts, those of the least hashes."""
-    short = docs.select(F.col(text).alias("text")).where((F.octet_length("text") <= SAMPLE_TEXT) & (F.length("text") > 0)).distinct()
-    return [row["text"] for row in short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()]
+    """At most SAMPLE_DOCS different short texts, about as many as there are: a share of the hash space is taken, the same texts each time."""
+    short = docs.select(F.col(text).alias("text")).where((F.octet_length("text") <= SAMPLE_TEXT) & (F.length("text") > 0))
+    known = short.count()
+    share = F.lit(int(min(1.0, SAMPLE_DOCS / max(known, 1)) * (1 << 53)))
+    chosen = short.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 11) <= share).distinct()
+    return [row["text"] for row in chosen.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()]
 
 
 def frames(docs: DataFrame, vocabulary: str, dictionary: bytes, end_id: int, key: str, text: str) -> DataFrame:
