@@ -35,15 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, steps, stored
+from .common import discard, release, small_batches, steps, stored
 
 LONGEST = 4
 LEAST = 30
 TOP = 2000
 #: Occurrences of phrases that a hash partition of the first pass stands for, on average.
-PARTITION_MASS = 32_000_000
+PARTITION_MASS = 16_000_000
 #: Counters that a task holds before it hands them over.
-HELD = 2_000_000
+HELD = 1_000_000
 #: The filter's bits a survivor, and bounds of its size in bits.
 BITS_EACH, FILTER_LEAST, FILTER_MOST = 32, 1 << 16, 1 << 28
 #: Bytes of text that are split at once.
@@ -165,19 +165,27 @@ def seed_of(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
 
+#: Rows of a summary: kind 0 has a task's mass in a hash partition, kind 1 its counters: ids in two arrays (low 32 and high 8 bits) and counts.
+SUMMARY = pa.schema([("place", pa.int64()), ("kind", pa.int32()), ("mass", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())])
+ID_BITS = np.uint64(40)
+ID = np.uint64((1 << 40) - 1)
+
+
 def summaries(rows: DataFrame, partitions: int) -> DataFrame:
-    """(place, mass, digests, counts): the counters of every task, cut by ranges of the digest space."""
+    """The counters of every task, cut by ranges of the digest space; within a range the low bits of a digest are its id."""
+
+    def out(digests, counts):
+        places = (digests >> ID_BITS) * np.uint64(partitions) >> np.uint64(24)
+        heads = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(places) else []
+        for start, end in zip(heads, [*heads[1:], len(places)]):
+            place, ids = int(places[start]), digests[start:end] & ID
+            yield pa.RecordBatch.from_pylist([
+                {"place": place, "kind": 0, "mass": int(counts[start:end].sum())},
+                {"place": place, "kind": 1, "low": ids.astype(np.uint32).tobytes(), "high": (ids >> np.uint64(32)).astype(np.uint8).tobytes(),
+                 "counts": counts[start:end].astype(np.uint32).tobytes()}], schema=SUMMARY)
 
     def run(batches):
         held, size = [], 0
-
-        def out(digests, counts):
-            places = (digests >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
-            heads = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(places) else []
-            for start, end in zip(heads, [*heads[1:], len(places)]):
-                yield {"place": int(places[start]), "mass": int(counts[start:end].sum()), "digests": digests[start:end].tobytes(),
-                       "counts": counts[start:end].astype(np.uint32).tobytes()}
-
         for part in steps(batches):
             for lang, texts in by_language(part):
                 for words, given in word_lists(texts):
@@ -188,63 +196,66 @@ def summaries(rows: DataFrame, partitions: int) -> DataFrame:
                         merged = summed(np.concatenate([d for d, _ in held]), np.concatenate([c for _, c in held]))
                         held, size = [merged], len(merged[0])
                         if size > HELD:
-                            yield pa.RecordBatch.from_pylist(list(out(*merged)), schema=SUMMARY)
+                            yield from out(*merged)
                             held, size = [], 0
         if held:
-            merged = summed(np.concatenate([d for d, _ in held]), np.concatenate([c for _, c in held]))
-            yield pa.RecordBatch.from_pylist(list(out(*merged)), schema=SUMMARY)
-        pa.default_memory_pool().release_unused()
+            yield from out(*summed(np.concatenate([d for d, _ in held]), np.concatenate([c for _, c in held])))
+        release()
 
-    return rows.mapInArrow(run, "place long, mass long, digests binary, counts binary")
-
-
-SUMMARY = pa.schema([("place", pa.int64()), ("mass", pa.int64()), ("digests", pa.binary()), ("counts", pa.binary())])
+    return rows.mapInArrow(run, "place long, kind int, mass long, low binary, high binary, counts binary")
 
 
 def survivors(parts: DataFrame, least: int) -> DataFrame:
-    """(digest) of all phrases that may occur ``least`` times: the summaries of each hash partition, merged."""
-    masses = parts.groupBy("place").agg(F.sum("mass").alias("all_mass"))
-    dealt = parts.join(masses, "place").select("place", "all_mass", "digests", "counts")
-    dealt = dealt.repartition("place").sortWithinPartitions("place")
+    """(id) of all phrases that may occur ``least`` times: the summaries of each hash partition, merged.
+
+    The rows of kind 0 come first, so the partition's mass is known when its counters are merged.
+    """
+    dealt = parts.repartition("place").sortWithinPartitions("place", "kind")
 
     def merge(batches):
-        place, capacity = None, 0
+        place, capacity = None, 1
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = short = 0
 
         def settle():
             nonlocal waiting, size, short
-            digests, counts = summed(np.concatenate([d for d, _ in waiting]), np.concatenate([c for _, c in waiting]))
-            digests, counts, less = reduced(digests, counts, capacity)
-            waiting, size, short = [(digests, counts)], len(digests), short + less
-            return digests[counts + short >= least]
+            ids, counts = summed(np.concatenate([d for d, _ in waiting]), np.concatenate([c for _, c in waiting]))
+            ids, counts, less = reduced(ids, counts, capacity)
+            waiting, size, short = [(ids, counts)], len(ids), short + less
+            return ids[counts + short >= least]
 
+        mass = 0
         for batch in batches:
             for at in range(batch.num_rows):
-                here, mass = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                here = batch.column(0)[at].as_py()
                 if here != place:
-                    if place is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(settle().view(np.int64))], names=["digest"])
-                    place, capacity, waiting, size, short = here, mass // least + 1, [], 0, 0
-                digests = np.frombuffer(batch.column(2)[at].as_buffer(), np.uint64)
-                waiting.append((digests, np.frombuffer(batch.column(3)[at].as_buffer(), np.uint32).astype(np.int64)))
-                size += len(digests)
+                    if waiting:
+                        yield pa.RecordBatch.from_arrays([pa.array(settle().astype(np.int64))], names=["id"])
+                    place, mass, waiting, size, short = here, 0, [], 0, 0
+                if batch.column(1)[at].as_py() == 0:
+                    mass += batch.column(2)[at].as_py()
+                    capacity = mass // least + 1
+                    continue
+                low, high, counts = (np.frombuffer(batch.column(i)[at].as_buffer(), kind) for i, kind in ((3, np.uint32), (4, np.uint8), (5, np.uint32)))
+                waiting.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), counts.astype(np.int64)))
+                size += len(low)
                 if size > capacity + 2 * HELD:
                     settle()
-        if place is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(settle().view(np.int64))], names=["digest"])
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(settle().astype(np.int64))], names=["id"])
+        release()
 
-    return dealt.mapInArrow(merge, "digest long")
+    return dealt.mapInArrow(merge, "id long")
 
 
-def filter_of(digests: DataFrame) -> np.ndarray:
-    """A filter of a power of two bits, at most FILTER_MOST, that is set at every digest."""
-    wanted = digests.count() * BITS_EACH
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """A filter of a power of two bits, at most FILTER_MOST, that is set at every id."""
+    wanted = ids.count() * BITS_EACH
     bits = FILTER_LEAST
     while bits < min(wanted, FILTER_MOST):
         bits *= 2
-    at = F.col("digest").bitwiseAND(F.lit(bits - 1))
-    words = digests.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(digest & 63 AS INT)))").alias("set"))
+    at = F.col("id").bitwiseAND(F.lit(bits - 1))
+    words = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(id & 63 AS INT)))").alias("set"))
     found = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
@@ -286,11 +297,11 @@ def exact(rows: DataFrame, table: np.ndarray) -> DataFrame:
                         if phrase not in counts:
                             size += 1
                         counts[phrase] = counts.get(phrase, 0) + int(times)
-                    if size > HELD // 4:
+                    if size > HELD // 5:
                         yield from out()
                         held, size = {}, 0
         yield from out()
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(run, "lang string, phrase string, words int, n long")
 
@@ -302,10 +313,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = max(8, -(-size * LONGEST // 6 // PARTITION_MASS))
-    parts = stored(summaries(rows, partitions), "summaries")
-    found = stored(survivors(parts, least), "survivors")
+    found = stored(survivors(summaries(rows, partitions), least), "survivors")
     table = filter_of(found)
-    discard(parts, found)
+    discard(found)
     counts = exact(rows, table).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return counts.where((F.col("n") >= least) | (F.col("words") == 0))
 

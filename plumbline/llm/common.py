@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,14 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
             yield batch.slice(start, rows)
 
 
+def release() -> None:
+    """At the end of a task: give back what the worker process no longer uses, since it stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what Spark hands to Python at once, so that a run of very long texts fits in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -59,7 +68,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fill: Callable[[pa.R
             new = fill(part)
             arrays = [part.column(i) for i in positions] + new
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
-        pa.default_memory_pool().release_unused()  # the worker process stays for later tasks
+        release()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, steps, stored
+from .common import discard, release, small_batches, steps, stored
 
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
@@ -182,7 +182,7 @@ def counted(rows: DataFrame, bits: int, with_strings: bool) -> DataFrame:
                 if counters.size > HELD:
                     yield from counters.rows()
         yield from counters.rows()
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(run, COUNTED_SCHEMA)
 

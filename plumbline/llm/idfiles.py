@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import discard, scratch, small_batches, steps, stored
+from .common import discard, release, scratch, small_batches, steps, stored
 
 MAGIC = b"IDZ1"
 HEADER = struct.Struct("<4sBI32s")
@@ -233,7 +233,7 @@ def frames(docs: DataFrame, vocabulary: str, dictionary: bytes, end_id: int, key
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array([len(one) // coder.kind.itemsize for one in ids], pa.int64()),
                 pa.array([compressor.compress(one) for one in ids], pa.binary())], names=["key", "tie", "tokens", "frame"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(run, "key long, tie long, tokens long, frame binary")
 
