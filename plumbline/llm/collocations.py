@@ -47,7 +47,7 @@ HELD = 1_000_000
 #: The filter's bits a survivor, and bounds of its size in bits.
 BITS_EACH, FILTER_LEAST, FILTER_MOST = 32, 1 << 16, 1 << 28
 #: Bytes of text that are split at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Ends a piece, stands between texts; UTF-8 has no such byte.
 STOP = b"\xff"
 #: The signs that end a piece.
@@ -86,54 +86,55 @@ def word_lists(texts: list):
         yield b" \xff ".join(held).split(), 0
 
 
-class Numbers(dict):
-    """Words by the order in which they were met; STOP is 0."""
+class Words(dict):
+    """The words a task has met by number, with a hash of each; STOP is 0."""
+
+    def __init__(self):
+        super().__init__({STOP: 0})
+        self.list = [STOP]
+        self.hashes = np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
+        self[word] = number = len(self.list)
+        self.list.append(word)
         return number
 
-
-class Phrases:
-    """The phrases of one list of words: their digests, and their words on demand."""
-
-    def __init__(self, words: list[bytes], given: int, seed: int):
-        numbers = Numbers({STOP: 0})
-        self.numbers = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.words, self.given = list(numbers), given
-        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
-
-    def each(self):
-        """(length, starts, digests) of all phrases of a length that end beyond what was given before."""
-        stops = np.concatenate(([0], np.cumsum(self.numbers == 0)))
-        hashes = self.hashes[self.numbers]
-        digests = np.zeros(len(hashes), np.uint64)
-        for length in range(1, LONGEST + 1):
-            n = len(hashes) - length + 1
-            if n <= 0:
-                return
-            with np.errstate(over="ignore"):
-                digests = (digests[:n] ^ hashes[length - 1 :]) * MIX
-                digests ^= digests >> np.uint64(29)
-                ended = digests * TURN
-                ended ^= ended >> np.uint64(32)
-            starts = np.flatnonzero(stops[length:] == stops[:n])
-            starts = starts[starts + length > self.given]
-            yield length, starts, ended[starts]
-
-    def counted(self, chosen: list[tuple[int, np.ndarray]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Phrases, lengths and counts of the chosen starts; phrases are told apart by their words."""
-        phrases, lengths, counts = [], [], []
-        for length, starts in chosen:
-            key = self.numbers[starts]
-            for step in range(1, length):
-                key = np.unique(key, return_inverse=True)[1] << 32 | self.numbers[starts + step]
-            _, firsts, times = np.unique(key, return_index=True, return_counts=True)
-            rows = self.numbers[starts[firsts][:, None] + np.arange(length)].tolist()
-            phrases += [b" ".join([self.words[n] for n in row]).decode() for row in rows]
-            lengths += [length] * len(rows)
-            counts.append(times)
-        return phrases, np.array(lengths, np.int32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        fresh = [xxhash.xxh64_intdigest(w) for w in self.list[len(self.hashes):]]
+        if fresh:
+            self.hashes = np.concatenate([self.hashes, np.array(fresh, np.uint64)])
+        return found
+
+
+def phrases_of(numbers: np.ndarray, hashes: np.ndarray, given: int, seed: int):
+    """(length, starts, digests) of all phrases of a length that end beyond what was given before."""
+    stops = np.concatenate(([0], np.cumsum(numbers == 0)))
+    hashes = hashes[numbers]
+    digests = np.full(len(hashes), seed, np.uint64)
+    for length in range(1, LONGEST + 1):
+        n = len(hashes) - length + 1
+        if n <= 0:
+            return
+        with np.errstate(over="ignore"):
+            digests = (digests[:n] ^ hashes[length - 1 :]) * MIX
+            digests ^= digests >> np.uint64(29)
+            ended = digests * TURN
+            ended ^= ended >> np.uint64(32)
+        starts = np.flatnonzero(stops[length:] == stops[:n])
+        starts = starts[starts + length > given]
+        yield length, starts, ended[starts]
+
+
+def told_apart(digests: np.ndarray, front: np.ndarray, back: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts added up by the words of a phrase (two numbers in ``front``, two in ``back``).
+
+    Rows are sorted by digest alone; where phrases share one, a phrase may get several rows, which are added later.
+    """
+    order = np.argsort(digests, kind="stable")
+    digests, front, back = digests[order], front[order], back[order]
+    heads = np.flatnonzero(np.r_[True, (front[1:] != front[:-1]) | (back[1:] != back[:-1])])
+    return digests[heads], front[heads], back[heads], np.add.reduceat(counts[order], heads)
 
 
 def summed(digests: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +186,14 @@ def summaries(rows: DataFrame, partitions: int) -> DataFrame:
                  "counts": counts[start:end].astype(np.uint32).tobytes()}], schema=SUMMARY)
 
     def run(batches):
-        held, size = [], 0
+        held, size, known = [], 0, Words()
         for part in steps(batches):
             for lang, texts in by_language(part):
                 for words, given in word_lists(texts):
-                    for _, _, digests in Phrases(words, given, seed_of(lang)).each():
+                    if len(known) > HELD // 2:
+                        known = Words()
+                    numbers = known.numbers(words)
+                    for _, _, digests in phrases_of(numbers, known.hashes, given, seed_of(lang)):
                         held.append(np.unique(digests, return_counts=True))
                         size += len(held[-1][0])
                     if size > 2 * HELD:
@@ -265,42 +269,61 @@ def filter_of(ids: DataFrame) -> np.ndarray:
 def exact(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """(lang, phrase, words, n) of what passes the filter, partly summed; the phrase '' counts all words."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    names = ["lang", "phrase", "words", "n"]
+
+    def part_of(lang, phrases, lengths, counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())],
+            names=["lang", "phrase", "words", "n"])
 
     def run(batches):
         bits = shared.value
         last = np.uint64(len(bits) * 64 - 1)
-        held: dict[tuple[str, int], dict[str, int]] = {}
-        size = 0
+        words, totals, size, full = Words(), {}, 0, False
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+
+        def merge() -> int:
+            for lang, parts in held.items():
+                held[lang] = [told_apart(*(np.concatenate(column) for column in zip(*parts)))]
+            return sum(len(parts[0][0]) for parts in held.values())
 
         def out():
-            for (lang, length), counts in held.items():
-                phrases = list(counts)
-                for start in range(0, len(phrases), 50_000):
-                    part = phrases[start : start + 50_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([length] * len(part), pa.int32()), pa.array([counts[p] for p in part], pa.int64())], names=names)
+            for lang, parts in held.items():
+                for _, front, back, counts in parts:
+                    for at in range(0, len(counts), 50_000):
+                        cut = slice(at, at + 50_000)
+                        rows = np.stack([front[cut] >> 32, front[cut] & 0xFFFFFFFF, back[cut] >> 32, back[cut] & 0xFFFFFFFF], axis=1)
+                        phrases = [b" ".join([words.list[n] for n in row if n]).decode() for row in rows.tolist()]
+                        yield part_of(lang, phrases, (rows > 0).sum(axis=1), counts[cut])
 
         for part in steps(batches):
             for lang, texts in by_language(part):
-                for words, given in word_lists(texts):
-                    found, chosen = Phrases(words, given, seed_of(lang)), []
-                    for length, starts, digests in found.each():
+                for given_words, given in word_lists(texts):
+                    numbers = words.numbers(given_words)
+                    ahead = np.concatenate([numbers, np.zeros(LONGEST, np.int64)])
+                    for length, starts, digests in phrases_of(numbers, words.hashes, given, seed_of(lang)):
                         if length == 1:
-                            total = held.setdefault((lang, 0), {})
-                            total[""] = total.get("", 0) + len(starts)
+                            totals[lang] = totals.get(lang, 0) + len(starts)
                         at = digests & last
-                        passed = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-                        chosen.append((length, starts[passed == 1]))
-                    for phrase, length, times in zip(*(list(x) for x in found.counted(chosen))):
-                        counts = held.setdefault((lang, int(length)), {})
-                        if phrase not in counts:
-                            size += 1
-                        counts[phrase] = counts.get(phrase, 0) + int(times)
-                    if size > HELD // 5:
+                        passed = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                        starts, digests = starts[passed], digests[passed]
+                        if not len(starts):
+                            continue
+                        columns = [ahead[starts + n] if n < length else np.zeros(len(starts), np.int64) for n in range(LONGEST)]
+                        found = told_apart(digests, columns[0] << 32 | columns[1], columns[2] << 32 | columns[3], np.ones(len(starts), np.int64))
+                        held.setdefault(lang, []).append(found)
+                        size += len(found[0])
+                    if size > 2 * HELD:
+                        size = merge()
+                        full = size > HELD
+                    if full or len(words) > HELD // 2:
+                        merge()
                         yield from out()
-                        held, size = {}, 0
-        yield from out()
+                        held, size, words, full = {}, 0, Words(), False
+        if held:
+            merge()
+            yield from out()
+        for lang, total in totals.items():
+            yield part_of(lang, [""], [0], [total])
         release()
 
     return rows.mapInArrow(run, "lang string, phrase string, words int, n long")
