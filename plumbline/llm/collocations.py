@@ -43,7 +43,9 @@ TOP = 2000
 #: Occurrences of phrases that a hash partition of the first pass stands for, on average.
 PARTITION_MASS = 16_000_000
 #: Counters that a task holds before it hands them over.
-HELD = 1_000_000
+HELD = 500_000
+#: Counted phrases that a task holds before it hands them over, and the words it knows by number.
+KEPT, KNOWN = 700_000, 200_000
 #: The filter's bits a survivor, and bounds of its size in bits.
 BITS_EACH, FILTER_LEAST, FILTER_MOST = 32, 1 << 16, 1 << 28
 #: Bytes of text that are split at once.
@@ -190,7 +192,7 @@ def summaries(rows: DataFrame, partitions: int) -> DataFrame:
         for part in steps(batches):
             for lang, texts in by_language(part):
                 for words, given in word_lists(texts):
-                    if len(known) > HELD // 2:
+                    if len(known) > KNOWN:
                         known = Words()
                     numbers = known.numbers(words)
                     for _, _, digests in phrases_of(numbers, known.hashes, given, seed_of(lang)):
@@ -312,10 +314,10 @@ def exact(rows: DataFrame, table: np.ndarray) -> DataFrame:
                         found = told_apart(digests, columns[0] << 32 | columns[1], columns[2] << 32 | columns[3], np.ones(len(starts), np.int64))
                         held.setdefault(lang, []).append(found)
                         size += len(found[0])
-                    if size > 2 * HELD:
+                    if size > KEPT * 3 // 2:
                         size = merge()
-                        full = size > HELD
-                    if full or len(words) > HELD // 2:
+                        full = size > KEPT
+                    if full or len(words) > KNOWN:
                         merge()
                         yield from out()
                         held, size, words, full = {}, 0, Words(), False
