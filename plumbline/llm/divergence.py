@@ -64,7 +64,7 @@ def pieces(text: bytes):
     """The terms of a text, in lists of bounded size."""
     text = text.translate(TERMS)
     while len(text) > PIECE:
-        at = text.rfind(b" ", 0, PIECE)
+        at = text.rfind(b" ", 1, PIECE)
         if at < 0:
             at = text.find(b" ", PIECE)
             at = len(text) if at < 0 else at
