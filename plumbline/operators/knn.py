@@ -1,12 +1,17 @@
 """Exact nearest neighbours by cosine (survey V1-V6).
 
-Vectors of a group are hashed into blocks of bounded size.  One task compares
-one block of queries with one block of candidates by matrix product and
-returns at most ``k`` rows per query, so no pair list is ever formed, a group
-holding a third of all vectors is spread over many tasks, and nothing is
-approximated.  With a score threshold the candidates are first split by a few
-reference directions and whole splits are skipped when the triangle
-inequality on the sphere rules them out.
+A group that fits in one block is compared as it is.  Larger groups go through
+an index of pivots, about the square root of the rows: every vector belongs to
+its nearest pivot, each pivot knows the nearest and the farthest of its vectors,
+and neighbouring pivots form a segment of about a block.  A query first looks
+into the segment it lies in, which gives a bound on its k-th score; by the triangle
+inequality on the sphere only segments with a pivot whose ring reaches into the bound
+are visited then.  Nothing is approximated: where vectors are so far apart that no ring
+can be ruled out, all segments are visited.
+
+One task compares one block of queries with one block of candidates by matrix
+product and returns at most ``k`` rows per query, so no pair list is ever
+formed and a group holding a third of all vectors is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -18,9 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialized
+
 BLOCK_ROWS = 16_384
-REFERENCES = 16  # bound on what the driver reads: this many vectors
+MOST_PIVOTS = 1024  # bound on what the driver reads: twice as many vectors
 SLACK = 1e-9
+ANGLE_SLACK = 1e-6  # arc cosine near 1 loses half the digits
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -32,25 +40,58 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return _unit(np.vstack([np.asarray(v, dtype="float64") for v in series]))
 
 
-def _references(df: DataFrame, vec: str) -> list[list[float]]:
-    """A few distinct vectors chosen by hash of their content."""
-    rows = (
-        df.select(F.col(vec).alias("v"), F.xxhash64(F.to_json(F.array(vec))).alias("h"))
-        .orderBy("h").limit(REFERENCES).collect()
-    )
-    return [list(map(float, r["v"])) for r in rows]
+def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angles between vectors and pivots; a vector without direction is at a right angle to all, as its score of 0 says."""
+    return np.arccos(np.clip(_matrix(vectors) @ pivots.T, -1.0, 1.0))
+
+
+class PivotIndex:
+    """Pivots, their segments and rings; small enough to be sent to every task."""
+
+    def __init__(self, rows: DataFrame, total: int, block_rows: int):
+        wanted = min(MOST_PIVOTS, math.isqrt(total) + 1)
+        share = F.lit(int(min(1.0, wanted / total) * (1 << 53)))
+        chosen = rows.filter(F.shiftrightunsigned(F.xxhash64("_id", F.lit("pivot")), 11) <= share).select("_v").limit(2 * wanted).collect()
+        self.pivots = _unit(np.asarray([r["_v"] for r in chosen], dtype="float64")) if chosen else np.zeros((0, 0))
+        leaders = max(1, min(len(chosen), -(-2 * total // block_rows)))
+        self.segment = np.argmax(self.pivots @ self.pivots[:leaders].T, axis=1) if len(chosen) else np.zeros(0, np.int64)
+        self.least = self.most = np.zeros(len(chosen))
+
+    def place(self, vec: str) -> Column:
+        """(pivot, segment, angle) of a vector."""
+        pivots, segment = self.pivots, self.segment
+
+        @F.pandas_udf("pivot int, segment int, angle double")
+        def find(v: pd.Series) -> pd.DataFrame:
+            if v.empty:
+                return pd.DataFrame({"pivot": [], "segment": [], "angle": []})
+            angles = _angles(v, pivots)
+            near = angles.argmin(axis=1)
+            return pd.DataFrame({"pivot": near, "segment": segment[near], "angle": angles[np.arange(len(near)), near]})
 
+        return find(vec)
 
-def _angles(vec: Column, refs: list[list[float]]) -> Column:
-    fixed = _unit(np.asarray(refs, dtype="float64"))
+    def measure(self, placed: DataFrame) -> None:
+        """Take the rings from the placed rows: at most a row a pivot reaches the driver."""
+        rings = placed.groupBy("_at.pivot").agg(F.min("_at.angle").alias("a"), F.max("_at.angle").alias("b")).collect()
+        self.least, self.most = np.full(len(self.pivots), np.inf), np.full(len(self.pivots), -np.inf)
+        for r in rings:
+            self.least[r["pivot"]], self.most[r["pivot"]] = r["a"], r["b"]
 
-    @F.pandas_udf("array<double>")
-    def measure(v: pd.Series) -> pd.Series:
-        if v.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.arccos(np.clip(_matrix(v) @ fixed.T, -1.0, 1.0))))
+    def visits(self, vec: str, bound: str, home: str) -> Column:
+        """The segments, but for the home, that may hold a vector whose score is not below the bound."""
+        pivots, segment, least, most = self.pivots, self.segment, self.least, self.most
 
-    return measure(vec)
+        @F.pandas_udf("array<int>")
+        def find(v: pd.Series, score: pd.Series, own: pd.Series) -> pd.Series:
+            if v.empty:
+                return pd.Series([], dtype=object)
+            angles = _angles(v, pivots)
+            reach = np.arccos(np.clip(score.to_numpy(dtype="float64") - SLACK, -1.0, 1.0))[:, None] + ANGLE_SLACK
+            near = (angles - most <= reach) & (least - angles <= reach)
+            return pd.Series([sorted(set(segment[row].tolist()) - {at}) for row, at in zip(near, own.tolist())])
+
+        return find(vec, bound, home)
 
 
 def knn_join(
@@ -62,38 +103,62 @@ def knn_join(
 
     Returns the group columns, ``query_id``, ``neighbour_id``, ``score`` and
     ``rank`` (ties by id).  ``mark`` names a column to carry along; both its
-    values are returned as ``query_mark`` and ``neighbour_mark``.
+    values are returned as ``query_mark`` and ``neighbour_mark``.  The vectors
+    are computed once and kept in the shared folder.
     """
     g = [f"_g{i}" for i in range(len(group))]
     carried = F.col(mark).cast("string") if mark else F.lit(None).cast("string")
+    floor = -2.0 if min_score is None else min_score
 
-    def side(df: DataFrame) -> DataFrame:
-        return df.select(
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return materialized(df.select(
             *[F.col(c).alias(n) for c, n in zip(group, g)],
             F.col(id).cast("string").alias("_id"), F.col(vec).cast("array<double>").alias("_v"),
             carried.alias("_m"),
-        )
-
-    q, c = side(queries), side(corpus)
-    refs = _references(corpus, vec) if min_score is not None else []
-    cell = [*g]
-    if refs:
-        reach = math.acos(max(-1.0, min(1.0, min_score))) + SLACK
-        c = c.withColumn("_a", _angles(F.col("_v"), refs)).withColumn("_near", F.array_min("_a")).withColumn(
-            "_cell", F.array_position("_a", F.col("_near")).cast("int")).drop("_a")
-        spread = c.groupBy(*g, "_cell").agg(F.max("_near").alias("_radius")).select(
-            *[F.col(n).alias(n) for n in g], F.col("_cell").alias("_split"), "_radius")
-        # at most REFERENCES rows per group, so each query gets at most that many copies
-        q = q.withColumn("_a", _angles(F.col("_v"), refs)).join(spread, g).filter(
-            F.element_at("_a", F.col("_split")) <= F.col("_radius") + reach
-        ).withColumnRenamed("_split", "_cell").drop("_a", "_radius")
-        c = c.drop("_near")
-        cell = [*g, "_cell"]
+        ), name)
+
+    c = side(corpus, "candidates")
+    q = c.select(*[F.col(n).alias(n) for n in c.columns]) if queries is corpus else side(queries, "queries")
+    total = c.count()
+    w = Window.partitionBy(*g, "query_id").orderBy(F.col("score").desc(), F.col("neighbour_id"))
+    if total <= block_rows:
+        home = F.lit(0).alias("_cell")
+        best = _compare(q.select("*", home), c.select("*", home), k, g, floor, include_self, block_rows)
+    else:
+        index = PivotIndex(c, total, block_rows)
+        large = c.groupBy(*g).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block_rows).select(*g, F.lit(True).alias("_large"))
+
+        def placed(df: DataFrame) -> DataFrame:
+            """Small groups are one cell, the segments of large ones a cell each."""
+            known = df.join(large, g, "left").withColumn("_at", F.when(F.col("_large"), index.place("_v")))
+            return known.withColumn("_cell", F.coalesce("_at.segment", F.lit(0)))
+
+        index.measure(placed(c).filter("_large"))
+        cells, asked = placed(c).drop("_at", "_large"), placed(q).drop("_at")
+        first = _compare(asked.drop("_large"), cells, k, g, floor, include_self, block_rows)
+        first = materialized(first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank"), "home_neighbours")
+        bounds = first.groupBy(*g, F.col("query_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
+        bounded = asked.filter("_large").join(bounds, [*g, "_id"], "left").withColumn(
+            "_bound", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(max(floor, -1.0))))
+        visits = materialized(bounded.select(
+            *g, "_id", F.explode(index.visits("_v", "_bound", "_cell")).alias("_cell")).distinct(), "visits")
+        rest = _compare(q.join(visits, [*g, "_id"]), cells, k, g, floor, include_self, block_rows, visits)
+        best = first.unionByName(rest)
+    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    extra = ["query_mark", "neighbour_mark"] if mark else []
+    return ranked.select(*[F.col(n).alias(o) for n, o in zip(g, group)], "query_id", "neighbour_id", "score", "rank", *extra)
+
+
+def _compare(
+    q: DataFrame, c: DataFrame, k: int, g: list[str], floor: float, include_self: bool, block_rows: int, counted: DataFrame | None = None,
+) -> DataFrame:
+    """The best ``k`` of every query against its cell, in blocks; ``counted`` has a row for each query where that is cheaper to count."""
+    cell = [*g, "_cell"]
 
     def blocks(df: DataFrame) -> DataFrame:
         return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
 
-    q_blocks, c_blocks = blocks(q).withColumnRenamed("_blocks", "_qn"), blocks(c).withColumnRenamed("_blocks", "_cn")
+    q_blocks, c_blocks = blocks(q if counted is None else counted).withColumnRenamed("_blocks", "_qn"), blocks(c).withColumnRenamed("_blocks", "_cn")
     shape = q_blocks.join(c_blocks, cell)
     pick = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
     q = q.join(shape, cell).withColumn("_qb", pick("_qn")).withColumn(
@@ -101,7 +166,6 @@ def knn_join(
     c = c.join(shape, cell).withColumn("_cb", pick("_cn")).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.col("_qn") - 1))).drop("_qn", "_cn")
 
-    floor = -2.0 if min_score is None else min_score
     out_cols = [*g, "query_id", "neighbour_id", "score", "query_mark", "neighbour_mark"]
     types = dict(q.dtypes)
     schema = ", ".join([*[f"{n} {types[n]}" for n in g], "query_id string, neighbour_id string, score double",
@@ -135,11 +199,7 @@ def knn_join(
         return out[out_cols]
 
     pair = [*cell, "_qb", "_cb"]
-    best = q.groupBy(*pair).cogroup(c.groupBy(*pair)).applyInPandas(compare, schema)
-    w = Window.partitionBy(*g, "query_id").orderBy(F.col("score").desc(), F.col("neighbour_id"))
-    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    extra = ["query_mark", "neighbour_mark"] if mark else []
-    return ranked.select(*[F.col(n).alias(o) for n, o in zip(g, group)], "query_id", "neighbour_id", "score", "rank", *extra)
+    return q.groupBy(*pair).cogroup(c.groupBy(*pair)).applyInPandas(compare, schema)
 
 
 def nearest(corpus: DataFrame, query: Column, vec: str, k: int, *ties: str) -> DataFrame:

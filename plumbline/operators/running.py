@@ -1,10 +1,12 @@
-"""Running sums and lookups along time, split into time buckets.
+"""Running sums and lookups along time, split into time buckets of equal depth.
 
 A plain window over a series sorts the whole series in one task.  Here the
 work inside a bucket runs per (key, bucket), one summary row per (key, bucket)
 carries the state across buckets, and the two are joined back on the bucket.
-A series that holds a third of all rows is therefore spread over as many
-tasks as it has buckets, and nothing is dropped.
+A first count by (key, hour) says where the buckets of a key begin: each
+holds about ``DEPTH`` marks, so a series that has a third of all rows within an hour is
+spread over as many tasks as its rows need, a sparse one is one bucket, and
+nothing is dropped.
 
 Everything is placed on a time line as *marks*: a mark may ask (it carries the
 row to answer in ``_row``), add to sums, or set a value others look back for.
@@ -20,23 +22,51 @@ from pyspark.sql import functions as F
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
+#: Marks that a bucket is to hold.
+DEPTH = 1 << 18
 
 
 def micros(at) -> Column:
     return F.unix_micros((F.col(at) if isinstance(at, str) else at).cast("timestamp"))
 
 
+def bucketed(marks: DataFrame, keys: list[str], depth: int, slot_us: int = HOUR) -> DataFrame:
+    """The marks with ``_bucket``: runs of time slots of one key that hold about ``depth`` marks.
+
+    Slots are counted before anything is sorted.  A slot with more marks than that
+    is cut into as many equal parts as it needs; only the keys that need more than one bucket
+    are looked up, and their bucket starts are one array.
+    """
+    slot = F.floor(F.col("_t") / slot_us).cast("bigint")
+    counts = marks.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    running = counts.withColumn("_sum", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    nth = lambda c: F.floor(c / depth)
+    parts = F.least(nth(F.col("_sum") + F.col("_n") - 1) - nth(F.col("_sum")) + 1, F.lit(slot_us))
+    # a slot begins a bucket where the running count passes a multiple of the depth
+    step = F.floor(F.lit(slot_us) / parts)
+    starts = running.filter((nth(F.col("_sum") + F.col("_n") - 1) > nth(F.col("_sum") - 1)) & (F.col("_sum") + F.col("_n") > depth)).select(
+        *keys, F.explode(F.transform(F.sequence(F.lit(0), (parts - 1).cast("int")), lambda i: F.col("_slot") * slot_us + i * step)).alias("_start"))
+    packed = starts.groupBy(*keys).agg(F.collect_list("_start").alias("_starts"))
+    known = marks.join(packed, keys, "left")
+    passed = F.size(F.filter("_starts", lambda s: s <= F.col("_t")))
+    return known.withColumn("_bucket", F.when(F.col("_starts").isNull(), 0).otherwise(passed).cast("bigint")).drop("_starts")
+
+
 def answer(
-    marks: DataFrame, keys: list[str], sums: list[str], lasts: list[str], bucket_us: int = DAY,
+    marks: DataFrame, keys: list[str], sums: list[str], lasts: list[str], bucket_us: int | None = None, depth: int = DEPTH,
 ) -> DataFrame:
     """The asking marks with all sums and the last set values placed before them.
 
     ``marks`` has the keys, ``_t`` (microseconds), ``_side`` (order at equal
     times), ``_tie`` (order at equal sides), ``_row`` (null for marks that do
     not ask), and the named columns: numbers or null for ``sums``, values or
-    null for ``lasts``.
+    null for ``lasts``.  Buckets are of equal depth unless ``bucket_us`` fixes their length.
     """
-    placed = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint"))
+    if bucket_us is None:
+        placed = bucketed(marks, keys, depth)
+    else:
+        placed = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = placed.select(
@@ -63,7 +93,7 @@ def answer(
 def asof_join(
     left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
     payload: list[str], *, name: str = "asof", strict: bool = False, tie: str | None = None,
-    forward: bool = False, within_us: int | None = None, bucket_us: int = DAY,
+    forward: bool = False, within_us: int | None = None, bucket_us: int | None = None, depth: int = DEPTH,
 ) -> DataFrame:
     """Each left row with the nearest right row at or before it (survey J7, W2, W4).
 
@@ -80,7 +110,7 @@ def asof_join(
                      (F.col(tie).cast("string") if tie else F.lit("")).alias("_tie"), match.alias("_match"))
     l = left.select(*keys, (micros(left_at) * sign).alias("_t"), F.lit(1).alias("_side"), F.lit("").alias("_tie"),
                     F.struct(*left.columns).alias("_row"))
-    found = answer(l.unionByName(r, allowMissingColumns=True), keys, [], ["_match"], bucket_us)
+    found = answer(l.unionByName(r, allowMissingColumns=True), keys, [], ["_match"], bucket_us, depth)
     m = F.col("_match")
     if within_us is not None:
         m = F.when(F.abs(F.col("_t") - micros(m[right_at]) * sign) <= within_us, m)
@@ -114,7 +144,7 @@ def mark(t: Column, side: int, tie: Column | None = None, **values: Column) -> C
 
 def open_intervals(
     probes: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str,
-    name: str = "open_count", bucket_us: int = DAY,
+    name: str = "open_count", bucket_us: int | None = None, depth: int = DEPTH,
 ) -> DataFrame:
     """How many intervals hold each probe's time, both ends inclusive (survey J6).
 
@@ -127,5 +157,5 @@ def open_intervals(
     changes = intervals.select(*keys, F.inline(ends))
     asks = probes.select(*keys, micros(at).alias("_t"), F.lit(1).alias("_side"), F.lit("").alias("_tie"),
                          F.struct(*probes.columns).alias("_row"))
-    counted = answer(asks.unionByName(changes, allowMissingColumns=True), keys, ["_open"], [], bucket_us)
+    counted = answer(asks.unionByName(changes, allowMissingColumns=True), keys, ["_open"], [], bucket_us, depth)
     return counted.select("_row.*", F.col("_open").alias(name))

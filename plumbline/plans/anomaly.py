@@ -1,7 +1,7 @@
 """Entropy and pressure anomalies of metric series (survey W2-W4, R9-R11).
 
-Series are keyed by repository, scope, subject and key.  All lookbacks are
-bucketed by day, so one busy series is spread over as many tasks as it has days.
+Series are keyed by repository, scope, subject and key.  All lookbacks work in
+time buckets of equal depth, so one busy series is spread over as many tasks as its rows need.
 """
 
 from __future__ import annotations

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.edges import bucket_entropy, edge_diff
-from plumbline.operators.knn import knn_join
+from plumbline.operators.knn import PivotIndex, knn_join
 from plumbline.operators.merge import insert_absent, replace_keeping, upsert
-from plumbline.operators.running import DAY, HOUR, asof_join, open_intervals
+from plumbline.operators.running import DAY, HOUR, asof_join, bucketed, open_intervals
 from plumbline.operators.spacing import keep_spaced, quiet_after, quiet_before
 from plumbline.plans import anomaly
 
@@ -45,6 +45,31 @@ def test_asof_join(spark, strict, forward):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("strict,forward", [(False, False), (True, True)])
+def test_asof_join_in_buckets_of_equal_depth(spark, strict, forward):
+    """Buckets of 20 marks give the rows of one bucket, ties and null keys included."""
+    rng = random.Random(11)
+    left = [(i, k, at(s)) for i, (k, s) in enumerate(hot(rng, 400, 900))] + [(1000, None, at(5))]
+    right = [(k, at(s), f"{i:04d}") for i, (k, s) in enumerate(hot(rng, 300, 900))]
+    right = list({(k, t): (k, t, v) for k, t, v in right}.values())
+    l = spark.createDataFrame(left, "id int, k string, at timestamp")
+    r = spark.createDataFrame(right, "k string, at timestamp, v string")
+    look = lambda depth: {x["id"]: x["v"] for x in asof_join(l, r, ["k"], "at", "at", ["v"], strict=strict, forward=forward, depth=depth).select("id", "asof.v").collect()}
+    assert look(20) == look(1 << 18) and len(look(20)) == 401
+
+
+def test_a_busy_hour_is_several_buckets(spark):
+    busy = spark.range(6000).select(F.lit("hot").alias("k"), (F.col("id") % 3600 * 1_000_000).alias("_t"))
+    calm = spark.range(50).select(F.lit("calm").alias("k"), (F.col("id") * HOUR * 24).alias("_t"))
+    got = {(x["k"], x["_bucket"]): (x["n"], x["a"], x["b"]) for x in bucketed(busy.union(calm), ["k"], 1000).groupBy("k", "_bucket").agg(
+        F.count("*").alias("n"), F.min("_t").alias("a"), F.max("_t").alias("b")).collect()}
+    assert got["calm", 0][0] == 50 and len([k for k in got if k[0] == "calm"]) == 1
+    hot_ones = [x for k, x in sorted(got.items()) if k[0] == "hot"]
+    assert len(hot_ones) == 6
+    assert sum(n for n, _, _ in hot_ones) == 6000 and max(n for n, _, _ in hot_ones) <= 1200
+    assert all(x[2] < y[1] for x, y in zip(hot_ones, hot_ones[1:]))
+
+
 def test_asof_within(spark):
     l = spark.createDataFrame([(1, at(100)), (2, at(5000))], "id int, at timestamp").withColumn("k", F.lit("a"))
     r = spark.createDataFrame([("a", at(40), 9)], "k string, at timestamp, v int")
@@ -173,3 +198,48 @@ def test_hot_key_is_split(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and "_bucket" in plan
     assert out.filter(F.coalesce("asof.v", F.lit(-1)) != F.col("v") - 1).count() == 0
+
+
+def clustered(n, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 50, 16))
+    v = np.vstack([centres[i % len(centres)] + rng.normal(scale=0.05, size=16) for i in range(n)])
+    v[:3] = 0.0  # no direction: score 0 with all
+    v[3:9] = v[9]  # equal vectors
+    return v
+
+
+def brute_neighbours(v, k):
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+    sim = np.round(np.clip(unit @ unit.T, -1.0, 1.0), 12)
+    return {f"{i:05d}": [f"{j:05d}" for j in sorted((j for j in range(len(v)) if j != i), key=lambda j: (-sim[i, j], j))[:k]] for i in range(len(v))}
+
+
+def test_pivot_index_is_exact_and_visits_few_segments(spark):
+    seen = {}
+    for n in (500, 2000):
+        v = clustered(n)
+        df = spark.createDataFrame([(f"{i:05d}", "g", [float(x) for x in v[i]]) for i in range(n)], "id string, g string, v array<double>")
+        got = {}
+        for x in knn_join(df, df, 5, id="id", vec="v", group=["g"], block_rows=64).collect():
+            got.setdefault(x["query_id"], {})[x["rank"]] = x["neighbour_id"]
+        assert {q: [r[i] for i in sorted(r)] for q, r in got.items()} == brute_neighbours(v, 5)
+        rows = df.select(F.col("id").alias("_id"), F.col("v").alias("_v"))
+        index = PivotIndex(rows, n, 64)
+        placed = rows.withColumn("_at", index.place("_v"))
+        index.measure(placed)
+        asked = placed.select("_v", F.col("_at.segment").alias("_cell"), F.lit(0.97).alias("_bound"))
+        seen[n] = asked.agg(F.sum(F.size(index.visits("_v", "_bound", "_cell")))).first()[0] / n
+        assert seen[n] < 0.35 * index.segment.max()
+    assert seen[2000] < 2.5 * seen[500] + 1
+
+
+def test_knn_of_few_queries_and_two_frames(spark):
+    v = clustered(300, 8)
+    df = spark.createDataFrame([(f"{i:05d}", "g" if i % 2 else None, [float(x) for x in v[i]]) for i in range(300)], "id string, g string, v array<double>")
+    some = df.filter("id < '00040'")
+    pick = lambda block: sorted(map(tuple, knn_join(some, df, 3, id="id", vec="v", group=["g"], block_rows=block, min_score=0.5).collect()))
+    assert pick(32) == pick(10_000)
+    assert knn_join(df.limit(0), df, 3, id="id", vec="v", group=["g"], block_rows=32).count() == 0
+    assert knn_join(df, df.limit(0), 3, id="id", vec="v", group=["g"], block_rows=32).count() == 0
