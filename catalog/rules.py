@@ -188,8 +188,7 @@ RECOVERED = (*_named(ENTROPY_STEPS, "e_"), *_named(PRESSURE_STEPS, "p_"), ("rec"
     arg_min(title, (at, sha)) AS opened_alert_title, arg_max(title, (at, sha)) AS latest_alert_title, count(*) AS alert_count
   FROM ended GROUP BY repo_id, type, scope, subject_id, closed"""))
 def incident_lifecycle(w):
-    calm = incidents.recoveries(anomaly.assess_entropy(w.metrics), anomaly.assess_pressure(w.metrics))
-    out = incidents.fold(incidents.tracked_alerts(w.alerts), calm)
+    out = incidents.lifecycle(w.metrics, w.alerts)
     return out.select(*incidents.KEY, "status", "severity", micros("opened_at").alias("opened_us"), micros("closed_at").alias("closed_us"),
                       "opened_alert_title", "latest_alert_title", "alert_count")
 
@@ -223,8 +222,7 @@ def incident_backfill(w):
     ASOF LEFT JOIN sn b ON b.repo_id = i.repo_id AND b.scope = i.scope AND b.subject_id = i.subject_id AND b.at <= i.last
     ASOF LEFT JOIN sn c ON c.repo_id = i.repo_id AND c.scope = i.scope AND c.subject_id = i.subject_id AND c.at <= i.closed"""))
 def incident_signatures(w):
-    calm = incidents.recoveries(anomaly.assess_entropy(w.metrics), anomaly.assess_pressure(w.metrics))
-    out = incidents.with_signatures(incidents.fold(incidents.tracked_alerts(w.alerts), calm), w.snapshots)
+    out = incidents.with_signatures(incidents.lifecycle(w.metrics, w.alerts), w.snapshots)
     e = lambda n: F.col(f"{n}_signature.health.entropyIndex").alias(n)
     return out.select(*incidents.KEY, micros("opened_at").alias("opened_us"), e("pre"), e("latest"), e("post"))
 

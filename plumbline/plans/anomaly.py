@@ -86,38 +86,41 @@ def assess(df: DataFrame, profile: Profile) -> DataFrame:
 
     Needs the series columns, ``at``, ``sha`` and ``value``.
     """
-    rolled = lookbacks(df)
-    if not profile.step_by_stddev:
-        earlier = F.when(F.col("day_before") != 0, F.col("day_before")).otherwise(F.col("previous_value"))
-        rolled = rolled.withColumn("baseline_24h", earlier)
-        step = F.col("value") - F.col("baseline_24h")
-    else:
-        step = F.col("value") - F.col("previous_value")
+    out = _assessed(df, lambda name: F.lit(getattr(profile, name)))
+    return out.drop("baseline_24h") if profile.step_by_stddev else out
+
+
+def assess_indexes(metrics: DataFrame) -> DataFrame:
+    """``assess`` of the entropy and the pressure series at once: one pass over the readings, each row by its own profile."""
+    rows = metrics.filter(_is_entropy() | _is_pressure()).select(*SERIES, "at", "sha", "value")
+    entropy = F.col("key") == "code_entropy_index"
+    return _assessed(rows, lambda name: F.when(entropy, F.lit(getattr(ENTROPY, name))).otherwise(F.lit(getattr(PRESSURE, name))))
+
+
+def _assessed(df: DataFrame, fixed_value) -> DataFrame:
+    number = lambda name: fixed_value(name).cast("double")
+    by_stddev = fixed_value("step_by_stddev")
+    earlier = F.when(F.col("day_before") != 0, F.col("day_before")).otherwise(F.col("previous_value"))
+    rolled = lookbacks(df).withColumn("baseline_24h", F.when(~by_stddev, earlier))
+    step = F.col("value") - F.when(by_stddev, F.col("previous_value")).otherwise(F.col("baseline_24h"))
     mean, dev, x, prev = F.col("baseline_mean"), F.col("baseline_stddev"), F.col("value"), F.col("previous_value")
     known = F.col("baseline_samples") >= MIN_SAMPLES
 
-    def line(base, floor, factor, margin):
-        adapted = F.greatest(F.lit(float(floor)), mean + F.greatest(dev * factor, F.lit(float(margin))))
-        return F.when(known, adapted).otherwise(F.lit(float(base)))
+    def line(name, factor):
+        adapted = F.greatest(number(f"{name}_floor"), mean + F.greatest(dev * factor, number(f"{name}_margin")))
+        return F.when(known, adapted).otherwise(number(name))
 
     rolled = (
-        rolled.withColumn("_warn", line(profile.warn, profile.warn_floor, 2, profile.warn_margin))
-        .withColumn("_error", line(profile.error, profile.error_floor, 3, profile.error_margin))
+        rolled.withColumn("_warn", line("warn", 2)).withColumn("_error", line("error", 3))
         .withColumn("delta", fixed(step, 2)).withColumn("z_score", fixed(z_score(x, mean, dev), 2))
     )
     warn, error, delta, z = F.col("_warn"), F.col("_error"), F.col("delta"), F.col("z_score")
-    if profile.step_by_stddev:
-        fast_warn = delta >= F.greatest(F.lit(profile.step_warn), dev)
-        fast_error = delta >= F.greatest(F.lit(profile.step_error), dev * 1.5)
-    else:
-        fast_warn, fast_error = delta >= profile.step_warn, delta >= profile.step_error
-    is_error = (x >= error) & ((prev < error - profile.error_slack) | fast_error | (z >= profile.z_error))
-    is_warn = (x >= warn) & ((prev < warn - profile.warn_slack) | fast_warn | (z >= profile.z_warn))
-    clear = F.greatest(F.lit(float(profile.clear_floor)),
-                       mean + F.greatest(dev * 1.15, F.lit(float(profile.clear_margin))))
-    extra = [] if profile.step_by_stddev else [fixed("baseline_24h", 2).alias("baseline_24h")]
+    least = lambda name, factor: F.when(by_stddev, F.greatest(number(name), dev * factor)).otherwise(number(name))
+    is_error = (x >= error) & ((prev < error - number("error_slack")) | (delta >= least("step_error", 1.5)) | (z >= number("z_error")))
+    is_warn = (x >= warn) & ((prev < warn - number("warn_slack")) | (delta >= least("step_warn", 1)) | (z >= number("z_warn")))
+    clear = F.greatest(number("clear_floor"), mean + F.greatest(dev * 1.15, number("clear_margin")))
     return rolled.select(
-        *df.columns, "previous_value", *extra, "delta", fixed(mean, 2).alias("baseline_mean"),
+        *df.columns, "previous_value", fixed("baseline_24h", 2).alias("baseline_24h"), "delta", fixed(mean, 2).alias("baseline_mean"),
         fixed(dev, 2).alias("baseline_stddev"), "baseline_samples", "z_score",
         fixed(warn, 2).alias("warn_threshold"), fixed(error, 2).alias("error_threshold"),
         fixed(clear, 2).alias("clear_threshold"),
@@ -125,13 +128,21 @@ def assess(df: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
+def _is_entropy():
+    return (F.col("key") == "code_entropy_index") & F.col("scope").isin("repo", "module")
+
+
+def _is_pressure():
+    return (F.col("key") == "pressure_index") & (F.col("scope") == "module")
+
+
 def entropy_series(metrics: DataFrame) -> DataFrame:
-    rows = metrics.filter((F.col("key") == "code_entropy_index") & F.col("scope").isin("repo", "module"))
+    rows = metrics.filter(_is_entropy())
     return rows.select(*SERIES, "at", "sha", "value")
 
 
 def pressure_series(metrics: DataFrame) -> DataFrame:
-    rows = metrics.filter((F.col("key") == "pressure_index") & (F.col("scope") == "module"))
+    rows = metrics.filter(_is_pressure())
     return rows.select(*SERIES, "at", "sha", "value")
 
 

@@ -9,6 +9,8 @@ from ..functions import bands
 from ..functions.numeric import fixed
 from ..operators.latest import top_per_key
 from ..operators.running import asof_join
+from ..operators.shared import materialized
+from . import anomaly
 from .fleet import since
 
 KEY = ["repo_id", "type", "scope", "subject_id"]
@@ -34,6 +36,20 @@ def recoveries(entropy: DataFrame, pressure: DataFrame) -> DataFrame:
     return pick(entropy, "ENTROPY_DRIFT").unionByName(pick(pressure, "ARCH_PRESSURE"))
 
 
+def index_recoveries(assessed: DataFrame) -> DataFrame:
+    """``recoveries`` of readings assessed in one pass (``anomaly.assess_indexes``)."""
+    kind = F.when(F.col("key") == "code_entropy_index", "ENTROPY_DRIFT").otherwise("ARCH_PRESSURE")
+    calm = F.col("anomaly").isNull() & (F.col("value") <= F.col("clear_threshold"))
+    return assessed.filter(calm).select(
+        "repo_id", kind.alias("type"), "scope", "subject_id", "at", "sha", "value", "clear_threshold", "baseline_mean", "baseline_stddev")
+
+
+def lifecycle(metrics: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Incidents of all readings and alerts (X5); the readings are assessed once and their recoveries kept in the shared folder."""
+    calm = materialized(index_recoveries(anomaly.assess_indexes(metrics)), "recoveries")
+    return fold(tracked_alerts(alerts), calm)
+
+
 def fold(alerts: DataFrame, recovered: DataFrame) -> DataFrame:
     """Incidents as the alerts that share the same next recovery.
 
