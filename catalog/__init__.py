@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["fleet", "series", "measures", "texts", "rules", "reports", "alerts", "memory", "ingest", "streams"]
+AREAS = ["fleet", "series", "measures", "texts", "rules", "reports", "alerts", "memory", "ingest", "streams", "raising"]
 
 
 def load():
