@@ -18,7 +18,6 @@ from . import anomaly, ingest, rules
 from .fleet import since
 
 KEY = ["repo_id", "sha", "at", "type", "title"]
-EVIDENCE = S.struct_type(S.EVIDENCE)
 #: The readings that an alert's evidence names, and the columns they come from.
 ENTROPY_READINGS = {
     "code_entropy_index": "value", "previous_entropy_index": "previous_value", "entropy_delta": "delta",
@@ -46,7 +45,7 @@ ADVICE = {
 
 def evidence(**given: Column) -> Column:
     """An evidence struct with the given fields, the others null."""
-    return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVIDENCE.fields])
+    return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.struct_type(S.EVIDENCE).fields])
 
 
 def readings(names: dict[str, str], *more: str) -> Column:

@@ -18,8 +18,9 @@ REPO_VALUES = ["code_entropy_index", "pressure_index", "pressure_boundary", "pre
 
 def similar_symbols(vec: DataFrame, repo_id: str, symbol_id: str, k: int = 10) -> DataFrame:
     """The ``k`` nearest symbols of one repository, the symbol itself excluded (V3)."""
-    query = vec.filter(F.col("id") == symbol_id).select("vector").scalar()
-    others = vec.filter((F.col("repo_id") == repo_id) & (F.col("id") != symbol_id))
+    ours = vec.filter(F.col("repo_id") == repo_id)
+    query = ours.filter(F.col("id") == symbol_id).agg(F.any_value("vector").alias("vector")).scalar()
+    others = ours.filter(F.col("id") != symbol_id)
     return nearest(others, query, "vector", k, "id")
 
 

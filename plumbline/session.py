@@ -56,7 +56,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).parent
     archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
     with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(package.rglob("*.py")):
+        for path in sorted([*package.rglob("*.py"), *package.rglob("*.txt")]):  # code, and the texts it reads
             out.write(path, str(path.relative_to(package.parent)))
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
