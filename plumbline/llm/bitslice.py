@@ -20,8 +20,9 @@ at most k rows a query.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 take no part, nor do rows with a null id; rows with the query's id are the
-query's own; rows of equal id that differ are candidates of others each; only
-vectors of equal length are compared; components beyond +-2**40 after
+query's own; rows of equal id that differ are candidates of others each, and
+queries of their own; equal rows are one query; only vectors of equal length are
+compared, those without components score 0; components beyond +-2**62 after
 quantising count as that, scores beyond 64 bits as the largest number;
 ties go to the smaller id; other columns are ignored.
 """
@@ -37,7 +38,7 @@ from .common import small_batches
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 256
-LIMIT = float(1 << 40)
+LIMIT = float(1 << 62)
 
 
 def usable(rows: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -123,15 +124,16 @@ def selected(sums: list[np.ndarray], rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(index: pd.Series, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best rows of one block for every query: ids of queries and rows, and scores."""
+    """The k best rows of one block for every query: places of queries, ids of rows, and scores."""
     ids = np.frombuffer(index["ids"], np.int64)
     least = np.frombuffer(index["least"], np.int64)
     dims, words = len(least), -(-len(ids) // 64)
-    slices = np.frombuffer(index["slices"], np.uint64).reshape(dims, -1, words)
+    slices = np.frombuffer(index["slices"], np.uint64)
+    slices = slices.reshape(dims, len(slices) // max(dims * words, 1), words)
     everyone = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
     top = (1 << slices.shape[1]) - 1
     out = ([], [], [])
-    for query_id, query in zip(query_ids.tolist(), queries.tolist()):
+    for place, (query_id, query) in enumerate(zip(query_ids.tolist(), queries.tolist())):
         sums = added(slices, query)
         rows = everyone
         for own in np.flatnonzero(ids == query_id):
@@ -140,7 +142,7 @@ def search_block(index: pd.Series, query_ids: np.ndarray, queries: np.ndarray, k
         shift = sum(q * int(m) for q, m in zip(query, least)) + sum(q * top for q in query if q < 0)
         for at in selected(sums, rows, k).tolist():
             bits = sum(((int(plane[at // 64]) >> (at % 64)) & 1) << weight for weight, plane in enumerate(sums))
-            out[0].append(query_id)
+            out[0].append(place)
             out[1].append(int(ids[at]))
             out[2].append(min(max(bits + shift, -(1 << 63)), (1 << 63) - 1))
     return out
@@ -150,24 +152,25 @@ def top_scores(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     """query_id, rank, vec_id and score of the k rows with the largest inner product, for every query."""
     spark = rows.sparkSession
     small_batches(spark)
-    rows, asked = usable(rows, key, vector, scale), usable(queries, key, vector, scale)
+    rows, asked = usable(rows, key, vector, scale), usable(queries, key, vector, scale).distinct()
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     asked_blocks = max(1, -(-asked.count() // QUERY_ROWS))
     dealt = lambda df, n: df.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).alias("block"), "id", "v")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        values = np.array(group["v"].tolist(), np.int64).reshape(len(group), -1)
+        values = np.array(group["v"].tolist(), np.int64).reshape(len(group), int(group["dims"].iloc[0]))
         slices, least = slices_of(values)
         return pd.DataFrame([{"dims": group["dims"].iloc[0], "block": group["block"].iloc[0], "ids": group["id"].to_numpy(np.int64).tobytes(),
                               "least": least.tobytes(), "slices": slices.tobytes()}])
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        values = np.array(group["v"].tolist(), np.int64).reshape(len(group), -1)
-        return pd.DataFrame([{"dims": group["dims"].iloc[0], "query_ids": group["id"].to_numpy(np.int64).tobytes(), "queries": values.tobytes()}])
+        values = np.array(group["v"].tolist(), np.int64).reshape(len(group), int(group["dims"].iloc[0]))
+        return pd.DataFrame([{"dims": group["dims"].iloc[0], "query_ids": group["id"].to_numpy(np.int64).tobytes(),
+                              "query_keys": group["key"].to_numpy(np.int64).tobytes(), "queries": values.tobytes()}])
 
     index = dealt(rows, blocks).groupBy("dims", "block").applyInPandas(build, "dims int, block long, ids binary, least binary, slices binary")
-    packed = dealt(asked, asked_blocks).groupBy("dims", "block").applyInPandas(pack, "dims int, query_ids binary, queries binary")
+    packed = dealt(asked, asked_blocks).withColumn("key", F.xxhash64("v")).groupBy("dims", "block").applyInPandas(pack, "dims int, query_ids binary, query_keys binary, queries binary")
     packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     places = min(2 * blocks, 20_000)  # a number of its own, since few small rows mean much work
     pairs = index.repartition(places, "dims", "block").join(packed.repartition(places, "dims", "block"), ["dims", "block"])
@@ -176,11 +179,12 @@ def top_scores(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
         for frame in batches:
             for _, pair in frame.iterrows():
                 ids = np.frombuffer(pair["query_ids"], np.int64)
-                found = search_block(pair, ids, np.frombuffer(pair["queries"], np.int64).reshape(len(ids), -1), k)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found))).astype("int64")
+                keys = np.frombuffer(pair["query_keys"], np.int64)
+                places, vec_ids, scores = search_block(pair, ids, np.frombuffer(pair["queries"], np.int64).reshape(len(ids), int(pair["dims"])), k)
+                yield pd.DataFrame({"query_id": ids[np.array(places, np.int64)], "query_key": keys[np.array(places, np.int64)], "vec_id": vec_ids, "score": scores}).astype("int64")
 
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInPandas(search, "query_id long, query_key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -40,6 +40,16 @@ def test_top_scores_equal_brute_force(spark, monkeypatch, block):
     assert bitslice.neighbours(frame.limit(0)).count() == 0
 
 
+def test_top_scores_of_large_empty_and_repeated_vectors(spark):
+    rows = [(50, [1.0]), (50, [1.0]), (1, [float(1 << 33)]), (2, [float(1 << 35)]), (3, [float(1 << 34)]), (4, [-float(1 << 50)]), (5, [0.5]), (6, [0.25]),
+            (100, []), (101, []), (102, []), (150, [2.0, 1.0]), (150, [-2.0, 1.0]), (7, [1.0, 0.0]), (8, [-1.0, 0.0])]
+    got = sorted(map(tuple, bitslice.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    one = [(50, n + 1, i, 256 * (256 * v)) for n, (i, v) in enumerate([(2, 1 << 35), (3, 1 << 34), (1, 1 << 33)])] + [(50, 4, 5, 256 * 128), (50, 5, 6, 256 * 64)]
+    empty = [(100, 1, 101, 0), (100, 2, 102, 0)]
+    two = sorted([(150, 1, 7, 512 * 256), (150, 2, 8, -512 * 256), (150, 1, 8, 512 * 256), (150, 2, 7, -512 * 256)])
+    assert got == one + empty + two
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
