@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 65_536
 QUERY_ROWS = 256
 LIMIT = float(1 << 62)
 
