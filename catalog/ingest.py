@@ -1,12 +1,16 @@
 """Event folds, merges and spacing rules."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
-from plumbline.functions.numeric import micros
-from plumbline.operators.merge import delete_for, insert_absent, orphans, patch, replace_keeping, upsert
+from plumbline.functions.numeric import fixed, micros
+from plumbline.operators.merge import delete_cascade, delete_for, insert_absent, orphans, patch, replace_keeping, upsert
 from plumbline.operators.spacing import keep_spaced, quiet_after, quiet_before
+from plumbline.operators.versioned import Versions
 from plumbline.plans import graph, ingest
+from plumbline.session import shared_dir
 
 from .base import register
 from .ctes import fx, with_
@@ -32,6 +36,48 @@ def activity_fold(w):
     return out.select("event_id", "repo_id", micros("at").alias("at_us"), "language", "parser_status", "symbol_count", "alert_count")
 
 
+@register("activity_telemetry", with_("telemetry changes", ("said", """
+  SELECT c.repo_id, c.commit_sha, c.file_path, c.at, c.change_type, t.provenance, t.source, t.editor, t.session_id
+  FROM changes c LEFT JOIN telemetry t ON t.repo_id = c.repo_id
+    AND (t.file_path = c.file_path OR t.absolute_path = c.absolute_path)
+    AND t.observed_at <= c.at AND t.observed_at >= c.at - INTERVAL 45 MINUTE
+  QUALIFY row_number() OVER (PARTITION BY c.change_id ORDER BY t.observed_at DESC NULLS LAST, t.id DESC) = 1"""), select="""
+  SELECT commit_sha || ':' || file_path AS event_id, repo_id, epoch_us(max(at)) AS updated_us, arg_max(change_type, at) AS change_type,
+    arg_max(provenance, at) FILTER (provenance IS NOT NULL) AS provenance, arg_max(source, at) FILTER (source IS NOT NULL) AS telemetry_source,
+    arg_max(editor, at) FILTER (editor IS NOT NULL) AS telemetry_editor, arg_max(session_id, at) FILTER (session_id IS NOT NULL) AS telemetry_session_id
+  FROM said GROUP BY repo_id, commit_sha, file_path"""))
+def activity_telemetry(w):
+    """Changes attributed, folded to activity rows and patched with the telemetry that was found."""
+    said = ingest.attribute_changes(w.changes, w.telemetry).withColumnsRenamed({"editor": "telemetry_editor", "session_id": "telemetry_session_id"})
+    none = w.events.filter(F.lit(False)).select("repo_id", F.col("sha").alias("commit_sha"), "file_path", F.lit(0).cast("bigint").alias("symbol_count"), "at")
+    out = ingest.activity_of(w.changes.withColumn("language", paths.language("file_path")), none, w.alerts.filter(F.lit(False)))
+    return ingest.with_telemetry(out, said).select("event_id", "repo_id", micros("updated_at").alias("updated_us"), "change_type", *ingest.TOLD)
+
+
+def _pages(mode, where):
+    @register(f"activity_page_{mode}", with_("activity", ("r", f"SELECT * FROM activity WHERE repo_id = 'repo-3' AND {where}"), select="""
+      SELECT event_id, epoch_us(at) AS at_us, parser_status, (SELECT count(*) FROM r) AS total, greatest(1, (SELECT count(*) + 11 FROM r) // 12) AS total_pages
+      FROM r ORDER BY at DESC, event_id DESC LIMIT 12 OFFSET 12"""))
+    def build(w):
+        out = ingest.activity_page(w.activity, "repo-3", mode, number=2)
+        return out.select("event_id", micros("at").alias("at_us"), "parser_status", "total", "total_pages")
+    return build
+
+
+for _mode, _where in (("all", "true"), ("full", "parser_status <> 'unsupported'"), ("watched", "parser_status = 'unsupported'")):
+    _pages(_mode, _where)
+
+
+@register("activity_page_after", with_("activity", select="""
+  SELECT event_id, epoch_us(at) AS at_us FROM activity WHERE repo_id = 'repo-3' AND parser_status = 'analyzed' ORDER BY at DESC, event_id DESC LIMIT 12 OFFSET 12"""))
+def activity_page_after(w):
+    """The second page, found behind the last row of the first."""
+    first = ingest.activity_page(w.activity, "repo-3", parser_status="analyzed")
+    last = first.agg(F.min(F.struct("at", "event_id"))).scalar()
+    out = ingest.activity_page(w.activity, "repo-3", parser_status="analyzed", after=last)
+    return out.select("event_id", micros("at").alias("at_us"))
+
+
 @register("new_telemetry", with_("telemetry", select="""
   SELECT min(id) AS id, repo_id, file_path, provenance, session_id, epoch_us(observed_at) AS observed_us FROM telemetry t
   WHERE NOT EXISTS (SELECT 1 FROM telemetry b WHERE b.editor = 'vim' AND b.repo_id = t.repo_id AND b.file_path = t.file_path AND b.provenance = t.provenance
@@ -159,6 +205,36 @@ def repo_delete(w):
     return out
 
 
+SUITE = {"repos": "repos", "commits": "commits", "metrics": "metrics", "alerts": "alerts", "refactors": "refactors", "snapshots": "snapshots",
+         "incidents": "incidents", "activity": "activity", "telemetry": "telemetry", "changes": "changes", "edges": "edges", "vectors": "vectors",
+         "files": "python_sources"}
+
+
+@register("repo_cascade_delete", with_(" ".join(SUITE.values()), ("d", "SELECT repo_id FROM repos WHERE archived_at IS NOT NULL"), select=" UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(*) AS left_rows FROM {t} WHERE repo_id NOT IN (SELECT repo_id FROM d)" for n, t in SUITE.items()) + """
+  UNION ALL SELECT 'nodes', count(DISTINCT split_part(edge, '->', 2)) FROM edges WHERE repo_id NOT IN (SELECT repo_id FROM d)"""))
+def repo_cascade_delete(w):
+    """Rows left in each table once archived repositories are gone everywhere, read back through the manifest."""
+    store = Versions(w.spark, f"{shared_dir(w.spark)}/suite-{uuid.uuid4().hex[:8]}")
+    tables = {n: getattr(w, t) for n, t in SUITE.items()}
+    delete_cascade(tables, w.repos.filter(F.col("archived_at").isNotNull()), "repo_id", "edges", "edge", store)
+    out = None
+    for name in store.paths()[1]:
+        part = store.read(name).agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit(name).alias("name"), "left_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("snapshot_upsert", with_("snapshots", select=f"""
+  SELECT repo_id, sha, scope, subject_id, epoch_us(CASE WHEN scope = 'module' THEN at + INTERVAL 1 HOUR ELSE at END) AS at_us, {fx("entropy", 4)} AS entropy
+  FROM snapshots QUALIFY row_number() OVER (PARTITION BY repo_id, sha, scope, subject_id ORDER BY at DESC) = 1"""))
+def snapshot_upsert(w):
+    """Snapshots written twice: again for every module an hour later, so the later one of a commit and subject stays."""
+    again = w.snapshots.filter(F.col("scope") == "module").withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR"))
+    out = ingest.upsert_snapshots(ingest.upsert_snapshots(w.snapshots.limit(0), w.snapshots), again)
+    return out.select("repo_id", "sha", "scope", "subject_id", micros("at").alias("at_us"), fixed("signature.health.entropyIndex", 4).alias("entropy"))
+
+
 @register("orphan_packages", """
   SELECT p_partkey AS package FROM part WHERE p_partkey NOT IN (
     SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND l_quantity > 40)""")

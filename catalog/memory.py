@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors
 from plumbline.functions.bands import module_role
 from plumbline.functions.numeric import fixed, micros
+from plumbline.operators.shared import materialized
 from plumbline.plans import fleet, memory, rankings, similarity
 
 from .base import register
 from .ctes import ASOF, fx, fxt, with_
 from .fleet import OVERVIEW, repo_list_sql
 from .reports import COMPONENTS
+from .rules import FIX_COLUMNS, FIXES
 
 DELTAS = {"entropyIndex": ("entropy", 2), "pressureIndex": ("pressure", 2), "avgCyclomatic": ("avg_cyc", 2), "aiEditRatio": ("ai_ratio", 4),
           "duplicationAlerts": ("dup_alerts", 2), "archViolations": ("arch_violations", 2), "churn24h": ("churn", 2)}
@@ -203,6 +205,82 @@ def similar_boundaries(w):
     return similarity.similar_boundaries(rows, "repo-6").select("repo_id", "boundary_id", "target_module", "score")
 
 
+# the hits of the three searches as SQL: repo_id and subject_id
+HITS = {
+    "module": ("snapshots", (MODS, ("q", "SELECT * FROM mods WHERE repo_id = 'repo-1' AND subject_id = 'web'"), ("near", """
+      SELECT m.*, list_cosine_similarity(m.vector, q.vector) AS score, m.role = q.role AS same_role FROM mods m, q
+      ORDER BY list_cosine_similarity(m.vector, q.vector) DESC, m.repo_id, m.subject_id LIMIT 14"""), ("hits", """
+      SELECT repo_id, subject_id FROM near WHERE NOT (repo_id = 'repo-1' AND subject_id = 'web') ORDER BY same_role DESC, score DESC, repo_id, subject_id LIMIT 6"""))),
+    "repo": ("repos metrics alerts", (*REPO_ROWS, ("q", "SELECT * FROM rvec WHERE repo_id = 'repo-3'"), ("hits", """
+      SELECT v.repo_id, v.repo_id AS subject_id FROM rvec v, q WHERE v.repo_id <> 'repo-3' AND list_sum(v.vector) > 0
+      ORDER BY list_cosine_similarity(v.vector, q.vector) DESC, v.repo_id LIMIT 5"""))),
+    "boundary": ("metrics alerts", (*BOUND, ("q", "SELECT * FROM bv WHERE repo_id = 'repo-6' ORDER BY pressure_index DESC, boundary_id LIMIT 1"), ("near", """
+      SELECT v.*, list_cosine_similarity(v.vector, q.vector) AS s, q.boundary_id AS qb FROM bv v, q
+      ORDER BY list_cosine_similarity(v.vector, q.vector) DESC, v.repo_id, v.boundary_id LIMIT 15"""), ("hits", """
+      SELECT repo_id, boundary_id AS subject_id FROM near WHERE NOT (repo_id = 'repo-6' AND boundary_id = qb) ORDER BY s DESC, repo_id, boundary_id LIMIT 5"""))),
+}
+OWNER = {"module": "i.scope = 'module' AND i.subject_id = h.subject_id", "repo": "true",
+         "boundary": "i.scope = 'module' AND i.subject_id = split_part(h.subject_id, '->', 1)"}
+
+
+def hits_of(w, scope):
+    """The hits of the registered search of a scope, and the column that names them; written once, since two plans read them."""
+    if scope == "module":
+        return materialized(similarity.similar_modules(modules_of(w), "repo-1", "web").select("repo_id", "module"), "hits"), "module"
+    if scope == "repo":
+        rows = similarity.repo_rows(w.repos, w.metrics, w.alerts, w.incidents, w.as_of)
+        return materialized(similarity.similar_repos(rows, "repo-3").select("repo_id"), "hits"), "repo_id"
+    rows = similarity.boundary_rows(w.metrics, w.alerts, w.as_of)
+    return materialized(similarity.similar_boundaries(rows, "repo-6").select("repo_id", "boundary_id"), "hits"), "boundary_id"
+
+
+def _hits(scope):
+    tables, steps = HITS[scope]
+    plural = {"module": "modules", "repo": "repos", "boundary": "boundaries"}[scope]
+
+    @register(f"similar_{plural}_fixes", with_(f"{tables} incidents refactors", *steps, FIXES[scope], select=f"""
+      SELECT {FIX_COLUMNS} FROM fixes WHERE (repo_id, subject_id) IN (SELECT (repo_id, subject_id) FROM hits)"""))
+    def fixes(w):
+        hits, name = hits_of(w, scope)
+        out = similarity.hit_fixes(hits, name, w.refactors, scope)
+        return out.select("repo_id", "subject_id", F.col("rank").cast("bigint").alias("rank"), "id", "type", "target",
+                          fixed("confidence", 6).alias("confidence"), "status")
+
+    @register(f"similar_{plural}_outcomes", with_(f"{tables} incidents refactors", *steps, FIXES[scope], ("last", f"""
+      SELECT h.subject_id AS subject, i.*, row_number() OVER (PARTITION BY h.repo_id, h.subject_id
+          ORDER BY closed_at DESC NULLS LAST, opened_at DESC, incident_id DESC) AS rank
+      FROM hits h JOIN incidents i ON i.repo_id = h.repo_id AND i.status = 'closed' AND {OWNER[scope]} QUALIFY rank <= 3"""), select=f"""
+      SELECT l.repo_id, l.subject AS subject_id, l.rank, l.incident_id, l.type, epoch_us(l.closed_at) AS closed_us, {fx('l.post_e - l.pre_e', 2)} AS delta_entropy,
+        {fx('l.post_p - l.pre_p', 2)} AS delta_pressure, coalesce(res_type, f.type, g.type) AS fix_type, coalesce(res_target, f.target, g.target) AS fix_target,
+        CASE WHEN res_type IS NOT NULL THEN 'applied' ELSE coalesce(f.status, g.status, 'observed') END AS fix_status
+      FROM last l LEFT JOIN fixes f ON f.repo_id = l.repo_id AND f.subject_id = l.subject AND f.rank = l.rank
+        LEFT JOIN fixes g ON g.repo_id = l.repo_id AND g.subject_id = l.subject AND g.rank = 1"""))
+    def outcomes(w):
+        hits, name = hits_of(w, scope)
+        out = similarity.hit_outcomes(hits, name, w.incidents, w.refactors, scope)
+        return out.select("repo_id", "subject_id", F.col("rank").cast("bigint").alias("rank"), "incident_id", "type", micros("closed_at").alias("closed_us"),
+                          "delta_entropy", "delta_pressure", "fix_type", "fix_target", "fix_status")
+
+
+for _scope in HITS:
+    _hits(_scope)
+
+
+def _trend(frame, n):
+    @register(f"report_trend_{frame or 12}", with_("snapshots incidents", ("top", f"""
+      SELECT * FROM snapshots WHERE scope = 'repo' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY at DESC, sha DESC) <= {n}"""), select="""
+      SELECT repo_id, sha, epoch_us(at) AS at_us, entropy AS entropy_index, pressure AS pressure_index, CAST(arch_violations AS DOUBLE) AS arch_violations,
+        CAST(ai_ratio AS DOUBLE) AS ai_edit_ratio, (SELECT count(*) FROM incidents i WHERE i.repo_id = top.repo_id AND i.opened_at <= top.at
+          AND (i.closed_at IS NULL OR i.closed_at >= top.at)) AS incident_count FROM top"""))
+    def build(w):
+        return memory.report_trend(w.snapshots, w.incidents, frame).withColumn("at_us", micros("at")).drop("at")
+    return build
+
+
+for _frame, _n in ((None, 12), ("24", 24), ("all", 96)):
+    _trend(_frame, _n)
+
+
 def overview_of(w):
     return fleet.overview_repos(w.repos, w.metrics, w.alerts, w.activity, w.as_of)
 

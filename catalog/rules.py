@@ -281,3 +281,36 @@ def _outcomes(scope):
 
 for _scope in OUTCOMES:
     _outcomes(_scope)
+
+
+@register("recent_outcomes_boundary", with_("metrics refactors incidents", FIXES["boundary"], ("bound", """
+  SELECT DISTINCT repo_id, subject_id FROM metrics WHERE scope = 'boundary'"""), ("last", """
+  SELECT b.repo_id, b.subject_id AS subject, i.* EXCLUDE (repo_id), row_number() OVER (PARTITION BY b.repo_id, b.subject_id
+      ORDER BY closed_at DESC NULLS LAST, opened_at DESC, incident_id DESC) AS rank
+  FROM bound b JOIN incidents i ON i.repo_id = b.repo_id AND i.scope = 'module' AND i.status = 'closed' AND i.subject_id = split_part(b.subject_id, '->', 1)
+  QUALIFY rank <= 3"""), select=f"""
+  SELECT l.repo_id, l.subject AS subject_id, l.rank, l.incident_id, {fx('l.post_e - l.pre_e', 2)} AS delta_entropy,
+    coalesce(res_type, f.type, g.type) AS fix_type, coalesce(res_target, f.target, g.target) AS fix_target
+  FROM last l LEFT JOIN fixes f ON f.repo_id = l.repo_id AND f.subject_id = l.subject AND f.rank = l.rank
+    LEFT JOIN fixes g ON g.repo_id = l.repo_id AND g.subject_id = l.subject AND g.rank = 1"""))
+def recent_outcomes_boundary(w):
+    edges = w.metrics.filter(F.col("scope") == "boundary").select("repo_id", "subject_id")
+    out = incidents.outcomes_with_fixes(incidents.recent_outcomes(w.incidents, "boundary", subjects=edges),
+                                        incidents.ranked_fixes(w.refactors, "boundary", subjects=edges))
+    return out.select("repo_id", "subject_id", F.col("rank").cast("bigint").alias("rank"), "incident_id", "delta_entropy", "fix_type", "fix_target")
+
+
+@register("incident_resolution_fix", with_("metrics alerts refactors", TRACKED, *RECOVERED, FIXES["module"], ("rf", FIXES["repo"][1]), ("ended", """
+  SELECT t.*, (SELECT min(r.at) FROM rec r WHERE r.repo_id = t.repo_id AND r.type = t.type AND r.scope = t.scope
+    AND r.subject_id = t.subject_id AND r.at > t.at) AS closed FROM tracked t"""), ("inc", """
+  SELECT repo_id, type, scope, subject_id, min(at) AS opened, closed FROM ended GROUP BY repo_id, type, scope, subject_id, closed"""), select=f"""
+  SELECT i.repo_id, i.type, i.scope, i.subject_id, epoch_us(opened) AS opened_us, epoch_us(closed) AS closed_us, f.type AS fix_type, f.target AS fix_target,
+    f.status AS fix_status, {fx('f.confidence', 2)} AS fix_confidence
+  FROM inc i LEFT JOIN (SELECT 'module' AS scope, * FROM fixes WHERE rank = 1 UNION ALL SELECT 'repo', * FROM rf WHERE rank = 1) f
+    ON closed IS NOT NULL AND f.scope = i.scope AND f.repo_id = i.repo_id AND f.subject_id = i.subject_id"""))
+def incident_resolution_fix(w):
+    out = incidents.with_resolution_fix(incidents.lifecycle(w.metrics, w.alerts), w.refactors)
+    fix = F.col("fix")
+    return out.select(*incidents.KEY, micros("opened_at").alias("opened_us"), micros("closed_at").alias("closed_us"),
+                      fix["refactorType"].alias("fix_type"), fix["refactorTarget"].alias("fix_target"), fix["refactorStatus"].alias("fix_status"),
+                      fix["refactorConfidence"].alias("fix_confidence"))

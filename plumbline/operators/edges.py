@@ -27,6 +27,11 @@ def target_of(edge) -> Column:
     return F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))
 
 
+def source_of(edge) -> Column:
+    """Part before the first arrow."""
+    return F.get(F.split(F.col(edge) if isinstance(edge, str) else edge, "->"), F.lit(0))
+
+
 def bucket_entropy(df: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     """Shannon entropy of bucket counts over log2 of the bucket count, 0 for one bucket.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .edges import target_of
+from .versioned import Versions
+
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """The table with its changed rows replaced; later changes beat earlier ones.
@@ -57,6 +60,17 @@ def orphans(nodes: DataFrame, edges: DataFrame, node_key: str, edge_key: str) ->
     return nodes.join(edges.select(F.col(edge_key).alias(node_key)).distinct(), node_key, "left_anti")
 
 
+def delete_cascade(tables: dict[str, DataFrame], doomed: DataFrame, key: str, edges: str, edge: str, store: Versions) -> int:
+    """Take the doomed keys out of every table, and targets that lose their last edge out of the graph, as one version.
+
+    The table named ``edges`` holds the graph; its remaining targets are
+    published as ``nodes``.
+    """
+    kept = delete_for(tables, doomed, key)
+    kept["nodes"] = kept[edges].select(target_of(edge).alias("node")).distinct()
+    return store.publish(kept)
+
+
 def fold_filters(pairs) -> Column:
     """AND of the conditions whose parameter was given (survey P2)."""
     out = F.lit(True)

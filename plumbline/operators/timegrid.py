@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col
-
-
-def bucket_start(at, size: str) -> Column:
-    """Start of the tumbling bucket a time falls in."""
-    return F.window(col(at), size)["start"]
-
 
 def hour_grid(df: DataFrame, as_of: Column, hours: int, name: str = "bucket") -> DataFrame:
     """Each row once per hour of the last ``hours`` hours, the current one included."""
@@ -33,6 +24,3 @@ def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
         "total", F.lit(number).cast("bigint").alias("page"), F.lit(size).cast("bigint").alias("page_size"),
         pages.alias("total_pages"))
 
-
-def page_count(total: int, size: int) -> int:
-    return max(1, math.ceil(total / size))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..functions.numeric import fixed
+from ..operators.edges import source_of
 from ..operators.latest import top_per_key
 from ..operators.running import asof_join
 from ..operators.shared import materialized
@@ -112,12 +113,13 @@ def with_signatures(incidents: DataFrame, snapshots: DataFrame) -> DataFrame:
     return folded.select("_incident.*", *[f"{n}_signature" for n in times])
 
 
-def ranked_fixes(refactors: DataFrame, scope: str, n: int = 3) -> DataFrame:
+def ranked_fixes(refactors: DataFrame, scope: str, n: int = 3, subjects: DataFrame | None = None) -> DataFrame:
     """The best fixes per subject: applied, accepted, then confidence and recency.
 
     A suggestion belongs to its target and to every module or edge it names;
     it is spread over those subjects and ranked within each, with the limit
-    applied inside the input partitions first.
+    applied inside the input partitions first.  With ``subjects`` (repo_id,
+    subject_id) only theirs are ranked.
     """
     rows = refactors.filter(F.col("status") != "dismissed")
     if scope == "repo":
@@ -125,13 +127,21 @@ def ranked_fixes(refactors: DataFrame, scope: str, n: int = 3) -> DataFrame:
     else:
         named = F.col("entities.modules" if scope == "module" else "entities.edgesAdded")
         rows = rows.withColumn("subject_id", F.explode(F.array_distinct(F.concat(F.array("target"), named))))
+    rows = _of(rows, "subject_id", subjects)
     order = [bands.fix_rank("status"), F.desc("confidence"), F.desc("at"), F.col("id")]
     return top_per_key(rows, ["repo_id", "subject_id"], order, n).select(
         "repo_id", "subject_id", "rank", "id", "type", "confidence", "target", "impact", "status")
 
 
+def _of(rows: DataFrame, name: str, subjects: DataFrame | None) -> DataFrame:
+    """The rows of the given subjects; all rows without any given."""
+    if subjects is None:
+        return rows
+    return rows.join(subjects.select("repo_id", F.col("subject_id").alias(name)).distinct(), ["repo_id", name], "left_semi")
+
+
 def with_resolution_fix(incidents: DataFrame, refactors: DataFrame) -> DataFrame:
-    """Attach the best fix of each closed incident's subject."""
+    """Attach the best fix of each closed incident's subject (X5): a module's own, a repository's best of all."""
     fix = F.struct(F.col("type").alias("refactorType"), fixed("confidence", 2).alias("refactorConfidence"),
                    F.col("target").alias("refactorTarget"), F.col("status").alias("refactorStatus"))
     best = None
@@ -142,13 +152,25 @@ def with_resolution_fix(incidents: DataFrame, refactors: DataFrame) -> DataFrame
         "fix", F.when(F.col("status") == "closed", F.col("fix")))
 
 
-def recent_outcomes(incidents: DataFrame, scope: str, n: int = 3) -> DataFrame:
-    """The last closed incidents per subject with what changed."""
+def recent_outcomes(incidents: DataFrame, scope: str, n: int = 3, subjects: DataFrame | None = None) -> DataFrame:
+    """The last closed incidents per subject with what changed.
+
+    The outcomes of a boundary are those of its source module, so boundaries
+    have to be given as ``subjects`` (repo_id, subject_id); for the other
+    scopes they restrict the answer.
+    """
+    if scope == "boundary":
+        if subjects is None:
+            raise ValueError("outcomes of boundaries need the boundaries")
+        edges = subjects.select("repo_id", F.col("subject_id").alias("_edge"), source_of("subject_id").alias("subject_id")).distinct()
+        found = recent_outcomes(incidents, "module", n, edges)
+        return edges.join(found, ["repo_id", "subject_id"]).withColumn("subject_id", F.col("_edge")).drop("_edge")
     closed = incidents.filter(F.col("status") == "closed")
     if scope == "repo":
         closed = closed.withColumn("subject", F.col("repo_id"))
     else:
         closed = closed.filter(F.col("scope") == "module").withColumn("subject", F.col("subject_id"))
+    closed = _of(closed, "subject", subjects)
     order = [F.desc_nulls_last("closed_at"), F.desc("opened_at"), F.desc("incident_id")]
     last = top_per_key(closed, ["repo_id", "subject"], order, n)
     delta = lambda f: F.coalesce(fixed(F.col(f"post_signature.health.{f}") - F.col(f"pre_signature.health.{f}"), 2), F.lit(0.0))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import bands, digests, heuristics, paths
-from ..operators.merge import insert_absent
+from ..operators.merge import insert_absent, upsert
 from ..operators.running import MINUTE, asof_join
 from ..operators.spacing import quiet_before
+from ..operators.timegrid import page
 
 LOOKBACK = 45 * MINUTE
 SNAPSHOT_LIMIT = 200_000
@@ -89,6 +90,50 @@ def activity_of(changes: DataFrame, symbols: DataFrame, alerts: DataFrame) -> Da
         F.coalesce("alert_count", F.lit(0)).cast("bigint").alias("alert_count"), note.alias("note"))
 
 
+TOLD = ["provenance", "telemetry_source", "telemetry_editor", "telemetry_session_id"]
+
+
+def with_telemetry(activity: DataFrame, reports: DataFrame) -> DataFrame:
+    """Activity rows patched with what later reports say about their file and commit.
+
+    ``reports`` has repo_id, commit_sha, file_path, at and the four columns of
+    ``TOLD``.  Each column takes its newest value that is not null, so a report
+    that says nothing of it changes nothing; of reports at one time the
+    greatest value counts.
+    """
+    key = ["repo_id", "commit_sha", "file_path"]
+    newest = reports.groupBy(*key).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", c))).alias(f"_{c}") for c in TOLD])
+    rest = [c for c in activity.columns if c not in TOLD]
+    stored = [F.col(c) if c in activity.columns else F.lit(None).cast("string") for c in TOLD]
+    return activity.join(newest, key, "left").select(
+        *rest, *[F.coalesce(f"_{c}", old).alias(c) for c, old in zip(TOLD, stored)])
+
+
+# fixed values: parser states of each activity page
+PAGE_MODES = {"all": None, "full": ["pending", "analyzed", "no_symbols"], "watched": ["unsupported"]}
+
+
+def activity_page(activity: DataFrame, repo_id: str, mode: str = "all", number: int = 1, size: int = 12,
+                  parser_status: str | None = None, after: Column | None = None) -> DataFrame:
+    """One page of a repository's activity, newest first, with the totals of all its pages.
+
+    ``parser_status`` counts in mode ``all`` only.  ``after`` is a struct (at,
+    event_id), the last row of the page before: the page then starts behind it
+    and nothing in front of it is sorted, however deep the page lies.
+    """
+    wanted = PAGE_MODES[mode] or ([parser_status] if parser_status else None)
+    rows = activity.filter(F.col("repo_id") == repo_id)
+    if wanted:
+        rows = rows.filter(F.col("parser_status").isin(wanted))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    shown = rows if after is None else rows.filter(F.struct("at", "event_id") < after)
+    order = [F.desc("at"), F.desc("event_id")]
+    part = page(shown, order, number, size) if after is None else shown.orderBy(*order).limit(size)
+    return part.withColumn("total", total).withColumn(
+        "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))
+
+
 def new_telemetry(base: DataFrame, incoming: DataFrame) -> DataFrame:
     """Telemetry rows not stored yet, equal on six columns, null sessions equal."""
     return insert_absent(base, incoming, ["repo_id", "file_path", "provenance", "source", "session_id", "observed_at"], ["id"])
@@ -99,6 +144,11 @@ def storable_snapshots(files: DataFrame) -> DataFrame:
     return files.filter((F.col("change_type") != "deleted") & (F.length("content") <= SNAPSHOT_LIMIT))
 
 
+def upsert_snapshots(base: DataFrame, written: DataFrame) -> DataFrame:
+    """Snapshots of a commit and subject replaced by the one written last."""
+    return upsert(base, written, ["repo_id", "sha", "scope", "subject_id"], ["at"])
+
+
 def complete_heuristics(alerts: DataFrame) -> DataFrame:
     """Content alerts without a category, completed from their advice text."""
     ev = F.col("evidence")

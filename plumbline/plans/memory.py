@@ -81,6 +81,15 @@ def timeline(snapshots: DataFrame, incidents: DataFrame, n: int = 18) -> DataFra
         reading("signature", "semantic", "aiEditRatio").alias("ai_edit_ratio"), "incident_count")
 
 
+# fixed values: frames shown for each choice of time frame; any other choice shows twelve
+FRAMES = {"6": 6, "24": 24, "all": 96}
+
+
+def report_trend(snapshots: DataFrame, incidents: DataFrame, frame: str | None = None) -> DataFrame:
+    """The trend of a repository report: its newest frames, oldest first."""
+    return timeline(snapshots, incidents, FRAMES.get(frame or "", 12)).orderBy("repo_id", "at", "sha")
+
+
 def incident_frames(incidents: DataFrame, n: int = 10) -> DataFrame:
     """The newest incidents of every repository with what changed since they opened."""
     top = top_per_key(incidents, ["repo_id"], [F.desc("opened_at"), F.desc("incident_id")], n)

@@ -9,6 +9,7 @@ from ..functions import bands, vectors
 from ..functions.numeric import finite, fixed
 from ..operators.edges import target_of
 from ..operators.knn import nearest
+from . import incidents as closed_incidents
 from .fleet import alert_signals, latest_repo_values, since
 
 MODULE_EXTRA, BOUNDARY_EXTRA = 8, 10
@@ -129,3 +130,23 @@ def similar_boundaries(rows: DataFrame, repo_id: str, boundary_id: str | None =
         F.col("external_target") == F.col("_me.external_target"), SAME_EXTERNAL).otherwise(0.0)
     return kept.withColumn("drivers", vectors.feature_drivers(vectors.BOUNDARY_FEATURES, F.col("_me.f"), own)).withColumn(
         "score", fixed(F.col("score") + bonus, 3)).drop("_me").orderBy(F.desc("score"), "repo_id", "boundary_id")
+
+
+def hit_fixes(hits: DataFrame, subject: str, refactors: DataFrame, scope: str, n: int = 3) -> DataFrame:
+    """The best ``n`` fixes of every hit (V4-V6); hits without a fix give no row.
+
+    ``hits`` has repo_id and the column named ``subject``.  Suggestions are cut
+    down to the subjects of the hits before they are ranked.
+    """
+    subjects = hits.select("repo_id", F.col(subject).alias("subject_id"))
+    return closed_incidents.ranked_fixes(refactors, scope, n, subjects)
+
+
+def hit_outcomes(hits: DataFrame, subject: str, incidents: DataFrame, refactors: DataFrame, scope: str, n: int = 3) -> DataFrame:
+    """The last ``n`` closed incidents of every hit, each with the fix that goes with it.
+
+    A boundary shows the incidents of its source module.
+    """
+    subjects = hits.select("repo_id", F.col(subject).alias("subject_id"))
+    outcomes = closed_incidents.recent_outcomes(incidents, scope, n, subjects)
+    return closed_incidents.outcomes_with_fixes(outcomes, hit_fixes(hits, subject, refactors, scope, n))
