@@ -3,25 +3,30 @@
 Text is normalised to its lower-case words.  A passage of a text runs from one
 bigram that a template has to another; its Dice coefficient with the template
 is 2 * common / (bigrams of the passage + bigrams of the template), bigrams
-counted with multiplicity.  The best passage of every licence is reported if
-it reaches the threshold t.  Licences quote each other, so a passage most of
-whose words lie in a better one of another licence gives way to it; its template
-is then sought in the rest of the text.
+counted with multiplicity.  Licences quote each other and texts repeat their
+notices, so all passages of all templates that reach the threshold t compete:
+the best takes its place, one more than half of which is taken gives way, and a
+licence is reported, with its best passage, only where it wins a place.
 
 Sizes prune: a passage of m bigrams can reach t with a template of n only if
 n t / (2 - t) <= m <= n (2 - t) / t, and at least n t / (2 - t) of the text's
 bigrams must be the template's; most templates end there without a comparison.
+Starts are looked at in blocks of a sixteenth of the template, under a bound from
+the block's first start; blocks that others have taken are not looked into, so
+the work grows in proportion to the text.
 
 Nothing is shuffled; a task needs memory for one text at a time.
 
 Defined cases: null texts, empty texts and texts of one word match nothing;
 texts of any length are scanned whole; of passages with equal scores the
-first, then the shortest counts; repeated rows are scanned each; templates of
+longest, then that of the first template, then the first counts; repeated rows are scanned each; templates of
 fewer than two words never match; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import pkgutil
 import re
 from collections import Counter
@@ -63,7 +68,8 @@ BSD_WARRANTY = (
     "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 #: Licences whose full texts are in ``license_texts``.
 BODIES = ["Apache-2.0", "MPL-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
-#: Notices and licence texts as their authors publish them.
+#: Notices and licence texts as their authors publish them; the AGPL-3.0 body alone is put together here
+#: from the GPL-3.0 text and the AGPL's own preamble and section 13, so that its copies are not taken for the GPL-3.0.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -187,44 +193,44 @@ class Scanner:
                 yield number, *best
 
     def licenses(self, text: str) -> list[tuple]:
-        """(template number, score, first bigram, last bigram) of every licence, of its templates the one that fits best."""
-        hits, best = self.hits(text), {}
-        for number in sorted(hits):
-            if found := self.best(number, hits[number]):
-                best[number] = found
-        standing: list[tuple] = []
-        while best:
-            number = max(best, key=lambda k: (best[k][0], best[k][2] - best[k][1], -k))
-            score, first, last = best.pop(number)
-            name = self.templates[number][0]
-            inside = [(x, y) for other, _, x, y in standing if self.templates[other][0] != name
-                      and 2 * (min(y, last) - max(x, first) + 1) > last - first + 1]
-            if not inside:
-                standing.append((number, score, first, last))
-                continue
-            rest = [h for h in hits[number] if not any(x <= h[0] <= y for x, y in inside)]
-            if len(rest) < len(hits[number]) and (again := self.best(number, rest)):
-                best[number] = again
-            hits[number] = rest
+        """(template number, score, first bigram, last bigram) of every licence that wins a place, of its passages the best.
+
+        All passages of all templates compete: the best takes its place, and a
+        passage more than half of which is taken is out.  Blocks of starts
+        stand in the queue under a bound until they have to be looked into.
+        """
+        hits = self.hits(text)
+        searches = {n: Passages(self.templates[n], self.threshold, hits[n]) for n in hits if len(hits[n]) >= self.templates[n][3] > 0}
+        # (-score, -length, template, start): with a score of 1 a passage is as long as its template
+        queue = [(-bound, -search.size if bound == 1 else -search.high, number, int(search.places[search.blocks[block][0]]), 0, block)
+                 for number, search in searches.items() for block, bound in search.bounds()]
+        if not queue:
+            return []
+        heapq.heapify(queue)
+        taken = np.zeros(1 + max(h[-1][0] for h in hits.values()), bool)
         named: dict[str, tuple] = {}
-        for passage in standing:
-            named.setdefault(self.templates[passage[0]][0], passage)
+        while queue:
+            bound, length, number, first, known, block = heapq.heappop(queue)
+            search = searches[number]
+            if known:
+                place = slice(first, first - length)
+                if 2 * int(taken[place].sum()) <= -length:
+                    named.setdefault(search.name, (number, -bound, first, first - length - 1))
+                    taken[place] = True
+            if search.lost(block, taken):
+                continue
+            found = search.best_of(block, taken)
+            if found:
+                score, first, last = found
+                heapq.heappush(queue, (-score, first - last - 1, number, first, 1, block))
         return sorted(named.values())
 
     def best(self, number: int, hits: list):
         _, bigrams, size, low, high = self.templates[number]
         if not len(hits) >= low > 0:
             return None
-        places = np.array([at for at, _ in hits])
+        places, before = positions(bigrams, hits)
         ends = np.searchsorted(places, places + high, "left")  # a passage of at most ``high`` bigrams
-        # a hit counts in a passage unless as many like it as the template has stand before it there
-        seen: dict[tuple, list] = {}
-        before = np.full(len(hits), -1)
-        for i, (_, bigram) in enumerate(hits):
-            like = seen.setdefault(bigram, [])
-            like.append(i)
-            if len(like) > bigrams[bigram]:
-                before[i] = like[-1 - bigrams[bigram]]
         top = None
         for i in np.flatnonzero(ends - np.arange(len(hits)) >= low - 1e-9).tolist():
             lengths = places[i:ends[i]] - places[i] + 1
@@ -236,6 +242,77 @@ class Scanner:
         return top
 
 
+class Passages:
+    """The passages of one template in one text, in blocks of neighbouring starts."""
+
+    def __init__(self, template, threshold: float, hits: list):
+        self.name, bigrams, self.size, self.low, self.high = template
+        self.threshold = threshold
+        self.places, self.before = positions(bigrams, hits)
+        ends = np.searchsorted(self.places, self.places + self.high, "left")
+        enough = ends - np.arange(len(hits)) >= self.low - 1e-9
+        block = self.places // max(1, int(self.size / 16))
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        self.blocks = [(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hits)]) if enough[a:b].any()]
+
+    def scores(self, i: int, high: float):
+        """Lengths and scores of the passages from hit ``i`` to those within ``high`` bigrams; too short ones score 0."""
+        end = int(np.searchsorted(self.places, self.places[i] + high, "left"))
+        lengths = self.places[i:end] - self.places[i] + 1
+        scores = 2 * np.cumsum(self.before[i:end] < i) / (lengths + self.size)
+        scores[(lengths < self.low) | (lengths > high)] = 0
+        return lengths, scores
+
+    def bounds(self):
+        """(block, bound of its scores) where the bound reaches the threshold.
+
+        A passage that starts d bigrams after the first start of the block is
+        part of one from there with no fewer hits, which is d longer.
+        """
+        for number, (a, b) in enumerate(self.blocks):
+            d = int(self.places[b - 1] - self.places[a])
+            scores = self.scores(a, self.high + d)[1]
+            bound = min(1.0, float(scores.max()) * (1 + d / (self.low + self.size)) + 1e-9)
+            if bound >= self.threshold:
+                yield number, bound
+
+    def lost(self, block: int, taken) -> bool:
+        """Whether more than half of every passage from the block is taken."""
+        a, b = self.blocks[block]
+        start, d = int(self.places[a]), int(self.places[b - 1] - self.places[a])
+        free = np.cumsum(~taken[start:start + d + int(self.high)])
+        lengths = np.arange(math.ceil(self.low - 1e-9), int(self.high) + 1)
+        return bool((2 * free[np.minimum(d + lengths, len(free)) - 1] < lengths).all())
+
+    def best_of(self, block: int, taken):
+        """(score, first, last) of the block's best passage at most half of which is taken."""
+        a, b = self.blocks[block]
+        top = None
+        for i in range(a, b):
+            lengths, scores = self.scores(i, self.high)
+            start = int(self.places[i])
+            used = taken[start:start + int(lengths[-1])]
+            if used.any():
+                scores[2 * np.cumsum(used)[lengths - 1] > lengths] = 0
+            j = len(scores) - 1 - int(scores[::-1].argmax())
+            if scores[j] >= self.threshold and (top is None or (scores[j], lengths[j]) > (top[0], top[2] - top[1] + 1)):
+                top = (float(scores[j]), start, start + int(lengths[j]) - 1)
+        return top
+
+
+def positions(bigrams: Counter, hits: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hits, and for each the index of the hit that a passage must not reach back to for it to count:
+    a hit counts in a passage unless as many like it as the template has stand before it there."""
+    seen: dict[tuple, list] = {}
+    before = np.full(len(hits), -1)
+    for i, (_, bigram) in enumerate(hits):
+        like = seen.setdefault(bigram, [])
+        like.append(i)
+        if len(like) > bigrams[bigram]:
+            before[i] = like[-1 - bigrams[bigram]]
+    return np.array([at for at, _ in hits]), before
+
+
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, template, score, and the place of the passage: first and last character, and words."""
     small_batches(docs.sparkSession)

@@ -153,6 +153,45 @@ def test_licenses_are_told_apart(spark):
     assert all(r["score"] > 0.9 for r in got)
 
 
+def test_repeated_notices_name_no_relatives():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    for name, text in licenses.TEMPLATES:
+        for times in (2, 3, 5):
+            assert {scanner.templates[n][0] for n, *_ in scanner.licenses(f"\n{text}" * times)} == {name}
+
+
+def test_licences_compete_for_places_as_by_brute_force():
+    """Against all passages of all templates, taken in order of their scores."""
+    sizes = sorted(licenses.TEMPLATES, key=lambda t: len(t[1]))[:24]
+    scanner = licenses.Scanner(sizes, 0.7)
+    rng = random.Random(5)
+    for _ in range(40):
+        text = []
+        for _ in range(rng.randint(1, 5)):
+            part = licenses.words(rng.choice(sizes)[1])[:25]
+            for at in rng.sample(range(len(part)), len(part) // 12):
+                part[at] = rng.choice(["software", "license", "x"])
+            text += part + ["the"] * rng.randint(0, 2)
+        pairs = list(zip(text, text[1:]))
+        passages = []
+        for number, (name, grams, size, low, high) in enumerate(scanner.templates):
+            for i in range(len(pairs)):
+                left, common = Counter(grams), 0
+                for j in range(i, min(len(pairs), i + int(high))):
+                    if left[pairs[j]] > 0:
+                        left[pairs[j]] -= 1
+                        common += 1
+                    score = 2 * common / (j - i + 1 + size)
+                    if score >= 0.7 and j - i + 1 >= low and pairs[i] in grams and pairs[j] in grams:
+                        passages.append((-score, i - j, number, i, j))
+        taken, want = set(), {}
+        for score, _, number, i, j in sorted(passages):
+            if 2 * len(taken & set(range(i, j + 1))) <= j - i + 1:
+                want.setdefault(scanner.templates[number][0], (number, -score, i, j))
+                taken |= set(range(i, j + 1))
+        assert scanner.licenses(" ".join(text)) == sorted(want.values())
+
+
 def test_quality_separates_and_shrinks(spark, odd, none):
     rng = random.Random(4)
     rows, labels = [], []
