@@ -140,6 +140,13 @@ def _vec(p: str) -> str:
             f"{f('code_entropy_index')} / 100, {f('pressure_index')} / 100]::DOUBLE[]")
 
 
+def feature_rows(w):
+    """Snapshots of module features from the view events."""
+    return w.events.filter(F.col("event_type") == "view").select("repo_id", "module", "at", F.struct(
+        *[F.expr(e.replace("k % 10 / 10.0", "(k % 10) / 10D").replace("/ 9.0", "/ 9D").replace("/ 7.0", "/ 7D")).cast("double").alias(n)
+          for n, e in FEATURES]).alias("features"))
+
+
 @register("embedding_drift", with_("ev", (
     "f", "SELECT repo_id, module, at, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in FEATURES) + " FROM ev WHERE event_type = 'view'"),
     ("g", "SELECT *, " + ", ".join(f"lag({n}) OVER (PARTITION BY repo_id, module ORDER BY at) AS p_{n}" for n, _ in FEATURES) +
@@ -152,10 +159,7 @@ def _vec(p: str) -> str:
         WHEN composite >= 0.95 OR (composite >= 0.75 AND ai_edit_ratio >= 0.6) THEN 'error' WHEN composite >= 0.55 THEN 'warn' END AS severity
       FROM c) WHERE severity IS NOT NULL"""))
 def embedding_drift(w):
-    rows = w.events.filter(F.col("event_type") == "view").select("repo_id", "module", "at", F.struct(
-        *[F.expr(e.replace("k % 10 / 10.0", "(k % 10) / 10D").replace("/ 9.0", "/ 9D").replace("/ 7.0", "/ 7D")).cast("double").alias(n)
-          for n, e in FEATURES]).alias("features"))
-    return rules.embedding_drift(rows).select("repo_id", "module", micros("at").alias("at_us"), "distance", "composite", "severity")
+    return rules.embedding_drift(feature_rows(w)).select("repo_id", "module", micros("at").alias("at_us"), "distance", "composite", "severity")
 
 
 TRACKED = ("tracked", """

@@ -5,12 +5,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import fixed, micros
+from plumbline.operators.shared import materialized
+from plumbline.plans import anomaly, incidents
 from plumbline.session import shared_dir
 from plumbline.streaming import folds, sources, windows
 
-from .base import register
+from .base import ORACLES, register
 from .ctes import fx, with_
 from .ingest import STEP, TTL
+from .rules import RECOVERED, TRACKED, feature_rows
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -60,3 +63,51 @@ def stream_spaced_events(w):
                       "event_type string, event_id bigint, at timestamp")
     fold.start(rows).awaitTermination()
     return fold.output().select("event_type", "event_id")
+
+
+def batches(w, rows, name: str, parts: int = 4):
+    """The rows as a stream of ``parts`` files in the order of their times, one a micro-batch."""
+    folder = fresh(w, name)
+    kept = materialized(rows, name)
+    ends = kept.agg(F.min(F.unix_micros("at")).alias("first"), F.max(F.unix_micros("at")).alias("last")).first()
+    step = (ends["last"] - ends["first"]) // parts + 1
+    for i in range(parts):
+        part = F.floor((F.unix_micros("at") - ends["first"]) / step) == i
+        kept.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return w.spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@register("stream_merged", with_("ev", select="""
+  SELECT user_id, event_id, event_type, epoch_us(at) AS at_us FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY at DESC, event_id DESC) = 1"""))
+def stream_merged(w):
+    """The newest event of every user, merged over four micro-batches."""
+    rows = w.events.select("user_id", "event_id", "event_type", "at")
+    fold = folds.Fold(w.spark, fresh(w, "merged"), folds.merged(["user_id"], ["at", "event_id"]),
+                      "user_id bigint, event_id bigint, event_type string, at timestamp", folds.MERGED_SETTLED)
+    fold.start(batches(w, rows, "users")).awaitTermination()
+    return fold.output().select("user_id", "event_id", "event_type", micros("at").alias("at_us"))
+
+
+@register("stream_incidents", with_("metrics alerts", TRACKED, *RECOVERED, ("ended", """
+  SELECT t.*, (SELECT min(r.at) FROM rec r WHERE r.repo_id = t.repo_id AND r.type = t.type AND r.scope = t.scope
+    AND r.subject_id = t.subject_id AND r.at > t.at) AS closed FROM tracked t"""), select="""
+  SELECT repo_id, type, scope, subject_id, CASE WHEN closed IS NULL THEN 'open' ELSE 'closed' END AS status,
+    arg_max(severity, (at, sha)) AS severity, epoch_us(min(at)) AS opened_us, epoch_us(closed) AS closed_us,
+    arg_min(title, (at, sha)) AS opened_alert_title, arg_max(title, (at, sha)) AS latest_alert_title, count(*) AS alert_count
+  FROM ended GROUP BY repo_id, type, scope, subject_id, closed"""))
+def stream_incidents(w):
+    """The incident lifecycle over four micro-batches of alerts and recoveries."""
+    rows = incidents.tracked_alerts(w.alerts).withColumn("kind", F.lit("alert")).unionByName(
+        incidents.index_recoveries(anomaly.assess_indexes(w.metrics)).withColumn("kind", F.lit("recovery")), allowMissingColumns=True)
+    fold = folds.Fold(w.spark, fresh(w, "incidents"), folds.incident_fold, folds.INCIDENT_STATE, folds.INCIDENT_SETTLED)
+    fold.start(batches(w, rows, "signals")).awaitTermination()
+    return fold.output().select(*incidents.KEY, "status", "severity", micros("opened_at").alias("opened_us"), micros("closed_at").alias("closed_us"),
+                                "opened_alert_title", "latest_alert_title", "alert_count")
+
+
+@register("stream_drift", ORACLES["embedding_drift"])
+def stream_drift(w):
+    """Drift of module features over four micro-batches; the state is the last snapshot of each module."""
+    fold = folds.Fold(w.spark, fresh(w, "drift"), folds.module_drift, folds.DRIFT_STATE)
+    fold.start(batches(w, feature_rows(w), "features")).awaitTermination()
+    return fold.output().select("repo_id", "module", micros("at").alias("at_us"), "distance", "composite", "severity")
