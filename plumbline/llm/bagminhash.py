@@ -22,7 +22,9 @@ components.  Only buckets that still hold more than one component go on: there
 every pair of nodes of different components is compared by signature, in
 blocks, and the pairs whose agreement is within five standard deviations of
 the threshold are verified, which misses a pair of similarity 0.8 less often
-than the bands do.  A group of copies so costs about its size, and nothing is
+than the bands do.  They are verified where they are found, the texts of their
+nodes beside them, and a pair that earlier links connect already needs no look:
+only links of a forest leave a task, fewer than it has nodes.  Nothing is
 capped.
 
 Defined cases: a text of one to four words is a single shingle; texts without
@@ -37,16 +39,19 @@ from __future__ import annotations
 import math
 import re
 from collections import OrderedDict
+from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import Memo
-from .common import discard, free_name, small_batches, steps, stored
+from .common import discard, free_name, release, small_batches, steps, stored
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -54,8 +59,8 @@ ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
 #: Standard deviations by which the register agreement of a pair that is verified may fall short of the threshold.
 MARGIN = 5
-#: Nodes of a bucket that a task compares with each other at once.
-CHUNK = 2048
+#: Nodes of a bucket, and bytes of their texts, that a task compares with each other at once; no links depend on them.
+CHUNK, CHUNK_BYTES = 2048, 16 << 20
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,6 +172,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
             signed = [np.array([s[i] for s in sums], np.uint64).view(np.int64) for i in (0, 1)]
             sig = pa.array([next(rows).tobytes() if len(b[0]) else None for b in bags], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signed[0]), pa.array(signed[1]), sig], schema=schema)
+        release()
 
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(plain).alias("t"), plain.alias("body"))
@@ -194,58 +200,140 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             good = [i for i, (x, y) in enumerate(zip(a, b))
                     if similarity(of(x, part.column(3)[i]), of(y, part.column(2)[i])) >= least - 1e-12]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (a, b)], schema=schema)
+        release()
 
     return pairs.select("a", "b", "body_b", "body_a").mapInArrow(run, "a long, b long")
 
 
-def compared(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components that agree in enough registers; members are (bucket, i, j, side, node, comp, sig, band).
+class Group(NamedTuple):
+    """Nodes of two chunks of a bucket (or of one): arrays by node, and their texts where they are wanted."""
 
-    A group (bucket, i, j) holds the chunks i and j of a bucket; pairs within
-    a chunk are its own group's.  The nodes that are not in the group's
-    largest component are compared with all.  A pair that shares several
-    buckets is given in that of its first common band only.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    key: tuple
+    side: np.ndarray
+    node: np.ndarray
+    comp: np.ndarray
+    band: np.ndarray
+    sig: np.ndarray
+    body: list[str]
 
-    def pairs(rows):
-        node, comp, side, band, sig = (np.concatenate(x) for x in zip(*rows))
-        names, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        for x in np.flatnonzero(which != sizes.argmax()).tolist():
-            same = (sig == sig[x]).sum(axis=1)
-            # of two nodes that are both outside the largest, the first looks at the second
-            other = (comp != comp[x]) & ((which == sizes.argmax()) | (np.arange(len(node)) > x)) & (same >= least * REGISTERS)
-            if len(np.unique(side)) > 1:
-                other &= side != side[x]
-            found = np.flatnonzero(other)
-            common = (sig[found] == sig[x]).reshape(len(found), BANDS, ROWS).all(axis=2)
-            for y in found[common.argmax(axis=1) == band[x]].tolist():
-                yield min(node[x], node[y]), max(node[x], node[y])
 
-    def run(batches):
-        held, here = [], None
+MEMBERS = "bucket long, i long, j long, side long, node long, comp long, band int, sig binary"
 
-        def flush():
-            found = list(pairs(held)) if held else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=schema)
 
-        for part in steps(batches):
-            group = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)], axis=1)
-            rows = [part.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 3, 7)]
-            sig = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint16).reshape(part.num_rows, -1)
-            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(group)]]).tolist()
-            for start, end in zip(cuts, cuts[1:]):
-                if here != tuple(group[start]):
-                    yield from flush()
-                    held, here = [], tuple(group[start])
-                held.append((*(r[start:end] for r in rows), sig[start:end]))
-        yield from flush()
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
+    """The groups of members sorted by (bucket, i, j); one is held at a time, as large as CHUNK and CHUNK_BYTES let it be."""
+    held, here = [], None
+
+    def closed():
+        bodies = list(chain.from_iterable(h[5] for h in held))
+        return Group(here, *(np.concatenate([h[k] for h in held]) for k in range(5)), bodies)
+
+    for part in steps(batches):
+        key = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+        rows = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7)]
+        rows.append(np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint16).reshape(part.num_rows, -1))
+        bodies = part.column(8).to_pylist() if part.num_columns > 8 else []
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]]).tolist()
+        for start, end in zip(cuts, cuts[1:]):
+            if here != tuple(key[start].tolist()):
+                if held:
+                    yield closed()
+                held, here = [], tuple(key[start].tolist())
+            held.append((*(r[start:end] for r in rows), bodies[start:end]))
+    if held:
+        yield closed()
+
+
+def candidates(group: Group, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Places x in the group, each with places of other components that agree with it in enough registers, the best first.
 
-    dealt = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    Only nodes outside the group's largest component are an x; of two such
+    nodes the first has the second.  Pairs within a chunk are its own group's,
+    and a pair that shares several buckets is given in that of its first
+    common band only.
+    """
+    _, side, node, comp, band, sig, _ = group
+    names, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    inside, place, apart = which == sizes.argmax(), np.arange(len(node)), len(np.unique(side)) > 1
+    for x in np.flatnonzero(~inside).tolist():
+        same = (sig == sig[x]).sum(axis=1)
+        other = (comp != comp[x]) & (inside | (place > x)) & (same >= least * REGISTERS)
+        if apart:
+            other &= side != side[x]
+        found = np.flatnonzero(other)
+        common = (sig[found] == sig[x]).reshape(len(found), BANDS, ROWS).all(axis=2)
+        found = found[common.argmax(axis=1) == band[x]]
+        if len(found):
+            yield x, found[np.argsort(-same[found], kind="stable")]
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    return members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def involved(members: DataFrame, least: float) -> DataFrame:
+    """The members that are in a pair to verify, at most once a group."""
+    schema = pa.schema([*((n, pa.int64()) for n in ("bucket", "i", "j", "side", "node", "comp")), ("band", pa.int32()), ("sig", pa.binary())])
+
+    def run(batches):
+        for group in groups(batches):
+            wanted = np.zeros(len(group.node), bool)
+            for x, others in candidates(group, least):
+                wanted[x] = wanted[others] = True
+            at = np.flatnonzero(wanted)
+            if len(at):
+                keys = [np.full(len(at), k) for k in group.key]
+                rows = [*keys, group.side[at], group.node[at], group.comp[at], group.band[at].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array([s.tobytes() for s in group.sig[at]], pa.binary())], schema=schema)
+        release()
+
+    return dealt(members).mapInArrow(run, MEMBERS)
+
+
+def forest(members: DataFrame, register: float, least: float) -> DataFrame:
+    """Verified links (a, b) between components of each group's nodes; members have their texts.
+
+    Every candidate pair is verified unless links found before already connect
+    its two components, so a group gives fewer links than it has nodes and no
+    list of pairs leaves the task.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        memo = word_hashes()
+        for group in groups(batches):
+            bags, above, links = {}, {}, []
+
+            def of(place):
+                if place not in bags:
+                    own = bag(group.body[place], memo)
+                    bags[place] = own, int(own[1].sum())
+                return bags[place]
+
+            def top(comp):
+                while (up := above.get(comp, comp)) != comp:
+                    above[comp] = above.get(up, up)
+                    comp = up
+                return comp
+
+            comps = group.comp.tolist()
+            for x, others in candidates(group, register):
+                for y in others.tolist():
+                    one, two = top(comps[x]), top(comps[y])
+                    if one == two:
+                        continue
+                    (p, m), (q, n) = of(x), of(y)
+                    # the smaller bag has to be large enough for the threshold at all
+                    if min(m, n) >= least * max(m, n) - 1e-6 and similarity(p, q) >= least - 1e-12:
+                        above[one] = two
+                        links.append(sorted((int(group.node[x]), int(group.node[y]))))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.int64()) for i in (0, 1)], schema=schema)
+        release()
+
+    return dealt(members).mapInArrow(run, "a long, b long")
 
 
 def classes_of(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -273,20 +361,21 @@ def classes_of(docs: DataFrame, key: str, text: str, least: float) -> tuple[Data
     linked = buckets.select("node").distinct().join(nodes.select("node", "rep", "t"), "node")
     same = F.col("p.rep").eqNullSafe(F.col("q.rep")) if nodes.where(F.col("rep").isNull()).limit(1).count() else F.col("p.rep") == F.col("q.rep")
     texts = bodies.alias("p").join(linked.alias("q"), same & (F.col("p.t") == F.col("q.t"))).select("node", "body")
-    texts = stored(texts.groupBy("node").agg(F.min("body").alias("body")), "texts")
+    texts = texts.groupBy("node").agg(F.min("body").alias("body")).select("node", "body", F.octet_length("body").cast("long").alias("bytes"))
+    texts = stored(texts, "texts")
 
     edges = stored(verified(star, texts, least), "links")
     roots = components(edges)
-    known = stored(buckets.join(roots, "node", "left").select("bucket", "band", "size", "node", F.coalesce("root", "node").alias("comp")), "known")
-    open_ = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    known = buckets.join(roots, "node", "left").select("bucket", "band", "size", "node", F.coalesce("root", "node").alias("comp"))
+    known = stored(known.join(texts.select("node", "bytes"), "node"), "known")
+    open_ = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("bytes").alias("mass")).where("x <> y").select("bucket", "mass")
     rest = known.join(open_, "bucket").join(nodes.select("node", "sig"), "node")
-    chunks = F.ceil(F.col("size") / CHUNK)
+    chunks = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("mass") / CHUNK_BYTES))
     rest = rest.withColumn("side", F.pmod(F.xxhash64("node"), chunks)).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1).cast("array<bigint>")))
-    rest = rest.select("bucket", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "comp", "sig", "band")
+    rest = rest.select("bucket", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "comp", "band", "sig")
     margin = least - MARGIN * math.sqrt(least * (1 - least) / REGISTERS)
-    more = compared(rest, margin).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(more, "more")
-    edges = edges.unionByName(stored(verified(more, texts, least), "links"))
+    more = stored(involved(rest, margin), "more")
+    edges = edges.unionByName(stored(forest(more.join(texts.select("node", "body"), "node").select(*more.columns, "body"), margin, least), "links"))
     discard(buckets, star, texts, known, more)  # what follows reads the links only
 
     named = nodes.select("node", "fa", "fb", "n", "rep", "t").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -308,6 +397,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own, nth = free_name(docs, "_t"), free_name(docs, "_nth")
     kept = named.where(F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"), F.col("class_t").alias(own)).distinct()
     rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", own], "left_semi")
-    alone = Window.partitionBy("doc_id", own).orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    plain = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)}
+    by = [F.col(c) if c in plain else F.to_json(F.struct(c)) for c in docs.columns if c != "doc_id"]  # maps have no order
+    alone = Window.partitionBy("doc_id", own).orderBy(*by)
     rows = rows.withColumn(nth, F.row_number().over(alone)).where(F.col(nth) == 1).select(*docs.columns)
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))

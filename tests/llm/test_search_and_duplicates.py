@@ -107,6 +107,32 @@ def test_near_duplicate_classes_equal_brute_force(spark, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({c for _, c, _ in got})
 
 
+@pytest.mark.parametrize("chunk, size", [(2048, 16 << 20), (40, 16 << 20), (2048, 40_000)])
+def test_borderline_copies_of_one_base_give_a_forest_of_links(spark, monkeypatch, chunk, size):
+    """A large group in which most pairs are close to the threshold: classes as by brute force, and few links."""
+    monkeypatch.setattr(bagminhash, "CHUNK", chunk)
+    monkeypatch.setattr(bagminhash, "CHUNK_BYTES", size)
+    rng, seen, plain = random.Random(21), [], bagminhash.forest
+    texts = copies(rng, 160, [rng.randint(2, 7) for _ in range(170)])
+    rows = [(i, t) for i, t in enumerate(texts)]
+
+    def spied(members, *rest):
+        seen.append((plain(members, *rest).count(), members.select("bucket", "i", "j", "node").distinct().count()))
+        return plain(members, *rest)
+
+    monkeypatch.setattr(bagminhash, "forest", spied)
+    frame = spark.createDataFrame([(d, t, "en", "s", 1, "clash") for d, t in rows], DOCS)
+    assert sorted(tuple(r) for r in bagminhash.near_duplicates(frame).collect()) == brute_classes(rows)
+    links, nodes = seen[0]
+    assert links < max(nodes, 1)
+
+
+def test_columns_without_an_order_do_not_stop_the_reduction(spark):
+    rows = [(1, "a b c d e f", {"k": 1}, [{"z": 2}]), (1, "a b c d e f", {"k": 2}, None), (2, "g h i j k l", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>, list array<map<string,int>>")
+    assert sorted(r["doc_id"] for r in bagminhash.one_of_each(frame).collect()) == [1, 2]
+
+
 def test_texts_of_one_id_are_kept_apart(spark):
     rng = random.Random(13)
     one, two, three = copies(rng, 80, [0, 1]), copies(rng, 80, [0, 1]), copies(rng, 80, [0])
