@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 from array import array
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Pieces and pairs that a worker remembers at most in one generation; what is forgotten is computed again.
+#: What a worker remembers at most in one generation of words, pieces or pairs; what is forgotten is computed again.
 REMEMBERED = 300_000
 #: Longer pieces are not remembered.
 REMEMBERED_LENGTH = 64
@@ -45,6 +46,8 @@ CUT_AT_BLANKS = (
 
 
 NEVER = 1 << 62
+#: A pair of ranks is one number, the first times this plus the second.
+PAIR = 1 << 30
 
 
 def merged(text: bytes, ranks: dict[bytes, int], below: int = NEVER) -> list[int]:
@@ -98,7 +101,8 @@ class Codec:
         self.compatible = Memo(self._compatible)
         short = lambda text: len(text) <= REMEMBERED_LENGTH
         self.pieces = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), short)
-        self.words = Memo(lambda word: self.encode_pieces(f" {word}"), short)
+        # words are not remembered a second time by their pieces
+        self.words = Memo(lambda word: array("i", chain.from_iterable(map(self.encode_piece, self.split.findall(f" {word}")))).tobytes(), short)
 
     def _shorter(self, rank: int) -> int | None:
         """The longest token that starts the given one and is not it."""
@@ -115,7 +119,7 @@ class Codec:
         chain_.reverse()
         return [(self.bytes_of[r], end) for r, end in zip(chain_, [*chain_[1:], NEVER])]
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
+    def _compatible(self, pair: int) -> bool:
         """Whether merging leaves the border between two tokens alone.
 
         Ranks of merges rise from part to whole, so at each rank one known
@@ -123,9 +127,10 @@ class Codec:
         join ranks before what ends either; of equal ranks the left one goes
         first.
         """
-        left, right = self.right_edge[pair[0]], self.left_edge[pair[1]]
+        one, two = divmod(pair, PAIR)
+        left, right = self.right_edge[one], self.left_edge[two]
         if not left or not right:
-            return merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]], self.ranks) == [*pair]
+            return merged(self.bytes_of[one] + self.bytes_of[two], self.ranks) == [one, two]
         i = j = 0
         while True:
             (a, end_a), (b, end_b) = left[i], right[j]
@@ -150,7 +155,7 @@ class Codec:
                     end -= 1
             else:
                 end = at + sizes[token]
-            if open_[end] and (before < 0 or compatible[before, token]):
+            if open_[end] and (before < 0 or compatible[before * PAIR + token]):
                 tokens.append(token)
                 at, before, token = end, token, None
                 continue

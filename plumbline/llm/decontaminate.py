@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, free_name, small_batches, steps
+from .common import add_columns, free_name, release, small_batches, steps
 
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.6
@@ -248,6 +248,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, quest
                 rows = [(keys[text].as_py(), index.ids[number], *row) for (text, number), row in found.items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            release()
 
         return docs.select("doc_id", "text").mapInArrow(run, kinds)
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, steps, stored
+from .common import discard, release, small_batches, steps, stored
 
 LENGTH, GRAM = 200, 32
 BATCHES = 4
@@ -136,6 +136,7 @@ def suffixes(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 loc = (place << 16) | ((at - last) << 8) | (at - first)
                 row = np.array(owners)[of]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, rid[row], t[row], loc)], schema=schema)
+        release()
 
     return rows.select("rid", "t", "body").mapInArrow(run, "gram long, rid long, t long, loc long")
 
@@ -250,6 +251,7 @@ def contexts(suspects: DataFrame, rows: DataFrame, length: int = LENGTH) -> Data
                 cut = [data[a:b] for a, b in zip((place - high).tolist(), (place - low + length).tolist())]
                 own = [np.full(len(loc), part.column(k)[i].as_py()) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, own), pa.array(loc), pa.array(cut, pa.binary())], schema=schema)
+        release()
 
     return found.mapInArrow(run, CONTEXTS)
 
@@ -281,6 +283,7 @@ def matched(around: DataFrame, length: int = LENGTH) -> DataFrame:
                 size += end - start
         if held:
             yield spans(held)
+        release()
 
     dealt = around.repartition("gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(run, "rid long, t long, start long, end long")
@@ -355,6 +358,7 @@ def removal(docs: DataFrame, **settings) -> DataFrame:
                 left, removed, runs = kept_bytes(data, part.column(4)[i].as_py())
                 out.append((part.column(0)[i].as_py(), len(data), removed, runs, hashlib.sha256(left).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        release()
 
     joined = rows.join(marks, ["rid", "t"], "left").select("doc_id", "rid", "t", "body", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -378,6 +382,7 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
                 texts.append(kept_bytes(text.encode(), spans)[0].decode("utf-8", "ignore") if spans else text)
             arrays = [pa.array(texts, pa.string()) if i == position else part.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        release()
 
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col("text"), F.lit(""))
