@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import paths
 from plumbline.functions.numeric import fixed, micros
 from plumbline.operators.merge import delete_cascade, delete_for, insert_absent, orphans, patch, replace_keeping, upsert
-from plumbline.operators.spacing import keep_spaced, quiet_after, quiet_before
+from plumbline.operators.spacing import coalesced, keep_spaced, quiet_after, quiet_before
 from plumbline.operators.versioned import Versions
 from plumbline.plans import graph, ingest
 from plumbline.session import shared_dir
@@ -324,3 +324,14 @@ def fallback_languages(w):
   SELECT repo_id, lower(regexp_replace(string_split(root_path, '/')[-1], '[^a-zA-Z0-9_-]', '-', 'g')) AS derived_id FROM repos WHERE root_path IS NOT NULL"""))
 def watched_roots(w):
     return w.repos.filter(F.col("root_path").isNotNull()).select("repo_id", paths.repo_id_from_path("root_path").alias("derived_id"))
+
+
+@register("coalesced_refreshes", with_("ev", STEP, ("r", f"""
+  SELECT event_type, rn, t AS last, event_id, event_id AS opener FROM n WHERE rn = 1 UNION ALL
+  SELECT n.event_type, n.rn, CASE WHEN n.t - r.last >= {TTL} THEN n.t ELSE r.last END, n.event_id, CASE WHEN n.t - r.last >= {TTL} THEN n.event_id ELSE r.opener END
+  FROM r JOIN n ON n.event_type = r.event_type AND n.rn = r.rn + 1"""), recursive=True, select=f"""
+  SELECT event_type, opener AS event_id, count(*) - 1 AS absorbed, (any_value(last) + {TTL}) * 1000 AS fires_us FROM r GROUP BY event_type, opener"""))
+def coalesced_refreshes(w):
+    """Refreshes scheduled by the first event of a window, with the number of events each absorbs."""
+    out = coalesced(w.events, ["event_type"], "at", TTL, tie="event_id")
+    return out.select("event_type", "event_id", "absorbed", micros("fires_at").alias("fires_us"))

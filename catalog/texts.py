@@ -83,8 +83,7 @@ def document_digests(w):
     n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS len FROM s)
   SELECT doc_id, CAST(slot AS INT) AS slot, """ + fx("v / len", 6) + """ AS weight FROM n WHERE v <> 0""")
 def document_hash_vectors(w):
-    rows = w.documents.select("doc_id", F.posexplode(vectors.hash_embed("text")).alias("slot", "weight"))
-    return rows.filter(F.col("weight") != 0).select("doc_id", "slot", fixed("weight", 6).alias("weight"))
+    return vectors.hashed_slots(w.documents, "doc_id", "text").select("doc_id", "slot", fixed("weight", 6).alias("weight"))
 
 
 @register("document_calls", with_(select=rf"""

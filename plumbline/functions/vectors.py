@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -108,6 +108,28 @@ def hash_embed(source, dimension: int = VECTOR_SIZE) -> Column:
     return embed(tokens(source))
 
 
+def token_hash(token) -> Column:
+    """The hash that :func:`hash_embed` gives a token, as an expression: 31-polynomial in 32 signed bits, made non-negative."""
+    letters = F.filter(F.split(col(token), ""), lambda c: c != "")
+    h = F.aggregate(letters, F.lit(0).cast("bigint"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
+
+
+def hashed_slots(df: DataFrame, key: str, source: str, dimension: int = VECTOR_SIZE) -> DataFrame:
+    """The slots of :func:`hash_embed` that are not zero, one row each: ``key``, slot, weight.  ``key`` identifies a text.
+
+    Token counts are summed by slot inside the input partitions, so at most
+    ``dimension`` rows a text are shuffled.
+    """
+    from .text import tokens
+
+    hashed = df.select(key, F.explode(tokens(source)).alias("_t")).select(key, token_hash("_t").alias("_h"))
+    sums = hashed.groupBy(key, (F.col("_h") % dimension).cast("int").alias("slot")).agg(
+        F.sum(F.when(F.col("_h") % 2 == 0, 1).otherwise(-1)).alias("_v")).filter("_v <> 0")
+    length = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(key)))  # at most ``dimension`` rows
+    return sums.select(key, "slot", (F.col("_v") / length).alias("weight"))
+
+
 def feature_vector(features) -> Column:
     """Scaled features clamped to [0, 4]; the zero padding of the stored form
     does not change a cosine and is left out."""

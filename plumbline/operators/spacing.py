@@ -1,4 +1,4 @@
-"""Keep rows spaced at least a gap apart (survey X1, X2, X3, X4).
+"""Keep rows spaced at least a gap apart (survey X1, X2, X3, X4, X12).
 
 The greedy rule (keep a row when the last *kept* row of its key is a full gap
 ago) is a chain, not a lag filter.  The chain is cut into time chunks:
@@ -168,3 +168,19 @@ def quiet_after(df: DataFrame, keys: list[str], at: str, gap: str, tie: str) ->
         F.count(F.lit(1)).alias("burst_size"),
     )
     return burst.select("_row.*", "burst_size", F.col("_burst.end").alias("fires_at"))
+
+
+def coalesced(df: DataFrame, keys: list[str], at: str, gap_ms: int = 120, *, tie: str) -> DataFrame:
+    """One refresh per window that an event opens (leading window, X12): keys, ``tie`` of that event, absorbed, fires_at.
+
+    An event outside any window of its key schedules a refresh a gap later;
+    events before that are absorbed by it, ``absorbed`` counts them.  Times
+    are whole milliseconds.  Rows without a time schedule nothing.
+    """
+    ms = F.timestamp_millis(F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("bigint"))
+    rows = df.filter(F.col(at).isNotNull()).select(*keys, tie, ms.alias(at))
+    opened = keep_spaced(rows, keys, at, gap_ms, tie=tie)
+    looked = asof_join(rows.select(*keys, at), opened, keys, at, at, [tie], name="_by")
+    out = looked.groupBy(*keys, F.col("_by")[tie].alias(tie), F.col("_by")[at].alias("_opened")).agg(
+        (F.count(F.lit(1)) - 1).alias("absorbed"))
+    return out.select(*keys, tie, "absorbed", F.timestamp_micros(F.unix_micros("_opened") + gap_ms * 1000).alias("fires_at"))

@@ -79,6 +79,15 @@ def test_digests(one):
     assert one(digests.timestamp_text(F.lit("2024-01-01 10:00:00").cast("timestamp"))) == "2024-01-01 10:00:00+00"
 
 
+def test_hashed_slots_equal_the_embedding(spark):
+    """The expression form against the other form: long tokens, repeated ones, none, null."""
+    texts = ["hello total invoice customer_id hello", "a" * 5000 + " b_9 Zz", "polynomial_overflow_of_thirty_two_bits x", "", None, "++"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    want = {(r["id"], i): w for r in df.select("id", vectors.hash_embed("s").alias("v")).collect() for i, w in enumerate(r["v"] or []) if w}
+    got = {(r["id"], r["slot"]): r["weight"] for r in vectors.hashed_slots(df, "id", "s").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_hash_embedding(one):
     v = one(vectors.hash_embed("s"), s="hello total invoice customer_id")
     slots = {i: x for i, x in enumerate(v) if x}

@@ -11,7 +11,7 @@ from plumbline.operators.edges import bucket_entropy, edge_diff
 from plumbline.operators.knn import PivotIndex, knn_join
 from plumbline.operators.merge import insert_absent, replace_keeping, upsert
 from plumbline.operators.running import DAY, HOUR, asof_join, bucketed, open_intervals
-from plumbline.operators.spacing import keep_spaced, quiet_after, quiet_before
+from plumbline.operators.spacing import coalesced, keep_spaced, quiet_after, quiet_before
 from plumbline.plans import anomaly
 
 T0 = dt.datetime(2024, 1, 1)
@@ -145,6 +145,24 @@ def test_keep_spaced_timeline(spark):
     assert sorted(x["id"] for x in keep_spaced(df, ["k"], "at", 900_000, tie="id").collect()) == [0, 16]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_coalesced_equals_the_timer(spark, seed):
+    """Against a walk with one pending timer a key; times in milliseconds, with ties and a row without a time."""
+    rng = random.Random(seed)
+    rows = [(i, k, s) for i, (k, s) in enumerate(hot(rng, 500, 60_000))]
+    rows += [(500, "hot", rows[0][2]), (501, "k0", None)]
+    df = spark.createDataFrame([(i, k, None if s is None else T0 + dt.timedelta(milliseconds=s)) for i, k, s in rows], "id int, k string, at timestamp")
+    due, want = {}, {}
+    for s, i, k in sorted((s, i, k) for i, k, s in rows if s is not None):
+        if k in due and s < due[k][0]:
+            want[due[k][1]][0] += 1
+        else:
+            due[k] = (s + 120, i)
+            want[i] = [0, T0 + dt.timedelta(milliseconds=s + 120)]
+    got = {r["id"]: [r["absorbed"], r["fires_at"]] for r in coalesced(df, ["k"], "at", tie="id").collect()}
+    assert got == want
+
+
 def test_throttle_and_debounce(spark):
     df = spark.createDataFrame([(i, "k", at(s)) for i, s in enumerate((0, 1, 2, 10, 11, 30))], "id int, k string, at timestamp")
     assert sorted(x["id"] for x in quiet_before(df, ["k"], "at", 2_000_000).collect()) == [0, 3, 5]
