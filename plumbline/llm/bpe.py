@@ -101,8 +101,15 @@ class Codec:
         self.compatible = Memo(self._compatible)
         short = lambda text: len(text) <= REMEMBERED_LENGTH
         self.pieces = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), short)
-        # words are not remembered a second time by their pieces
-        self.words = Memo(lambda word: array("i", chain.from_iterable(map(self.encode_piece, self.split.findall(f" {word}")))).tobytes(), short)
+        self.words = Memo(self._word, short)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word behind a blank; its first piece is itself such a word, so nothing is remembered a second time by pieces."""
+        first, *more = self.split.findall(f" {word}")
+        if not more:
+            return array("i", self.encode_piece(first)).tobytes()
+        start = self.words[first[1:]] if len(first) > 1 and first[0] == " " else array("i", self.encode_piece(first)).tobytes()
+        return start + array("i", chain.from_iterable(map(self.encode_piece, more))).tobytes()
 
     def _shorter(self, rank: int) -> int | None:
         """The longest token that starts the given one and is not it."""
