@@ -3,7 +3,7 @@
 The greedy rule (keep a row when the last *kept* row of its key is a full gap
 ago) is a chain, not a lag filter.  The chain is cut into time chunks:
 
-1. rows of one key and millisecond collapse to one before any shuffle, so a
+1. rows of one key and millisecond collapse to the earliest before any shuffle, so a
    (key, chunk) group has a fixed upper size whatever the key's share;
 2. every chunk computes, on its own, which last-kept time it would leave
    behind for each time that could have been kept before it;
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,26 +61,38 @@ def _step_function(t: np.ndarray, forced: np.ndarray, gap: int) -> tuple[list[in
     return times[edge].tolist(), exits[edge].tolist()
 
 
+def _numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of each key numbered from 1 (``_i``), together and in order, for a walk over the batches of a partition.
+
+    A window asks for its keys to be together; a plain ``repartition`` after a join does
+    not: adaptive execution may turn the join into a broadcast one and read its shuffle locally.
+    """
+    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
 def keep_spaced(
     df: DataFrame, keys: list[str], at: str, gap_ms: int, *, tie: str, forced: str | None = None,
     chunk_ms: int = HOUR // 1000,
 ) -> DataFrame:
     """Rows the greedy rule keeps; ``forced`` rows are kept and restart the gap.
 
-    Of the rows sharing a key and millisecond only the first by ``tie`` can be
-    kept (a forced one first).
+    Gaps are whole milliseconds, the order is that of the times themselves: of the
+    rows sharing a key and millisecond every forced one is kept, and of the others
+    only the earliest can be (at equal times a forced one comes first, then ``tie`` decides).
+    Rows without a time are left out.
     """
-    ms = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("bigint")
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    ms = F.floor(us / 1000).cast("bigint")
     force = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
     cols = df.columns
     tagged = df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"_k{i}") for i, k in enumerate(keys)],
-                       ms.alias("_ms"), force.alias("_force"), F.struct(*cols).alias("_row"))
+                       ms.alias("_ms"), us.alias("_us"), force.alias("_force"), F.struct(*cols).alias("_row")).filter(F.col("_ms").isNotNull())
     names = [f"_k{i}" for i in range(len(keys))]
+    order = F.struct("_us", ~F.col("_force"), F.col("_row")[tie])
     one = tagged.groupBy(*names, "_ms").agg(
-        F.max("_force").alias("_force"),
-        F.min_by("_row", F.struct(~F.col("_force"), F.col("_row")[tie])).alias("_row"),
+        F.max("_force").alias("_force"), F.min_by(F.struct("_row", "_force"), order).alias("_first"),
     ).withColumn("_chunk", F.floor(F.col("_ms") / chunk_ms).cast("bigint"))
-    placed = one.repartition(*names, "_chunk").sortWithinPartitions(*names, "_chunk", "_ms")
+    placed = _numbered(one, [*names, "_chunk"], "_ms")
     key_fields = [T.StructField(n, T.StringType()) for n in names]
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,8 +105,8 @@ def keep_spaced(
         for pdf in batches:
             out = []
             heads = pdf[[*names, "_chunk"]].itertuples(index=False, name=None)
-            for head, t, must in zip(heads, pdf["_ms"], pdf["_force"]):
-                if head != key:
+            for i, head, t, must in zip(pdf["_i"], heads, pdf["_ms"], pdf["_force"]):
+                if i == 1:
                     if key is not None:
                         out.append(closed())
                     key, times, musts = head, [], []
@@ -105,7 +117,7 @@ def keep_spaced(
         if key is not None:
             yield pd.DataFrame([closed()], columns=[*names, "_chunk", "_until", "_left"])
 
-    steps = placed.select(*names, "_chunk", "_ms", "_force").mapInPandas(
+    steps = placed.select(*names, "_chunk", "_ms", "_force", "_i").mapInPandas(
         summarize,
         T.StructType([*key_fields, T.StructField("_chunk", T.LongType()),
                       T.StructField("_until", T.ArrayType(T.LongType())),
@@ -113,13 +125,12 @@ def keep_spaced(
     )
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, NEVER
+        last = NEVER
         for pdf in batches:
             entry = []
-            for row in pdf.itertuples(index=False, name=None):
-                key, (until, left) = row[:-3], row[-2:]
-                if key != current:
-                    current, last = key, NEVER
+            for n, until, left in zip(pdf["_i"], pdf["_until"], pdf["_left"]):
+                if n == 1:
+                    last = NEVER
                 entry.append(last)
                 i = int(np.searchsorted(until, last + gap_ms, side="left"))
                 if i < len(left):
@@ -127,29 +138,31 @@ def keep_spaced(
             yield pdf[[*names, "_chunk"]].assign(_entry=entry)
 
     entries = (
-        steps.repartition(*names).sortWithinPartitions(*names, "_chunk")
+        _numbered(steps, names, "_chunk")
         .mapInPandas(chain, T.StructType([*key_fields, T.StructField("_chunk", T.LongType()),
                                           T.StructField("_entry", T.LongType())]))
     )
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, NEVER
+        last = NEVER
         for pdf in batches:
             keep = np.zeros(len(pdf), dtype=bool)
-            heads = pdf[[*names, "_chunk"]].itertuples(index=False, name=None)
-            for i, (head, t, must, entry) in enumerate(zip(heads, pdf["_ms"], pdf["_force"], pdf["_entry"])):
-                if head != current:
-                    current, last = head, entry
-                if must or t >= last + gap_ms:
-                    keep[i], last = True, t
+            for i, (n, t, must, entry) in enumerate(zip(pdf["_i"], pdf["_ms"], pdf["_force"], pdf["_entry"])):
+                if n == 1:
+                    last = entry
+                keep[i] = t >= last + gap_ms
+                if must or keep[i]:
+                    last = t
             yield pdf.loc[keep, [*names, "_ms"]]
 
     kept = (
-        one.select(*names, "_chunk", "_ms", "_force").join(entries, [*names, "_chunk"])
-        .repartition(*names, "_chunk").sortWithinPartitions(*names, "_chunk", "_ms")
+        _numbered(one.select(*names, "_chunk", "_ms", "_force").join(entries, [*names, "_chunk"]), [*names, "_chunk"], "_ms")
         .mapInPandas(replay, T.StructType([*key_fields, T.StructField("_ms", T.LongType())]))
     )
-    return one.join(kept, [*names, "_ms"], "left_semi").select("_row.*")
+    earliest = one.filter(~F.col("_first._force")).join(kept, [*names, "_ms"], "left_semi").select("_first._row.*")
+    if forced is None:
+        return earliest
+    return earliest.unionByName(tagged.filter("_force").select("_row.*"))
 
 
 def quiet_before(df: DataFrame, keys: list[str], at: str, gap_us: int) -> DataFrame:
@@ -178,9 +191,9 @@ def coalesced(df: DataFrame, keys: list[str], at: str, gap_ms: int = 120, *, tie
     are whole milliseconds.  Rows without a time schedule nothing.
     """
     ms = F.timestamp_millis(F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("bigint"))
-    rows = df.filter(F.col(at).isNotNull()).select(*keys, tie, ms.alias(at))
-    opened = keep_spaced(rows, keys, at, gap_ms, tie=tie)
-    looked = asof_join(rows.select(*keys, at), opened, keys, at, at, [tie], name="_by")
+    rows = df.filter(F.col(at).isNotNull()).select(*keys, tie, at)
+    opened = keep_spaced(rows, keys, at, gap_ms, tie=tie).withColumn(at, ms)
+    looked = asof_join(rows.select(*keys, ms.alias(at)), opened, keys, at, at, [tie], name="_by")
     out = looked.groupBy(*keys, F.col("_by")[tie].alias(tie), F.col("_by")[at].alias("_opened")).agg(
         (F.count(F.lit(1)) - 1).alias("absorbed"))
     return out.select(*keys, tie, "absorbed", F.timestamp_micros(F.unix_micros("_opened") + gap_ms * 1000).alias("fires_at"))

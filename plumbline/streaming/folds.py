@@ -63,14 +63,15 @@ class Fold:
 def spaced(keys: list[str], at: str, gap_ms: int, tie: str, forced: str | None = None) -> Step:
     """Keep rows a gap apart across batches; state is the last kept row of each key.
 
-    The kept row of the batch before joins the batch as a row that must stay,
-    and is taken out of the result again.
+    The kept row of the batch before joins the batch as a row that must stay, at the
+    start of its millisecond, and is taken out of the result again.
     """
 
     def step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         must = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
         now = rows.select(*rows.columns, must.alias("_must"), F.lit(False).alias("_old"))
-        before = state.select(*rows.columns, F.lit(True).alias("_must"), F.lit(True).alias("_old"))
+        before = state.select(*rows.columns, F.lit(True).alias("_must"), F.lit(True).alias("_old")).withColumn(
+            at, F.date_trunc("MILLISECOND", at))
         kept = keep_spaced(before.unionByName(now), keys, at, gap_ms, tie=tie, forced="_must")
         last = kept.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(at, tie)).alias("r")).select("r.*")
         return kept.filter(~F.col("_old")).select(*rows.columns), last.select(*rows.columns)

@@ -163,6 +163,35 @@ def test_coalesced_equals_the_timer(spark, seed):
     assert got == want
 
 
+def test_keep_spaced_keeps_every_forced_row_of_a_millisecond(spark):
+    """Forced rows of one millisecond all stay; of the others the earliest counts, whatever its id."""
+    rows = [(9, 100, False), (1, 200, False), (2, 300, True), (3, 400, True), (4, 1_500_000_000, False), (0, 1_500_000_300, False)]
+    df = spark.createDataFrame([(i, "k", T0 + dt.timedelta(microseconds=u), m) for i, u, m in rows], "id int, k string, at timestamp, must boolean")
+    assert sorted(x["id"] for x in keep_spaced(df, ["k"], "at", 900_000, tie="id", forced="must").collect()) == [2, 3, 4, 9]
+    assert sorted(x["id"] for x in keep_spaced(df, ["k"], "at", 900_000, tie="id").collect()) == [4, 9]
+    got = {r["id"]: (r["absorbed"], r["fires_at"]) for r in coalesced(df, ["k"], "at", 900_000, tie="id").collect()}
+    assert got == {9: (3, T0 + dt.timedelta(seconds=900)), 4: (1, T0 + dt.timedelta(seconds=2400))}
+
+
+def test_keep_spaced_over_many_splits(spark):
+    """A chunk whose rows come from many splits is walked in one piece, also where small partitions stay apart and entry times are broadcast."""
+    n, step = 60_000, 997
+    df = spark.range(0, n, 1, 16).select(F.lit("k").alias("k"), "id", F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("id") * 7919 % n * step).alias("at"))
+    left, kept = -900_000, []
+    for t, i in sorted((i * 7919 % n * step, i) for i in range(n)):
+        if t - left >= 900_000:
+            left = t
+            kept.append(i)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100k"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        assert sorted(x["id"] for x in keep_spaced(df, ["k"], "at", 900_000, tie="id").collect()) == sorted(kept)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_throttle_and_debounce(spark):
     df = spark.createDataFrame([(i, "k", at(s)) for i, s in enumerate((0, 1, 2, 10, 11, 30))], "id int, k string, at timestamp")
     assert sorted(x["id"] for x in quiet_before(df, ["k"], "at", 2_000_000).collect()) == [0, 3, 5]
