@@ -45,6 +45,48 @@ def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_matrix(vectors) @ pivots.T, -1.0, 1.0))
 
 
+def _same(mine: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of every query's own id among the sorted ``ids``."""
+    first, after = np.searchsorted(ids, mine, side="left"), np.searchsorted(ids, mine, side="right")
+    times = after - first
+    row = np.repeat(np.arange(len(mine)), times)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+
+
+def _best(
+    own: np.ndarray, cand: np.ndarray, rough: np.ndarray, k: int, floor: float, without: tuple[np.ndarray, np.ndarray] | None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and score of the best ``k`` candidates of each row; equal scores (to twelve places) by place.
+
+    The product in single precision only rules out: what lies within its error of the
+    k-th score, and of the floor, is scored in double precision before places are given.
+    """
+    score = own.astype("float32") @ rough.T
+    score[:, np.isnan(rough).any(axis=1)] = -3.0
+    if without is not None:
+        score[without] = -3.0
+    error = np.float32(2e-7 * (own.shape[1] + 16))
+    bound = np.full(len(own), max(floor, -2.0) - error, dtype="float32")
+    if k < score.shape[1]:
+        hopeful = np.flatnonzero((score >= bound[:, None]).sum(axis=1) > k)
+        if len(hopeful):
+            kth = np.partition(score[hopeful], score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+            bound[hopeful] = np.maximum(bound[hopeful], kth - 2 * error)
+    row, place = np.nonzero(score >= bound[:, None])
+    del score
+    exact = np.empty(len(row))
+    for a in range(0, len(row), 65_536):  # a slab with many equal scores names many pairs
+        cut = slice(a, a + 65_536)
+        exact[cut] = np.einsum("ij,ij->i", own[row[cut]], cand[place[cut]])
+    exact = np.round(np.clip(exact, -1.0, 1.0), 12)
+    enough = exact >= floor
+    row, place, exact = row[enough], place[enough], exact[enough]
+    order = np.lexsort((place, -exact, row))
+    row, place, exact = row[order], place[order], exact[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[nth < k], place[nth < k], exact[nth < k]
+
+
 class PivotIndex:
     """Pivots, their segments and rings; small enough to be sent to every task."""
 
@@ -178,21 +220,16 @@ def _compare(
         ids = right["_id"].to_numpy()
         marks = right["_m"].to_numpy()
         cand = _matrix(right["_v"])
+        rough = cand.astype("float32")
         found = []
         step = max(1, 4_000_000 // max(1, len(right)))  # bounds the score slab
         for a in range(0, len(left), step):
             part = left.iloc[a:a + step]
-            score = np.clip(_matrix(part["_v"]) @ cand.T, -1.0, 1.0)
-            score = np.round(score, 12)
-            mine = part["_id"].to_numpy()
-            if not include_self:
-                score[mine[:, None] == ids[None, :]] = -3.0
-            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(score, order, axis=1)
-            row, place = np.nonzero(top >= floor)
+            mine, own = part["_id"].to_numpy(), _matrix(part["_v"])
+            row, place, score = _best(own, cand, rough, k, floor, None if include_self else _same(mine, ids))
             found.append(pd.DataFrame({
-                "query_id": mine[row], "neighbour_id": ids[order[row, place]], "score": top[row, place],
-                "query_mark": part["_m"].to_numpy()[row], "neighbour_mark": marks[order[row, place]]}))
+                "query_id": mine[row], "neighbour_id": ids[place], "score": score,
+                "query_mark": part["_m"].to_numpy()[row], "neighbour_mark": marks[place]}))
         out = pd.concat(found)
         for n in g:
             out[n] = left[n].iloc[0]

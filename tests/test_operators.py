@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.edges import bucket_entropy, edge_diff
-from plumbline.operators.knn import PivotIndex, knn_join
+from plumbline.operators.knn import PivotIndex, _best, _same, knn_join
 from plumbline.operators.merge import insert_absent, replace_keeping, upsert
 from plumbline.operators.running import DAY, HOUR, asof_join, bucketed, open_intervals
 from plumbline.operators.spacing import coalesced, keep_spaced, quiet_after, quiet_before
@@ -192,6 +192,26 @@ def test_keep_spaced_over_many_splits(spark):
             spark.conf.unset(name)
 
 
+@pytest.mark.parametrize("k,floor", [(3, -2.0), (4, 0.9), (50, -2.0)])
+def test_best_of_a_block_equals_a_full_sort(k, floor):
+    """Ties, copies, a vector without direction, one that is no number, and an id that is there twice."""
+    rng = np.random.default_rng(k)
+    cand = rng.normal(size=(40, 6))
+    cand /= np.sqrt((cand * cand).sum(axis=1, keepdims=True))
+    cand[::5], cand[3], cand[7] = cand[0], 0.0, np.nan
+    ids = np.array(sorted([f"{i:02d}" for i in range(39)] + ["05"]), dtype=object)
+    mine = ids[[0, 3, 5, 6, 10, 12]]
+    own = cand[[0, 3, 5, 6, 10, 12]]
+    row, place, score = _best(own, cand, cand.astype("float32"), k, floor, _same(mine, ids))
+    full = np.round(np.clip(own @ cand.T, -1.0, 1.0), 12)
+    want = []
+    for i in range(len(own)):
+        able = [j for j in range(40) if ids[j] != mine[i] and full[i, j] >= floor]
+        want += [(i, j) for j in sorted(able, key=lambda j: (-full[i, j], j))[:k]]
+    assert list(zip(row.tolist(), place.tolist())) == want
+    assert np.abs(score - full[row, place]).max(initial=0.0) <= 1e-12
+
+
 def test_throttle_and_debounce(spark):
     df = spark.createDataFrame([(i, "k", at(s)) for i, s in enumerate((0, 1, 2, 10, 11, 30))], "id int, k string, at timestamp")
     assert sorted(x["id"] for x in quiet_before(df, ["k"], "at", 2_000_000).collect()) == [0, 3, 5]
