@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether they decode to the text; documents that do not would go."""
-    coded = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    coded = bpe.both_ways(docs, RANKS, public_tokenizers.PATTERN)
     return coded.where(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).drop("decoded")
 
 

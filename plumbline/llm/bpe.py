@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, lasting
 
 #: What a worker remembers at most in one generation of words, pieces or pairs; what is forgotten is computed again.
 REMEMBERED = 300_000
@@ -196,13 +195,13 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@lasting
 def token_bytes(rank_file: bytes) -> dict[int, bytes]:
     """The bytes of every token, which is all that decoding needs; once per worker process."""
     return {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
 
 
-@lru_cache(maxsize=2)
+@lasting
 def codec(rank_file: bytes, pattern: str) -> Codec:
     """One codec per worker process."""
     return Codec(rank_file, pattern)
@@ -213,34 +212,46 @@ def _shared(df: DataFrame, rank_path: str):
     return df.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
 
 
+def _ids(own: Codec, texts: pa.Array) -> pa.ListArray:
+    ids = [own.encode(text.as_py() or "") for text in texts]
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+
+def _texts(of: dict[int, bytes], ids: pa.ListArray) -> pa.Array:
+    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([b"".join(map(of.__getitem__, values[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, column: str = "text", out: str = "token_ids") -> DataFrame:
     """The frame with the token ids of whole texts as ``array<int>``."""
     shared, at = _shared(df, rank_path), df.columns.index(column)
-
-    def fill(part):
-        own = codec(shared.value, pattern)
-        ids = [own.encode(text.as_py() or "") for text in part.column(at)]
-        ends = np.cumsum([0, *map(len, ids)])
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
-
-    return add_columns(df, [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)], fill)
+    field = T.StructField(out, T.ArrayType(T.IntegerType(), False), False)
+    return add_columns(df, [field], lambda part: [_ids(codec(shared.value, pattern), part.column(at))], codec)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, column: str = "token_ids", out: str = "decoded") -> DataFrame:
     """The frame with the bytes that the ids stand for."""
     shared, at = _shared(df, rank_path), df.columns.index(column)
+    return add_columns(df, [T.StructField(out, T.BinaryType(), False)], lambda part: [_texts(token_bytes(shared.value), part.column(at))], token_bytes)
+
+
+def both_ways(df: DataFrame, rank_path: str, pattern: str, column: str = "text", out: str = "token_ids", back: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass: one worker process a task, and the ids do not travel in between."""
+    shared, at = _shared(df, rank_path), df.columns.index(column)
 
     def fill(part):
-        of, ids = token_bytes(shared.value).__getitem__, part.column(at)
-        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        return [pa.array([b"".join(map(of, values[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())]
+        own = codec(shared.value, pattern)
+        ids = _ids(own, part.column(at))
+        return [ids, _texts(own.bytes_of, ids)]
 
-    return add_columns(df, [T.StructField(out, T.BinaryType(), False)], fill)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False), T.StructField(back, T.BinaryType(), False)]
+    return add_columns(df, fields, fill, codec)
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    coded = decode(encode(docs.select("doc_id", "text"), rank_path, pattern).drop("text"), rank_path, pattern)
+    coded = both_ways(docs.select("doc_id", "text"), rank_path, pattern)
     return coded.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,22 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
             yield batch.slice(start, rows)
 
 
-def release() -> None:
-    """At the end of a task: give back what the worker process no longer uses, since it stays for later tasks."""
+#: Functions whose last result stays in a worker process.
+_LASTING: list = []
+
+
+def lasting(function):
+    """The function with its last result kept for later tasks of the worker process, until a task without a use for it."""
+    held = lru_cache(maxsize=1)(function)
+    _LASTING.append(held)
+    return held
+
+
+def release(*used) -> None:
+    """Give back what the worker process no longer uses, since it stays for later tasks; of the lasting results only the ``used`` stay."""
+    for held in _LASTING:
+        if held not in used:
+            held.cache_clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -52,8 +67,8 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], fill: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """The frame with columns that ``fill`` computes from each slice of rows, in Arrow.
+def add_columns(df: DataFrame, fields: list[T.StructField], fill: Callable[[pa.RecordBatch], list], *used: Callable) -> DataFrame:
+    """The frame with columns that ``fill`` computes from each slice of rows, in Arrow; ``used`` are the lasting functions it calls.
 
     Columns of the frame that have the name of a new one are replaced; for a
     frame that names a column twice, select the wanted ones before.
@@ -64,11 +79,12 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fill: Callable[[pa.R
     positions = [df.columns.index(f.name) for f in kept]
 
     def run(batches):
+        release(*used)
         for part in steps(batches):
             new = fill(part)
             arrays = [part.column(i) for i in positions] + new
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
-        release()
+        release(*used)
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches, steps
+from .common import add_columns, release, small_batches, steps
 
 UNKNOWN = "und"
 #: Stands for a blank in a packed n-gram; no letter, and not 0, so that packed n-grams of different lengths differ.
@@ -100,6 +100,7 @@ def profiles(docs: DataFrame, length: int = LENGTH, text: str = "text", lang: st
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
+        release()
         held: dict[str, list] = {}
         size = 0
 
@@ -120,6 +121,7 @@ def profiles(docs: DataFrame, length: int = LENGTH, text: str = "text", lang: st
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
+        release()
 
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang))
     total = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

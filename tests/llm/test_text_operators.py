@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from plumbline.llm import bpe, chat, decontaminate, language, licenses, quality, shards
+import corpus_pipeline
+from plumbline.llm import bpe, chat, common, decontaminate, language, licenses, quality, shards
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token_ids string"
@@ -301,3 +302,27 @@ def test_leaks_with_changed_words_are_found():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert decontaminate.common_length(a, b) == table[-1][-1]
+
+
+def test_a_worker_lets_go_of_an_encoder_that_the_task_has_no_use_for():
+    made = []
+
+    @common.lasting
+    def large(name):
+        made.append(name)
+        return [name]
+
+    first = large("a")
+    common.release(large)
+    assert large("a") is first and made == ["a"]
+    common.release()
+    assert large("a") is not first and made == ["a", "a"]
+
+
+def test_encoding_and_decoding_take_one_worker_a_task(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a  b héllo\n"), (2, None), (3, ""), (4, "one two two")], "doc_id long, text string")
+    both = bpe.both_ways(docs, RANKS, public_tokenizers.PATTERN)
+    apart = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
+    for plan in (both, bpe.digests(docs, RANKS, public_tokenizers.PATTERN), corpus_pipeline.byte_bpe(spark, docs, str(tmp_path))):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
