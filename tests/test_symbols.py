@@ -1,5 +1,7 @@
 """Symbol location, content alerts and the text-tree reader."""
 
+import time
+
 from plumbline.functions.locate import python_spans, script_spans
 from plumbline.plans import graph, symbols
 from plumbline.sources.text_tree import read_tree
@@ -87,3 +89,21 @@ def test_read_tree_and_content_alerts(spark, tmp_path):
     assert sorted((x["file_path"], x["language"]) for x in tree.collect()) == [(".env", "config"), ("Dockerfile", "dockerfile"), ("src/a.py", "python")]
     found = {x["file_path"]: (x["category"], x["severity"]) for x in symbols.content_alerts(tree).collect()}
     assert found == {"Dockerfile": ("CONTAINER_RISK", "warn"), ".env": ("DEBUG_CONFIG", "warn")}
+
+
+def test_long_comments_cost_in_proportion_to_their_length():
+    def seconds(lines):
+        source = "export class Long {\n  run(x) { return x; }\n" + "    // so many words here\n" * lines + "}\n"
+        start = time.process_time()
+        assert [(k, n) for k, n, *_ in script_spans(source, "long.ts")] == [("class", "Long"), ("method", "run")]
+        return time.process_time() - start
+
+    assert min(seconds(8000) for _ in range(3)) < 16 * min(seconds(1000) for _ in range(3))  # eight times as many lines; 64 if quadratic
+
+
+def test_words_before_declarations():
+    source = ("x.class A {}\nexport default abstract class B {}\n$class C {}\nreclass D {}\nclass E {}\ndeclare class F {}\n"
+              "export  async\nfunction g() {}\nmyfunction h() {}\nfunction i() {}\nlet j = () => 1;\noutlet k = () => 1;\n")
+    found = {(k, n) for k, n, *_ in script_spans(source, "f.ts")}
+    assert {n for k, n in found if k == "class"} == {"B", "E", "F"}
+    assert {n for k, n in found if k == "function"} >= {"g", "i", "j"} and ("function", "k") not in found
