@@ -17,18 +17,23 @@ formed and a group holding a third of all vectors is spread over many tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialized
 
 BLOCK_ROWS = 16_384
 MOST_PIVOTS = 1024  # bound on what the driver reads: twice as many vectors
 SLACK = 1e-9
+SINGLE = T.ArrayType(T.FloatType())  # stays so on its way: a task widens it without loss
 ANGLE_SLACK = 1e-6  # arc cosine near 1 loses half the digits
+FEW = 4  # times k candidates of a row are scored exactly without a search for the k-th
+SLAB = 1_000_000  # angles that a task holds at once
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -45,6 +50,13 @@ def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_matrix(vectors) @ pivots.T, -1.0, 1.0))
 
 
+def _slabs(vectors: pd.Series, pivots: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The angles of a bounded number of vectors at a time, with the rows they are of."""
+    step = max(1, SLAB // max(1, len(pivots)))
+    for a in range(0, len(vectors), step):
+        yield slice(a, a + step), _angles(vectors.iloc[a:a + step], pivots)
+
+
 def _same(mine: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and place of every query's own id among the sorted ``ids``."""
     first, after = np.searchsorted(ids, mine, side="left"), np.searchsorted(ids, mine, side="right")
@@ -54,10 +66,11 @@ def _same(mine: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(
-    own: np.ndarray, cand: np.ndarray, rough: np.ndarray, k: int, floor: float, without: tuple[np.ndarray, np.ndarray] | None,
+    own: np.ndarray, cand: np.ndarray, rough: np.ndarray, k: int, floor: float | np.ndarray, without: tuple[np.ndarray, np.ndarray] | None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and score of the best ``k`` candidates of each row; equal scores (to twelve places) by place.
 
+    ``floor`` is the least score, of all rows or of each: a k-th score that is known already spares the search for one.
     The product in single precision only rules out: what lies within its error of the
     k-th score, and of the floor, is scored in double precision before places are given.
     """
@@ -66,20 +79,22 @@ def _best(
     if without is not None:
         score[without] = -3.0
     error = np.float32(2e-7 * (own.shape[1] + 16))
-    bound = np.full(len(own), max(floor, -2.0) - error, dtype="float32")
-    if k < score.shape[1]:
-        hopeful = np.flatnonzero((score >= bound[:, None]).sum(axis=1) > k)
-        if len(hopeful):
-            kth = np.partition(score[hopeful], score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-            bound[hopeful] = np.maximum(bound[hopeful], kth - 2 * error)
-    row, place = np.nonzero(score >= bound[:, None])
-    del score
+    floor = np.broadcast_to(np.maximum(floor, -2.0), len(own))
+    bound = (floor - error).astype("float32")
+    over = score >= bound[:, None]
+    hopeful = np.flatnonzero(np.count_nonzero(over, axis=1) > FEW * k) if k < score.shape[1] else []
+    if len(hopeful):
+        kth = np.partition(score[hopeful], score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        bound[hopeful] = np.maximum(bound[hopeful], kth - 2 * error)
+        over[hopeful] = score[hopeful] >= bound[hopeful, None]
+    row, place = np.divmod(np.flatnonzero(over), score.shape[1])
+    del score, over
     exact = np.empty(len(row))
     for a in range(0, len(row), 65_536):  # a slab with many equal scores names many pairs
         cut = slice(a, a + 65_536)
         exact[cut] = np.einsum("ij,ij->i", own[row[cut]], cand[place[cut]])
     exact = np.round(np.clip(exact, -1.0, 1.0), 12)
-    enough = exact >= floor
+    enough = exact >= floor[row]
     row, place, exact = row[enough], place[enough], exact[enough]
     order = np.lexsort((place, -exact, row))
     row, place, exact = row[order], place[order], exact[order]
@@ -90,12 +105,12 @@ def _best(
 class PivotIndex:
     """Pivots, their segments and rings; small enough to be sent to every task."""
 
-    def __init__(self, rows: DataFrame, total: int, block_rows: int):
+    def __init__(self, rows: DataFrame, total: int, block_rows: int, largest: int | None = None):
         wanted = min(MOST_PIVOTS, math.isqrt(total) + 1)
         share = F.lit(int(min(1.0, wanted / total) * (1 << 53)))
         chosen = rows.filter(F.shiftrightunsigned(F.xxhash64("_id", F.lit("pivot")), 11) <= share).select("_v").limit(2 * wanted).collect()
         self.pivots = _unit(np.asarray([r["_v"] for r in chosen], dtype="float64")) if chosen else np.zeros((0, 0))
-        leaders = max(1, min(len(chosen), -(-2 * total // block_rows)))
+        leaders = max(1, min(len(chosen), -(-2 * (largest or total) // block_rows)))
         self.segment = np.argmax(self.pivots @ self.pivots[:leaders].T, axis=1) if len(chosen) else np.zeros(0, np.int64)
         self.least = self.most = np.zeros(len(chosen))
 
@@ -107,9 +122,10 @@ class PivotIndex:
         def find(v: pd.Series) -> pd.DataFrame:
             if v.empty:
                 return pd.DataFrame({"pivot": [], "segment": [], "angle": []})
-            angles = _angles(v, pivots)
-            near = angles.argmin(axis=1)
-            return pd.DataFrame({"pivot": near, "segment": segment[near], "angle": angles[np.arange(len(near)), near]})
+            near, angle = np.empty(len(v), np.int64), np.empty(len(v))
+            for rows, angles in _slabs(v, pivots):
+                near[rows], angle[rows] = angles.argmin(axis=1), angles.min(axis=1)
+            return pd.DataFrame({"pivot": near, "segment": segment[near], "angle": angle})
 
         return find(vec)
 
@@ -128,10 +144,11 @@ class PivotIndex:
         def find(v: pd.Series, score: pd.Series, own: pd.Series) -> pd.Series:
             if v.empty:
                 return pd.Series([], dtype=object)
-            angles = _angles(v, pivots)
-            reach = np.arccos(np.clip(score.to_numpy(dtype="float64") - SLACK, -1.0, 1.0))[:, None] + ANGLE_SLACK
-            near = (angles - most <= reach) & (least - angles <= reach)
-            return pd.Series([sorted(set(segment[row].tolist()) - {at}) for row, at in zip(near, own.tolist())])
+            reach, homes, found = np.arccos(np.clip(score.to_numpy(dtype="float64") - SLACK, -1.0, 1.0))[:, None] + ANGLE_SLACK, own.to_numpy(), []
+            for rows, angles in _slabs(v, pivots):
+                near = (angles - most <= reach[rows]) & (least - angles <= reach[rows])
+                found += [np.setdiff1d(segment[row], [at]).tolist() for row, at in zip(near, homes[rows])]
+            return pd.Series(found)
 
         return find(vec, bound, home)
 
@@ -155,7 +172,7 @@ def knn_join(
     def side(df: DataFrame, name: str) -> DataFrame:
         return materialized(df.select(
             *[F.col(c).alias(n) for c, n in zip(group, g)],
-            F.col(id).cast("string").alias("_id"), F.col(vec).cast("array<double>").alias("_v"),
+            F.col(id).cast("string").alias("_id"), (F.col(vec) if df.schema[vec].dataType == SINGLE else F.col(vec).cast("array<double>")).alias("_v"),
             carried.alias("_m"),
         ), name)
 
@@ -163,12 +180,14 @@ def knn_join(
     q = c.select(*[F.col(n).alias(n) for n in c.columns]) if queries is corpus else side(queries, "queries")
     total = c.count()
     w = Window.partitionBy(*g, "query_id").orderBy(F.col("score").desc(), F.col("neighbour_id"))
-    if total <= block_rows:
+    sizes = c.groupBy(*g).agg(F.count(F.lit(1)).alias("_size"))
+    largest = total if total <= block_rows else sizes.agg(F.max("_size")).first()[0]
+    if largest <= block_rows:
         home = F.lit(0).alias("_cell")
         best = _compare(q.select("*", home), c.select("*", home), k, g, floor, include_self, block_rows)
     else:
-        index = PivotIndex(c, total, block_rows)
-        large = c.groupBy(*g).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block_rows).select(*g, F.lit(True).alias("_large"))
+        index = PivotIndex(c, total, block_rows, largest)
+        large = sizes.filter(F.col("_size") > block_rows).select(*g, F.lit(True).alias("_large"))
 
         def placed(df: DataFrame) -> DataFrame:
             """Small groups are one cell, the segments of large ones a cell each."""
@@ -182,9 +201,10 @@ def knn_join(
         bounds = first.groupBy(*g, F.col("query_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
         bounded = asked.filter("_large").join(bounds, [*g, "_id"], "left").withColumn(
             "_bound", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(max(floor, -1.0))))
+        bounded = materialized(bounded.select(*g, "_id", "_v", "_m", "_bound", "_cell"), "bounded")
         visits = materialized(bounded.select(
             *g, "_id", F.explode(index.visits("_v", "_bound", "_cell")).alias("_cell")).distinct(), "visits")
-        rest = _compare(q.join(visits, [*g, "_id"]), cells, k, g, floor, include_self, block_rows, visits)
+        rest = _compare(bounded.drop("_cell").join(visits, [*g, "_id"]), cells, k, g, floor, include_self, block_rows, visits)
         best = first.unionByName(rest)
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     extra = ["query_mark", "neighbour_mark"] if mark else []
@@ -194,7 +214,7 @@ def knn_join(
 def _compare(
     q: DataFrame, c: DataFrame, k: int, g: list[str], floor: float, include_self: bool, block_rows: int, counted: DataFrame | None = None,
 ) -> DataFrame:
-    """The best ``k`` of every query against its cell, in blocks; ``counted`` has a row for each query where that is cheaper to count."""
+    """The best ``k`` of every query against its cell, in blocks, or those not below a ``_bound`` that the queries have; ``counted`` has a row for each query where that is cheaper to count."""
     cell = [*g, "_cell"]
 
     def blocks(df: DataFrame) -> DataFrame:
@@ -226,7 +246,7 @@ def _compare(
         for a in range(0, len(left), step):
             part = left.iloc[a:a + step]
             mine, own = part["_id"].to_numpy(), _matrix(part["_v"])
-            row, place, score = _best(own, cand, rough, k, floor, None if include_self else _same(mine, ids))
+            row, place, score = _best(own, cand, rough, k, part["_bound"].to_numpy() if "_bound" in part else floor, None if include_self else _same(mine, ids))
             found.append(pd.DataFrame({
                 "query_id": mine[row], "neighbour_id": ids[place], "score": score,
                 "query_mark": part["_m"].to_numpy()[row], "neighbour_mark": marks[place]}))

@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import knn
 from plumbline.operators.edges import bucket_entropy, edge_diff
 from plumbline.operators.knn import PivotIndex, _best, _same, knn_join
 from plumbline.operators.merge import insert_absent, replace_keeping, upsert
@@ -310,3 +312,23 @@ def test_knn_of_few_queries_and_two_frames(spark):
     assert pick(32) == pick(10_000)
     assert knn_join(df.limit(0), df, 3, id="id", vec="v", group=["g"], block_rows=32).count() == 0
     assert knn_join(df, df.limit(0), 3, id="id", vec="v", group=["g"], block_rows=32).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_bounds_of_each_row_leave_the_best_as_they_are(k):
+    r = np.random.default_rng(5)
+    cand = knn._unit(np.round(r.normal(size=(300, 8)), 1))
+    own = cand[::7]
+    want = _best(own, cand, cand.astype("float32"), k, -2.0, None)
+    least = np.array([want[2][want[0] == i].min() for i in range(len(own))])
+    found = _best(own, cand, cand.astype("float32"), k, least, None)
+    assert all((a == b).all() for a, b in zip(want, found))
+
+
+def test_angles_are_held_for_a_bounded_number_of_rows(monkeypatch):
+    monkeypatch.setattr(knn, "SLAB", 100)
+    vectors = pd.Series(list(np.random.default_rng(2).normal(size=(95, 4))))
+    pivots = knn._unit(np.random.default_rng(3).normal(size=(10, 4)))
+    parts = list(knn._slabs(vectors, pivots))
+    assert all(angles.size <= 100 for _, angles in parts)
+    assert (np.concatenate([angles for _, angles in parts]) == knn._angles(vectors, pivots)).all()
