@@ -19,26 +19,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialized
+
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 #: Marks that a bucket is to hold.
 DEPTH = 1 << 18
+#: Partitions for each bucket's worth of marks.
+SPREAD = 4
 
 
 def micros(at) -> Column:
     return F.unix_micros((F.col(at) if isinstance(at, str) else at).cast("timestamp"))
 
 
-def bucketed(marks: DataFrame, keys: list[str], depth: int, slot_us: int = HOUR) -> DataFrame:
+def slots(marks: DataFrame, keys: list[str], slot_us: int = HOUR) -> DataFrame:
+    """How many marks (``_n``) every key has in each time slot (``_slot``)."""
+    slot = F.floor(F.col("_t") / slot_us).cast("bigint")
+    return marks.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def bucketed(marks: DataFrame, keys: list[str], depth: int, slot_us: int = HOUR, counts: DataFrame | None = None) -> DataFrame:
     """The marks with ``_bucket``: runs of time slots of one key that hold about ``depth`` marks.
 
-    Slots are counted before anything is sorted.  A slot with more marks than that
+    Slots are counted before anything is sorted (``counts``, where that has been done).  A slot with more marks than that
     is cut into as many equal parts as it needs; only the keys that need more than one bucket
     are looked up, and their bucket starts are one array.
     """
-    slot = F.floor(F.col("_t") / slot_us).cast("bigint")
-    counts = marks.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = slots(marks, keys, slot_us) if counts is None else counts
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     running = counts.withColumn("_sum", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     nth = lambda c: F.floor(c / depth)
@@ -53,6 +62,24 @@ def bucketed(marks: DataFrame, keys: list[str], depth: int, slot_us: int = HOUR)
     return known.withColumn("_bucket", F.when(F.col("_starts").isNull(), 0).otherwise(passed).cast("bigint")).drop("_starts")
 
 
+def dealt(marks: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, bool]:
+    """The marks with ``_bucket``, and whether any key has more than one.
+
+    The counts of the slots are kept, so the marks are counted once and the bucket starts have a known
+    size.  Buckets are dealt out over partitions that grow in number with the marks: a task
+    sorts a few buckets, however large the table is.
+    """
+    counts = materialized(slots(marks, keys), "slots")
+    each = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    most, total = each.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    several = most > depth
+    placed = bucketed(marks, keys, depth, counts=counts) if several else marks.withColumn("_bucket", F.lit(0).cast("bigint"))
+    parts = SPREAD * -(-total // depth)
+    if parts > int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        placed = placed.repartition(parts, *keys, *(["_bucket"] if several else []))
+    return placed, several
+
+
 def answer(
     marks: DataFrame, keys: list[str], sums: list[str], lasts: list[str], bucket_us: int | None = None, depth: int = DEPTH,
 ) -> DataFrame:
@@ -61,18 +88,22 @@ def answer(
     ``marks`` has the keys, ``_t`` (microseconds), ``_side`` (order at equal
     times), ``_tie`` (order at equal sides), ``_row`` (null for marks that do
     not ask), and the named columns: numbers or null for ``sums``, values or
-    null for ``lasts``.  Buckets are of equal depth unless ``bucket_us`` fixes their length.
+    null for ``lasts``.  Buckets are of equal depth unless ``bucket_us`` fixes their length;
+    where no key has more than one, nothing is carried.
     """
     if bucket_us is None:
-        placed = bucketed(marks, keys, depth)
+        placed, several = dealt(marks, keys, depth)
     else:
-        placed = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint"))
+        placed, several = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint")), True
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = placed.select(
         *keys, "_bucket", "_t", "_row", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums],
         *[F.last(v, ignorenulls=True).over(inside).alias(f"_in_{v}") for v in lasts],
     ).filter(F.col("_row").isNotNull())
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    if not several:
+        return local.select("_row", "_t", *[zero(f"_in_{s}").alias(s) for s in sums], *[F.col(f"_in_{v}").alias(v) for v in lasts])
 
     order = F.struct("_t", "_side", "_tie")
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +115,6 @@ def answer(
                 *[F.last(v, ignorenulls=True).over(across).alias(f"_pre_{v}") for v in lasts])
     )
     both = local.join(carried, [*keys, "_bucket"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return both.select(
         "_row", "_t", *[(zero(f"_in_{s}") + zero(f"_pre_{s}")).alias(s) for s in sums],
         *[F.coalesce(f"_in_{v}", f"_pre_{v}").alias(v) for v in lasts])

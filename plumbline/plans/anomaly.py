@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, fixed
 from ..functions.scores import z_score
-from ..operators.running import DAY, answer, asof_join, mark, micros, moments, value_parts
+from ..operators.running import DAY, answer, asof_join, micros, moments, value_parts
 
 SERIES = ["repo_id", "scope", "subject_id", "key"]
 BASELINE_WINDOW = 7 * DAY
@@ -52,6 +52,16 @@ def with_previous(df: DataFrame) -> DataFrame:
     return looked.select(*df.columns, finite(F.col("_prev.value")).alias("previous_value"))
 
 
+def settled(df: DataFrame, **values: Column) -> DataFrame:
+    """The frame with more columns, each computed once a row.
+
+    Columns of a plain projection are written out at every later mention, also inside the filters that
+    move below it; thresholds built on each other then grow into one expression too long to be compiled.
+    What a generator gives stays a column.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()]))))
+
+
 def lookbacks(df: DataFrame) -> DataFrame:
     """Every reading with its previous value, the value a day before and the
     sums of the seven days before it, all from one pass.
@@ -60,25 +70,19 @@ def lookbacks(df: DataFrame) -> DataFrame:
     the sums right after that, leaves them seven days later, and becomes the
     day-before value 24 hours later.
     """
-    t, v, tie = micros("at"), F.col("value"), F.col("sha")
-    none, row = F.lit(None).cast("double"), F.struct(*df.columns)
-    no_row = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
-
-    def parts(sign: int):
-        n, s, q = value_parts(v, sign)
-        return {"_n": n, "_s": s, "_q": q}
-
-    idle = {k: F.lit(0).cast(d) for k, d in (("_n", "bigint"), ("_s", "decimal(28,6)"), ("_q", "decimal(38,12)"))}
-    marks = F.array(
-        mark(t + DAY, 0, tie, _row=no_row, **idle, _prev=none, _day=v),
-        mark(t, 1, None, _row=row, **idle, _prev=none, _day=none),
-        mark(t + BASELINE_WINDOW, 2, tie, _row=no_row, **parts(-1), _prev=none, _day=none),
-        mark(t, 3, tie, _row=no_row, **parts(1), _prev=v, _day=none),
-    )
-    found = answer(df.select(*SERIES, F.inline(marks)), SERIES, ["_n", "_s", "_q"], ["_prev", "_day"])
+    v, none = F.col("value"), F.lit(None).cast("double")
+    day, ask, leave, enter = (F.col("_side") == i for i in range(4))
+    # the parts of a reading are computed before it is dealt out, the columns of a mark only where they are asked for
+    dealt = df.select("*", micros("at").alias("_at"), *value_parts(v), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("_side"))
+    part = lambda name: F.when(enter, F.col(name)).when(leave, -F.col(name)).otherwise(0).cast(dealt.schema[name].dataType).alias(name)
+    marks = dealt.select(
+        *SERIES, (F.col("_at") + F.when(day, DAY).when(leave, BASELINE_WINDOW).otherwise(0)).alias("_t"), "_side",
+        F.when(ask, "").otherwise(F.col("sha")).alias("_tie"), F.when(ask, F.struct(*df.columns)).alias("_row"),
+        *[part(name) for name in ("_n", "_s", "_q")], F.when(enter, v).otherwise(none).alias("_prev"), F.when(day, v).otherwise(none).alias("_day"))
+    found = answer(marks, SERIES, ["_n", "_s", "_q"], ["_prev", "_day"])
     mean, dev = moments()
-    return found.select("_row.*", finite("_prev").alias("previous_value"), finite("_day").alias("day_before"),
-                        mean.alias("baseline_mean"), dev.alias("baseline_stddev"), F.col("_n").alias("baseline_samples"))
+    return settled(found.select("_row.*", finite("_prev").alias("previous_value"), finite("_day").alias("day_before"), "_n", "_s", "_q"),
+                   baseline_mean=mean, baseline_stddev=dev, baseline_samples=F.col("_n")).drop("_n", "_s", "_q")
 
 
 def assess(df: DataFrame, profile: Profile) -> DataFrame:
@@ -110,20 +114,18 @@ def _assessed(df: DataFrame, fixed_value) -> DataFrame:
         adapted = F.greatest(number(f"{name}_floor"), mean + F.greatest(dev * factor, number(f"{name}_margin")))
         return F.when(known, adapted).otherwise(number(name))
 
-    rolled = (
-        rolled.withColumn("_warn", line("warn", 2)).withColumn("_error", line("error", 3))
-        .withColumn("delta", fixed(step, 2)).withColumn("z_score", fixed(z_score(x, mean, dev), 2))
-    )
+    clear = F.greatest(number("clear_floor"), mean + F.greatest(dev * 1.15, number("clear_margin")))
+    rolled = settled(rolled, _warn=line("warn", 2), _error=line("error", 3), _clear=clear,
+                     delta=fixed(step, 2), z_score=fixed(z_score(x, mean, dev), 2))
     warn, error, delta, z = F.col("_warn"), F.col("_error"), F.col("delta"), F.col("z_score")
     least = lambda name, factor: F.when(by_stddev, F.greatest(number(name), dev * factor)).otherwise(number(name))
     is_error = (x >= error) & ((prev < error - number("error_slack")) | (delta >= least("step_error", 1.5)) | (z >= number("z_error")))
     is_warn = (x >= warn) & ((prev < warn - number("warn_slack")) | (delta >= least("step_warn", 1)) | (z >= number("z_warn")))
-    clear = F.greatest(number("clear_floor"), mean + F.greatest(dev * 1.15, number("clear_margin")))
     return rolled.select(
         *df.columns, "previous_value", fixed("baseline_24h", 2).alias("baseline_24h"), "delta", fixed(mean, 2).alias("baseline_mean"),
         fixed(dev, 2).alias("baseline_stddev"), "baseline_samples", "z_score",
         fixed(warn, 2).alias("warn_threshold"), fixed(error, 2).alias("error_threshold"),
-        fixed(clear, 2).alias("clear_threshold"),
+        fixed("_clear", 2).alias("clear_threshold"),
         F.when(is_error, "error").when(is_warn, "warn").alias("anomaly"),
     )
 

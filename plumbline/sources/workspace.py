@@ -85,52 +85,47 @@ class Workspace:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """One pass over the events; each gives up to four readings."""
+        """One pass over the events; each gives up to four readings.
+
+        An event is dealt out to the numbers of its scopes and every column is told from the
+        number, so that a plan computes the columns and scopes it asks for and no others.
+        """
         e, k, kind, v = self.events.filter(F.col("event_type") != "error"), F.col("k"), F.col("event_type"), F.col("value")
-        none = F.lit(None).cast("string")
-        index = F.least(F.lit(100.0), v * 0.5 + 10)
-
-        def row(scope, subject, key, value, tags=None, file=None, prov=None):
-            return F.struct(
-                F.lit(scope).alias("scope"), subject.alias("subject_id"), key.alias("key"),
-                value.cast("double").alias("value"), (none if scope == "repo" else F.col("module")).alias("module"),
-                (none if file is None else file).alias("file_path"), (none if prov is None else prov).alias("provenance"),
-                (F.create_map().cast("map<string,string>") if tags is None else tags).alias("tags"),
-            )
-
-        symbol = row(
-            "symbol", F.col("symbol_id"),
+        numbers = lambda n: F.array(*[F.lit(i) for i in range(n)])
+        dealt = e.withColumn("_scope", F.explode(
+            F.when(kind == "purchase", numbers(4)).when(kind == "signup", numbers(3)).otherwise(numbers(2))))
+        symbol, module, repo = (F.col("_scope") == i for i in range(3))
+        target = F.when(k % 4 == 0, F.concat(F.lit("pkg:lib"), text(k % 3))).otherwise(pick(MODULES, k % 6))
+
+        symbol_key = (
             F.when(kind == "click", "cyclomatic").when(kind == "view", "line_count")
-            .when(kind == "purchase", "ai_risk_score").otherwise("nesting_depth"),
+            .when(kind == "purchase", "ai_risk_score").otherwise("nesting_depth"))
+        symbol_value = (
             F.when(kind == "click", F.floor(v / 8) + 1).when(kind == "view", F.floor(v) + 1)
-            .when(kind == "purchase", F.least(F.lit(100.0), v)).otherwise(F.floor(v / 40)),
-            file=F.col("file_path"), prov=F.col("provenance"),
-        )
-        module = row(
-            "module", F.col("module"),
+            .when(kind == "purchase", F.least(F.lit(100.0), v)).otherwise(F.floor(v / 40)))
+        module_key = (
             F.when(kind == "click", "code_entropy_index").when(kind == "view", "pressure_index")
-            .when(kind == "purchase", pick(S.ENTROPY_KEYS[:5], k % 5)).otherwise(pick(S.PRESSURE_KEYS[:6], k % 6)),
-            index,
-            tags=F.create_map(F.lit("moduleDependencyCount"), text(k % 12), F.lit("externalDependencyCount"), text(k % 5)),
-        )
-        repo = F.when(
-            kind.isin("signup", "purchase"),
-            row("repo", F.col("repo_id"),
-                F.when(kind == "purchase", pick(["pressure_boundary", "pressure_coupling", "pressure_semantic",
-                                                 "pressure_volatility", "dependency_entropy"], k % 5))
-                .when(k % 2 == 0, "code_entropy_index").otherwise("pressure_index"), index),
-        )
-        target = F.when(k % 4 == 0, F.concat(F.lit("pkg:lib"), text(k % 3))).otherwise(pick(MODULES, k % 6))
-        boundary = F.when(
-            kind == "purchase",
-            row("boundary", F.concat("module", F.lit("->"), target), F.lit("pressure_index"), index,
-                tags=F.create_map(
-                    F.lit("sourceModule"), F.col("module"), F.lit("targetModule"), target,
-                    F.lit("edgeAdded"), F.when(k % 3 == 0, "1").otherwise("0"),
-                    F.lit("externalTarget"), F.when(k % 4 == 0, "1").otherwise("0"))),
-        )
-        each = F.filter(F.array(symbol, module, repo, boundary), lambda r: r.isNotNull())
-        return e.select("repo_id", "sha", "at", F.inline(each))
+            .when(kind == "purchase", pick(S.ENTROPY_KEYS[:5], k % 5)).otherwise(pick(S.PRESSURE_KEYS[:6], k % 6)))
+        repo_key = (
+            F.when(kind == "purchase", pick(["pressure_boundary", "pressure_coupling", "pressure_semantic",
+                                             "pressure_volatility", "dependency_entropy"], k % 5))
+            .when(k % 2 == 0, "code_entropy_index").otherwise("pressure_index"))
+        module_tags = F.create_map(F.lit("moduleDependencyCount"), text(k % 12), F.lit("externalDependencyCount"), text(k % 5))
+        boundary_tags = F.create_map(
+            F.lit("sourceModule"), F.col("module"), F.lit("targetModule"), target,
+            F.lit("edgeAdded"), F.when(k % 3 == 0, "1").otherwise("0"),
+            F.lit("externalTarget"), F.when(k % 4 == 0, "1").otherwise("0"))
+        return dealt.select(
+            "repo_id", "sha", "at",
+            F.when(symbol, "symbol").when(module, "module").when(repo, "repo").otherwise("boundary").alias("scope"),
+            F.when(symbol, F.col("symbol_id")).when(module, F.col("module")).when(repo, F.col("repo_id"))
+            .otherwise(F.concat("module", F.lit("->"), target)).alias("subject_id"),
+            F.when(symbol, symbol_key).when(module, module_key).when(repo, repo_key).otherwise("pressure_index").alias("key"),
+            F.when(symbol, symbol_value.cast("double")).otherwise(F.least(F.lit(100.0), v * 0.5 + 10)).alias("value"),
+            F.when(~repo, F.col("module")).alias("module"), F.when(symbol, F.col("file_path")).alias("file_path"),
+            F.when(symbol, F.col("provenance")).alias("provenance"),
+            F.when(module, module_tags).when(~symbol & ~repo, boundary_tags)
+            .otherwise(F.create_map().cast("map<string,string>")).alias("tags"))
 
     @cached_property
     def alerts(self) -> DataFrame:
