@@ -114,5 +114,6 @@ def boundary_index(added, external, violations, dependencies, module_index, repo
 
 
 def z_score(x, mean, stddev) -> Column:
-    flat = F.when(col(x) > col(mean), 4.0).otherwise(0.0)
+    """Distance from the mean in deviations; without a spread 4 above the mean, where binary noise below 1e-9 is not above."""
+    flat = F.when(col(x) - col(mean) > 1e-9, 4.0).otherwise(0.0)
     return F.when(col(stddev) > 0.001, F.try_divide(col(x) - col(mean), col(stddev))).otherwise(flat)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.merge import insert_absent
+from ..operators.shared import materialized
 from . import alerts as alert_plans
 from . import anomaly, ingest, rules
 from .fleet import since
@@ -62,9 +63,11 @@ def rows(found: DataFrame, kind: str, title: Column, proof: Column) -> DataFrame
 
 
 def from_metrics(metrics: DataFrame, as_of: Column, volatile_above: int = rules.VOLATILE_COMMITS) -> DataFrame:
-    """What complexity, pressure, entropy and volatility rules raise."""
-    entropy = rules.entropy_alerts(anomaly.assess_entropy(metrics), metrics.filter(F.col("key") != "code_entropy_index"))
-    pressure = rules.pressure_alerts(anomaly.assess_pressure(metrics), metrics.filter(F.col("key") != "pressure_index"))
+    """What complexity, pressure, entropy and volatility rules raise (R3-R6); the readings are assessed once and their anomalies kept."""
+    found = materialized(anomaly.assess_indexes(metrics).filter(F.col("anomaly").isNotNull()), "anomalies")
+    is_entropy = F.col("key") == "code_entropy_index"
+    entropy = rules.entropy_alerts(found.filter(is_entropy).drop("baseline_24h"), metrics.filter(~is_entropy))
+    pressure = rules.pressure_alerts(found.filter(~is_entropy), metrics.filter(F.col("key") != "pressure_index"))
     parts = lambda names, keys: readings(names, *[k for k in keys if k not in names])
     label = F.when(F.col("scope") == "repo", "Repo").otherwise("Module")
     raised = rows(entropy.drop("code_entropy_index"), "ENTROPY_DRIFT", F.concat(label, F.lit(" entropy rising in "), "subject_id"), evidence(

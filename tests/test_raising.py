@@ -65,3 +65,10 @@ def test_query_of_duplicates_has_the_severities_of_its_sql(spark, tmp_path):
     w = Workspace(spark, str(tmp_path))
     assert {r["severity"] for r in semantic_duplicates(w).collect()} == {"warn"}
     assert {r["severity"] for r in rules.duplicates(w.vectors, min_score=0.35).collect()} == {"warn", "error"}
+
+
+def test_a_level_series_raises_nothing(spark):
+    """Three times 75.055 have a mean that falls short of it by a rounding: no reading is above the baseline."""
+    rows = [reading(i, "module", "m", "code_entropy_index", 75.055, sha=f"c{i}") for i in range(8)]
+    raised = raising.from_metrics(spark.createDataFrame(rows, METRICS), F.lit(T0 + dt.timedelta(hours=3)))
+    assert [r["at"] for r in raised.collect()] == [T0]
