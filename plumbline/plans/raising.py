@@ -63,17 +63,20 @@ def rows(found: DataFrame, kind: str, title: Column, proof: Column) -> DataFrame
 
 
 def from_metrics(metrics: DataFrame, as_of: Column, volatile_above: int = rules.VOLATILE_COMMITS) -> DataFrame:
-    """What complexity, pressure, entropy and volatility rules raise (R3-R6); the readings are assessed once and their anomalies kept."""
+    """What complexity, pressure, entropy and volatility rules raise (R3-R6); the readings are assessed once, their anomalies kept, and parts found for both kinds at once."""
     found = materialized(anomaly.assess_indexes(metrics).filter(F.col("anomaly").isNotNull()), "anomalies")
+    own = lambda names, keys: [k for k in keys if k not in names]
+    entropy_parts, pressure_parts = own(ENTROPY_READINGS, S.ENTROPY_KEYS), own(PRESSURE_READINGS, S.PRESSURE_KEYS)
+    known = rules.with_parts(found, metrics, [*entropy_parts, *pressure_parts]).withColumn("severity", F.col("anomaly"))
     is_entropy = F.col("key") == "code_entropy_index"
-    entropy = rules.entropy_alerts(found.filter(is_entropy).drop("baseline_24h"), metrics.filter(~is_entropy))
-    pressure = rules.pressure_alerts(found.filter(~is_entropy), metrics.filter(F.col("key") != "pressure_index"))
-    parts = lambda names, keys: readings(names, *[k for k in keys if k not in names])
+    either = lambda entropy, pressure: F.when(is_entropy, entropy).otherwise(pressure)
     label = F.when(F.col("scope") == "repo", "Repo").otherwise("Module")
-    raised = rows(entropy.drop("code_entropy_index"), "ENTROPY_DRIFT", F.concat(label, F.lit(" entropy rising in "), "subject_id"), evidence(
-        module=F.when(F.col("scope") == "module", F.col("subject_id")), metrics=parts(ENTROPY_READINGS, S.ENTROPY_KEYS)))
-    raised = raised.unionByName(rows(pressure.drop("pressure_index"), "ARCH_PRESSURE", F.concat(F.lit("Architecture pressure building in "), "subject_id"), evidence(
-        module=F.col("subject_id"), metrics=parts(PRESSURE_READINGS, S.PRESSURE_KEYS))))
+    raised = known.select(
+        "repo_id", "sha", "at", "severity", either(F.lit("ENTROPY_DRIFT"), F.lit("ARCH_PRESSURE")).alias("type"),
+        F.concat(either(F.concat(label, F.lit(" entropy rising in ")), F.lit("Architecture pressure building in ")), "subject_id").alias("title"),
+        evidence(module=F.when(~is_entropy | (F.col("scope") == "module"), F.col("subject_id")),
+                 metrics=either(readings(ENTROPY_READINGS, *entropy_parts), readings(PRESSURE_READINGS, *pressure_parts))).alias("evidence"),
+        either(F.lit(ADVICE["ENTROPY_DRIFT"]), F.lit(ADVICE["ARCH_PRESSURE"])).alias("recommendation"))
     complexity = rules.complexity_creep(metrics)
     raised = raised.unionByName(rows(complexity, "COMPLEXITY_CREEP", F.concat(F.lit("Complexity threshold exceeded for "), "subject_id"), evidence(
         symbolId=F.col("subject_id"), metrics=readings({"cyclomatic": "cyclomatic", "lineCount": "line_count", "aiRisk": "ai_risk_score"}))))

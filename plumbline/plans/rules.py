@@ -67,14 +67,29 @@ def complexity_creep(metrics: DataFrame) -> DataFrame:
     return wide.filter(over).withColumn("severity", F.when(error, "error").otherwise("warn"))
 
 
+COMMIT = ["repo_id", "scope", "subject_id", "sha"]
+
+
+def _parts(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest values of the keys in each commit and subject, a column a key."""
+    return metrics.filter(F.col("key").isin(keys)).groupBy(*COMMIT).agg(
+        *[fixed(F.max_by("value", F.when(F.col("key") == k, F.col("at"))), 2).alias(k) for k in keys])
+
+
+def with_parts(found: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """The readings, which are read twice, with the latest values of the keys in the same commit and subject.
+
+    What belongs to none of them leaves before the columns are made.
+    """
+    theirs = metrics.filter(F.col("key").isin(keys)).select(*COMMIT, "key", "at", "value").join(found.select(*COMMIT), COMMIT, "left_semi")
+    return found.join(_parts(theirs, keys), COMMIT, "left")
+
+
 def anomaly_alerts(assessed: DataFrame, metrics: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Alerts for anomalous index readings with the contributing readings of the
     same commit and subject (R4, R5)."""
     raised = assessed.filter(F.col("anomaly").isNotNull())
-    series = ["repo_id", "scope", "subject_id", "sha"]
-    parts = metrics.filter(F.col("key").isin(keys)).groupBy(*series).agg(
-        *[fixed(F.max_by("value", F.when(F.col("key") == k, F.col("at"))), 2).alias(k) for k in keys])
-    return raised.drop("key").join(parts, series, "left").withColumn("severity", F.col("anomaly")).withColumn("type", F.lit(kind))
+    return raised.drop("key").join(_parts(metrics, keys), COMMIT, "left").withColumn("severity", F.col("anomaly")).withColumn("type", F.lit(kind))
 
 
 def pressure_alerts(assessed: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -72,3 +72,14 @@ def test_a_level_series_raises_nothing(spark):
     rows = [reading(i, "module", "m", "code_entropy_index", 75.055, sha=f"c{i}") for i in range(8)]
     raised = raising.from_metrics(spark.createDataFrame(rows, METRICS), F.lit(T0 + dt.timedelta(hours=3)))
     assert [r["at"] for r in raised.collect()] == [T0]
+
+
+def test_readings_are_read_once_for_the_parts_of_both_kinds(spark, tmp_path):
+    """Parts, complexity, volatile files and their last commits: four readings of the metrics, the anomalies' own are kept."""
+    metric_frame(spark).write.parquet(str(tmp_path / "m"))
+    raised = raising.from_metrics(spark.read.parquet(str(tmp_path / "m")), F.lit(T0 + dt.timedelta(hours=3)))
+    plan = raised._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("tags#" in line for line in plan.splitlines() if "Relation" in line) == 4
+    got = {r["title"]: r["evidence"]["metrics"] for r in raised.collect()}
+    assert got["Module entropy rising in m"]["dependency_entropy"] == 12.35 and "pressure_index" not in got["Module entropy rising in m"]
+    assert got["Architecture pressure building in m"]["pressure_index"] == 95.0 and "dependency_entropy" not in got["Architecture pressure building in m"]
