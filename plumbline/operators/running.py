@@ -95,26 +95,24 @@ def answer(
         placed, several = dealt(marks, keys, depth)
     else:
         placed, several = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint")), True
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_tie")
+    inside = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.select(
         *keys, "_bucket", "_t", "_row", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums],
         *[F.last(v, ignorenulls=True).over(inside).alias(f"_in_{v}") for v in lasts],
-    ).filter(F.col("_row").isNotNull())
+        *([F.lead(F.lit(True)).over(ordered).isNull().alias("_end")] if several else []))
+    asks = F.col("_row").isNotNull()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     if not several:
-        return local.select("_row", "_t", *[zero(f"_in_{s}").alias(s) for s in sums], *[F.col(f"_in_{v}").alias(v) for v in lasts])
+        return local.filter(asks).select("_row", "_t", *[zero(f"_in_{s}").alias(s) for s in sums], *[F.col(f"_in_{v}").alias(v) for v in lasts])
 
-    order = F.struct("_t", "_side", "_tie")
+    # the last mark of a bucket has its whole sums and last values: the marks are placed and sorted once for both
+    local = materialized(local.filter(asks | F.col("_end")), "answered")
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        placed.groupBy(*keys, "_bucket").agg(
-            *[F.sum(s).alias(s) for s in sums],
-            *[F.max_by(v, F.when(F.col(v).isNotNull(), order)).alias(v) for v in lasts])
-        .select(*keys, "_bucket", *[F.sum(s).over(across).alias(f"_pre_{s}") for s in sums],
-                *[F.last(v, ignorenulls=True).over(across).alias(f"_pre_{v}") for v in lasts])
-    )
-    both = local.join(carried, [*keys, "_bucket"], "left")
+    carried = materialized(local.filter("_end").select(
+        *keys, "_bucket", *[F.sum(f"_in_{s}").over(across).alias(f"_pre_{s}") for s in sums],
+        *[F.last(f"_in_{v}", ignorenulls=True).over(across).alias(f"_pre_{v}") for v in lasts]), "carried")
+    both = local.filter(asks).join(carried, [*keys, "_bucket"], "left")
     return both.select(
         "_row", "_t", *[(zero(f"_in_{s}") + zero(f"_pre_{s}")).alias(s) for s in sums],
         *[F.coalesce(f"_in_{v}", f"_pre_{v}").alias(v) for v in lasts])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite, fixed
 from ..functions.scores import z_score
 from ..operators.running import DAY, answer, asof_join, micros, moments, value_parts
+from ..operators.shared import materialized
 
 SERIES = ["repo_id", "scope", "subject_id", "key"]
 BASELINE_WINDOW = 7 * DAY
@@ -95,8 +96,11 @@ def assess(df: DataFrame, profile: Profile) -> DataFrame:
 
 
 def assess_indexes(metrics: DataFrame) -> DataFrame:
-    """``assess`` of the entropy and the pressure series at once: one pass over the readings, each row by its own profile."""
-    rows = metrics.filter(_is_entropy() | _is_pressure()).select(*SERIES, "at", "sha", "value")
+    """``assess`` of the entropy and the pressure series at once: one pass over the readings, each row by its own profile.
+
+    The readings are kept in the shared folder: the lookbacks count them before they place them.
+    """
+    rows = materialized(metrics.filter(_is_entropy() | _is_pressure()).select(*SERIES, "at", "sha", "value"), "readings")
     entropy = F.col("key") == "code_entropy_index"
     return _assessed(rows, lambda name: F.when(entropy, F.lit(getattr(ENTROPY, name))).otherwise(F.lit(getattr(PRESSURE, name))))
 

@@ -43,3 +43,16 @@ def test_an_assessment_is_written_once(spark):
     calm = incidents.index_recoveries(anomaly.assess_indexes(metrics))
     assert calm._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
     assert calm.count() == 4  # all but the first reading of each series, which has no mean yet
+
+
+def test_marks_are_placed_once(spark):
+    """What is carried over buckets comes from the placed marks: nothing is left to derive and sort them a second time."""
+    got = answer(marks(spark, 2, 1000), ["k"], ["_n"], [], depth=100)
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["_n"]) for r in got.select("_row.id", "_n").collect()) == [(i, i // 2 + 1) for i in range(1000)]
+
+
+def test_lasts_are_carried_over_buckets_without_any(spark):
+    placed = marks(spark, 1, 1000).withColumn("v", F.when(F.col("_row.id") % 350 == 0, F.col("_row.id")))
+    got = answer(placed, ["k"], [], ["v"], depth=100).select("_row.id", "v").collect()
+    assert len(got) == 1000 and all(r["v"] == r["id"] // 350 * 350 for r in got)
