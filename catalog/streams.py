@@ -65,16 +65,20 @@ def stream_spaced_events(w):
     return fold.output().select("event_type", "event_id")
 
 
-def batches(w, rows, name: str, parts: int = 4):
-    """The rows as a stream of ``parts`` files in the order of their times, one a micro-batch."""
+def in_batches(w, rows, name: str, fold, parts: int = 4):
+    """What the fold gives for the rows as a stream of ``parts`` micro-batches in the order of their times.
+
+    A batch is all the files that have come since the last one, so as many tasks write it as its rows have partitions.
+    """
     folder = fresh(w, name)
     kept = materialized(rows, name)
     ends = kept.agg(F.min(F.unix_micros("at")).alias("first"), F.max(F.unix_micros("at")).alias("last")).first()
     step = (ends["last"] - ends["first"]) // parts + 1
     for i in range(parts):
-        part = F.floor((F.unix_micros("at") - ends["first"]) / step) == i
-        kept.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    return w.spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        since, until = (F.timestamp_micros(F.lit(ends["first"] + n * step)) for n in (i, i + 1))
+        kept.filter((F.col("at") >= since) & (F.col("at") < until)).write.mode("append").parquet(folder)
+        fold.start(w.spark.readStream.schema(kept.schema).parquet(folder)).awaitTermination()
+    return fold.output()
 
 
 @register("stream_merged", with_("ev", select="""
@@ -84,8 +88,7 @@ def stream_merged(w):
     rows = w.events.select("user_id", "event_id", "event_type", "at")
     fold = folds.Fold(w.spark, fresh(w, "merged"), folds.merged(["user_id"], ["at", "event_id"]),
                       "user_id bigint, event_id bigint, event_type string, at timestamp", folds.MERGED_SETTLED)
-    fold.start(batches(w, rows, "users")).awaitTermination()
-    return fold.output().select("user_id", "event_id", "event_type", micros("at").alias("at_us"))
+    return in_batches(w, rows, "users", fold).select("user_id", "event_id", "event_type", micros("at").alias("at_us"))
 
 
 @register("stream_incidents", with_("metrics alerts", TRACKED, *RECOVERED, ("ended", """
@@ -100,8 +103,7 @@ def stream_incidents(w):
     rows = incidents.tracked_alerts(w.alerts).withColumn("kind", F.lit("alert")).unionByName(
         incidents.index_recoveries(anomaly.assess_indexes(w.metrics)).withColumn("kind", F.lit("recovery")), allowMissingColumns=True)
     fold = folds.Fold(w.spark, fresh(w, "incidents"), folds.incident_fold, folds.INCIDENT_STATE, folds.INCIDENT_SETTLED)
-    fold.start(batches(w, rows, "signals")).awaitTermination()
-    return fold.output().select(*incidents.KEY, "status", "severity", micros("opened_at").alias("opened_us"), micros("closed_at").alias("closed_us"),
+    return in_batches(w, rows, "signals", fold).select(*incidents.KEY, "status", "severity", micros("opened_at").alias("opened_us"), micros("closed_at").alias("closed_us"),
                                 "opened_alert_title", "latest_alert_title", "alert_count")
 
 
@@ -109,5 +111,4 @@ def stream_incidents(w):
 def stream_drift(w):
     """Drift of module features over four micro-batches; the state is the last snapshot of each module."""
     fold = folds.Fold(w.spark, fresh(w, "drift"), folds.module_drift, folds.DRIFT_STATE)
-    fold.start(batches(w, feature_rows(w), "features")).awaitTermination()
-    return fold.output().select("repo_id", "module", micros("at").alias("at_us"), "distance", "composite", "severity")
+    return in_batches(w, feature_rows(w), "features", fold).select("repo_id", "module", micros("at").alias("at_us"), "distance", "composite", "severity")

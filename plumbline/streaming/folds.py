@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import vectors
 from ..operators.edges import edge_diff
 from ..operators.merge import upsert
+from ..operators.shared import materialized
 from ..operators.spacing import keep_spaced
 from ..plans import incidents, rules
 
@@ -113,7 +114,7 @@ def incident_fold(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFra
     calm = rows.filter(F.col("kind") == "recovery").select(
         *incidents.KEY, "at", "sha", "value", "clear_threshold", "baseline_mean", "baseline_stddev")
     held = state.select(*incidents.KEY, "at", "sha", "severity", "title", "weight")
-    folded = incidents.fold(held.unionByName(alerts), calm)
+    folded = materialized(incidents.fold(held.unionByName(alerts), calm), "folded")  # both tables are made of it
     return folded, incidents.open_alerts(folded)
 
 

@@ -1,11 +1,13 @@
 """A stream in several batches gives the rows of one batch."""
 
 import datetime as dt
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from plumbline.operators.spacing import keep_spaced
 from plumbline.plans import incidents
+from plumbline.session import shared_dir
 from plumbline.streaming import folds, sources, windows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -100,3 +102,38 @@ def test_bus_round_trip(spark):
     typed = sources.decode(raw, "repo_deleted")
     assert typed.count() == 1
     assert '"repoId":"r"' in sources.encode(typed).first()["value"]
+
+
+def test_a_batch_is_written_by_several_tasks(spark, tmp_path):
+    """Four batches in the order of their times, whatever number of files each has."""
+    from catalog.streams import in_batches
+    from plumbline.sources.workspace import Workspace
+
+    seen = []
+
+    def step(rows, state):
+        seen.append(tuple(rows.agg(F.min("id"), F.max("id")).first()))
+        return rows, state
+
+    fold = folds.Fold(spark, str(tmp_path / "fold"), step, EVENTS)
+    data = spark.createDataFrame(rows(400, 60), EVENTS).repartition(3)
+    sizes = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}  # a few rows are a split
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        out = in_batches(Workspace(spark, str(tmp_path)), data, "numbers", fold)
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert sorted(x["id"] for x in out.collect()) == list(range(400))
+    assert seen == [(0, 99), (100, 199), (200, 299), (300, 399)]
+    assert len(list(Path(shared_dir(spark)).glob("numbers-*/*.parquet"))) == 12
+
+
+def test_incident_state_is_made_of_the_written_incidents(spark):
+    ddl = ("kind string, repo_id string, type string, scope string, subject_id string, at timestamp, sha string, severity string, title string, "
+           "value double, clear_threshold double, baseline_mean double, baseline_stddev double")
+    data = [("alert", "r", "ENTROPY_DRIFT", "module", "m", T0, "s", "warn", "t", 1.0, 2.0, 1.0, 0.0)]
+    out, state = folds.incident_fold(spark.createDataFrame(data, ddl), spark.createDataFrame([], folds.INCIDENT_STATE))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (out, state)]
+    assert out.count() == state.count() == 1 and not any("Window" in p or "Aggregate" in p for p in plans)
