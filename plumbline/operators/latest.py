@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialized
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list, keep: list[str]) -> DataFrame:
     """One row per key: the one greatest by ``order``.
@@ -28,6 +30,21 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | No
     return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
+def leading(df: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
+    """The rows that can be the first of their key: of the least ``low`` those of the greatest ``high`` (null only where there is no other).
+
+    Numbers are compared in a hash table of the keys inside the input partitions, where a ranking of all
+    rows sorts every partition whole; what is left to rank are ties.
+    """
+    rows = df.withColumns({"_low": low, "_high": high})
+    each = materialized(rows.groupBy(*keys, "_low").agg(F.max("_high").alias("_high")), "leading")
+    best = each.groupBy(*keys).agg(F.min(F.struct("_low", "_high")).alias("_best")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_best._low").alias("_least"), F.col("_best._high").alias("_most"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    same += [F.col("_low").eqNullSafe(F.col("_least")), F.col("_high").eqNullSafe(F.col("_most"))]
+    return rows.join(best, same, "left_semi").drop("_low", "_high")
+
+
 def pivot_values(df: DataFrame, keys: list[str], name: str, value: str, wanted: list[str]) -> DataFrame:
     """Long rows to one column per wanted name, by filtered maximum (survey A4, A15)."""
     return df.groupBy(*keys).agg(

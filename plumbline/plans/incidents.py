@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions.numeric import fixed
 from ..operators.edges import source_of
-from ..operators.latest import top_per_key
+from ..operators.latest import leading, top_per_key
 from ..operators.running import asof_join
 from ..operators.shared import materialized
 from . import anomaly
@@ -128,6 +128,8 @@ def ranked_fixes(refactors: DataFrame, scope: str, n: int = 3, subjects: DataFra
         named = F.col("entities.modules" if scope == "module" else "entities.edgesAdded")
         rows = rows.withColumn("subject_id", F.explode(F.array_distinct(F.concat(F.array("target"), named))))
     rows = _of(rows, "subject_id", subjects)
+    if n == 1:
+        rows = leading(rows, ["repo_id", "subject_id"], bands.fix_rank("status"), F.col("confidence"))
     order = [bands.fix_rank("status"), F.desc("confidence"), F.desc("at"), F.col("id")]
     return top_per_key(rows, ["repo_id", "subject_id"], order, n).select(
         "repo_id", "subject_id", "rank", "id", "type", "confidence", "target", "impact", "status")

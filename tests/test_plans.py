@@ -72,3 +72,17 @@ def test_script_sources_hold_the_whole_text(spark):
     for row in w.script_sources.select("doc_id", "source").collect():
         note = "\n    // ".join(texts[row["doc_id"]].replace("\r\n", "\n").replace("\r", "\n").split("\n"))
         assert note in row["source"]
+
+
+def test_the_best_fix_is_ranked_among_ties_only(spark):
+    """Numbers decide in a hash table of the subjects; nulls, absent subjects and ties come out as in the ranking of all."""
+    from plumbline.operators.latest import leading, top_per_key
+
+    rows = [("r", s, i % 3 + (i % 7 == 0), c, i) for s in ("a", "b", None) for i in range(1, 60) for c in (None, float(i % 4), float("nan") if s == "b" else 0.5)]
+    rows += [("r", "none", 2, None, 1), ("r", "none", 3, 1.0, 2)]
+    df = spark.createDataFrame(rows, "repo_id string, subject_id string, low int, high double, id int")
+    key, order = ["repo_id", "subject_id"], [F.col("low"), F.desc("high"), F.col("id")]
+    kept = leading(df, key, F.col("low"), F.col("high"))
+    assert 0 < kept.count() < df.count() / 4 and kept.columns == df.columns
+    best = lambda d: sorted(map(str, top_per_key(d, key, order, 1).collect()))
+    assert best(kept) == best(df) and len(best(df)) == 4
