@@ -62,14 +62,23 @@ def bucketed(marks: DataFrame, keys: list[str], depth: int, slot_us: int = HOUR,
     return known.withColumn("_bucket", F.when(F.col("_starts").isNull(), 0).otherwise(passed).cast("bigint")).drop("_starts")
 
 
-def dealt(marks: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, bool]:
+def evened(rows: DataFrame, by: list[str], most: int = DEPTH) -> DataFrame:
+    """The rows of a stored table in tasks of about ``most``.
+
+    A split of a column file holds far more rows than one of text, and what a task deals out it holds until it is written.
+    """
+    parts = -(-rows.count() // most)
+    return rows.repartition(parts, *by) if parts > rows.rdd.getNumPartitions() else rows
+
+
+def dealt(marks: DataFrame, keys: list[str], depth: int, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """The marks with ``_bucket``, and whether any key has more than one.
 
     The counts of the slots are kept, so the marks are counted once and the bucket starts have a known
     size.  Buckets are dealt out over partitions that grow in number with the marks: a task
     sorts a few buckets, however large the table is.
     """
-    counts = materialized(slots(marks, keys), "slots")
+    counts = materialized(slots(marks if counted is None else counted, keys), "slots")
     each = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
     most, total = each.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     several = most > depth
@@ -82,6 +91,7 @@ def dealt(marks: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, boo
 
 def answer(
     marks: DataFrame, keys: list[str], sums: list[str], lasts: list[str], bucket_us: int | None = None, depth: int = DEPTH,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """The asking marks with all sums and the last set values placed before them.
 
@@ -89,10 +99,10 @@ def answer(
     times), ``_tie`` (order at equal sides), ``_row`` (null for marks that do
     not ask), and the named columns: numbers or null for ``sums``, values or
     null for ``lasts``.  Buckets are of equal depth unless ``bucket_us`` fixes their length;
-    where no key has more than one, nothing is carried.
+    where no key has more than one, nothing is carried.  ``counted`` are the same marks by a plainer plan, to count them.
     """
     if bucket_us is None:
-        placed, several = dealt(marks, keys, depth)
+        placed, several = dealt(marks, keys, depth, counted)
     else:
         placed, several = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket_us).cast("bigint")), True
     ordered = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_tie")

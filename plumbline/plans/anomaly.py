@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, fixed
 from ..functions.scores import z_score
-from ..operators.running import DAY, answer, asof_join, micros, moments, value_parts
+from ..operators.running import DAY, answer, asof_join, evened, micros, moments, value_parts
 from ..operators.shared import materialized
 
 SERIES = ["repo_id", "scope", "subject_id", "key"]
@@ -63,27 +63,31 @@ def settled(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()]))))
 
 
-def lookbacks(df: DataFrame) -> DataFrame:
+def lookbacks(df: DataFrame, stored: bool = False) -> DataFrame:
     """Every reading with its previous value, the value a day before and the
     sums of the seven days before it, all from one pass.
 
     A reading asks at its own time; it counts as the previous value and enters
     the sums right after that, leaves them seven days later, and becomes the
-    day-before value 24 hours later.
+    day-before value 24 hours later.  Readings that are ``stored`` are dealt out evenly first.
     """
+    found = answer(_marks(evened(df, ["sha", "at"]) if stored else df), SERIES, ["_n", "_s", "_q"], ["_prev", "_day"], counted=_marks(df))
+    mean, dev = moments()
+    return settled(found.select("_row.*", finite("_prev").alias("previous_value"), finite("_day").alias("day_before"), "_n", "_s", "_q"),
+                   baseline_mean=mean, baseline_stddev=dev, baseline_samples=F.col("_n")).drop("_n", "_s", "_q")
+
+
+def _marks(df: DataFrame) -> DataFrame:
+    """The four marks of every reading (``lookbacks``)."""
     v, none = F.col("value"), F.lit(None).cast("double")
     day, ask, leave, enter = (F.col("_side") == i for i in range(4))
     # the parts of a reading are computed before it is dealt out, the columns of a mark only where they are asked for
     dealt = df.select("*", micros("at").alias("_at"), *value_parts(v), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("_side"))
     part = lambda name: F.when(enter, F.col(name)).when(leave, -F.col(name)).otherwise(0).cast(dealt.schema[name].dataType).alias(name)
-    marks = dealt.select(
+    return dealt.select(
         *SERIES, (F.col("_at") + F.when(day, DAY).when(leave, BASELINE_WINDOW).otherwise(0)).alias("_t"), "_side",
         F.when(ask, "").otherwise(F.col("sha")).alias("_tie"), F.when(ask, F.struct(*df.columns)).alias("_row"),
         *[part(name) for name in ("_n", "_s", "_q")], F.when(enter, v).otherwise(none).alias("_prev"), F.when(day, v).otherwise(none).alias("_day"))
-    found = answer(marks, SERIES, ["_n", "_s", "_q"], ["_prev", "_day"])
-    mean, dev = moments()
-    return settled(found.select("_row.*", finite("_prev").alias("previous_value"), finite("_day").alias("day_before"), "_n", "_s", "_q"),
-                   baseline_mean=mean, baseline_stddev=dev, baseline_samples=F.col("_n")).drop("_n", "_s", "_q")
 
 
 def assess(df: DataFrame, profile: Profile) -> DataFrame:
@@ -102,14 +106,14 @@ def assess_indexes(metrics: DataFrame) -> DataFrame:
     """
     rows = materialized(metrics.filter(_is_entropy() | _is_pressure()).select(*SERIES, "at", "sha", "value"), "readings")
     entropy = F.col("key") == "code_entropy_index"
-    return _assessed(rows, lambda name: F.when(entropy, F.lit(getattr(ENTROPY, name))).otherwise(F.lit(getattr(PRESSURE, name))))
+    return _assessed(rows, lambda name: F.when(entropy, F.lit(getattr(ENTROPY, name))).otherwise(F.lit(getattr(PRESSURE, name))), stored=True)
 
 
-def _assessed(df: DataFrame, fixed_value) -> DataFrame:
+def _assessed(df: DataFrame, fixed_value, stored: bool = False) -> DataFrame:
     number = lambda name: fixed_value(name).cast("double")
     by_stddev = fixed_value("step_by_stddev")
     earlier = F.when(F.col("day_before") != 0, F.col("day_before")).otherwise(F.col("previous_value"))
-    rolled = lookbacks(df).withColumn("baseline_24h", F.when(~by_stddev, earlier))
+    rolled = lookbacks(df, stored).withColumn("baseline_24h", F.when(~by_stddev, earlier))
     step = F.col("value") - F.when(by_stddev, F.col("previous_value")).otherwise(F.col("baseline_24h"))
     mean, dev, x, prev = F.col("baseline_mean"), F.col("baseline_stddev"), F.col("value"), F.col("previous_value")
     known = F.col("baseline_samples") >= MIN_SAMPLES

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from plumbline.operators.running import answer, dealt
+from plumbline.operators.running import answer, dealt, evened
 from plumbline.plans import anomaly, incidents
 
 T0 = dt.datetime(2024, 1, 1)
@@ -56,3 +56,13 @@ def test_lasts_are_carried_over_buckets_without_any(spark):
     placed = marks(spark, 1, 1000).withColumn("v", F.when(F.col("_row.id") % 350 == 0, F.col("_row.id")))
     got = answer(placed, ["k"], [], ["v"], depth=100).select("_row.id", "v").collect()
     assert len(got) == 1000 and all(r["v"] == r["id"] // 350 * 350 for r in got)
+
+
+def test_stored_rows_are_dealt_out_evenly(spark, tmp_path):
+    """A split of a column file is many rows: a task gets about as many as it is to hold, few rows stay where they are."""
+    spark.range(5000).write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    even = evened(stored, ["id"], most=100)
+    assert even.rdd.getNumPartitions() == 50 and largest(even) <= 200
+    assert evened(stored, ["id"]).rdd.getNumPartitions() == stored.rdd.getNumPartitions()
+    assert even.distinct().count() == 5000
