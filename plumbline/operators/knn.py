@@ -12,12 +12,16 @@ can be ruled out, all segments are visited.
 One task compares one block of queries with one block of candidates by matrix
 product and returns at most ``k`` rows per query, so no pair list is ever
 formed and a group holding a third of all vectors is spread over many tasks.
+A block of candidates has several segments, as many as a task may hold in single precision,
+and a query is sent to a block once, with the segments it visits there.  On their way
+vectors are packed without loss.  So what is stored and shuffled grows with the rows
+times the blocks of a group, not times its segments.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +32,17 @@ from pyspark.sql import types as T
 from .shared import materialized
 
 BLOCK_ROWS = 16_384
+HELD_BYTES = 100_000_000  # of candidates in single precision that a task holds; a block of theirs has four times BLOCK_ROWS at most
+PARTS = 4  # of a group's candidates, and of the queries of a block, while they are larger than BLOCK_ROWS
 MOST_PIVOTS = 1024  # bound on what the driver reads: twice as many vectors
 SLACK = 1e-9
 SINGLE = T.ArrayType(T.FloatType())  # stays so on its way: a task widens it without loss
 ANGLE_SLACK = 1e-6  # arc cosine near 1 loses half the digits
 FEW = 4  # times k candidates of a row are scored exactly without a search for the k-th
 SLAB = 1_000_000  # angles that a task holds at once
+QUERY_ROWS = 512  # that a task compares at once
+PRODUCTS = 4_000_000  # scores that a task holds at once, and numbers of rows that are scored exactly
+KINDS = np.dtype("float32"), np.dtype("float64")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -41,8 +50,57 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return _unit(np.vstack([np.asarray(v, dtype="float64") for v in series]))
+def _pack(v: np.ndarray) -> bytes:
+    """A vector as bytes, without loss: all its numbers, or where that is shorter its distinct numbers, a bit for each place that is not 0 and a byte for the number there."""
+    kind = KINDS.index(v.dtype)
+    at = v != 0
+    values, code = np.unique(np.ascontiguousarray(v[at]).view(f"u{v.itemsize}"), return_inverse=True)
+    if len(values) > 256 or 7 + values.nbytes + -(-len(v) // 8) + len(code) >= v.nbytes:
+        return bytes([kind]) + v.tobytes()
+    return b"".join([bytes([kind + 2]), len(v).to_bytes(4, "little"), len(values).to_bytes(2, "little"), values.tobytes(), np.packbits(at).tobytes(), code.astype("u1").tobytes()])
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    if b[0] < 2:
+        return np.frombuffer(b, KINDS[b[0]], offset=1).astype("float64")
+    kind, size, count = KINDS[b[0] - 2], int.from_bytes(b[1:5], "little"), int.from_bytes(b[5:7], "little")
+    at = 7 + count * kind.itemsize
+    marked = np.unpackbits(np.frombuffer(b, "u1", -(-size // 8), at), count=size).view(bool)
+    out = np.zeros(size)
+    out[marked] = np.frombuffer(b, kind, count, 7)[np.frombuffer(b, "u1", offset=at + -(-size // 8))]
+    return out
+
+
+def packed(vec: Column | str) -> Column:
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else _pack(v) for v in vectors], dtype=object)
+
+    return pack(vec)
+
+
+def _matrix(vectors: Iterable) -> np.ndarray:
+    return _unit(np.vstack([_unpack(v) if isinstance(v, (bytes, bytearray)) else np.asarray(v, dtype="float64") for v in vectors]))
+
+
+class Rows:
+    """Unit vectors of a block: in double precision only those asked for, unpacked when they are."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        each, back = np.unique(places, return_inverse=True)
+        return _matrix(self.vectors[each])[back]
+
+    def single(self) -> np.ndarray:
+        """All of them, unpacked a few at a time."""
+        out = None
+        for a in range(0, len(self.vectors), 4096):
+            part = _matrix(self.vectors[a:a + 4096])
+            out = np.empty((len(self.vectors), part.shape[1]), "float32") if out is None else out
+            out[a:a + 4096] = part
+        return out
 
 
 def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
@@ -66,7 +124,7 @@ def _same(mine: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(
-    own: np.ndarray, cand: np.ndarray, rough: np.ndarray, k: int, floor: float | np.ndarray, without: tuple[np.ndarray, np.ndarray] | None,
+    own: np.ndarray, cand: np.ndarray | Rows, rough: np.ndarray, k: int, floor: float | np.ndarray, without: tuple[np.ndarray, np.ndarray] | None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and score of the best ``k`` candidates of each row; equal scores (to twelve places) by place.
 
@@ -90,8 +148,9 @@ def _best(
     row, place = np.divmod(np.flatnonzero(over), score.shape[1])
     del score, over
     exact = np.empty(len(row))
-    for a in range(0, len(row), 65_536):  # a slab with many equal scores names many pairs
-        cut = slice(a, a + 65_536)
+    step = max(1, PRODUCTS // max(1, own.shape[1]))
+    for a in range(0, len(row), step):  # a slab with many equal scores names many pairs
+        cut = slice(a, a + step)
         exact[cut] = np.einsum("ij,ij->i", own[row[cut]], cand[place[cut]])
     exact = np.round(np.clip(exact, -1.0, 1.0), 12)
     enough = exact >= floor[row]
@@ -109,7 +168,7 @@ class PivotIndex:
         wanted = min(MOST_PIVOTS, math.isqrt(total) + 1)
         share = F.lit(int(min(1.0, wanted / total) * (1 << 53)))
         chosen = rows.filter(F.shiftrightunsigned(F.xxhash64("_id", F.lit("pivot")), 11) <= share).select("_v").limit(2 * wanted).collect()
-        self.pivots = _unit(np.asarray([r["_v"] for r in chosen], dtype="float64")) if chosen else np.zeros((0, 0))
+        self.pivots = _matrix([r["_v"] for r in chosen]) if chosen else np.zeros((0, 0))
         leaders = max(1, min(len(chosen), -(-2 * (largest or total) // block_rows)))
         self.segment = np.argmax(self.pivots @ self.pivots[:leaders].T, axis=1) if len(chosen) else np.zeros(0, np.int64)
         self.least = self.most = np.zeros(len(chosen))
@@ -171,9 +230,8 @@ def knn_join(
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return materialized(df.select(
-            *[F.col(c).alias(n) for c, n in zip(group, g)],
-            F.col(id).cast("string").alias("_id"), (F.col(vec) if df.schema[vec].dataType == SINGLE else F.col(vec).cast("array<double>")).alias("_v"),
-            carried.alias("_m"),
+            *[F.col(c).alias(n) for c, n in zip(group, g)], F.col(id).cast("string").alias("_id"),
+            packed(vec if df.schema[vec].dataType == SINGLE else F.col(vec).cast("array<double>")).alias("_v"), carried.alias("_m"),
         ), name)
 
     c = side(corpus, "candidates")
@@ -184,78 +242,132 @@ def knn_join(
     largest = total if total <= block_rows else sizes.agg(F.max("_size")).first()[0]
     if largest <= block_rows:
         home = F.lit(0).alias("_cell")
-        best = _compare(q.select("*", home), c.select("*", home), k, g, floor, include_self, block_rows)
+        best = _compare(q.select("*", F.array(home).alias("_visits")), Blocks(c.select("*", home), g), k, floor, include_self, block_rows)
     else:
         index = PivotIndex(c, total, block_rows, largest)
-        large = sizes.filter(F.col("_size") > block_rows).select(*g, F.lit(True).alias("_large"))
+        held = max(block_rows, min(-(-largest // PARTS), 4 * block_rows, HELD_BYTES // (4 * max(1, index.pivots.shape[1]))))
+        large = materialized(sizes.filter(F.col("_size") > block_rows).select(*g, F.lit(True).alias("_large")), "large")
 
-        def placed(df: DataFrame) -> DataFrame:
+        def placed(df: DataFrame, name: str) -> DataFrame:
             """Small groups are one cell, the segments of large ones a cell each."""
             known = df.join(large, g, "left").withColumn("_at", F.when(F.col("_large"), index.place("_v")))
-            return known.withColumn("_cell", F.coalesce("_at.segment", F.lit(0)))
+            return materialized(known.withColumn("_cell", F.coalesce("_at.segment", F.lit(0))), name)
 
-        index.measure(placed(c).filter("_large"))
-        cells, asked = placed(c).drop("_at", "_large"), placed(q).drop("_at")
-        first = _compare(asked.drop("_large"), cells, k, g, floor, include_self, block_rows)
+        cells = placed(c, "placed")
+        asked = cells.select(*[F.col(n).alias(n) for n in cells.columns]) if queries is corpus else placed(q, "placed_queries")
+        index.measure(cells.filter("_large"))
+        blocks = Blocks(cells.drop("_at", "_large"), g, held)
+        first = _compare(asked.select(*g, "_id", "_v", "_m", F.array("_cell").alias("_visits")), blocks, k, floor, include_self, block_rows)
         first = materialized(first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank"), "home_neighbours")
         bounds = first.groupBy(*g, F.col("query_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
         bounded = asked.filter("_large").join(bounds, [*g, "_id"], "left").withColumn(
             "_bound", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(max(floor, -1.0))))
-        bounded = materialized(bounded.select(*g, "_id", "_v", "_m", "_bound", "_cell"), "bounded")
-        visits = materialized(bounded.select(
-            *g, "_id", F.explode(index.visits("_v", "_bound", "_cell")).alias("_cell")).distinct(), "visits")
-        rest = _compare(bounded.drop("_cell").join(visits, [*g, "_id"]), cells, k, g, floor, include_self, block_rows, visits)
-        best = first.unionByName(rest)
+        bounded = materialized(bounded.select(*g, "_id", "_v", "_m", "_bound", index.visits("_v", "_bound", "_cell").alias("_visits")), "bounded")
+        best = first.unionByName(_compare(bounded, blocks, k, floor, include_self, block_rows))
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     extra = ["query_mark", "neighbour_mark"] if mark else []
     return ranked.select(*[F.col(n).alias(o) for n, o in zip(g, group)], "query_id", "neighbour_id", "score", "rank", *extra)
 
 
-def _compare(
-    q: DataFrame, c: DataFrame, k: int, g: list[str], floor: float, include_self: bool, block_rows: int, counted: DataFrame | None = None,
-) -> DataFrame:
-    """The best ``k`` of every query against its cell, in blocks, or those not below a ``_bound`` that the queries have; ``counted`` has a row for each query where that is cheaper to count."""
-    cell = [*g, "_cell"]
-
-    def blocks(df: DataFrame) -> DataFrame:
-        return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+class Blocks:
+    """Candidates dealt out in blocks of about ``held`` rows: the cells of a group stand in a line that is cut evenly, so a block has several cells or a part of one.
 
-    q_blocks, c_blocks = blocks(q if counted is None else counted).withColumnRenamed("_blocks", "_qn"), blocks(c).withColumnRenamed("_blocks", "_cn")
-    shape = q_blocks.join(c_blocks, cell)
-    pick = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
-    q = q.join(shape, cell).withColumn("_qb", pick("_qn")).withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0), F.col("_cn") - 1))).drop("_qn", "_cn")
-    c = c.join(shape, cell).withColumn("_cb", pick("_cn")).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.col("_qn") - 1))).drop("_qn", "_cn")
+    The sizes are stored, so joins with them need no shuffle of the vectors.  Without ``held`` a group is one cell and one block.
+    """
 
+    def __init__(self, c: DataFrame, g: list[str], held: int | None = None):
+        self.g, self.held = g, held
+        if held is None:
+            self.rows = c.withColumn("_cb", F.lit(0))
+            return
+        cell = [*g, "_cell"]
+        before = Window.partitionBy(*g).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        line = c.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        line = materialized(line, "cells")
+        at = lambda place: F.floor((F.col("_from") + place) / held).cast("int")
+        self.rows = c.join(line, cell).withColumn("_cb", at(F.pmod(F.xxhash64("_id"), F.col("_n")))).drop("_n", "_from")
+        self.cells = materialized(line.select(*cell, F.explode(F.sequence(at(F.lit(0)), at(F.col("_n") - 1))).alias("_cb")).groupBy(
+            *g, "_cb").agg(F.collect_list("_cell").alias("_has")), "blocks")
+
+
+def _compare(q: DataFrame, blocks: Blocks, k: int, floor: float, include_self: bool, block_rows: int) -> DataFrame:
+    """The best ``k`` of every query among the cells of ``_visits``, a row a block at most, or those not below a ``_bound`` that the queries have."""
+    g = blocks.g
     out_cols = [*g, "query_id", "neighbour_id", "score", "query_mark", "neighbour_mark"]
     types = dict(q.dtypes)
     schema = ", ".join([*[f"{n} {types[n]}" for n in g], "query_id string, neighbour_id string, score double",
                         "query_mark string, neighbour_mark string"])
+    if blocks.held is None:
+        q = q.withColumn("_cb", F.lit(0)).withColumnRenamed("_visits", "_cells")
+    else:
+        q = q.join(blocks.cells, g).withColumn("_cells", F.array_intersect("_visits", "_has")).drop("_visits", "_has").filter(F.size("_cells") > 0)
+    asked = F.col("_asked")
+    parts = F.greatest(F.least(F.ceil(asked / block_rows), F.lit(PARTS)), F.ceil(asked / (2 * (blocks.held or block_rows)))).cast("int")
+    parts = q.groupBy(*g, "_cb").agg(F.count(F.lit(1)).alias("_asked")).select(*g, "_cb", parts.alias("_parts"))
+    if blocks.held is not None:
+        parts = materialized(parts, "parts")
+    pair = [*g, "_cb", "_qb"]
+    q = q.join(parts, [*g, "_cb"]).withColumn("_qb", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
+    c = blocks.rows.join(parts, [*g, "_cb"]).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    if blocks.held is not None:  # few pairs of blocks with much work each, which by their bytes would go to few tasks
+        tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1000, 4 * (parts.agg(F.sum("_parts")).first()[0] or 0)))
+        q, c = q.repartition(tasks, *pair), c.repartition(tasks, *pair)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=out_cols)
         right = right.sort_values("_id")
-        ids = right["_id"].to_numpy()
-        marks = right["_m"].to_numpy()
-        cand = _matrix(right["_v"])
-        rough = cand.astype("float32")
+        by_id = right["_id"].to_numpy()
+        turn = np.argsort(right["_cell"].to_numpy(), kind="stable")  # of a place, which id in order is there
+        right = right.iloc[turn]
+        ids, marks, cand = right["_id"].to_numpy(), right["_m"].to_numpy(), Rows(right["_v"].to_numpy())
+        rough = cand.single()
+        cells, start = np.unique(right["_cell"].to_numpy(), return_index=True)
+        spans = list(zip(start, [*start[1:], len(ids)]))
+        mine, vectors, own_marks = left["_id"].to_numpy(), left["_v"].to_numpy(), left["_m"].to_numpy()
+        bounds = left["_bound"].to_numpy() if "_bound" in left else np.full(len(left), floor)
+        visited = np.zeros((len(left), len(cells)), bool)
+        wanted = np.concatenate(left["_cells"].to_numpy())
+        nth = np.searchsorted(cells, wanted)
+        known = cells[np.minimum(nth, len(cells) - 1)] == wanted  # a cell on the edge of the block may have no row in it
+        visited[np.repeat(np.arange(len(left)), left["_cells"].str.len())[known], nth[known]] = True
+        own_row, own_place = (np.zeros(0, np.int64),) * 2 if include_self else _same(mine, by_id)
+        own_place = np.argsort(turn)[own_place]
         found = []
-        step = max(1, 4_000_000 // max(1, len(right)))  # bounds the score slab
-        for a in range(0, len(left), step):
-            part = left.iloc[a:a + step]
-            mine, own = part["_id"].to_numpy(), _matrix(part["_v"])
-            row, place, score = _best(own, cand, rough, k, part["_bound"].to_numpy() if "_bound" in part else floor, None if include_self else _same(mine, ids))
+        for a in range(0, len(left), QUERY_ROWS):
+            own, bound = _matrix(vectors[a:a + QUERY_ROWS]), bounds[a:a + QUERY_ROWS].copy()
+            here = (own_row >= a) & (own_row < a + QUERY_ROWS)
+            self_row, self_place = own_row[here] - a, own_place[here]
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for nth, (first, last) in enumerate(spans):
+                some = np.flatnonzero(visited[a:a + QUERY_ROWS, nth])
+                if not len(some):
+                    continue
+                within = np.full(len(own), -1)
+                within[some] = np.arange(len(some))
+                step = max(1, PRODUCTS // len(some))
+                for i in range(first, last, step):
+                    j = min(last, i + step)
+                    own_here = (self_place >= i) & (self_place < j) & (within[self_row] >= 0)
+                    row, place, score = _best(
+                        own[some], Rows(cand.vectors[i:j]), rough[i:j], k, bound[some], None if include_self else (within[self_row[own_here]], self_place[own_here] - i))
+                    if not len(row):
+                        continue
+                    row, place, score = (np.concatenate(x) for x in zip(best, (some[row], place + i, score)))
+                    order = np.lexsort((turn[place], -score, row))
+                    row, place, score = row[order], place[order], score[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+                    bound[row[rank == k - 1]] = score[rank == k - 1]
+                    best = row[rank < k], place[rank < k], score[rank < k]
+            row, place, score = best
             found.append(pd.DataFrame({
-                "query_id": mine[row], "neighbour_id": ids[place], "score": score,
-                "query_mark": part["_m"].to_numpy()[row], "neighbour_mark": marks[place]}))
+                "query_id": mine[a + row], "neighbour_id": ids[place], "score": score,
+                "query_mark": own_marks[a + row], "neighbour_mark": marks[place]}))
         out = pd.concat(found)
         for n in g:
             out[n] = left[n].iloc[0]
         return out[out_cols]
 
-    pair = [*cell, "_qb", "_cb"]
     return q.groupBy(*pair).cogroup(c.groupBy(*pair)).applyInPandas(compare, schema)
 
 

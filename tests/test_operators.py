@@ -332,3 +332,35 @@ def test_angles_are_held_for_a_bounded_number_of_rows(monkeypatch):
     parts = list(knn._slabs(vectors, pivots))
     assert all(angles.size <= 100 for _, angles in parts)
     assert (np.concatenate([angles for _, angles in parts]) == knn._angles(vectors, pivots)).all()
+
+
+@pytest.mark.parametrize("kind", ["float32", "float64"])
+def test_packed_vectors_are_the_same_numbers(kind):
+    r = np.random.default_rng(4)
+    counts = np.where(r.random(384) < 0.3, r.integers(-9, 10, 384), 0)
+    vectors = [counts / np.sqrt((counts * counts).sum()), r.normal(size=384), np.zeros(384), np.zeros(0), np.array([np.nan, 0.0, np.inf, 1.0]),
+               np.repeat(r.normal(size=400), 2), np.full(1000, 1 / 3), np.eye(1, 300, 299)[0]]
+    for v in vectors:
+        v = v.astype(kind)
+        assert knn._unpack(knn._pack(v)).tobytes() == v.astype("float64").tobytes()
+    assert len(knn._pack(vectors[0].astype(kind))) < 384
+
+
+def test_vectors_are_not_sent_once_for_each_segment(spark, monkeypatch):
+    """No segment is ruled out; what all tasks get, with all repeats, grows with the blocks of candidates, which have several segments."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    sent = []
+
+    def apply(self, *a, f=PandasCogroupedOps.applyInPandas):
+        sent.extend(side._df.count() for side in (self._gd1, self._gd2))
+        return f(self, *a)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", apply)
+    v = np.random.default_rng(9).normal(size=(600, 16))
+    df = spark.createDataFrame([(f"{i:05d}", "g", [float(x) for x in v[i]]) for i in range(600)], "id string, g string, v array<double>")
+    got = {}
+    for x in knn_join(df, df, 5, id="id", vec="v", group=["g"], block_rows=32).collect():
+        got.setdefault(x["query_id"], {})[x["rank"]] = x["neighbour_id"]
+    assert {q: [r[i] for i in sorted(r)] for q, r in got.items()} == brute_neighbours(v, 5)
+    assert sum(sent) < 18 * 600
