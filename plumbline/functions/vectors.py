@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .numeric import col, finite, fixed, fixed_text
 
@@ -46,6 +46,7 @@ DRIFT_FEATURES = [
     ("external_dependency_ratio", 0.25),
 ]
 VECTOR_SIZE = 384
+EMBEDDED_TEXTS = 1000  # that are embedded at once
 # ---------------------------------------------------------------------------
 
 
@@ -71,6 +72,34 @@ def cosine_distance(a, b) -> Column:
     return F.coalesce(1 - cosine(a, b), F.lit(0.0))
 
 
+def _token_hashes(tokens: pa.Array) -> np.ndarray:
+    """The hash of :func:`hash_embed` for tokens of ASCII letters, all tokens at once, a letter at a time."""
+    tokens = tokens.cast(pa.large_string())
+    _, offsets, letters = tokens.buffers()
+    ends = np.frombuffer(offsets, "int64", len(tokens) + 1, 8 * tokens.offset)
+    at, size = ends[:-1], np.diff(ends)
+    letters = np.frombuffer(letters, "u1") if len(tokens) and letters else np.zeros(0, "u1")
+    h = np.zeros(len(tokens), "uint32")
+    left, nth = np.flatnonzero(size), 0
+    while len(left):
+        h[left] = h[left] * np.uint32(31) + letters[at[left] + nth]
+        nth += 1
+        left = left[size[left] > nth]
+    return np.abs(h.view("int32").astype("int64"))
+
+
+def _embedded(texts: pa.Array, dimension: int) -> pa.Array:
+    """The vectors of some texts, given as lists of tokens; each distinct token is hashed once."""
+    coded = texts.flatten().dictionary_encode()
+    h, code = _token_hashes(coded.dictionary), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy())
+    v = np.bincount(text * dimension + (h % dimension)[code], np.where(h % 2 == 0, 1.0, -1.0)[code], len(texts) * dimension).astype("float64", copy=False).reshape(len(texts), dimension)
+    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v = np.divide(v, length, out=v, where=length > 0)
+    starts = pa.array(np.arange(len(texts) + 1, dtype="int32") * np.int32(dimension))
+    return pa.ListArray.from_arrays(starts, pa.array(v.ravel()), mask=texts.is_null())
+
+
 def hash_embed(source, dimension: int = VECTOR_SIZE) -> Column:
     """Unit vector of signed token counts, each token hashed to one slot.
 
@@ -78,30 +107,10 @@ def hash_embed(source, dimension: int = VECTOR_SIZE) -> Column:
     arithmetic, made non-negative; even hashes count +1, odd ones -1.
     """
 
-    @pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        seen: dict[str, tuple[int, int]] = {}
-
-        def slot(token: str) -> tuple[int, int]:
-            h = 0
-            for ch in token:
-                h = (h * 31 + ord(ch)) & 0xFFFFFFFF
-            h = abs(h - 0x100000000 if h & 0x80000000 else h)
-            return h % dimension, 1 if h % 2 == 0 else -1
-
-        def one(words) -> np.ndarray:
-            v = np.zeros(dimension)
-            for w in words:
-                hit = seen.get(w)
-                if hit is None:
-                    hit = slot(w)
-                    if len(seen) < 200_000:  # bound on the memo, not on the tokens
-                        seen[w] = hit
-                v[hit[0]] += hit[1]
-            length = np.sqrt((v * v).sum())
-            return v / length if length else v
-
-        return texts.map(lambda words: one(words) if words is not None else None)
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        parts = [_embedded(texts.slice(a, EMBEDDED_TEXTS), dimension) for a in range(0, len(texts), EMBEDDED_TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
     from .text import tokens
 

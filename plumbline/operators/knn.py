@@ -25,6 +25,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +74,11 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def packed(vec: Column | str) -> Column:
-    @F.pandas_udf("binary")
-    def pack(vectors: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else _pack(v) for v in vectors], dtype=object)
+    @F.arrow_udf("binary")
+    def pack(vectors: pa.Array) -> pa.Array:
+        numbers, there = vectors.flatten().to_numpy(zero_copy_only=False), vectors.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
+        return pa.array([_pack(v) if known else None for v, known in zip(np.split(numbers, ends[:-1]), there)], pa.binary())
 
     return pack(vec)
 
@@ -290,6 +294,58 @@ class Blocks:
             *g, "_cb").agg(F.collect_list("_cell").alias("_has")), "blocks")
 
 
+def _pairs(left: pd.DataFrame, right: pd.DataFrame, k: int, floor: float, include_self: bool) -> pd.DataFrame:
+    """The best ``k`` candidates of a block for each of the queries, among the cells it visits."""
+    right = right.sort_values("_id")
+    by_id = right["_id"].to_numpy()
+    turn = np.argsort(right["_cell"].to_numpy(), kind="stable")  # of a place, which id in order is there
+    right = right.iloc[turn]
+    ids, marks, cand = right["_id"].to_numpy(), right["_m"].to_numpy(), Rows(right["_v"].to_numpy())
+    rough = cand.single()
+    cells, start = np.unique(right["_cell"].to_numpy(), return_index=True)
+    spans = list(zip(start, [*start[1:], len(ids)]))
+    mine, vectors, own_marks = left["_id"].to_numpy(), left["_v"].to_numpy(), left["_m"].to_numpy()
+    bounds = left["_bound"].to_numpy() if "_bound" in left else np.full(len(left), floor)
+    visited = np.zeros((len(left), len(cells)), bool)
+    wanted = np.concatenate(left["_cells"].to_numpy())
+    nth = np.searchsorted(cells, wanted)
+    known = cells[np.minimum(nth, len(cells) - 1)] == wanted  # a cell on the edge of the block may have no row in it
+    visited[np.repeat(np.arange(len(left)), left["_cells"].str.len())[known], nth[known]] = True
+    own_row, own_place = (np.zeros(0, np.int64),) * 2 if include_self else _same(mine, by_id)
+    own_place = np.argsort(turn)[own_place]
+    found = []
+    for a in range(0, len(left), QUERY_ROWS):
+        own, bound = _matrix(vectors[a:a + QUERY_ROWS]), bounds[a:a + QUERY_ROWS].copy()
+        here = (own_row >= a) & (own_row < a + QUERY_ROWS)
+        self_row, self_place = own_row[here] - a, own_place[here]
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for nth, (first, last) in enumerate(spans):
+            some = np.flatnonzero(visited[a:a + QUERY_ROWS, nth])
+            if not len(some):
+                continue
+            within = np.full(len(own), -1)
+            within[some] = np.arange(len(some))
+            step = max(1, PRODUCTS // len(some))
+            for i in range(first, last, step):
+                j = min(last, i + step)
+                own_here = (self_place >= i) & (self_place < j) & (within[self_row] >= 0)
+                row, place, score = _best(
+                    own[some], Rows(cand.vectors[i:j]), rough[i:j], k, bound[some], None if include_self else (within[self_row[own_here]], self_place[own_here] - i))
+                if not len(row):
+                    continue
+                row, place, score = (np.concatenate(x) for x in zip(best, (some[row], place + i, score)))
+                order = np.lexsort((turn[place], -score, row))
+                row, place, score = row[order], place[order], score[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+                bound[row[rank == k - 1]] = score[rank == k - 1]
+                best = row[rank < k], place[rank < k], score[rank < k]
+        row, place, score = best
+        found.append(pd.DataFrame({
+            "query_id": mine[a + row], "neighbour_id": ids[place], "score": score,
+            "query_mark": own_marks[a + row], "neighbour_mark": marks[place]}))
+    return pd.concat(found)
+
+
 def _compare(q: DataFrame, blocks: Blocks, k: int, floor: float, include_self: bool, block_rows: int) -> DataFrame:
     """The best ``k`` of every query among the cells of ``_visits``, a row a block at most, or those not below a ``_bound`` that the queries have."""
     g = blocks.g
@@ -316,54 +372,7 @@ def _compare(q: DataFrame, blocks: Blocks, k: int, floor: float, include_self: b
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=out_cols)
-        right = right.sort_values("_id")
-        by_id = right["_id"].to_numpy()
-        turn = np.argsort(right["_cell"].to_numpy(), kind="stable")  # of a place, which id in order is there
-        right = right.iloc[turn]
-        ids, marks, cand = right["_id"].to_numpy(), right["_m"].to_numpy(), Rows(right["_v"].to_numpy())
-        rough = cand.single()
-        cells, start = np.unique(right["_cell"].to_numpy(), return_index=True)
-        spans = list(zip(start, [*start[1:], len(ids)]))
-        mine, vectors, own_marks = left["_id"].to_numpy(), left["_v"].to_numpy(), left["_m"].to_numpy()
-        bounds = left["_bound"].to_numpy() if "_bound" in left else np.full(len(left), floor)
-        visited = np.zeros((len(left), len(cells)), bool)
-        wanted = np.concatenate(left["_cells"].to_numpy())
-        nth = np.searchsorted(cells, wanted)
-        known = cells[np.minimum(nth, len(cells) - 1)] == wanted  # a cell on the edge of the block may have no row in it
-        visited[np.repeat(np.arange(len(left)), left["_cells"].str.len())[known], nth[known]] = True
-        own_row, own_place = (np.zeros(0, np.int64),) * 2 if include_self else _same(mine, by_id)
-        own_place = np.argsort(turn)[own_place]
-        found = []
-        for a in range(0, len(left), QUERY_ROWS):
-            own, bound = _matrix(vectors[a:a + QUERY_ROWS]), bounds[a:a + QUERY_ROWS].copy()
-            here = (own_row >= a) & (own_row < a + QUERY_ROWS)
-            self_row, self_place = own_row[here] - a, own_place[here]
-            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            for nth, (first, last) in enumerate(spans):
-                some = np.flatnonzero(visited[a:a + QUERY_ROWS, nth])
-                if not len(some):
-                    continue
-                within = np.full(len(own), -1)
-                within[some] = np.arange(len(some))
-                step = max(1, PRODUCTS // len(some))
-                for i in range(first, last, step):
-                    j = min(last, i + step)
-                    own_here = (self_place >= i) & (self_place < j) & (within[self_row] >= 0)
-                    row, place, score = _best(
-                        own[some], Rows(cand.vectors[i:j]), rough[i:j], k, bound[some], None if include_self else (within[self_row[own_here]], self_place[own_here] - i))
-                    if not len(row):
-                        continue
-                    row, place, score = (np.concatenate(x) for x in zip(best, (some[row], place + i, score)))
-                    order = np.lexsort((turn[place], -score, row))
-                    row, place, score = row[order], place[order], score[order]
-                    rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-                    bound[row[rank == k - 1]] = score[rank == k - 1]
-                    best = row[rank < k], place[rank < k], score[rank < k]
-            row, place, score = best
-            found.append(pd.DataFrame({
-                "query_id": mine[a + row], "neighbour_id": ids[place], "score": score,
-                "query_mark": own_marks[a + row], "neighbour_mark": marks[place]}))
-        out = pd.concat(found)
+        out = _pairs(left, right, k, floor, include_self)
         for n in g:
             out[n] = left[n].iloc[0]
         return out[out_cols]

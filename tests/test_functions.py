@@ -152,3 +152,25 @@ def test_drivers_from_older_advice(one):
     assert one(read, t="Review a.yml: todo x2, fake secret placeholder.") == ["todo x2", "fake secret placeholder"]
     assert one(read, t="no list") == []
     assert one(heuristics.legacy_category(F.array().cast("array<string>"), "p"), p="x/Dockerfile") == "CONTAINER_RISK"
+
+
+def test_embedding_of_lists_of_tokens_equals_one_token_at_a_time():
+    """Nulls, empty lists, a slice, long tokens, and hashes over 31 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    def hashed(token):
+        h = 0
+        for ch in token:
+            h = (h * 31 + ord(ch)) & 0xFFFFFFFF
+        return abs(h - (1 << 32) if h >> 31 else h)
+
+    words = [["a", "b_9", "a"], None, [], ["z" * 500, "polynomial_overflow"], ["total"] * 7 + ["x1"], None]
+    lists = pa.array([["left", "out"], *words], pa.list_(pa.string())).slice(1)
+    for tokens, got in zip(words, vectors._embedded(lists, 384).to_pylist()):
+        want = np.zeros(384)
+        for t in tokens or []:
+            want[hashed(t) % 384] += 1 if hashed(t) % 2 == 0 else -1
+        length = np.sqrt((want * want).sum())
+        assert got is None if tokens is None else got == (want / length if length else want).tolist()
+    assert vectors._embedded(lists.slice(1, 1), 384).to_pylist() == [None] and len(vectors._embedded(lists.slice(0, 0), 384)) == 0
