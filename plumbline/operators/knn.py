@@ -43,7 +43,9 @@ ANGLE_SLACK = 1e-6  # arc cosine near 1 loses half the digits
 FEW = 4  # times k candidates of a row are scored exactly without a search for the k-th
 SLAB = 1_000_000  # angles that a task holds at once
 QUERY_ROWS = 512  # that a task compares at once
-PRODUCTS = 4_000_000  # scores that a task holds at once, and numbers of rows that are scored exactly
+PRODUCTS = 4_000_000  # scores that a task holds at once
+MOST_CANDIDATES = 8192  # that it compares at once
+EXACT = 1_000_000  # numbers of the vectors that it scores exactly at once
 KINDS = np.dtype("float32"), np.dtype("float64")
 
 
@@ -94,16 +96,16 @@ class Rows:
         self.vectors = vectors
 
     def __getitem__(self, places: np.ndarray) -> np.ndarray:
-        each, back = np.unique(places, return_inverse=True)
-        return _matrix(self.vectors[each])[back]
-
-    def single(self) -> np.ndarray:
-        """All of them, unpacked a few at a time."""
-        out = None
-        for a in range(0, len(self.vectors), 4096):
-            part = _matrix(self.vectors[a:a + 4096])
-            out = np.empty((len(self.vectors), part.shape[1]), "float32") if out is None else out
-            out[a:a + 4096] = part
+        return self.all("float64", places)
+
+    def all(self, kind: str, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Rows unpacked a few at a time."""
+        vectors = self.vectors[places]
+        out = np.zeros((len(vectors), 0), kind)
+        for a in range(0, len(vectors), 1024):
+            part = _matrix(vectors[a:a + 1024])
+            out = out if a else np.empty((len(vectors), part.shape[1]), kind)
+            out[a:a + 1024] = part
         return out
 
 
@@ -137,7 +139,6 @@ def _best(
     k-th score, and of the floor, is scored in double precision before places are given.
     """
     score = own.astype("float32") @ rough.T
-    score[:, np.isnan(rough).any(axis=1)] = -3.0
     if without is not None:
         score[without] = -3.0
     error = np.float32(2e-7 * (own.shape[1] + 16))
@@ -146,16 +147,19 @@ def _best(
     over = score >= bound[:, None]
     hopeful = np.flatnonzero(np.count_nonzero(over, axis=1) > FEW * k) if k < score.shape[1] else []
     if len(hopeful):
-        kth = np.partition(score[hopeful], score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        kth = np.partition(np.nan_to_num(score[hopeful], copy=False, nan=-3.0), score.shape[1] - k, axis=1)[:, score.shape[1] - k]
         bound[hopeful] = np.maximum(bound[hopeful], kth - 2 * error)
         over[hopeful] = score[hopeful] >= bound[hopeful, None]
     row, place = np.divmod(np.flatnonzero(over), score.shape[1])
     del score, over
+    named = np.zeros(len(rough), bool)
+    named[place] = True
+    there, nth = cand[np.flatnonzero(named)], np.cumsum(named) - 1
     exact = np.empty(len(row))
-    step = max(1, PRODUCTS // max(1, own.shape[1]))
+    step = max(1, EXACT // max(1, own.shape[1]))
     for a in range(0, len(row), step):  # a slab with many equal scores names many pairs
         cut = slice(a, a + step)
-        exact[cut] = np.einsum("ij,ij->i", own[row[cut]], cand[place[cut]])
+        exact[cut] = np.einsum("ij,ij->i", own[row[cut]], there[nth[place[cut]]])
     exact = np.round(np.clip(exact, -1.0, 1.0), 12)
     enough = exact >= floor[row]
     row, place, exact = row[enough], place[enough], exact[enough]
@@ -297,11 +301,13 @@ class Blocks:
 def _pairs(left: pd.DataFrame, right: pd.DataFrame, k: int, floor: float, include_self: bool) -> pd.DataFrame:
     """The best ``k`` candidates of a block for each of the queries, among the cells it visits."""
     right = right.sort_values("_id")
+    copies = k + right["_id"].value_counts(dropna=False).max()  # of equal vectors, more are never among the best k after a query's own id
+    right = right[right.groupby("_v", dropna=False, sort=False).cumcount() < copies]
     by_id = right["_id"].to_numpy()
     turn = np.argsort(right["_cell"].to_numpy(), kind="stable")  # of a place, which id in order is there
     right = right.iloc[turn]
     ids, marks, cand = right["_id"].to_numpy(), right["_m"].to_numpy(), Rows(right["_v"].to_numpy())
-    rough = cand.single()
+    rough = cand.all("float32")
     cells, start = np.unique(right["_cell"].to_numpy(), return_index=True)
     spans = list(zip(start, [*start[1:], len(ids)]))
     mine, vectors, own_marks = left["_id"].to_numpy(), left["_v"].to_numpy(), left["_m"].to_numpy()
@@ -325,7 +331,7 @@ def _pairs(left: pd.DataFrame, right: pd.DataFrame, k: int, floor: float, includ
                 continue
             within = np.full(len(own), -1)
             within[some] = np.arange(len(some))
-            step = max(1, PRODUCTS // len(some))
+            step = max(1, min(MOST_CANDIDATES, PRODUCTS // len(some)))
             for i in range(first, last, step):
                 j = min(last, i + step)
                 own_here = (self_place >= i) & (self_place < j) & (within[self_row] >= 0)

@@ -364,3 +364,24 @@ def test_vectors_are_not_sent_once_for_each_segment(spark, monkeypatch):
         got.setdefault(x["query_id"], {})[x["rank"]] = x["neighbour_id"]
     assert {q: [r[i] for i in sorted(r)] for q, r in got.items()} == brute_neighbours(v, 5)
     assert sum(sent) < 18 * 600
+
+
+def test_copies_of_a_block_leave_the_best_as_they_are():
+    """Many equal vectors, ids that are there twice, two cells of which some queries visit one; scores and order of a full sort."""
+    r = np.random.default_rng(12)
+    v = np.round(r.normal(size=(90, 6)), 1)
+    v[20:70] = v[20]
+    ids = [f"{i:03d}" for i in range(85)] + ["022", "022", "021", "001", "084"]
+    cell = np.where(np.arange(90) % 3 == 0, 4, 2)
+    cell[20:70] = 2
+    rows = pd.DataFrame({"_id": ids, "_v": [knn._pack(x) for x in v], "_m": None, "_cell": cell}).sample(frac=1, random_state=1)
+    asked = rows.drop(columns="_cell").assign(_cells=[np.array([2, 4] if i % 2 else [2]) for i in range(90)])
+    got = {}
+    for x in knn._pairs(asked, rows, 4, -2.0, False).itertuples():
+        got.setdefault(x.query_id, []).append((x.neighbour_id, round(x.score, 10)))
+    unit = dict(zip(rows.index, knn._matrix(rows["_v"])))
+    want = {}
+    for q in asked.index:
+        able = [(-round(float(np.clip(unit[q] @ unit[c], -1, 1)), 12), rows["_id"][c]) for c in rows.index if rows["_id"][c] != asked["_id"][q] and rows["_cell"][c] in asked["_cells"][q]]
+        want.setdefault(asked["_id"][q], []).extend((n, round(-s, 10)) for s, n in sorted(able)[:4])
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
